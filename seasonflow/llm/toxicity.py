@@ -25,6 +25,7 @@ from seasonflow.llm.common import is_held_out, unit_hash
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 LEAST_WEIGHT = 1.5
+LEAST_TEXTS = 3
 CACHED_WORDS = 400_000
 
 
@@ -37,23 +38,26 @@ def doc_features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
 
 
-def corrected_weights(toxic: list[set], unlabelled: list[set], prior: float, least: int = 3) -> dict[str, float]:
-    """log(toxic rate / clean rate) by feature, where the clean rate is what the prior leaves of the unlabelled rate."""
-    hits: dict[str, int] = {}
-    for s in toxic:
-        for f in s:
-            hits[f] = hits.get(f, 0) + 1
-    hits = {f: n for f, n in hits.items() if n >= least}
-    seen = dict.fromkeys(hits, 0)
-    for s in unlabelled:
-        for f in s & hits.keys():
-            seen[f] += 1
-    floor = 0.5 / (len(unlabelled) + 1)
-    out = {}
-    for f, n in hits.items():
-        t, u = (n + 0.5) / (len(toxic) + 1), (seen[f] + 0.5) / (len(unlabelled) + 1)
-        w = float(np.log(t / max((u - prior * t) / (1 - prior), floor)))
-        if w >= LEAST_WEIGHT:
+def hits(texts: list[str], among: dict | None = None) -> dict[str, int]:
+    """The number of texts with each feature; with among, only of its keys."""
+    out: dict[str, int] = {}
+    for t in texts:
+        own = doc_features(t)
+        for f in own if among is None else own & among.keys():
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def corrected_weights(toxic: dict[str, int], n_toxic: int, unlabelled: dict[str, int], n_unlabelled: int, prior: float) -> dict[str, float]:
+    """log(toxic rate / clean rate) by feature, where the clean rate is what the prior leaves of the unlabelled rate.
+
+    Both rates are taken one standard error low, so that features of a few texts don't outweigh common ones.
+    """
+    floor, out = 0.5 / (n_unlabelled + 1), {}
+    for f, n in toxic.items():
+        low, m = (n - np.sqrt(n)) / n_toxic, unlabelled.get(f, 0)
+        clean = (m - np.sqrt(m)) / n_unlabelled - prior * n / n_toxic
+        if low > 0 and (w := float(np.log(low / max(clean / (1 - prior), floor)))) >= LEAST_WEIGHT:
             out[f] = w
     return out
 
@@ -109,8 +113,8 @@ def fit_nnpu(x: np.ndarray, is_toxic: np.ndarray, prior: float, steps: int = 600
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlabelled: int = 6000, prior: float | None = None) -> dict:
-    """Fit on about most_toxic confirmed and most_unlabelled other texts at most, drawn by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlabelled: int = 5000, prior: float | None = None) -> dict:
+    """Fit on about most_toxic confirmed texts and most_unlabelled of all texts, drawn by a hash of the id.
 
     Rows whose crc32(doc_id) is divisible by 5 are never used. prior defaults to the toxic share of the labelled rows
     outside the held-out fold. Labels are reduced to one row per doc_id, toxic if any of its rows says so.
@@ -127,31 +131,29 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlab
     toxic_ids = own.where((F.col("toxic") == 1) & (unit_hash("doc_id") < most_toxic / tally.t)).select("doc_id")
     toxic = [r.text or "" for r in rows.join(toxic_ids, "doc_id", "left_semi").select("text").collect()]
     drawn = rows.where(unit_hash("doc_id", F.lit(1)) < most_unlabelled / n_docs)
-    confirmed = own.where(F.col("toxic") == 1).select("doc_id")
-    unlabelled = [r.text or "" for r in drawn.join(confirmed, "doc_id", "left_anti").select("text").collect()]
-    return fit(toxic, unlabelled, prior)
+    return fit(toxic, [r.text or "" for r in drawn.select("text").collect()], prior)
 
 
 def fit(toxic: list[str], unlabelled: list[str], prior: float) -> dict:
-    """The model of given texts. Unlabelled texts lack the confirmed ones, so their toxic share may be below the prior;
-
-    the prior of the corrections is therefore applied to the two samples joined in their natural proportion.
-    """
-    if not toxic:
+    """The model of confirmed toxic texts and of texts drawn from all, of which a share of prior is toxic."""
+    if not toxic or not unlabelled:
         return {"weights": {}, "w": None, "mean": None, "std": None, "prior": prior}
     toxic, unlabelled = sorted(toxic), sorted(unlabelled)
-    again = max(1, round(len(unlabelled) * prior / (1 - prior) * 0.5))
-    unlabelled = unlabelled + [toxic[i * len(toxic) // again] for i in range(min(again, len(toxic)))]
-    ft, fu = [doc_features(t) for t in toxic], [doc_features(t) for t in unlabelled]
+    halves_t, halves_u = [toxic[::2], toxic[1::2]], [unlabelled[::2], unlabelled[1::2]]
+    seen_t = [hits(x) for x in halves_t]
+    whole = {f: n for f in seen_t[0].keys() | seen_t[1].keys() if (n := seen_t[0].get(f, 0) + seen_t[1].get(f, 0)) >= LEAST_TEXTS}
+    seen_t = [{f: n for f, n in x.items() if f in whole} for x in seen_t]
+    seen_u = [hits(x, whole) for x in halves_u]
     x, y = [], []
     for part in (0, 1):  # words are weighed on one half and summed up on the other
-        s = Summariser(corrected_weights(ft[1 - part :: 2], fu[1 - part :: 2], prior, 2))
-        for texts, flag in ((toxic[part::2], True), (unlabelled[part::2], False)):
+        s = Summariser(corrected_weights(seen_t[1 - part], len(halves_t[1 - part]) or 1, seen_u[1 - part], len(halves_u[1 - part]) or 1, prior))
+        for texts, flag in ((halves_t[part], True), (halves_u[part], False)):
             x += [s(t) for t in texts]
             y += [flag] * len(texts)
     x, y = np.array(x), np.array(y)
     mean, std = x.mean(0), x.std(0) + 1e-9
-    return {"weights": corrected_weights(ft, fu, prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean, "std": std, "prior": prior}
+    both = {f: seen_u[0].get(f, 0) + seen_u[1].get(f, 0) for f in whole}
+    return {"weights": corrected_weights(whole, len(toxic), both, len(unlabelled), prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean, "std": std, "prior": prior}
 
 
 def score_texts(model: dict, texts: list[str], summarise: Summariser | None = None) -> np.ndarray:
