@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonflow.llm import byte_bpe, language, token_counts, toxicity
+from seasonflow.llm import byte_bpe, language, token_counts, toxicity, vectors
 from seasonflow.llm.common import is_held_out, read
 
 
@@ -23,6 +23,10 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", is_held_out().alias("held_out"), "found.lang_pred", "found.score")
 
 
+def op6_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,5 +40,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_column(docs, path, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op7_token_counts, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op6_spherical_kmeans, op7_token_counts, op8_byte_bpe)}
 ORACLES: dict[str, str] = {}
