@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonflow.llm import byte_bpe, language, token_counts, toxicity, vectors
+from seasonflow.llm import byte_bpe, language, minhash, token_counts, toxicity, vectors
 from seasonflow.llm.common import is_held_out, read
 
 
@@ -40,5 +40,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_column(docs, path, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op6_spherical_kmeans, op7_token_counts, op8_byte_bpe)}
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op6_spherical_kmeans, op7_token_counts, op8_byte_bpe, op9_weighted_minhash)}
 ORACLES: dict[str, str] = {}
