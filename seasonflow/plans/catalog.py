@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from seasonflow.plans import timeseries
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = [timeseries]
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoke query until the daily book is registered."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+def flagship(spark, sf_dir):
+    return QUERIES["ts_sma"](spark, sf_dir)
