@@ -52,11 +52,11 @@ def add(name: str, spark_side, body: str) -> None:
 
 
 def indicator(name: str, build, columns: dict[str, int | None], body: str) -> None:
-    """A query of (symbol, date, columns); places of rounding by column, None for columns that are exact."""
+    """A query of (symbol, date, columns); places of rounding by column, None for columns that are exact (whole numbers, given as doubles since they may be null)."""
 
     def run(spark, sf_dir):
         df = build(v.bars(spark, sf_dir))
-        return df.select("symbol", "date", *[F.col(c) if p is None else q(c, p).alias(c) for c, p in columns.items()])
+        return df.select("symbol", "date", *[F.col(c).cast("double").alias(c) if p is None else q(c, p).alias(c) for c, p in columns.items()])
 
     cols = ", ".join(c if p is None else f"{sq(c, p)} AS {c}" for c, p in columns.items())
     add(name, run, f"SELECT symbol, date, {cols} FROM ({body})")
@@ -79,7 +79,7 @@ indicator("ts_bollinger", ts.with_bollinger, {"bollinger": 6}, f"""SELECT symbol
   FROM (SELECT symbol, date, close, {mean('close', 20)} AS m, CASE WHEN count(close) {w(20)} = 20 THEN stddev_pop(close) {w(20)} END AS s FROM bars)""")
 indicator("ts_obv_slope", ts.with_obv_slope, {"obv": 4, "obv_slope": 4}, f"""SELECT *, {' + '.join(f"lag(obv, {9 - x}) {W} * ({(x - 4.5) / 82.5!r}::DOUBLE)" for x in range(10))} AS obv_slope FROM (
   SELECT symbol, date, sum(v) {W} AS obv FROM (SELECT symbol, date, coalesce(sign(close - lag(close) {W}), 0) * volume AS v FROM bars))""")
-indicator("ts_vol_price_confirm", ts.with_volume_confirmation, {"vol_price_confirm": None}, f"""SELECT symbol, date, (CASE WHEN u IS NULL THEN NULL WHEN u = 0 OR x = 0 THEN 0 WHEN x > 0 THEN 1 ELSE -1 END)::INT AS vol_price_confirm
+indicator("ts_vol_price_confirm", ts.with_volume_confirmation, {"vol_price_confirm": None}, f"""SELECT symbol, date, (CASE WHEN u IS NULL THEN NULL WHEN u = 0 OR x = 0 THEN 0 WHEN x > 0 THEN 1 ELSE -1 END)::DOUBLE AS vol_price_confirm
   FROM (SELECT symbol, date, close - lag(close) {W} AS u, volume - lag(volume) {W} AS x FROM bars)""")
 indicator("ts_trend_score", ts.with_trend_score, {"trend_long": 5, "trend_delta": 5}, f"SELECT symbol, date, trend_long, trend_long - lag(trend_long) {W} AS trend_delta FROM trends")
 indicator("ts_52w", ts.with_52w, {"from_high": 6, "from_low": 6, "in_range": 6}, f"""SELECT symbol, date, (close - h) / nullif(h, 0) AS from_high, (close - l) / nullif(l, 0) AS from_low, (close - l) / nullif(h - l, 0) AS in_range
@@ -91,10 +91,10 @@ def ts_trend_direction_match(spark, sf_dir):
     """Candidates with the trend of their day against their direction."""
     trend = ts.with_trend_score(v.bars(spark, sf_dir)).select("symbol", "date", q("trend_long", 5).alias("trend_long"))
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").join(trend, ["symbol", "date"], "left")
-    return c.select("symbol", "date", "holding_days", "direction", ts.trend_direction_match(F.col("trend_long"), F.col("direction")).alias("trend_match"))
+    return c.select("symbol", "date", "holding_days", "direction", ts.trend_direction_match(F.col("trend_long"), F.col("direction")).cast("double").alias("trend_match"))
 
 
-add("ts_trend_direction_match", ts_trend_direction_match, f"""SELECT symbol, date, holding_days, direction, (CASE WHEN t >= 60 THEN s WHEN t <= 40 THEN -s WHEN t IS NOT NULL THEN 0 END)::INT AS trend_match
+add("ts_trend_direction_match", ts_trend_direction_match, f"""SELECT symbol, date, holding_days, direction, (CASE WHEN t >= 60 THEN s WHEN t <= 40 THEN -s WHEN t IS NOT NULL THEN 0 END)::DOUBLE AS trend_match
   FROM (SELECT symbol, date, holding_days, direction, CASE WHEN direction = 'l' THEN 1 ELSE -1 END AS s, {sq('trend_long', 5)} AS t FROM candidates LEFT JOIN trends USING (symbol, date))""")
 
 
@@ -115,10 +115,11 @@ FROM r ASOF LEFT JOIN (SELECT date, roc20 FROM r WHERE symbol = 'Brand#1' AND ro
 
 
 def ts_days_to_event(spark, sf_dir):
-    return ts.days_to_event(v.bars(spark, sf_dir).select("symbol", "date"), v.earnings(spark, sf_dir))
+    out = ts.days_to_event(v.bars(spark, sf_dir).select("symbol", "date"), v.earnings(spark, sf_dir))
+    return out.withColumn("days_to_event", F.col("days_to_event").cast("double"))
 
 
-add("ts_days_to_event", ts_days_to_event, """SELECT b.symbol, b.date, (e.date - b.date)::INT AS days_to_event, coalesce(e.date - b.date <= 5, false) AS is_near
+add("ts_days_to_event", ts_days_to_event, """SELECT b.symbol, b.date, (e.date - b.date)::DOUBLE AS days_to_event, coalesce(e.date - b.date <= 5, false) AS is_near
 FROM bars b ASOF LEFT JOIN earnings e ON b.symbol = e.symbol AND b.date <= e.date""")
 
 
@@ -126,10 +127,10 @@ def asof_ffill(spark, sf_dir):
     """Bars with the latest two-year rate up to their date."""
     b = v.bars(spark, sf_dir).select("symbol", "date")
     rate = ts.asof_ffill(b.select("date").distinct(), v.index_series(spark, sf_dir).select("date", "us2y"), "us2y")
-    return b.join(rate, "date", "left").select("symbol", "date", "us2y", "src_date")
+    return b.join(rate, "date", "left").select("symbol", "date", "us2y", F.col("src_date").cast("string").alias("src_date"))
 
 
-add("asof_ffill", asof_ffill, "SELECT b.symbol, b.date, i.us2y, i.date AS src_date FROM bars b ASOF LEFT JOIN (SELECT date, us2y FROM index_series WHERE us2y IS NOT NULL) i ON b.date >= i.date")
+add("asof_ffill", asof_ffill, "SELECT b.symbol, b.date, i.us2y, i.date::VARCHAR AS src_date FROM bars b ASOF LEFT JOIN (SELECT date, us2y FROM index_series WHERE us2y IS NOT NULL) i ON b.date >= i.date")
 
 
 def asof_back_tolerance(spark, sf_dir):
@@ -138,10 +139,10 @@ def asof_back_tolerance(spark, sf_dir):
     at = ts.last_trading_day(b, 5)
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").withColumn("cal_date", F.date_add("date", F.col("holding_days")))
     c = c.join(at, ["symbol", "cal_date"], "left")
-    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", "trade_date", "close")
+    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close")
 
 
-add("asof_back_tolerance", asof_back_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN c.x - b.date <= 5 THEN b.date END AS trade_date, CASE WHEN c.x - b.date <= 5 THEN b.close END AS close
+add("asof_back_tolerance", asof_back_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN c.x - b.date <= 5 THEN b.date::VARCHAR END AS trade_date, CASE WHEN c.x - b.date <= 5 THEN b.close END AS close
 FROM (SELECT *, (date + holding_days)::DATE AS x FROM candidates) c ASOF LEFT JOIN bars b ON c.symbol = b.symbol AND c.x >= b.date""")
 
 
@@ -151,8 +152,8 @@ def asof_forward_tolerance(spark, sf_dir):
     at = ts.next_trading_day(b, 4)
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").withColumn("cal_date", F.date_add("date", F.col("holding_days")))
     c = c.join(at, ["symbol", "cal_date"], "left")
-    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", "trade_date", "close")
+    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close")
 
 
-add("asof_forward_tolerance", asof_forward_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN b.date - c.x <= 4 THEN b.date END AS trade_date, CASE WHEN b.date - c.x <= 4 THEN b.close END AS close
+add("asof_forward_tolerance", asof_forward_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN b.date - c.x <= 4 THEN b.date::VARCHAR END AS trade_date, CASE WHEN b.date - c.x <= 4 THEN b.close END AS close
 FROM (SELECT *, (date + holding_days)::DATE AS x FROM candidates) c ASOF LEFT JOIN bars b ON c.symbol = b.symbol AND c.x <= b.date""")
