@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seasonflow.plans import patterns, regime, timeseries
+from seasonflow.plans import patterns, regime, scans, selection, timeseries
 
-MODULES = [timeseries, regime, patterns]
+MODULES = [timeseries, regime, patterns, scans, selection]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
 
