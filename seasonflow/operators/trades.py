@@ -158,16 +158,15 @@ def exit_option(path: DataFrame, rule: str, predicted: Column, atr: Column | Non
 def exit_spread(path: DataFrame, kind: str, width: float, rule: str = "EH", atr: Column | None = None, short: float = 0.03) -> DataFrame:
     """Debit: out at the full width, at 90 % of it (EP), or by an ATR trail (EA). Credit: out halfway to the short strike."""
     p = path.withColumn("hwm", F.greatest(upto(F.col("cum")), F.lit(0.0)))
-    full = ("max_profit", (F.col("cum") >= width) & (F.col("t") < F.col("last")), F.col("cum"))
     early = F.col("t") < F.col("last")
+    full = ("max_profit", (F.col("cum") >= width) & early, F.col("cum"))
     if kind == "CREDIT":
         rules = [("credit_stop", (F.col("cum") <= -short * 0.5) & early, F.col("cum"))]
     elif rule == "EP":
         rules = [("profit_target", (F.col("cum") >= width * 0.9) & early, F.col("cum"))]
     elif rule.startswith("EA"):
         k = int(rule[2:]) / 10
-        rules = [("atr_trail", (F.col("cum") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2) & early, F.col("cum")), ("max_profit", (F.col("cum") >= width) & early, F.col("cum"))]
-        rules[1] = ("max_profit", rules[1][1], rules[1][2])
+        rules = [("atr_trail", (F.col("cum") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2) & early, F.col("cum")), full]
     else:
         rules = [full]
     return first_trigger(p, rules)
