@@ -117,7 +117,7 @@ def product(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     side, key, w = g["side"].to_numpy(), g["key"].to_numpy(), g["w"].to_numpy()
     x = matrix(g["v"])
     i, j = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
-    alone = not len(j)  # a block with itself
+    alone = g["p"].iloc[0] == g["q"].iloc[0]  # a block with itself
     j = i if alone else j
     links = []
     for at in range(0, len(i), 512):
@@ -159,14 +159,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     c = centres(distinct, "v", max(1, cells or math.isqrt(n) // 4), seed_rows=20_000)
     dealt = cut(assign(distinct, c, threshold, kind), "dealt").withColumn("resident", F.col("home") == F.col("cell"))
     sizes = dealt.groupBy("cell").agg(F.count_if("resident").alias("r"), F.count_if(~F.col("resident")).alias("v")).collect()
-    lookup = lambda f: F.create_map(*[F.lit(x) for s in sizes for x in (s.cell, max(1, f(s)))])[F.col("cell")]
-    placed = dealt.withColumn("br", lookup(lambda s: math.ceil(s.r / RESIDENTS))).withColumn("bv", lookup(lambda s: math.ceil(s.v / VISITORS)))
-    block = F.pmod(F.xxhash64("key", F.lit(7)), F.when(F.col("resident"), F.col("br")).otherwise(F.col("bv")).cast("long")).cast("int")
+    lookup = lambda f: F.create_map(*[F.lit(x) for s in sizes for x in (s.cell, f(s))])[F.col("cell")]
+    placed = dealt.withColumn("br", lookup(lambda s: max(1, math.ceil(s.r / RESIDENTS)))).withColumn("bv", lookup(lambda s: math.ceil(s.v / VISITORS)))
+    block = F.pmod(F.xxhash64("key", F.lit(7)), F.when(F.col("resident"), F.col("br")).otherwise(F.greatest("bv", F.lit(1))).cast("long")).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     group = lambda p, q, side: F.struct(F.lit(p).cast("int").alias("p") if isinstance(p, int) else p.alias("p"), q.alias("q"), side.alias("side"))
     # product (p, q): resident blocks p <= q; product (p, -1 - q): residents of block p with visitors of block q
     with_residents = F.transform(up_to(F.col("br")), lambda o: group(F.least(o, "block"), F.greatest(o, "block"), F.when(F.col("block") <= o, 0).otherwise(1)))
-    with_visitors = F.transform(up_to(F.col("bv")), lambda o: group(F.col("block"), -1 - o, F.lit(0)))
+    with_visitors = F.when(F.col("bv") > 0, F.transform(up_to(F.greatest("bv", F.lit(1))), lambda o: group(F.col("block"), -1 - o, F.lit(0)))).otherwise(F.filter(with_residents, lambda x: F.lit(False)))
     as_visitor = F.transform(up_to(F.col("br")), lambda o: group(o, -1 - F.col("block"), F.lit(2)))
     at = F.when(F.col("resident"), F.concat(with_residents, with_visitors)).otherwise(as_visitor)
     placed = placed.withColumn("block", block).select("key", "v", "w", "cell", "home", "visits", F.explode(at).alias("at")).select("key", "v", "w", "cell", "home", "visits", "at.*")
