@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonflow.llm import byte_bpe, language, minhash, mixing, toxicity
-from seasonflow.llm.common import cut, read
+from seasonflow.llm.common import cut, fresh, read
 
 TOXIC_FROM = 0.5
 
@@ -20,19 +20,24 @@ TOXIC_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; the classifier learns from the labels table and these documents."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < TOXIC_FROM).drop("_score")
+    own = fresh(docs, "score")
+    return toxicity.score(docs, model, out=own).where(F.col(own) < TOXIC_FROM).drop(own)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found: those whose text is null or has no letter go."""
-    found = language.identify(docs, language.train(docs), out="_lang")
-    return found.where(F.col("_lang.lang_pred") != "und").drop("_lang")
+    own = fresh(docs, "found")
+    return language.identify(docs, language.train(docs), out=own).where(F.col(f"{own}.lang_pred") != "und").drop(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates; of rows that repeat an id, one stays."""
+    """The document with the smallest id of each class of near-duplicates; of rows that repeat an id, one stays.
+
+    Rows without an id can't be told apart from others and stay.
+    """
     gone = cut(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ The template is <|role|>text<|end|> for each turn. Inside roles and texts, &, <
 
 Defined results: null roles and texts count as empty; a parent that isn't there or is null makes a root; nodes on a
 cycle have no root and are left out; of rows that repeat a node, the smallest (parent, score) counts; ties between
-branches go to the deeper one, then to the smallest leaf; an empty table gives an empty result.
+branches go to the deeper one, then to the smallest leaf; rows with a null tree or node are left out; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonflow.llm.common import cut
@@ -35,7 +36,7 @@ def unescape(c: Column) -> Column:
 
 def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> DataFrame:
     """(tree, rank, depth, node) for the nodes of the best branches of each tree; nodes: (tree, node, parent, score)."""
-    one = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("s"))
+    one = nodes.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("s"))
     n = one.select("tree", "node", F.col("s.parent").alias("jump"), F.coalesce("s.score", F.lit(0.0)).cast("double").alias("total"))
     there = n.select("tree", F.col("node").alias("jump"), F.lit(1).alias("there"))
     n = n.join(there, ["tree", "jump"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("jump")).alias("jump"), "total", F.lit(1).cast("long").alias("depth"))
@@ -58,8 +59,6 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> Da
         leaves = leaves.join(best, "tree").where(order == F.col("o")).groupBy("tree").agg(F.min(F.struct("node", "depth")).alias("l"))
         leaves = leaves.select("tree", F.lit(1).alias("rank"), F.col("l.node").alias("node"), F.col("l.depth").alias("depth"))
     else:
-        from pyspark.sql import Window
-
         w = Window.partitionBy("tree").orderBy(order.desc(), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", "rank", "node", "depth")
     path = leaves

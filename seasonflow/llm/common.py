@@ -42,6 +42,14 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols: str) -> Column:
     """A deterministic number in [0, 1) from the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
