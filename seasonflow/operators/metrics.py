@@ -17,10 +17,45 @@ def safe_log1p(r: Column) -> Column:
     return F.log1p(F.greatest(r, F.lit(-0.9999)))
 
 
+def ranked_counts(df: DataFrame, c: str, by: list[str], parts: int = 64) -> DataFrame:
+    """(by, c, n, before, total): each distinct value with its rows, the rows below it, and all rows of its group.
+
+    Values are counted first; the counts are dealt by range into parts of a group's span, so that no task sees all of a
+    group, and a part's offset is the total of the parts before it, from a table of `parts` rows for each group.
+    """
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.sum("n").alias("total"))
+    with_ends = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))
+    span = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (parts - 1))).otherwise(0)
+    dealt = with_ends.withColumn("_part", span.cast("int")).drop("_lo", "_hi")
+    inner = dealt.withColumn("_b", F.sum("n").over(Window.partitionBy(*by, "_part").orderBy(c)) - F.col("n"))
+    totals = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_t"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    offsets = totals.select(*by, "_part", (F.sum("_t").over(group.orderBy("_part")) - F.col("_t")).alias("_o"))
+    return inner.join(offsets, [*by, "_part"]).select(*by, c, "n", (F.col("_o") + F.col("_b")).alias("before"), "total")
+
+
+def quantiles(df: DataFrame, c: str, probs: list[float], by: list[str] = ()) -> DataFrame:
+    """(by, p, value): exact quantiles with linear interpolation, from ranked counts."""
+    by = list(by)
+    r = ranked_counts(df, c, by)
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), ((F.col("total") - 1) * F.lit(float(p))).alias("at")) for p in probs])
+    last = F.col("before") + F.col("n") - 1
+    near = F.filter(wanted, lambda x: (F.floor(x["at"]) <= last) & (F.floor(x["at"]) + 1 >= F.col("before")))
+    hit = r.select(*by, c, "before", last.alias("last"), F.inline(near)).withColumn("k", F.floor("at"))
+    own = lambda k: F.max(F.when((k >= F.col("before")) & (k <= F.col("last")), F.col(c)))
+    v = hit.groupBy(*by, "p").agg(own(F.col("k")).alias("a"), own(F.col("k") + 1).alias("b"), F.max(F.col("at") - F.col("k")).alias("f"))
+    return v.select(*by, "p", (F.col("a") + F.when(F.col("f") > 0, (F.coalesce("b", "a") - F.col("a")) * F.col("f")).otherwise(0.0)).alias("value"))
+
+
+def pivoted(q: DataFrame, names: dict[float, str], by: list[str] = ()) -> DataFrame:
+    """One row per group with a column for each quantile."""
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == F.lit(p), F.col("value"))).alias(n) for p, n in names.items()])
+
+
 def quantile_edges(df: DataFrame, c: str, n: int) -> DataFrame:
     """One row with the distinct edges of n equal-frequency bins; two neighbours of a tie fall together."""
-    grid = [i / n for i in range(n + 1)]
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(c, F.array(*[F.lit(x) for x in grid])))).alias("edges"))
+    return quantiles(df, c, [i / n for i in range(n + 1)]).agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
 def with_bin(df: DataFrame, c: str, n: int, out: str = "bin") -> DataFrame:
@@ -51,11 +86,11 @@ def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    p = lambda c, x: F.percentile(c, F.lit(x))
-    return df.agg(
+    g = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), (100 * share(F.col("actual_return") > 0)).alias("win_rate"),
-        F.corr("predicted_return", "actual_return").alias("corr_return"), F.corr("predicted_mfe", "actual_mfe").alias("corr_mfe"), F.avg("actual_return").alias("mean"), p("actual_return", 0.5).alias("median"), p("actual_return", 0.05).alias("p05"), p("actual_return", 0.95).alias("p95"),
+        F.corr("predicted_return", "actual_return").alias("corr_return"), F.corr("predicted_mfe", "actual_mfe").alias("corr_mfe"), F.avg("actual_return").alias("mean"),
     )
+    return g.crossJoin(pivoted(quantiles(df, "actual_return", [0.5, 0.05, 0.95]), {0.5: "median", 0.05: "p05", 0.95: "p95"}))
 
 
 def by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -73,21 +108,9 @@ def by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def global_rank(df: DataFrame, c: str, parts: int = 64) -> DataFrame:
-    """df with rank, its average-tie rank over all rows, without one task seeing all of them.
-
-    Values are counted first; the counts, one row per distinct value, are dealt by range into parts of the values' span;
-    a part's offset is the total of the parts before it, a table of `parts` rows.
-    """
-    counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    span = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (parts - 1))).otherwise(0)
-    dealt = counts.crossJoin(F.broadcast(ends)).withColumn("_part", span.cast("int")).drop("_lo", "_hi")
-    w = Window.partitionBy("_part").orderBy(c)
-    inner = dealt.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
-    totals = dealt.groupBy("_part").agg(F.sum("_n").alias("_t"))
-    offsets = totals.select("_part", (F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_t")).alias("_o"))
-    ranked = inner.join(F.broadcast(offsets), "_part").select(c, (F.col("_o") + F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias("rank"))
-    return df.join(ranked, c)
+    """df with rank, its average-tie rank over all rows, without one task seeing all of them; rows with a null c go."""
+    r = ranked_counts(df, c, [], parts)
+    return df.join(r.select(c, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")), c)
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
@@ -127,9 +150,11 @@ def lift(df: DataFrame, score: str, floors: tuple[int, ...] = (0, 50, 60, 70, 80
     r = global_rank(df, score).crossJoin(F.broadcast(n)).withColumn("_pct", F.col("rank") / F.col("_all") * 100)
     r = r.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors]))).where((F.col("_pct") >= F.col("floor")) | (F.col("floor") == 0))
     g = r.groupBy("floor").agg(
-        F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"), F.percentile("actual_return", F.lit(0.5)).alias("median_return"), F.avg("actual_mfe").alias("avg_mfe"), F.percentile("actual_mfe", F.lit(0.5)).alias("median_mfe"),
+        F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"), F.avg("actual_mfe").alias("avg_mfe"),
         F.coalesce(ratio(F.avg("actual_return"), F.stddev_samp("actual_return")) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), F.max("_all").alias("_all"),
     )
+    for c in ("actual_return", "actual_mfe"):
+        g = g.join(pivoted(quantiles(r, c, [0.5], ["floor"]), {0.5: f"median_{c.removeprefix('actual_')}"}, ["floor"]), "floor")
     return g.where(F.col("n") >= least).withColumn("pct_of_trades", F.col("n") / F.col("_all") * 100).drop("_all")
 
 

@@ -330,7 +330,8 @@ def agg_worst_case(spark, sf_dir):
     t = v.trades(spark, sf_dir)
     m = t.groupBy("strategy_id", F.trunc("entry_date", "month").alias("month")).agg(q(F.sum("exit_return")).alias("s"))
     w = m.groupBy("strategy_id").agg(F.min(F.struct("s", "month")).alias("m")).select("strategy_id", F.col("m.s").alias("worst_month"), F.col("m.month").alias("month"))
-    g = t.groupBy("strategy_id").agg(F.min("exit_return").alias("worst"), F.percentile("exit_return", F.lit(0.05)).alias("p5"), F.percentile("exit_return", F.lit(0.10)).alias("p10"))
+    low = mt.pivoted(mt.quantiles(t, "exit_return", [0.05, 0.10], ["strategy_id"]), {0.05: "p5", 0.10: "p10"}, ["strategy_id"])
+    g = t.groupBy("strategy_id").agg(F.min("exit_return").alias("worst")).join(low, "strategy_id")
     return rounded(g.join(w, "strategy_id"), ["strategy_id", "worst_month", "month"], ["worst", "p5", "p10"])
 
 
