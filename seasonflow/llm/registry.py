@@ -77,7 +77,7 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<article><p>"), name, F.lit(f'</p><figure><img src="{media.REF}'), F.col("digest"), F.lit('"><figcaption>'), name, F.lit("</figcaption></figure></article>"))
     pages = media.interleaved(stored.select(F.col("id").alias("doc_id"), "n_bytes", page.alias("html")))
     shown = media.resolve(pages.select("doc_id", "n_bytes", "items"), cut(media.features(stored), "features")).where("kind = 'media'")
-    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
 
 
 QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts, op8_byte_bpe, op9_weighted_minhash, op10_media_sequences)}
