@@ -40,30 +40,27 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> Da
     n = one.select("tree", "node", F.col("s.parent").alias("jump"), F.coalesce("s.score", F.lit(0.0)).cast("double").alias("total"))
     there = n.select("tree", F.col("node").alias("jump"), F.lit(1).alias("there"))
     n = n.join(there, ["tree", "jump"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("jump")).alias("jump"), "total", F.lit(1).cast("long").alias("depth"))
-    up = [cut(n, "paths")]
+    state, up = cut(n, "paths"), []
     for _ in range(most_rounds):
-        at = up[-1]
-        if at.where("jump is not null").isEmpty():
-            break
-        to = at.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        met = at.join(to, ["tree", "jump"], "left")
-        up.append(cut(met.select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), "paths"))
-        if len(up) > 2 and at.where("jump is not null").count() == up[-1].where("jump is not null").count():
+        going = state.where("jump is not null")
+        if (left := going.count()) == 0 or up and left == before:
             break  # what still jumps after a round without an arrival goes round in a cycle
-    done = up[-1].where("jump is null")
-    inner = up[0].where("jump is not null").select("tree", F.col("jump").alias("node")).distinct()
+        up.append(going.select("tree", "node", "jump", F.col("depth").alias("by")))
+        to = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
+        met = going.join(to, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
+        # nodes that have arrived wait; only those under way are joined again
+        before, state = left, cut(state.where("jump is null").select(met.columns).unionByName(met), "paths")
+    done = state.where("jump is null")
+    inner = n.where("jump is not null").select("tree", F.col("jump").alias("node")).distinct()
     leaves = done.join(inner, ["tree", "node"], "left_anti")
-    order = F.struct(F.col("total") / F.col("depth"), F.col("depth"))
     if branches == 1:
-        best = leaves.groupBy("tree").agg(F.max(order).alias("o"))
-        leaves = leaves.join(best, "tree").where(order == F.col("o")).groupBy("tree").agg(F.min(F.struct("node", "depth")).alias("l"))
-        leaves = leaves.select("tree", F.lit(1).alias("rank"), F.col("l.node").alias("node"), F.col("l.depth").alias("depth"))
+        first = F.min(F.struct((-F.col("total") / F.col("depth")).alias("score"), (-F.col("depth")).alias("depth"), "node"))
+        leaves = leaves.groupBy("tree").agg(first.alias("l")).select("tree", F.lit(1).alias("rank"), F.col("l.node").alias("node"), (-F.col("l.depth")).alias("depth"))
     else:
-        w = Window.partitionBy("tree").orderBy(order.desc(), "node")
+        w = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", "rank", "node", "depth")
     path = leaves
-    for jumps in reversed(up):
-        step = jumps.where("jump is not null").select("tree", "node", "jump", F.col("depth").alias("by"))
+    for step in reversed(up):
         path = path.union(path.join(step, ["tree", "node"]).select("tree", "rank", F.col("jump").alias("node"), (F.col("depth") - F.col("by")).alias("depth")))
         path = cut(path, "walked")
     return path.select("tree", "rank", "depth", "node")
