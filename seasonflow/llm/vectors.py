@@ -62,7 +62,8 @@ def centres(vectors: DataFrame, vec_col: str, k: int, seed_rows: int, rounds: in
                 np.add.at(total, own, x)
                 seen += np.bincount(own, minlength=len(c))
             at = np.flatnonzero(seen)
-            yield pd.DataFrame({"cell": at, "s": [total[i].tolist() for i in at]})
+            if len(at):
+                yield pd.DataFrame({"cell": at, "s": [total[i].tolist() for i in at]})
 
         parts = drawn.mapInPandas(sums, "cell long, s array<double>")
         d = c.shape[1]
