@@ -41,9 +41,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix: until the first source runs out, every source has its share but for less than one block."""
-    out = cut(mixing.mixed(docs).where(~F.col("in_mix")).select("doc_id"), "out")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """Every document, in the order of the mix: where a source has run out, its slots pass to the others by their shares.
+
+    Rows that repeat an id take its first place. Rows without an id can't be told apart and are dealt over the mix by
+    their texts. The order is that of the written rows, file by file; no column holds it.
+    """
+    own = fresh(docs, "place")
+    places = cut(mixing.mixed(docs).groupBy("doc_id").agg(F.min("slot").alias(own)), "places")
+    span = fresh(docs, "span")
+    last = places.agg((F.coalesce(F.max(own), F.lit(0)) + 1).alias(span))
+    named = docs.where("doc_id is not null").join(places, "doc_id").select(*docs.columns, own)
+    nameless = docs.where("doc_id is null").crossJoin(F.broadcast(last)).select(*docs.columns, F.pmod(F.xxhash64("text"), span).alias(own))
+    return named.unionByName(nameless).orderBy(own).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_stages_on_odd_rows(spark, sf):
 def test_run(spark, sf, staged):
     assert cp.run(spark, sf).count() == staged[5].count()
     assert [n for n, _ in cp.STAGES] == ["toxicity", "language", "near_duplicates", "mixing", "byte_bpe"]
+
+
+def test_mixing_keeps_every_row_in_mix_order(spark, sf):
+    rows = [(i, f"text {i}", "en", "big" if i < 300 else "mid" if i < 340 else None, 6) for i in range(341)] + [(None, "x", "en", "big", 1), (None, "y", None, "mid", 1)]
+    df = spark.createDataFrame(rows, COLS)
+    got = [r.asDict() for r in cp.mix_sources(spark, df, sf).collect()]
+    key = lambda r: str(sorted(r.items()))
+    assert sorted(map(key, got)) == sorted(key(r.asDict()) for r in df.collect())
+    slot = {r.doc_id: r.slot for r in cp.mixing.mixed(df).collect()}
+    places = [slot[r["doc_id"]] for r in got if r["doc_id"] is not None]
+    assert places == sorted(places)
