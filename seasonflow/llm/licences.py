@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line ends and after full stops, question and exclamation marks; a sentence is
-normalised to lower-case letters, digits, dots and dashes with single spaces and looked up among known licence
-sentences, whose version numbers stand apart as patterns. What remains of a text is the sequence of its known
-sentence identifiers. A rule names identifiers that must follow each other in that order, with nothing known between
+A text is normalised to lower-case letters, digits, dots, slashes and dashes with single spaces. Sentences end at
+sentence marks before a space and at empty lines; comment leaders and other marks around a line end don't count. A known
+sentence is found where it fills whole lines, one or several: so a hard-wrapped sentence is known, and so is one that
+stands on a line of its own between others without marks. What remains of a text is the sequence of its known sentence
+identifiers. A rule names identifiers that must follow each other in that order, with nothing known between
 them; rules are tried in the order given, and identifiers that an earlier rule has used are gone for later ones.
 
 Everything happens within a row: no shuffle, no Python.
@@ -26,15 +27,21 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "Apache-comply",
     "you may obtain a copy of the license at": "Apache-copy",
     "distributed under the license is distributed on an as is basis": "Apache-as-is",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache-as-is",
     "released under the mit license": "MIT-brief",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "MIT-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT-notice",
     "the software is provided as is without warranty of any kind": "MIT-as-is",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT-as-is",
     "this work is licensed under the gnu general public license version 3": "GPL-3-brief",
     "this work is licensed under the gnu general public license version 2": "GPL-2-brief",
     "this program is free software": "GPL-free",
     "you can redistribute it and/or modify it under the terms of the gnu general public license": "GPL-terms",
+    "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation": "GPL-terms",
     "either version 3 of the license or any later version": "GPL-3-later",
+    "either version 3 of the license or at your option any later version": "GPL-3-later",
+    "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL-3-terms",
     "licensed under cc by-nc 4.0": "CC-BY-NC-4-brief",
     "licensed under cc by 4.0": "CC-BY-4-brief",
     "licensed under cc by-sa 4.0": "CC-BY-SA-4-brief",
@@ -48,6 +55,7 @@ RULES = [
     ("MIT", ["MIT-grant", "MIT-notice", "MIT-as-is"]),
     ("MIT", ["MIT-grant", "MIT-notice"]),
     ("GPL-3.0-or-later", ["GPL-free", "GPL-terms", "GPL-3-later"]),
+    ("GPL-3.0-or-later", ["GPL-free", "GPL-3-terms"]),
     ("Apache-2.0", ["Apache-2-brief"]),
     ("MIT", ["MIT-brief"]),
     ("GPL-3.0", ["GPL-3-brief"]),
@@ -59,25 +67,25 @@ RULES = [
     ("Public-domain", ["Public-domain"]),
     ("Proprietary", ["All-rights"]),
 ]
-#: Sentences longer than this many code points can't be known ones once normalised (the longest known one, with room for marks and spaces).
+#: The SQL counterpart cuts at every line end and leaves out sentences of more code points than this; here no length counts.
 LONGEST = 400
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, in order, unnormalised."""
-    return F.split(F.coalesce(text, F.lit("")), r"[.!?;:]+\s+|[.!?;:]+$|[\r\n]+")
-
-
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9./-]+", " ")
-    return F.regexp_replace(plain, r"^[ .-]+|[ .-]+$", "")
+def normalised(text: Column) -> Column:
+    """The lines of a text between line ends; an empty line stands wherever a sentence must end."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?<![\n.!?;:])[.!?;:]++(?:\s+|$)", "\n\n")
+    t = F.concat(F.lit("\n"), F.regexp_replace(t, r"[^a-z0-9./\n-]+", " "), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"(?<![ ./-])[ ./-]++\n", "\n"), r"\n[ ./-]++", "\n")
 
 
 def known(text: Column, catalogue: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's known sentences, in order; runs of one identifier count once."""
     m = F.create_map(*[F.lit(x) for kv in catalogue.items() for x in kv])
-    short = F.filter(sentences(text), lambda s: (F.char_length(s) <= LONGEST) & (F.char_length(s) >= min(map(len, catalogue))))
-    ids = F.filter(F.transform(short, lambda s: F.element_at(m, normalised(s))), lambda i: i.isNotNull())
+    # the longest one first: a sentence may begin like another
+    listed = "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in sorted(catalogue, key=len, reverse=True))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=\n)(?:{listed})(?=\n)"), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(m, F.replace(s, F.lit("\n"), F.lit(" "))))
     return F.filter(F.transform(ids, lambda x, i: F.when((i == 0) | (F.get(ids, i - 1) != x), x)), lambda x: x.isNotNull())
 
 

@@ -207,6 +207,52 @@ def test_ordered_rules(spark):
     assert "_work" in licences.recognise(df).columns and licences.recognise(df.limit(0)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+GPL_TEXT = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * More follows.
+ */"""
+BSD_TEXT = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:
+#
+# 1. Redistributions of source code"""
+APACHE_TEXT = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_licences(spark):
+    unwrapped = "\n\n".join(" ".join(p.split()) for p in MIT_TEXT.split("\n\n"))
+    rows = [(1, MIT_TEXT), (2, unwrapped), (3, GPL_TEXT), (4, BSD_TEXT), (5, APACHE_TEXT), (6, MIT_TEXT.replace("\n", "\r\n")), (7, "Released under\n\nthe MIT License"), (8, "Released under. the MIT License"), (9, "x\nAll rights\nreserved\ny")]
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licences.recognise(spark.createDataFrame(rows, DOC)).collect()}
+    mit = (["MIT"], [])
+    assert got == {1: mit, 2: mit, 3: (["GPL-3.0-or-later"], []), 4: (["BSD"], []), 5: (["Apache-2.0"], []), 6: mit, 7: ([], []), 8: ([], []), 9: (["Proprietary"], [])}
+
+
 # vectors
 
 
