@@ -8,12 +8,12 @@ shingle with the least value of Ioffe's ln a = ln c - r * (floor(ln w / r + beta
 sample with a probability equal to their weighted Jaccard similarity. Texts that agree in all samples of a band meet.
 
 Texts with the same words are one class from the start. Then each class is compared with the smallest one that it
-meets in any band; links join components. At last, within each band key whose members lie in more than one component,
-every member outside the key's largest component is compared with every member of another component. Where a key has
-more than CROWD members, which mostly share a common passage and little else, they meet if they share another such key
-too. Texts 0.8 alike miss each other in all of 14 bands of 3 once in 20000 times, and share just one once in 1500.
-Texts are compared if 24 of their 42 samples agree, which those 0.8 alike fall short of about once in 5000 times. All
-comparisons are exact weighted Jaccard similarities.
+meets in any band; links join components. At last the members of all band keys that hold more than one component,
+whatever the size of a key, are joined exactly by prefixes: the shingles of every member are put in one order, rare ones
+first. Texts t alike have t / (1 + t) of their total weights in common, so their first common shingle must have that
+much weight from there on in both, and at least t of the text's own. Members meet at such shingles only; no pair of
+members t alike is lost. Texts 0.8 alike miss each other in all of 14 bands of 3 once in 20000 times, in keys of any
+size. All comparisons are exact weighted Jaccard similarities.
 
 Defined results: null texts and texts without words are never linked; a text of fewer than five words is one
 shingle; rows that repeat a doc_id are one document, whose text is the smallest; a null doc_id is not returned.
@@ -24,11 +24,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonflow.llm.common import cut
@@ -40,10 +40,6 @@ WORD_BUCKETS = 1 << 18
 CHUNK = 1 << 12
 POOL_BITS = 16
 KNOWN_WORDS = 300_000
-#: Keys with more members than this are looked at two by two.
-CROWD = 24
-#: Share of samples that two texts must have in common to be compared.
-LEAST_AGREEING = 24 / 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -129,8 +125,8 @@ class Sampler:
         return best
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by word bucket, and all documents. Each task sends fixed-size parts of its counts."""
+def document_frequencies(docs: DataFrame, hashes: Callable = lambda words: words) -> tuple[np.ndarray, int]:
+    """Documents by bucket of their words, or of hashes(words), and all documents. Each task sends fixed-size parts of its counts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n, words = np.zeros(WORD_BUCKETS, np.int64), 0, Words()
@@ -138,7 +134,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for t in b["text"]:
                 n += 1
                 if isinstance(t, str):
-                    df[np.unique(bucket(words(t)))] += 1
+                    df[np.unique(bucket(hashes(words(t))))] += 1
         parts = [(k, df[k * CHUNK : (k + 1) * CHUNK].astype(np.int32).tobytes()) for k in range(WORD_BUCKETS // CHUNK)] if n else []
         yield pd.DataFrame([*parts, (-1, np.array([n], np.int32).tobytes())], columns=["part", "n"])
 
@@ -162,16 +158,13 @@ def smoothed_idf(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, keys, samples) of each text with words.
-
-    same is a digest of its words, keys has a hash for each band, samples the low byte of each sample.
-    """
+    """(doc_id, same, keys) of each text with words: a digest of its words and a hash for each band."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, sampler, own = Words(), Sampler(bands * rows), idf.value
         odd = np.random.default_rng(5).integers(0, 1 << 63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            ids, same, keys, low = [], [], [], []
+            ids, same, keys = [], [], []
             for i, t in zip(b["doc_id"], b["text"]):
                 w = words(t) if isinstance(t, str) else ()
                 if not len(w):
@@ -184,11 +177,10 @@ def sampled(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                     h = (h ^ s[:, k]) * STEP
                     h ^= h >> np.uint64(31)
                 keys.append(h.view(np.int64))
-                low.append((s.reshape(-1) * MIX >> np.uint64(56)).astype(np.uint8).view(np.int8))
             if ids:
-                yield pd.DataFrame({"doc_id": ids, "same": [hashlib.blake2b(x, digest_size=16).digest() for x in same], "keys": keys, "samples": low})
+                yield pd.DataFrame({"doc_id": ids, "same": [hashlib.blake2b(x, digest_size=16).digest() for x in same], "keys": keys})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, keys array<long>, samples array<tinyint>")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, keys array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, idf, least: float, block: int = 64) -> DataFrame:
@@ -216,33 +208,56 @@ def compared(pairs: DataFrame, texts: DataFrame, idf, least: float, block: int =
     return first.unionByName(other).groupBy("a", "part").applyInPandas(compare, "a long, b long, alike double")
 
 
-def agree(a: str, b: str) -> Column:
-    """At least LEAST_AGREEING of two texts' samples are the same. Low bytes agree by chance too, which only lets more pairs through."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= F.size(a) * LEAST_AGREEING
+def prefixes(members: DataFrame, idf, counts, least: float) -> DataFrame:
+    """(key, doc_id, c, rest, whole): the shingles of members(doc_id, c, text) at which texts `least` alike may first meet.
+
+    counts, by bucket, gives the order; rest is the weight from the shingle on, whole the text's.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, own, common = Words(), idf.value, counts.value
+        for b in batches:
+            ids, cs, parts, held = [], [], [], 0
+            for k, (i, c, t) in enumerate(zip(b["doc_id"], b["c"], b["text"]), 1):
+                h, w = shingles(words(t), own)
+                order = np.lexsort((h, common[bucket(h)]))
+                rest = np.cumsum(w[order][::-1])[::-1]
+                keep = rest >= least * rest[0] * (1 - 1e-9)
+                ids.append(i)
+                cs.append(c)
+                parts.append((h[order][keep].view(np.int64), rest[keep], np.full(keep.sum(), rest[0])))
+                held += len(parts[-1][0])
+                if held > 1 << 17 or k == len(b):
+                    n = [len(x[0]) for x in parts]
+                    key, rest, whole = map(np.concatenate, zip(*parts))
+                    yield pd.DataFrame({"key": key, "doc_id": np.repeat(ids, n), "c": np.repeat(cs, n), "rest": rest, "whole": whole})
+                    ids, cs, parts, held = [], [], [], 0
+
+    return members.select("doc_id", "c", "text").mapInPandas(listed, "key long, doc_id long, c long, rest double, whole double")
 
 
 def mixed_keys(placed: DataFrame) -> DataFrame:
-    """placed(key, doc_id, c) of those keys that hold more than one component, with main, the largest one, and n, the key's members."""
+    """placed(key, doc_id, c, ...) of those keys that hold more than one component, with main, the largest one."""
     counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
-    mixed = cut(mixed.where("parts > 1").select("key", F.col("m.c").alias("main"), "n"), "mixed")
-    return cut(placed.join(mixed, "key"), "open")
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    mixed = cut(mixed.where("parts > 1").select("key", F.col("m.c").alias("main")), "mixed")
+    return placed.join(mixed, "key")
 
 
-def across(open_: DataFrame, threshold: float) -> DataFrame:
-    """Pairs(a, b) of one key and two components, of which one at least isn't the key's largest.
+def across(open_: DataFrame, away: DataFrame, threshold: float) -> DataFrame:
+    """Pairs(a, b) of two components that may be alike from one shingle on, of which one at least isn't in its largest component.
 
-    A pair comes up at the smallest of its common keys only. Left out are pairs with too few samples in common, and those
-    whose distances 1 - similarity from one text both were compared with differ by more than 1 - threshold: by the
-    triangle inequality, which this distance obeys, they can't be alike.
+    Left out are those whose distances 1 - similarity from one text both were compared with differ by more than
+    1 - threshold: by the triangle inequality, which this distance obeys, they can't be alike.
     """
-    side = lambda n: [F.col("doc_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("c", "samples", "hub", "away", "ks")]]
-    open_ = open_.withColumn("ks", F.collect_set("key").over(Window.partitionBy("doc_id")))
+    side = lambda n: [F.col("doc_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("c", "rest", "whole")]]
     strays, every = open_.where("c <> main").select("key", *side("x")), open_.select("key", "main", *side("y"))
-    far = F.coalesce((F.col("hub_x") == F.col("hub_y")) & (F.abs(F.col("away_x") - F.col("away_y")) > 1 - threshold + 1e-9), F.lit(False))
-    once = F.array_min(F.array_intersect("ks_x", "ks_y")) == F.col("key")
-    met = strays.join(every, "key").where(F.expr("c_x <> c_y and (c_y = main or x < y)") & ~far & once & agree("samples_x", "samples_y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    enough = F.least("rest_x", "rest_y") >= threshold / (1 + threshold) * (F.col("whole_x") + F.col("whole_y")) * (1 - 1e-9)
+    met = strays.join(every, "key").where(F.expr("c_x <> c_y and (c_y = main or x < y)") & enough)
+    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    of = lambda n: away.select(F.col("doc_id").alias(n), F.col("hub").alias(f"hub_{n}"), F.col("away").alias(f"away_{n}"))
+    far = F.coalesce((F.col("hub_a") == F.col("hub_b")) & (F.abs(F.col("away_a") - F.col("away_b")) > 1 - threshold + 1e-9), F.lit(False))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~far).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3) -> DataFrame:
@@ -254,32 +269,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     classes = cut(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     member = cut(signed.select("doc_id", "same").join(classes.select("same", "rep"), "same").select("doc_id", "rep"), "member")
     reps = cut(signed.join(classes.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "reps")
-    keyed = reps.select("doc_id", "samples", F.explode("keys").alias("key"))
+    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     # keys that more than one class has
     crowded = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     keyed = cut(keyed.join(crowded.select("key", "least"), "key"), "met")
     # a merge join at every size: the ids grow with the documents
     texts = docs.join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = cut(texts, "texts")
-    first = keyed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"), F.first("samples").alias("sb")).select("a", F.col("doc_id").alias("b"), "sb")
-    hubs = keyed.where("least = doc_id").groupBy("doc_id").agg(F.first("samples").alias("sa")).withColumnRenamed("doc_id", "a")
-    first = cut(first.join(cut(hubs, "hubs"), "a").select("a", "b", agree("sa", "sb").alias("near")), "first")
-    known = cut(compared(first.where("near").drop("near"), texts, idf, 0.0), "compared")
+    first = cut(keyed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b")), "first")
+    known = cut(compared(first, texts, idf, 0.0), "compared")
     links = known.where(F.col("alike") >= threshold).select("a", "b")
     # the text that each was compared with, and the distance from it
     away = known.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("away"))
     itself = known.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.lit(0.0).alias("away")).distinct()
     away = cut(away.unionByName(itself.join(away.select("doc_id"), "doc_id", "left_anti")), "away")
-    # members outside the largest component of their key against members of other components
+    # members of keys that hold more than one component, against each other
     label = components(links)
-    placed = keyed.select("key", "doc_id", "samples").join(label.toDF("doc_id", "c"), "doc_id", "left").join(away, "doc_id", "left").select("key", "doc_id", "samples", "hub", "away", F.coalesce("c", "doc_id").alias("c"))
-    open_ = mixed_keys(cut(placed, "placed"))
-    few = across(open_.where(F.col("n") <= CROWD), threshold)
-    crowds = open_.where(F.col("n") > CROWD).groupBy("doc_id", "c", "hub", "away").agg(F.sort_array(F.collect_set("key")).alias("k"), F.first("samples").alias("samples"))
-    twos = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    many = across(mixed_keys(cut(crowds.select("doc_id", "c", "hub", "away", "samples", F.explode(twos).alias("key")), "twos")), threshold)
-    pairs = cut(few.unionByName(many).distinct(), "met")
-    pairs = cut(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    placed = keyed.select("key", "doc_id").join(label.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+    open_ = mixed_keys(cut(placed, "placed")).select("doc_id", "c").distinct()
+    members = cut(open_.hint("merge").join(texts, "doc_id"), "members")
+    own, _ = document_frequencies(members, lambda words: shingles(words, idf.value)[0])
+    counts = docs.sparkSession.sparkContext.broadcast(own)
+    pairs = across(mixed_keys(cut(prefixes(members, idf, counts, threshold), "prefixes")), away, threshold)
+    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "rest")
     links = cut(links.unionByName(compared(pairs, texts, idf, threshold).select("a", "b")), "links")
     label = components(links)
     grouped = member.join(label.toDF("rep", "c"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("class_id"))

@@ -394,6 +394,27 @@ def test_near_duplicate_texts(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_alike_texts_link_in_crowded_keys(spark):
+    """One band of one sample: most texts have a sample of the common passage for their only key."""
+    common, rows = prose(999, 150), []
+    for k in range(40):
+        own = prose(3000 + k, 60).split()
+        rows.append((len(rows), common + " " + " ".join(own)))
+        own[20] = own[35] = own[50] = "edited"
+        rows.append((len(rows), common + " " + " ".join(own)))
+    df = spark.createDataFrame(rows, DOC)
+    counts, n = minhash.document_frequencies(df)
+    idf = minhash.smoothed_idf(counts, n)
+    keys = {r.doc_id: r["keys"][0] for r in minhash.sampled(df, spark.sparkContext.broadcast(idf), 1, 1).collect()}
+    members = list(keys.values())
+    words = minhash.Words()
+    own = [minhash.shingles(words(t), idf) for _, t in rows]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, bands=1, rows=1).collect()}
+    pairs = [(i, i + 1) for i in range(0, len(rows), 2) if keys[i] == keys[i + 1] and members.count(keys[i]) > 24 and minhash.similarity(own[i], own[i + 1]) >= 0.8]
+    assert len(pairs) > 5
+    assert all(got[a] == got[b] for a, b in pairs)
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     idf = np.ones(minhash.WORD_BUCKETS)
     words = minhash.Words()
