@@ -8,15 +8,16 @@ shingle with the least value of Ioffe's ln a = ln c - r * (floor(ln w / r + beta
 sample with a probability equal to their weighted Jaccard similarity. Texts that agree in all samples of a band meet.
 
 Texts with the same words are one class from the start. Then each class is compared with the smallest one that it
-meets in any band; links join components. At last the members of all band keys that hold more than one component,
-whatever the size of a key, are joined exactly by prefixes: the shingles of every member are put in one order, rare ones
-first. Texts t alike have t / (1 + t) of their total weights in common, so their first common shingle must have that
-much weight from there on in both, and at least t of the text's own. Members meet at such shingles only; no pair of
-members t alike is lost. Texts 0.8 alike miss each other in all of 14 bands of 3 once in 20000 times, in keys of any
-size. All comparisons are exact weighted Jaccard similarities.
+meets in any band; links join components. At last every band key that still holds more than one component is settled:
+its members, whatever their number, are dealt into blocks of bounded rows and bytes, each pair of blocks goes to one
+task with the members' texts, and there every two members of different components are compared. A task returns links
+that join components, never pairs that don't; keys with the same members are settled once. So all texts that share a
+band are compared or joined by links already: texts 0.8 alike miss each other in all of 14 bands of 3 once in 20000
+times, in keys of any size. All comparisons are exact weighted Jaccard similarities.
 
 Defined results: null texts and texts without words are never linked; a text of fewer than five words is one
-shingle; rows that repeat a doc_id are one document, whose text is the smallest; a null doc_id is not returned.
+shingle; rows that repeat a doc_id are one document, whose text is the smallest one that isn't null; a null doc_id is
+not returned.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -125,8 +126,8 @@ class Sampler:
         return best
 
 
-def document_frequencies(docs: DataFrame, hashes: Callable = lambda words: words) -> tuple[np.ndarray, int]:
-    """Documents by bucket of their words, or of hashes(words), and all documents. Each task sends fixed-size parts of its counts."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents by bucket of their words, and all documents. Each task sends fixed-size parts of its counts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n, words = np.zeros(WORD_BUCKETS, np.int64), 0, Words()
@@ -134,7 +135,7 @@ def document_frequencies(docs: DataFrame, hashes: Callable = lambda words: words
             for t in b["text"]:
                 n += 1
                 if isinstance(t, str):
-                    df[np.unique(bucket(hashes(words(t))))] += 1
+                    df[np.unique(bucket(words(t)))] += 1
         parts = [(k, df[k * CHUNK : (k + 1) * CHUNK].astype(np.int32).tobytes()) for k in range(WORD_BUCKETS // CHUNK)] if n else []
         yield pd.DataFrame([*parts, (-1, np.array([n], np.int32).tobytes())], columns=["part", "n"])
 
@@ -158,19 +159,20 @@ def smoothed_idf(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, keys) of each text with words: a digest of its words and a hash for each band."""
+    """(doc_id, same, size, keys) of each text with words: a digest of its words, its length and a hash for each band."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, sampler, own = Words(), Sampler(bands * rows), idf.value
         odd = np.random.default_rng(5).integers(0, 1 << 63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            ids, same, keys = [], [], []
+            ids, same, size, keys = [], [], [], []
             for i, t in zip(b["doc_id"], b["text"]):
                 w = words(t) if isinstance(t, str) else ()
                 if not len(w):
                     continue
                 ids.append(i)
                 same.append(w.tobytes())
+                size.append(len(t))
                 s = sampler(*shingles(w, own)).reshape(bands, rows)
                 h = odd.copy()
                 for k in range(rows):
@@ -178,9 +180,9 @@ def sampled(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                     h ^= h >> np.uint64(31)
                 keys.append(h.view(np.int64))
             if ids:
-                yield pd.DataFrame({"doc_id": ids, "same": [hashlib.blake2b(x, digest_size=16).digest() for x in same], "keys": keys})
+                yield pd.DataFrame({"doc_id": ids, "same": [hashlib.blake2b(x, digest_size=16).digest() for x in same], "size": size, "keys": keys})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, size long, keys array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, idf, least: float, block: int = 64) -> DataFrame:
@@ -208,93 +210,96 @@ def compared(pairs: DataFrame, texts: DataFrame, idf, least: float, block: int =
     return first.unionByName(other).groupBy("a", "part").applyInPandas(compare, "a long, b long, alike double")
 
 
-def prefixes(members: DataFrame, idf, counts, least: float) -> DataFrame:
-    """(key, doc_id, c, rest, whole): the shingles of members(doc_id, c, text) at which texts `least` alike may first meet.
+def settled(texts: list[str], c: np.ndarray, main: int, second: np.ndarray, idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of texts at least `least` alike that join different components c, found by an inverted index.
 
-    counts, by bucket, gives the order; rest is the weight from the shingle on, whole the text's.
+    Where second holds anything, only pairs of a text in second with one outside count. Pairs within main are not
+    compared, nor are those that earlier links have joined.
     """
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, own, common = Words(), idf.value, counts.value
-        for b in batches:
-            ids, cs, parts, held = [], [], [], 0
-            for k, (i, c, t) in enumerate(zip(b["doc_id"], b["c"], b["text"]), 1):
-                h, w = shingles(words(t), own)
-                order = np.lexsort((h, common[bucket(h)]))
-                rest = np.cumsum(w[order][::-1])[::-1]
-                keep = rest >= least * rest[0] * (1 - 1e-9)
-                ids.append(i)
-                cs.append(c)
-                parts.append((h[order][keep].view(np.int64), rest[keep], np.full(keep.sum(), rest[0])))
-                held += len(parts[-1][0])
-                if held > 1 << 17 or k == len(b):
-                    n = [len(x[0]) for x in parts]
-                    key, rest, whole = map(np.concatenate, zip(*parts))
-                    yield pd.DataFrame({"key": key, "doc_id": np.repeat(ids, n), "c": np.repeat(cs, n), "rest": rest, "whole": whole})
-                    ids, cs, parts, held = [], [], [], 0
-
-    return members.select("doc_id", "c", "text").mapInPandas(listed, "key long, doc_id long, c long, rest double, whole double")
-
-
-def mixed_keys(placed: DataFrame) -> DataFrame:
-    """placed(key, doc_id, c, ...) of those keys that hold more than one component, with main, the largest one."""
-    counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    mixed = cut(mixed.where("parts > 1").select("key", F.col("m.c").alias("main")), "mixed")
-    return placed.join(mixed, "key")
-
-
-def across(open_: DataFrame, away: DataFrame, threshold: float) -> DataFrame:
-    """Pairs(a, b) of two components that may be alike from one shingle on, of which one at least isn't in its largest component.
-
-    Left out are those whose distances 1 - similarity from one text both were compared with differ by more than
-    1 - threshold: by the triangle inequality, which this distance obeys, they can't be alike.
+    words = Words()
+    own = [shingles(words(t), idf) for t in texts]
+    n = np.array([len(h) for h, _ in own])
+    whole = np.array([w.sum() for _, w in own])
+    doc, w = np.repeat(np.arange(len(own)), n), np.concatenate([w for _, w in own])
+    _, key, held = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True, return_counts=True)
+    met = held[key] > 1
+    doc, w, key = doc[met], w[met], key[met]
+    order = np.argsort(key, kind="stable")
+    posted, weighing, start = doc[order], w[order], np.concatenate([[0], np.cumsum(np.bincount(key, minlength=len(held)))])
+    mine = np.searchsorted(doc, np.arange(len(own) + 1))
+    label, apart, found = c.copy(), second.any(), []
+    for x in np.flatnonzero(c != main):
+        open_ = (label != label[x]) & ((c == main) | (np.arange(len(own)) > x))
+        if apart:
+            open_ &= second != second[x]
+        open_ &= np.minimum(whole, whole[x]) >= least * np.maximum(whole, whole[x]) * (1 - 1e-9)
+        if not open_.any():
+            continue
+        k = key[mine[x] : mine[x + 1]]
+        many = start[k + 1] - start[k]
+        at = np.repeat(start[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        less = np.bincount(posted[at], np.minimum(weighing[at], np.repeat(w[mine[x] : mine[x + 1]], many)), minlength=len(own))
+        for y in np.flatnonzero(open_ & (less >= least * (whole + whole[x] - less) * (1 - 1e-9))):
+            if label[y] != label[x] and similarity(own[x], own[y]) >= least:
+                label[label == label[y]] = label[x]
+                found.append((int(x), int(y)))
+    return found
+
+
+def crossing(members: DataFrame, texts: DataFrame, idf, least: float, block: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between components c that share a key in members(key, doc_id, c, size)."""
+    counts = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("who").alias("who"))
+    # of keys with the same members, one
+    keys = keys.where("parts > 1").groupBy("n", "size", "who").agg(F.min(F.struct("key", "main")).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes)).cast("int")
+    keys = cut(keys.select("k.*", blocks.alias("blocks")), "mixed")
+    placed = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("p"), F.greatest(o, "own").alias("q")))
+    dealt = placed.select("key", "main", "doc_id", "c", "own", F.explode(pairs).alias("at")).select("key", "main", "doc_id", "c", "at.*", (F.col("own") > F.col("at.p")).alias("second"))
+    held = cut(dealt, "dealt").join(texts, "doc_id")
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        ids = g["doc_id"].to_numpy()
+        found = settled(g["text"].tolist(), g["c"].to_numpy(), g["main"].iloc[0], g["second"].to_numpy(), idf.value, least)
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"]).astype("int64")
+
+    return held.groupBy("key", "p", "q").applyInPandas(settle, "a long, b long")
+
+
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with the smallest text of each doc_id that repeats; other rows aren't shuffled."""
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs
+    several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return cut(docs.join(again, "doc_id", "left_anti").unionByName(several), "once")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, block: int = 512, block_bytes: int = 1 << 22) -> DataFrame:
+    """(doc_id, class_id, kept) for every document: class_id is the smallest doc_id of its class, which is kept.
+
+    block, block_bytes: the most rows and about the most bytes of text in a block of members of one band key; a task
+    holds two blocks.
     """
-    side = lambda n: [F.col("doc_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("c", "rest", "whole")]]
-    strays, every = open_.where("c <> main").select("key", *side("x")), open_.select("key", "main", *side("y"))
-    enough = F.least("rest_x", "rest_y") >= threshold / (1 + threshold) * (F.col("whole_x") + F.col("whole_y")) * (1 - 1e-9)
-    met = strays.join(every, "key").where(F.expr("c_x <> c_y and (c_y = main or x < y)") & enough)
-    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
-    of = lambda n: away.select(F.col("doc_id").alias(n), F.col("hub").alias(f"hub_{n}"), F.col("away").alias(f"away_{n}"))
-    far = F.coalesce((F.col("hub_a") == F.col("hub_b")) & (F.abs(F.col("away_a") - F.col("away_b")) > 1 - threshold + 1e-9), F.lit(False))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~far).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3) -> DataFrame:
-    """(doc_id, class_id, kept) for every document: class_id is the smallest doc_id of its class, which is kept."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = one_text_each(docs.select("doc_id", "text").where("doc_id is not null"))
     df, n = document_frequencies(docs)
     idf = docs.sparkSession.sparkContext.broadcast(smoothed_idf(df, n))
     signed = cut(sampled(docs, idf, bands, rows), "signed")
-    classes = cut(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = cut(signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.first("keys").alias("keys")), "classes")
     member = cut(signed.select("doc_id", "same").join(classes.select("same", "rep"), "same").select("doc_id", "rep"), "member")
-    reps = cut(signed.join(classes.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "reps")
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    keyed = classes.select(F.col("rep").alias("doc_id"), "size", F.explode("keys").alias("key"))
     # keys that more than one class has
-    crowded = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
-    keyed = cut(keyed.join(crowded.select("key", "least"), "key"), "met")
+    shared = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"), "shared")
+    keyed = cut(keyed.join(shared, "key"), "met")
     # a merge join at every size: the ids grow with the documents
-    texts = docs.join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = cut(texts, "texts")
-    first = cut(keyed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b")), "first")
-    known = cut(compared(first, texts, idf, 0.0), "compared")
-    links = known.where(F.col("alike") >= threshold).select("a", "b")
-    # the text that each was compared with, and the distance from it
-    away = known.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("away"))
-    itself = known.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.lit(0.0).alias("away")).distinct()
-    away = cut(away.unionByName(itself.join(away.select("doc_id"), "doc_id", "left_anti")), "away")
-    # members of keys that hold more than one component, against each other
+    texts = cut(docs.join(keyed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    first = keyed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
+    links = cut(compared(cut(first, "first"), texts, idf, threshold).select("a", "b"), "links")
     label = components(links)
-    placed = keyed.select("key", "doc_id").join(label.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-    open_ = mixed_keys(cut(placed, "placed")).select("doc_id", "c").distinct()
-    members = cut(open_.hint("merge").join(texts, "doc_id"), "members")
-    own, _ = document_frequencies(members, lambda words: shingles(words, idf.value)[0])
-    counts = docs.sparkSession.sparkContext.broadcast(own)
-    pairs = across(mixed_keys(cut(prefixes(members, idf, counts, threshold), "prefixes")), away, threshold)
-    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "rest")
-    links = cut(links.unionByName(compared(pairs, texts, idf, threshold).select("a", "b")), "links")
+    placed = keyed.select("key", "doc_id", "size").join(label.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"), "size")
+    links = cut(links.unionByName(crossing(cut(placed, "placed"), texts, idf, threshold, block, block_bytes)), "links")
     label = components(links)
-    grouped = member.join(label.toDF("rep", "c"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("class_id"))
-    grouped = cut(grouped.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "grouped")
-    out = docs.select("doc_id").distinct().join(grouped, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = member.join(label.toDF("rep", "c"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("class_id"))
+    out = docs.select("doc_id").join(cut(out, "grouped"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))

@@ -415,6 +415,49 @@ def test_alike_texts_link_in_crowded_keys(spark):
     assert all(got[a] == got[b] for a, b in pairs)
 
 
+def weighted_classes(rows: list[tuple], spark, threshold: float) -> tuple[dict, list]:
+    """Classes by brute force over all pairs of (id, text), and the pairs with their similarities from threshold on."""
+    counts, n = minhash.document_frequencies(spark.createDataFrame(rows, DOC))
+    idf, words = minhash.smoothed_idf(counts, n), minhash.Words()
+    own = {i: minhash.shingles(words(t), idf) for i, t in rows if t}
+    label, pairs, ids = {i: i for i, _ in rows}, [], sorted(own)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            weight = {**dict(zip(own[b][0].tolist(), own[b][1].tolist()))}
+            less = sum(min(w, weight[h]) for h, w in zip(own[a][0].tolist(), own[a][1].tolist()) if h in weight)
+            whole = own[a][1].sum() + own[b][1].sum() - less
+            if whole and less / whole >= threshold:
+                pairs.append((a, b, less / whole))
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if c == y else c for i, c in label.items()}
+    return label, pairs
+
+
+@pytest.mark.parametrize("block, block_bytes", [(512, 1 << 22), (3, 3000)])
+def test_near_duplicates_equal_brute_force(spark, block, block_bytes):
+    """Groups of near copies without their original, so that many pairs lie just above or below 0.8."""
+    rows, rnd = [], random.Random(23)
+    for k in range(8):
+        words = prose(k, 120).split()
+        for _ in range(12):
+            w = list(words)
+            for at in rnd.sample(range(len(w)), rnd.randrange(1, 4)):
+                w[at] = f"edit{rnd.randrange(1000)}"
+            rows.append((len(rows), " ".join(w + w[: rnd.randrange(3) * 10])))
+    want, pairs = weighted_classes(rows, spark, 0.8)
+    assert sum(s < 0.85 for *_, s in pairs) > 20
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOC), block=block, block_bytes=block_bytes).collect()}
+    assert sum(got[a] == got[b] for a, b, _ in pairs) / len(pairs) > 0.999 and got == want
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    long = prose(3, 60_000)
+    rows = [(1, max(a, b)), (1, min(a, b)), (1, None), (2, max(a, b)), (3, min(a, b)), (4, None), (4, None), (5, long), (6, long + " end")]
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True), 6: (5, False)}
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     idf = np.ones(minhash.WORD_BUCKETS)
     words = minhash.Words()
