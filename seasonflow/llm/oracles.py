@@ -16,32 +16,27 @@ FROM escaped GROUP BY conv_id
 """
 
 
-def pfair(slots: int) -> str:
-    """Earliest deadline first, slot by slot, in a recursive query; ids are unique there."""
-    return f"""
+#: Earliest deadline first, slot by slot, in a recursive query; ids are unique there.
+PFAIR = """
 WITH RECURSIVE numbered AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS nth FROM documents),
 sizes AS (SELECT source, count(*) AS n FROM numbered GROUP BY source),
-shares AS (SELECT source, n, sqrt(n) AS share, greatest({slots}, 4 * count(*) OVER ()) AS q, count(*) OVER () AS m FROM sizes),
-exact AS (SELECT *, (q - m) * share / sum(share) OVER () AS e FROM shares),
-quota AS (
-  SELECT source, n, q,
-    (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, source) <= (q - m) - sum(floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS p
-  FROM exact),
-listed AS (SELECT list(source ORDER BY source) AS ss, list(p ORDER BY source) AS ps, max(q) AS q, count(*) AS m FROM quota),
+weights AS (SELECT source, n, round(sqrt(n))::BIGINT AS p FROM sizes),
+quota AS (SELECT source, n, p, (sum(p) OVER ())::BIGINT AS q FROM weights),
+listed AS (SELECT list(source ORDER BY source) AS ss, list(p ORDER BY source) AS ps, max(q) AS q, count(*) AS m, min(((n + 1) * q + p - 1) // p) AS stop FROM quota),
 edf AS (
   SELECT -1::BIGINT AS t, list_transform(range(m), lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM listed
   UNION ALL
   SELECT t, list_transform(range(1, m + 1), lambda j: done[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), pick FROM (
     SELECT t + 1 AS t, done, m,
       list_min(list_filter(list_transform(range(1, m + 1), lambda j:
-        CASE WHEN floor(done[j] * q / ps[j]) <= t + 1 THEN ceil((done[j] + 1) * q / ps[j])::BIGINT * 1000000 + j END), lambda v: v IS NOT NULL)) % 1000000 AS pick
-    FROM edf, listed WHERE t + 1 < q)),
+        CASE WHEN (done[j] * q) // ps[j] <= t + 1 THEN (((done[j] + 1) * q + ps[j] - 1) // ps[j]) * 1000000 + j END), lambda v: v IS NOT NULL)) % 1000000 AS pick
+    FROM edf, listed WHERE t + 1 < stop)),
 plan AS (SELECT ss[pick] AS source, done[pick] AS k, t AS slot FROM edf, listed WHERE t >= 0),
-horizon AS (SELECT min(n // p * q + slot) AS h FROM quota JOIN plan USING (source) WHERE k = n % p + 1)
-SELECT doc_id, source, nth, nth AS block, floor((nth - 1) * q / p)::BIGINT AS released, ceil(nth * q / p)::BIGINT AS due,
-  ((nth - 1) // p * q + slot)::BIGINT AS slot, ((nth - 1) // p * q + slot) < h AS in_mix
-FROM numbered JOIN quota USING (source) JOIN plan USING (source), horizon WHERE k = (nth - 1) % p + 1
+horizon AS (SELECT min(slot) AS h FROM quota JOIN plan USING (source) WHERE k > n),
+inside AS (SELECT source, k, slot FROM plan, horizon WHERE slot < h)
+SELECT doc_id, numbered.source, nth, nth AS block, ((nth - 1) * q) // p AS released, (nth * q + p - 1) // p AS due, slot, slot IS NOT NULL AS in_mix
+FROM numbered JOIN quota ON numbered.source = quota.source LEFT JOIN inside ON numbered.source = inside.source AND nth = k
 """
 
 

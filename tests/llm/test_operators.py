@@ -164,35 +164,52 @@ def test_chat_escapes_come_back(spark):
 # mixing
 
 
-def test_shares_deviate_by_less_than_a_block(spark):
-    sizes = {"big": 900, "mid": 60, "small": 25, None: 40}
-    rows, k = [], 0
-    for s, n in sizes.items():
-        for _ in range(n):
-            rows.append((k, s))
-            k += 1
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    w = {"big": 0.5, "mid": 0.25, "small": 0.1}
-    got = mixing.mixed(df, weights=w, slots=40).toPandas().sort_values("slot")
-    assert len(got) == len(rows) and got["slot"].is_unique
-    assert ((got["released"] <= got["slot"]) & (got["slot"] < got["due"])).all()
-    inside = got[got["in_mix"]]
-    assert list(inside["slot"]) == list(range(len(inside))) and len(inside) > 40
-    p = {}
-    for s in got["source"].unique():
-        own = got[(got["source"] == s) if s is not None else got["source"].isna()]
-        p[s] = (own["slot"] < 40).sum() / 40
-    seen = dict.fromkeys(p, 0)
-    for t, s in enumerate(inside["source"], 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * p[x]) < 1 for x in p)
+def edf(ps: list[int], ns: list[int]) -> list[int]:
+    """The source of each slot, one after the other, until a source has no block left for its turn."""
+    q, done, out = sum(ps), [0] * len(ps), []
+    while True:
+        t = len(out)
+        i = min((-(-(done[i] + 1) * q // p), i) for i, p in enumerate(ps) if p and done[i] * q // p <= t)[1]
+        if done[i] == ns[i]:
+            return out
+        done[i] += 1
+        out.append(i)
+
+
+@pytest.mark.parametrize("weights, sizes, frame", [({"a": 0.7004, "b": 0.2996}, {"a": 70100, "b": 30100}, 1000), ({"big": 0.5, "mid": 0.25, "small": 0.1, "none": 0}, {"big": 900, "mid": 60, "none": 50, "small": 25, None: 40}, 7), (None, {"a": 1, "b": 400, "c": 17, "d": 80, None: 30}, 11), ({f"s{k:02}": 1 + k * k for k in range(12)}, {f"s{k:02}": 30 + 20 * k for k in range(12)}, 20)])
+def test_shares_deviate_by_less_than_a_block(spark, weights, sizes, frame):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n long").select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("doc_id"))
+    got = mixing.mixed(df, weights=weights, frame=frame).toPandas()
+    assert len(got) == sum(sizes.values())
+    given = {s: round(n**0.5) for s, n in sizes.items()} if weights is None else {s: weights.get(s, 0) for s in sizes}
+    got["source"] = got["source"].where(got["source"].notna(), None)
+    inside = got[got["in_mix"]].sort_values("slot")
+    assert list(inside["slot"]) == list(range(len(inside))) and set(got[~got["in_mix"]]["slot"].isna()) <= {True}
+    assert ((inside["released"] <= inside["slot"]) & (inside["slot"] < inside["due"])).all()
+    names = list(sizes)
+    place = np.array([names.index(s) for s in inside["source"]])
+    shares = np.array(list(given.values()), float) / sum(given.values())
+    seen = np.cumsum(place[:, None] == np.arange(len(names)), axis=0)
+    assert np.abs(seen - np.arange(1, len(place) + 1)[:, None] * shares).max() < 1
+    whole = mixing.whole({s: w for s, w in given.items()})
+    assert list(place) == edf([whole[s] for s in names], list(sizes.values()))
+    assert not len(inside[[not given[s] for s in inside["source"]]])
 
 
 def test_mixing_blocks_ties_and_empty(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, "b"), (3, "b"), (4, "b")], "doc_id long, source string").withColumn("slot", F.lit(9))
-    got = mixing.mixed(df, block=2, slots=10).toPandas()
+    got = mixing.mixed(df, block=2, frame=10).toPandas()
     assert len(got) == 6 and sorted(got[got.source == "a"]["nth"]) == [1, 2, 3] and sorted(got[got.source == "b"]["block"]) == [1, 1, 2]
     assert mixing.mixed(df.limit(0)).count() == 0
+    assert {r.in_mix for r in mixing.mixed(df, weights={"a": 0}).collect()} == {False}
+    with pytest.raises(ValueError):
+        mixing.mixed(df, weights={"a": -1})
+
+
+def test_mixing_splits_a_hot_id(spark):
+    df = spark.range(2500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source")).unionByName(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("b").alias("source")))
+    got = mixing.mixed(df).toPandas()
+    assert sorted(got[got.source == "a"]["nth"]) == sorted(got[got.source == "b"]["nth"]) == list(range(1, 2501)) and got["in_mix"].sum() >= 4999
 
 
 # licences
