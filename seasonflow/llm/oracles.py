@@ -40,9 +40,10 @@ FROM numbered JOIN quota ON numbered.source = quota.source LEFT JOIN inside ON n
 """
 
 
-def sentence_rules(sentences: dict[str, str], rules: list, longest: int) -> str:
+def sentence_rules(sentences: dict[str, str], rules: list) -> str:
+    """Known sentences between line ends, wherever they wrap; each line end is doubled, so that neighbours share it."""
     listed = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
-    shortest = min(map(len, sentences))
+    either = "|".join(s.replace(".", r"\.").replace(" ", r"(?: |\n\n)") for s in sorted(sentences, key=len, reverse=True))
     steps, prev = [], "start"
     for k, (name, ids) in enumerate(rules):
         seq = " " + " ".join(f"<{i}>" for i in ids) + " "
@@ -50,12 +51,14 @@ def sentence_rules(sentences: dict[str, str], rules: list, longest: int) -> str:
         prev = f"r{k}"
     return rf"""
 WITH catalogue(s, i) AS (VALUES {listed}),
-parts AS (
-  SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[.!?;:]+\s+|[.!?;:]+$|[\r\n]+'), lambda x: length(x) BETWEEN {shortest} AND {longest})) AS part,
-    generate_subscripts(list_filter(string_split_regex(coalesce(text, ''), '[.!?;:]+\s+|[.!?;:]+$|[\r\n]+'), lambda x: length(x) BETWEEN {shortest} AND {longest}), 1) AS ord FROM documents),
-named AS (
-  SELECT doc_id, ord, i FROM (SELECT doc_id, ord, regexp_replace(regexp_replace(lower(part), '[^a-z0-9./-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g') AS s FROM parts
-    WHERE regexp_matches(part, '(?i)licen|reserved|software|permi|redistribut|domain')) JOIN catalogue USING (s)),
+lines AS (
+  SELECT doc_id, replace(regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g'), 'license-identifier:', 'license-identifier ') AS t FROM documents),
+cuts AS (SELECT doc_id, regexp_replace(chr(10) || ' ' || t, '([^\n.!?;:])[.!?;:]+(\s+|$)', '\1' || chr(10) || chr(10), 'g') AS t FROM lines),
+plain AS (SELECT doc_id, regexp_replace(t, '[^a-z0-9./\n-]+', ' ', 'g') || chr(10) AS t FROM cuts),
+trimmed AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ ./-]+\n', chr(10), 'g'), '\n[ ./-]+', chr(10), 'g') AS t FROM plain),
+spans AS (SELECT doc_id, regexp_extract_all(replace(t, chr(10), chr(10) || chr(10)), '\n(?:{either})\n') AS found FROM trimmed),
+parts AS (SELECT doc_id, unnest(found) AS part, generate_subscripts(found, 1) AS ord FROM spans),
+named AS (SELECT doc_id, ord, i FROM (SELECT doc_id, ord, replace(trim(part, chr(10)), chr(10) || chr(10), ' ') AS s FROM parts) JOIN catalogue USING (s)),
 runs AS (SELECT doc_id, ord, i, lag(i) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM named),
 seqs AS (SELECT doc_id, list(i ORDER BY ord) AS ids FROM runs WHERE before IS DISTINCT FROM i GROUP BY doc_id),
 start AS (

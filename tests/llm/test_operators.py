@@ -270,6 +270,73 @@ def test_wrapped_licences(spark):
     assert got == {1: mit, 2: mit, 3: (["GPL-3.0-or-later"], []), 4: (["BSD"], []), 5: (["Apache-2.0"], []), 6: mit, 7: ([], []), 8: ([], []), 9: (["Proprietary"], [])}
 
 
+BSD3_TEXT = """Copyright (c) 2021, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)."""
+BSD2_TEXT = BSD3_TEXT[: BSD3_TEXT.index("3. Neither")] + BSD3_TEXT[BSD3_TEXT.index("THIS SOFTWARE") :]
+NOTICE = """ * This {what} is free software{mark} you can redistribute it and/or
+ * modify it under the terms of the GNU {name} Public
+ * License as published by the Free Software Foundation{mark2} either
+ * version {v} of the License, or (at your option) any later version.
+ *
+ * This {what} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {name} Public License for more details.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+MPL_TEXT = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_whole_licences_and_their_sql(spark, duck):
+    liable = "\nIN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE."
+    cases = [
+        (MIT_TEXT[: MIT_TEXT.index(" IN NO EVENT")] + liable, "MIT"), (BSD3_TEXT, "BSD-3-Clause,Proprietary"), (BSD2_TEXT, "BSD-2-Clause,Proprietary"), (ISC_TEXT, "ISC"), (MPL_TEXT, "MPL-2.0"),
+        (NOTICE.format(what="program", mark=":", mark2=",", name="General", v="3"), "GPL-3.0-or-later"), (NOTICE.format(what="program", mark=";", mark2=";", name="General", v="2"), "GPL-2.0-or-later"),
+        (NOTICE.format(what="library", mark=";", mark2=";", name="Lesser General", v="2.1"), "LGPL-2.1-or-later"), (NOTICE.format(what="program", mark=":", mark2=",", name="Affero General", v="3"), "AGPL-3.0-or-later"),
+        (APACHE_TEXT + "\n//\n// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
+        ("released under the" + " " * 400 + "MIT license.", "MIT"), ("Released under the MIT License for now", ""), ("", ""), (None, ""), ("x " * 100_000 + "\nAll rights reserved", "Proprietary"), ("... All rights reserved!!\n-- Licensed under CC BY 4.0\n\n", "CC-BY-4.0,Proprietary"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOC)
+    rows = licences.recognise(df).select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences", "unmatched")])
+    assert {r.doc_id: r.licences for r in rows.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    same_rows(rows, con.execute(registry.ORACLES["op5_sentence_rules"]).df())
+
+
 # vectors
 
 
