@@ -31,23 +31,27 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates; of rows that repeat an id, one stays.
+    """The document with the smallest id of each class of near-duplicates.
 
-    Rows without an id can't be told apart from others and stay.
+    Of rows that repeat an id the one with the smallest text stays, then the smallest by the other columns in their
+    order. Rows without an id can't be told apart from others and stay.
     """
     gone = cut(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "gone")
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    one = F.min(F.struct(F.col("text").isNull().alias("no_text"), "text", F.struct(*docs.columns).alias("row"))).alias("first")
+    several = named.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("first.row.*")
+    return named.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix: where a source has run out, its slots pass to the others by their shares.
+    """Every document, in the order of the mix; documents beyond its end follow by the slots at which they would be due.
 
-    Rows that repeat an id take its first place. Rows without an id can't be told apart and are dealt over the mix by
+    So where a source has run out, its slots pass to the others by their shares. Rows that repeat an id take its first place. Rows without an id can't be told apart and are dealt over the mix by
     their texts. The order is that of the written rows, file by file; no column holds it.
     """
     own = fresh(docs, "place")
-    places = cut(mixing.mixed(docs).groupBy("doc_id").agg(F.min("slot").alias(own)), "places")
+    places = cut(mixing.mixed(docs).groupBy("doc_id").agg(F.min(F.coalesce("slot", "due")).alias(own)), "places")
     span = fresh(docs, "span")
     last = places.agg((F.coalesce(F.max(own), F.lit(0)) + 1).alias(span))
     named = docs.where("doc_id is not null").join(places, "doc_id").select(*docs.columns, own)
