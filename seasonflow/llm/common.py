@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +18,12 @@ cloudpickle.register_pickle_by_value(sys.modules["seasonflow.llm"])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -59,11 +64,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def added_up(rows: DataFrame, count: Callable[[Iterator[pd.DataFrame]], np.ndarray], size: int, chunk: int = 1 << 12) -> np.ndarray:
+    """The sum of the vectors of `size` counts that count() makes of each task's rows; they are added in parts, in Spark."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = count(batches).astype(np.int32)
+        if own.any():
+            yield pd.DataFrame([(k, own[k * chunk : (k + 1) * chunk].tobytes()) for k in range(-(-size // chunk))], columns=["part", "n"])
+
+    def added(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in g["n"])
+        return pd.DataFrame({"part": [key[0]], "n": [total.tobytes()]})
+
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(added, "part int, n binary").collect():
+        out[r.part * chunk : (r.part + 1) * chunk] = np.frombuffer(r.n, np.int64)
+    return out
+
+
 def slices(texts: list, most_bytes: int):
-    """Ranges (i, j) of texts that hold about most_bytes characters each; a longer text stands alone."""
+    """Ranges (i, j) of texts that hold at most most_bytes UTF-8 bytes each; a longer text stands alone."""
     i, held = 0, 0
     for j, t in enumerate(texts):
-        n = len(t)
+        n = len(t) if t.isascii() else len(t.encode("utf-8", "replace"))
         if j > i and held + n > most_bytes:
             yield i, j
             i, held = j, 0

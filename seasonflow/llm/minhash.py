@@ -32,13 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonflow.llm.common import cut
+from seasonflow.llm.common import added_up, cut
 from seasonflow.llm.components import components
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 WORD_BUCKETS = 1 << 18
-CHUNK = 1 << 12
 POOL_BITS = 16
 KNOWN_WORDS = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -127,31 +126,19 @@ class Sampler:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by bucket of their words, and all documents. Each task sends fixed-size parts of its counts."""
+    """Documents by bucket of their words, and all documents."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, words = np.zeros(WORD_BUCKETS, np.int64), 0, Words()
+    def count(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        out, words = np.zeros(WORD_BUCKETS + 1, np.int64), Words()
         for b in batches:
+            out[WORD_BUCKETS] += len(b)
             for t in b["text"]:
-                n += 1
                 if isinstance(t, str):
-                    df[np.unique(bucket(words(t)))] += 1
-        parts = [(k, df[k * CHUNK : (k + 1) * CHUNK].astype(np.int32).tobytes()) for k in range(WORD_BUCKETS // CHUNK)] if n else []
-        yield pd.DataFrame([*parts, (-1, np.array([n], np.int32).tobytes())], columns=["part", "n"])
-
-    def added(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in g["n"])
-        return pd.DataFrame({"part": [key[0]], "n": [total.tobytes()]})
-
-    parts = docs.select("text").mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(added, "part int, n binary").collect()
-    df, n = np.zeros(WORD_BUCKETS, np.int64), 0
-    for r in parts:
-        x = np.frombuffer(r.n, np.int64)
-        if r.part < 0:
-            n = int(x[0])
-        else:
-            df[r.part * CHUNK : (r.part + 1) * CHUNK] = x
-    return df, n
+                    out[np.unique(bucket(words(t)))] += 1
+        return out
+
+    n = added_up(docs.select("text"), count, WORD_BUCKETS + 1)
+    return n[:WORD_BUCKETS], int(n[WORD_BUCKETS])
 
 
 def smoothed_idf(df: np.ndarray, n: int) -> np.ndarray:

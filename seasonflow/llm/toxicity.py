@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from seasonflow.llm.common import is_held_out, unit_hash
+from seasonflow.llm.common import added_up, is_held_out, unit_hash
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -95,6 +95,30 @@ class Summariser:
         return summary(found, len(tokens))
 
 
+def corpus_hits(docs: DataFrame, features: list[str]) -> tuple[dict[str, int], int]:
+    """The number of documents with each of features, and of all documents; features go to every task."""
+    at = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(features)})
+
+    def count(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        out, place, known = np.zeros(len(features) + 1, np.int64), at.value, {}
+        for b in batches:
+            out[-1] += len(b)
+            for t in b["text"]:
+                seen: set[int] = set()
+                for token in set(t.lower().split()) if isinstance(t, str) else ():
+                    own = known.get(token)
+                    if own is None:
+                        if len(known) >= CACHED_WORDS:
+                            known.clear()
+                        own = known[token] = tuple({place[f] for w in WORD.findall(token) for f in features_of(w) if f in place})
+                    seen.update(own)
+                out[list(seen)] += 1
+        return out
+
+    n = added_up(docs.select("text"), count, len(features) + 1)
+    return dict(zip(features, n.tolist())), int(n[-1])
+
+
 def fit_nnpu(x: np.ndarray, is_toxic: np.ndarray, prior: float, steps: int = 600, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
     """Logistic weights (bias last) by gradient steps on the non-negative risk.
 
@@ -114,10 +138,12 @@ def fit_nnpu(x: np.ndarray, is_toxic: np.ndarray, prior: float, steps: int = 600
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlabelled: int = 5000, prior: float | None = None) -> dict:
-    """Fit on about most_toxic confirmed texts and most_unlabelled of all texts, drawn by a hash of the id.
+    """Fit on about most_toxic confirmed texts, drawn by a hash of the id, and on all texts as unlabelled ones.
 
-    Rows whose crc32(doc_id) is divisible by 5 are never used. prior defaults to the toxic share of the labelled rows
-    outside the held-out fold. Labels are reduced to one row per doc_id, toxic if any of its rows says so.
+    The features of the confirmed texts are counted over all documents; only the weights of the logistic classifier,
+    six numbers, come from a sample of about most_unlabelled texts. Rows whose crc32(doc_id) is divisible by 5 are
+    never used. prior defaults to the toxic share of the labelled rows outside the held-out fold. Labels are reduced
+    to one row per doc_id, toxic if any of its rows says so.
     """
     own = labels.where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     tally = own.agg(F.count("toxic").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("t")).first()
@@ -126,34 +152,39 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlab
     if prior is None:
         prior = tally.t / tally.n if tally.n else 0.0
     if not tally.t or not n_docs:
-        return {"weights": {}, "w": None, "mean": None, "std": None, "prior": prior}
+        return unfitted(prior)
     prior = min(max(prior, 1e-3), 0.9)
     toxic_ids = own.where((F.col("toxic") == 1) & (unit_hash("doc_id") < most_toxic / tally.t)).select("doc_id")
     toxic = [r.text or "" for r in rows.join(toxic_ids, "doc_id", "left_semi").select("text").collect()]
     drawn = rows.where(unit_hash("doc_id", F.lit(1)) < most_unlabelled / n_docs)
-    return fit(toxic, [r.text or "" for r in drawn.select("text").collect()], prior)
-
-
-def fit(toxic: list[str], unlabelled: list[str], prior: float) -> dict:
-    """The model of confirmed toxic texts and of texts drawn from all, of which a share of prior is toxic."""
-    if not toxic or not unlabelled:
-        return {"weights": {}, "w": None, "mean": None, "std": None, "prior": prior}
-    toxic, unlabelled = sorted(toxic), sorted(unlabelled)
-    halves_t, halves_u = [toxic[::2], toxic[1::2]], [unlabelled[::2], unlabelled[1::2]]
-    seen_t = [hits(x) for x in halves_t]
-    whole = {f: n for f in seen_t[0].keys() | seen_t[1].keys() if (n := seen_t[0].get(f, 0) + seen_t[1].get(f, 0)) >= LEAST_TEXTS}
-    seen_t = [{f: n for f, n in x.items() if f in whole} for x in seen_t]
-    seen_u = [hits(x, whole) for x in halves_u]
+    features = sorted(f for f, n in hits(toxic).items() if n >= LEAST_TEXTS)
+    return fit(toxic, [r.text or "" for r in drawn.select("text").collect()], *corpus_hits(rows, features), prior)
+
+
+def unfitted(prior: float) -> dict:
+    return {"weights": {}, "w": None, "mean": None, "std": None, "prior": prior}
+
+
+def fit(toxic: list[str], drawn: list[str], counts: dict[str, int], n_docs: int, prior: float) -> dict:
+    """The model of confirmed toxic texts and of unlabelled ones, of which a share of prior is toxic.
+
+    counts: of n_docs unlabelled texts, those with each feature; drawn: some of these texts.
+    """
+    if not toxic or not drawn:
+        return unfitted(prior)
+    toxic, drawn = sorted(toxic), sorted(drawn)
+    halves = [toxic[::2], toxic[1::2]]
+    seen = [hits(x, counts) for x in halves]
     x, y = [], []
-    for part in (0, 1):  # words are weighed on one half and summed up on the other
-        s = Summariser(corrected_weights(seen_t[1 - part], len(halves_t[1 - part]) or 1, seen_u[1 - part], len(halves_u[1 - part]) or 1, prior))
-        for texts, flag in ((halves_t[part], True), (halves_u[part], False)):
+    for part in (0, 1):  # words are weighed on one half of the confirmed texts and summed up on the other
+        s = Summariser(corrected_weights(seen[1 - part], len(halves[1 - part]) or 1, counts, n_docs, prior))
+        for texts, flag in ((halves[part], True), (drawn[part::2], False)):
             x += [s(t) for t in texts]
             y += [flag] * len(texts)
     x, y = np.array(x), np.array(y)
     mean, std = x.mean(0), x.std(0) + 1e-9
-    both = {f: seen_u[0].get(f, 0) + seen_u[1].get(f, 0) for f in whole}
-    return {"weights": corrected_weights(whole, len(toxic), both, len(unlabelled), prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean, "std": std, "prior": prior}
+    whole = {f: seen[0].get(f, 0) + seen[1].get(f, 0) for f in counts}
+    return {"weights": corrected_weights(whole, len(toxic), counts, n_docs, prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean, "std": std, "prior": prior}
 
 
 def score_texts(model: dict, texts: list[str], summarise: Summariser | None = None) -> np.ndarray:

@@ -76,6 +76,37 @@ def test_nnpu_risk_is_corrected():
     assert (z[:700] > 0.5).mean() > 0.85 and (z[700:] < 0.5).mean() > 0.95
 
 
+def test_nnpu_risk_is_as_small_as_a_plain_search_finds():
+    g = np.random.default_rng(2)
+    x = np.concatenate([g.normal(1, 1, 300), g.normal(1, 1, 200), g.normal(-1, 1, 800)])[:, None]
+    toxic, prior = np.arange(1300) < 300, 0.2
+
+    def risk(w, b):
+        zt, zu = x[toxic, 0] * w + b, x[~toxic, 0] * w + b
+        return prior * np.logaddexp(0, -zt).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zt).mean())
+
+    least = min(risk(w, b) for w in np.linspace(0, 5, 60) for b in np.linspace(-5, 2, 60))
+    assert risk(*toxicity.fit_nnpu(x, toxic, prior)) <= least * 1.03
+
+
+def test_features_are_counted_over_all_documents(spark):
+    texts = ["Ab-cdefg abcdefg", "abcd, x", None, "", "x x abcdefgh"] + [prose(k, 30) for k in range(60)]
+    features = ["=x", "abcd", "=abcdefg", "abcdef", "=none", *sorted(toxicity.doc_features(texts[9]))]
+    got, n = toxicity.corpus_hits(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(5), features)
+    assert n == len(texts) and got == {f: sum(f in toxicity.doc_features(t or "") for t in texts) for f in features}
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty and null texts among labels, labels that disagree, a column named like the result."""
+    rows = [(i, f"{prose(i, 30)} {'vilex grubby' if i % 5 == 0 else ''}") for i in range(300)] + [(300, ""), (301, None), (302, " "), (302, " ")]
+    labels = [(i, int(i % 5 == 0)) for i in range(300)] + [(5, 0), (5, 1), (5, 1), (300, 1), (301, 1), (302, 0), (None, 1), (9, None)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("tox_score", F.lit("x")).withColumn("toxic", F.lit("x"))
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.s for r in toxicity.score(docs, model, out="s").collect()}
+    assert set(got) == set(range(303)) and got[300] == got[301] == got[302] < 0.5
+    assert np.mean([(got[i] >= 0.5) == (i % 5 == 0) for i in range(300)]) > 0.97
+
+
 # language
 
 
