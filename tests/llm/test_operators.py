@@ -372,10 +372,13 @@ def test_whole_licences_and_their_sql(spark, duck):
 
 
 def brute(ids, vecs, threshold):
-    good = [i for i, v in enumerate(vecs) if v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 4]
-    x = np.array([vecs[i] for i in good], np.float32).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= threshold
+    good = [i for i, v in enumerate(vecs) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    units = {}
+    for i in good:
+        x = np.array(vecs[i], np.float64)
+        x /= np.abs(x).max()
+        units[i] = x / np.linalg.norm(x)
+    near = np.array([[len(units[i]) == len(units[j]) and units[i] @ units[j] >= threshold for j in good] for i in good])
     label = [ids[i] for i in good]
     for _ in good:
         label = [min(label[b] for b in np.flatnonzero(near[a])) for a in range(len(good))]
@@ -384,23 +387,32 @@ def brute(ids, vecs, threshold):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 5])
-def test_vectors_against_brute_force(spark, cells, monkeypatch):
-    monkeypatch.setattr(vectors, "RESIDENTS", 20)
-    monkeypatch.setattr(vectors, "VISITORS", 30)
+@pytest.mark.parametrize("cells, kind", [(1, "float"), (5, "float"), (12, "double"), (None, "double")])
+def test_vectors_against_brute_force(spark, cells, kind):
     g = np.random.default_rng(3)
     base = g.normal(size=(30, 4))
     vecs = [(base[k % 30] + g.normal(size=4) * 0.25).astype(np.float32).tolist() for k in range(250)]
-    vecs += [vecs[0], vecs[0], None, [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0], []]
+    vecs += [vecs[0], vecs[0], None, [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0], [2.0, 4.0], [2.0, -4.0], [3.0], [5.0], [-5.0], []]
+    if kind == "double":
+        vecs += [[1e200, 1e200, 0.0, 0.0], [1e-200, 1e-200, 0.0, 0.0], [1e200, 0.0, 0.0, 0.0], [5e-324, 5e-324, 0.0, 0.0]]
     ids = list(range(1000, 1000 + len(vecs)))
-    df = spark.createDataFrame(list(zip(ids, vecs)), "vec_id long, embedding array<float>").withColumn("key", F.lit("clash"))
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, cells=cells).collect()}
+    df = spark.createDataFrame(list(zip(ids, vecs)), f"vec_id long, embedding array<{kind}>").withColumn("key", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, cells=cells, block=20).collect()}
     want = brute(ids, vecs, 0.9)
     assert len(got) == len(vecs)
     for i, (n, c) in want.items():
         assert got[ids[i]] == (n, c, c == ids[i]), i
 
 
+def test_vectors_at_the_threshold(spark):
+    """Cosines of 0.9 but for rounding get one decision, whatever the blocks; 3 : 4 : 5 gives 0.6 and 0.8 in full."""
+    vecs = [[3.0, 4.0], [4.0, 3.0], [0.0, 5.0], [6.0, 8.0], [5.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    for block in (1, 2, 50):
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, threshold=0.8, block=block).collect()}
+        assert got == {0: 3, 1: 3, 2: 2, 3: 3, 4: 1}
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_duplicates(df).count() == 0
