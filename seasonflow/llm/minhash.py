@@ -263,7 +263,7 @@ def one_text_each(docs: DataFrame) -> DataFrame:
     return cut(docs.join(again, "doc_id", "left_anti").unionByName(several), "once")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, block: int = 512, block_bytes: int = 1 << 22) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, block: int = 256, block_bytes: int = 1 << 22) -> DataFrame:
     """(doc_id, class_id, kept) for every document: class_id is the smallest doc_id of its class, which is kept.
 
     block, block_bytes: the most rows and about the most bytes of text in a block of members of one band key; a task
