@@ -35,15 +35,31 @@ def full_mean(c: Column | str, n: int) -> Column:
     return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
 
 
-def ema(c: str, span: int, horizon: int) -> Column:
-    """Recursive mean with weight 2 / (span + 1), seeded by the first value; rows beyond the horizon weigh under 1e-15."""
-    a = 2.0 / (span + 1)
-    past = F.collect_list(c).over(by_symbol().rowsBetween(-(horizon - 1), 0))
-    return F.aggregate(F.slice(past, 2, horizon), F.element_at(past, 1), lambda s, x: s * F.lit(1 - a) + x * F.lit(a))
-
-
 #: Rows after which an exponential mean of a span has forgotten its seed to 1e-15 (fixed values).
 EMA_ROWS = {5: 86, 9: 155, 12: 207, 26: 449}
+#: Rows of a block of an exponential mean: more than any horizon above.
+EMA_BLOCK = 512
+
+
+def with_emas(df: DataFrame, spans: dict[str, int], c: str) -> DataFrame:
+    """df with a recursive mean of c for each name: weight 2 / (span + 1), seeded by the first value; nulls are passed over.
+
+    Within a block of a symbol's values the mean is a running sum of c / (1 - a)^k, scaled back by (1 - a)^k; from the
+    block before only its last mean counts, as a block is longer than what a mean remembers. So all spans take a few
+    running sums over one sort by symbol, and no row carries its past.
+    """
+    block = Window.partitionBy("symbol", "_block").orderBy("date")
+    i = F.count(c).over(by_symbol()) - 1
+    df = df.withColumn("_i", i).withColumn("_block", F.floor(F.greatest("_i", F.lit(0)) / EMA_BLOCK)).withColumn("_k", F.pmod("_i", F.lit(EMA_BLOCK)))
+    own, means = {}, {}
+    for name, span in spans.items():
+        a = 2.0 / (span + 1)
+        term = F.when(F.col("_i") == 0, F.col(c) / a).otherwise(F.col(c)) * F.pow(F.lit(1 / (1 - a)), F.col("_k"))
+        own[f"_own_{name}"] = a * F.pow(F.lit(1 - a), F.col("_k")) * F.sum(term).over(block)
+        carried = F.coalesce(F.first(f"_before_{name}").over(block), F.lit(0.0))
+        means[name] = F.when(F.col("_i") >= 0, F.col(f"_own_{name}") + carried * F.pow(F.lit(1 - a), F.col("_k") + 1))
+    df = df.withColumns(own).withColumns({f"_before_{name}": F.lag(f"_own_{name}").over(by_symbol()) for name in spans})
+    return df.withColumns(means).drop("_i", "_block", "_k", *own, *[f"_before_{name}" for name in spans])
 
 
 def avg_tie_rank(by: list[str], c: str, ascending: bool = True) -> Column:
@@ -64,10 +80,12 @@ def day_number(c: Column | str) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or in local mode a temporary one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

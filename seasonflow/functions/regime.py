@@ -26,19 +26,20 @@ def mean(c: str, n: int) -> Column:
 
 
 def vix_features(df: DataFrame, n: int = 60) -> DataFrame:
-    """vix_pct, the average-tie rank of vix among the last n, vix_change over 5 rows and vix_bucket (right-closed at 15, 20, 25, 30)."""
+    """vix_pct, the average-tie rank of vix among the last n, vix_change over 5 rows, vix_bucket (right-closed at 15, 20, 25, 30) and vix_term, vix less the latest vix3m."""
     df = one_series(df).withColumn("_past", F.collect_list("vix").over(calendar().rowsBetween(-(n - 1), 0)))
     below = F.size(F.filter("_past", lambda x: x < F.col("vix")))
     same = F.size(F.filter("_past", lambda x: x == F.col("vix")))
     pct = F.when(F.size("_past") == n, (below + (same + 1) / F.lit(2.0)) / F.lit(float(n)))
     bucket = F.when(F.col("vix") <= 15, 0).when(F.col("vix") <= 20, 1).when(F.col("vix") <= 25, 2).when(F.col("vix") <= 30, 3).when(F.col("vix").isNotNull(), 4)
-    return df.withColumns({"vix_pct": pct, "vix_change": F.col("vix") - lag("vix", 5), "vix_bucket": bucket}).drop("_past", "_series")
+    return df.withColumns({"vix_pct": pct, "vix_change": F.col("vix") - lag("vix", 5), "vix_bucket": bucket, "vix_term": F.col("vix") - F.last("vix3m", ignorenulls=True).over(calendar())}).drop("_past", "_series")
 
 
 def rate_features(df: DataFrame) -> DataFrame:
-    """Spread of the 10-year over the latest 2-year rate, its change over 5 rows, and the 10-year's direction over 60."""
-    df = one_series(df).withColumn("us2y", F.last("us2y", ignorenulls=True).over(calendar())).withColumn("spread", F.col("us10y") - F.col("us2y"))
-    return df.withColumns({"spread_slope": F.col("spread") - lag("spread", 5), "rate_direction": F.signum(F.col("us10y") - lag("us10y", 60))}).drop("_series")
+    """Spread of the 10-year over the latest 2-year rate and its change over 5 rows; the latest short rate irx and its change over 60."""
+    latest = lambda c: F.last(c, ignorenulls=True).over(calendar())
+    df = one_series(df).withColumns({"us2y": latest("us2y"), "fed_rate": latest("irx")}).withColumn("spread", F.col("us10y") - F.col("us2y"))
+    return df.withColumns({"spread_slope": F.col("spread") - lag("spread", 5), "rate_direction": F.col("fed_rate") - lag("fed_rate", 60)}).drop("_series")
 
 
 def ratio_change(df: DataFrame, a: str, b: str, n: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import EMA_ROWS, by_symbol, ema, full_mean, ratio, rolling
+from seasonflow.functions.core import EMA_ROWS, by_symbol, full_mean, ratio, rolling, with_emas
 
 
 def lagged(c: str, n: int = 1) -> Column:
@@ -21,7 +21,7 @@ def with_sma(df: DataFrame, spans: tuple[int, ...] = (20, 50, 100, 200), c: str
 
 
 def with_ema(df: DataFrame, spans: tuple[int, ...] = (5, 12, 26), c: str = "close") -> DataFrame:
-    return df.withColumns({f"ema{n}": ema(c, n, EMA_ROWS[n]) for n in spans})
+    return with_emas(df, {f"ema{n}": n for n in spans}, c)
 
 
 def with_wma(df: DataFrame, n: int = 13, c: str = "close") -> DataFrame:
@@ -32,7 +32,7 @@ def with_wma(df: DataFrame, n: int = 13, c: str = "close") -> DataFrame:
 def with_macd(df: DataFrame) -> DataFrame:
     """macd, macd_signal, macd_hist and macd_slope, the histogram's change in a row; adds ema12 and ema26 where they lack."""
     df = with_ema(df, tuple(n for n in (12, 26) if f"ema{n}" not in df.columns)) if not {"ema12", "ema26"} <= set(df.columns) else df
-    df = df.withColumn("macd", F.col("ema12") - F.col("ema26")).withColumn("macd_signal", ema("macd", 9, EMA_ROWS[9]))
+    df = with_emas(df.withColumn("macd", F.col("ema12") - F.col("ema26")), {"macd_signal": 9}, "macd")
     df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     return df.withColumn("macd_slope", F.col("macd_hist") - lagged("macd_hist"))
 
@@ -110,7 +110,7 @@ def clip(c: Column, lo: float, hi: float) -> Column:
 
 
 def with_trend_score(df: DataFrame, missing_sma: float | None = None) -> DataFrame:
-    """trend_long from 0 to 100 by ten components, and trend_delta, its change in a row.
+    """trend_long and trend_short from 0 to 100 by ten components each, and trend_delta, the first one's change in a row.
 
     missing_sma is what a component without its mean counts: null (training) or 5 (serving).
     """
@@ -118,12 +118,18 @@ def with_trend_score(df: DataFrame, missing_sma: float | None = None) -> DataFra
     df = with_macd(with_ema(df, (5, 12, 26))) if "macd_hist" not in df.columns else df
     df = with_roc(with_rsi(with_atr(with_wma(df))), (20,))
     atr = F.when(F.col("atr14") != 0, F.col("atr14"))
-    parts = [F.coalesce(clip(5 + (F.col("close") - F.col(f"sma{n}")) / atr, 0, 10), F.lit(missing_sma).cast("double")) for n in (20, 50, 100, 200)]
+    means = lambda sign: [F.coalesce(clip(5 + sign * (F.col("close") - F.col(f"sma{n}")) / atr, 0, 10), F.lit(missing_sma).cast("double")) for n in (20, 50, 100, 200)]
     up = F.col("macd_hist") > 0
     size = clip(F.abs("macd_hist") / atr, 0, 5) / 5 * 10
-    vote = lambda c: F.when(c, 7.0).otherwise(3.0)
-    parts += [vote(up), F.when(up, size).otherwise(10 - size), vote(F.col("ema5") > F.col("wma13")), vote(F.col("close") > F.col("ema5")), clip(F.col("rsi14") / 10, 0, 10), clip(F.abs("roc20") * 200, 0, 10) / 2 + 2.5]
-    df = df.withColumn("trend_long", sum(parts[1:], parts[0]))
+    vote = lambda c, sign: F.when(c, 5.0 + 2 * sign).otherwise(5.0 - 2 * sign)
+    rsi = clip(F.col("rsi14") / 10, 0, 10)
+
+    def score(sign: int) -> Column:
+        parts = [*means(sign), vote(up, sign), F.when(up if sign > 0 else ~up, size).otherwise(10 - size), vote(F.col("ema5") > F.col("wma13"), sign), vote(F.col("close") > F.col("ema5"), sign)]
+        parts += [rsi if sign > 0 else 10 - rsi, clip(F.abs("roc20") * 200, 0, 10) / 2 + 2.5]
+        return sum(parts[1:], parts[0])
+
+    df = df.withColumns({"trend_long": score(1), "trend_short": score(-1)})
     return df.withColumn("trend_delta", F.col("trend_long") - lagged("trend_long"))
 
 

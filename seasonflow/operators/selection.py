@@ -33,8 +33,13 @@ def with_vix(df: DataFrame, vix: DataFrame, default: float) -> DataFrame:
 
 
 def prefilter(opps: DataFrame, direction: str, days: tuple[int, int], least_profit: float, excluded: list[str]) -> DataFrame:
-    """Opportunities of one direction and range with a Sharpe ratio over 1 and enough profit, without some symbols in any case."""
-    return opps.where((F.col("direction") == direction) & F.col("days_out").between(*days) & (F.col("sharpe_ratio") > 1) & (F.col("avg_profit") >= least_profit) & ~F.upper("symbol").isin(*[x.upper() for x in excluded]))
+    """Opportunities of a direction (or both) and range with either Sharpe ratio over 1 and enough profit, without some symbols in any case.
+
+    A table without a second ratio is judged by the first.
+    """
+    way = F.col("direction").isin("l", "s") if direction == "both" else F.col("direction") == direction
+    sharpe = F.greatest(*[F.col(c) for c in ("sharpe_ratio", "sharpe_ratio2") if c in opps.columns], F.lit(float("-inf")))
+    return opps.where(way & F.col("days_out").between(*days) & (sharpe > 1) & (F.col("avg_profit") >= least_profit) & ~F.upper("symbol").isin(*[x.upper() for x in excluded]))
 
 
 def thresholds(df: DataFrame, ml: float, win: float, predicted: float) -> DataFrame:
@@ -148,6 +153,25 @@ def recent_losses(trades: DataFrame, n: int = 5, least: int = 3) -> DataFrame:
     return trades.withColumn("losses", F.coalesce(F.sum(F.when(F.col("exit_return") <= 0, 1).otherwise(0)).over(w), F.lit(0)).cast("long")).withColumn("many_losses", F.col("losses") >= least)
 
 
+def days_with_losses(trades: DataFrame, trading_days: DataFrame, days: int = 5, least: int = 3) -> DataFrame:
+    """(strategy_id, idx, losses, blocked): losing exits within the last `days` trading days up to each day that has one, and whether those are at least `least`.
+
+    trading_days: (date, idx), with every calendar date, its idx being that of the latest trading day. Losses are summed
+    by day first, so that the window sees a row for each strategy and day.
+    """
+    lost = trades.where("exit_return <= 0").join(trading_days.select(F.col("date").alias("exit_date"), "idx"), "exit_date")
+    own = lost.groupBy("strategy_id", "idx").agg(F.count(F.lit(1)).alias("n"))
+    ahead = own.select("strategy_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda d: F.col("idx") + d)).alias("idx"), "n")
+    return ahead.groupBy("strategy_id", "idx").agg(F.sum("n").alias("losses")).withColumn("blocked", F.col("losses") >= least)
+
+
+def loss_breaker(trades: DataFrame, trading_days: DataFrame, days: int = 5, least: int = 3) -> DataFrame:
+    """trades with day_losses, the strategy's losing exits within the trading days before and on their entry, and blocked."""
+    lost = days_with_losses(trades, trading_days, days, least).withColumnRenamed("losses", "day_losses")
+    out = trades.join(trading_days.select(F.col("date").alias("entry_date"), "idx"), "entry_date", "left").join(lost, ["strategy_id", "idx"], "left").drop("idx")
+    return out.withColumns({"day_losses": F.coalesce("day_losses", F.lit(0).cast("long")), "blocked": F.coalesce("blocked", F.lit(False))})
+
+
 def pareto(df: DataFrame, risk: str, reward: str) -> DataFrame:
     """Rows whose reward beats that of every row with less risk; a table of strategies, so one window."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.col(risk), F.desc(reward)).rowsBetween(Window.unboundedPreceding, -1)
@@ -208,6 +232,25 @@ def position_weight(mode: str, base: float = 0.15, least_win: float = 0.68, vix:
     return w if vix is None else F.when(vix > 0, w * F.least(F.lit(1.0), reference / F.greatest(vix, F.lit(10.0)))).otherwise(w)
 
 
+#: Shares of equity that one position and all of them may take, and the hard limit of one (fixed values).
+LIMITS = {"option": (0.10, 0.50, 0.15), "spread": (0.10, 0.50, 0.10)}
+
+
+def budget(kind: str, method: str, slots: int = 10, open_share: Column | None = None, r: Column | None = None) -> Column:
+    """Share of equity for an option's premium or a spread: SF equal, SK, SH and SA as for stocks, under the kind's limits and what open positions leave."""
+    one, total, hard = LIMITS[kind]
+    k = kelly(F.col("win_probability"), r if r is not None else F.lit(1.3))
+    by_score = F.when(F.col("ml_score") >= 90, 0.50).when(F.col("ml_score") >= 80, 0.35).otherwise(0.25)
+    alloc = {"SK": k * 0.25, "SH": k * 0.50, "SA": k * by_score}.get(method, F.lit(total / slots))
+    headroom = F.lit(total) - (open_share if open_share is not None else F.lit(0.0))
+    return F.greatest(F.least(alloc, F.lit(one), F.lit(hard), headroom), F.lit(0.0))
+
+
+def vix_scale(vix: Column, calm: float = 15.0, top: float = 35.0, least: float = 0.1) -> Column:
+    """1 up to a calm VIX, then (top - vix) / (top - calm), between `least` and 1."""
+    return F.when(vix > calm, F.greatest(F.least((top - vix) / (top - calm), F.lit(1.0)), F.lit(least))).otherwise(1.0)
+
+
 def capped_allocation(df: DataFrame, alloc: str, headroom: Column) -> DataFrame:
     """A day's allocations scaled so that they add up to at most its headroom."""
     total = F.sum(alloc).over(Window.partitionBy("date"))

@@ -46,13 +46,14 @@ def series(name: str, source, build, columns: dict[str, int], body: str) -> None
     add(name, run, f"SELECT date, {', '.join(f'{sq(c, p)} AS {c}' for c, p in columns.items())} FROM ({body})")
 
 
-series("mkt_vix", v.index_series, rg.vix_features, {"vix_pct": 6, "vix_change": 6, "vix_bucket": 0}, f"""
+series("mkt_vix", v.index_series, rg.vix_features, {"vix_pct": 6, "vix_change": 6, "vix_bucket": 0, "vix_term": 6}, f"""
   SELECT date, CASE WHEN len(p) = 60 THEN (len(list_filter(p, lambda x: x < vix)) + (len(list_filter(p, lambda x: x = vix)) + 1) / 2.0::DOUBLE) / 60 END AS vix_pct, vix - lag(vix, 5) {W} AS vix_change,
-    CASE WHEN vix <= 15 THEN 0 WHEN vix <= 20 THEN 1 WHEN vix <= 25 THEN 2 WHEN vix <= 30 THEN 3 WHEN vix IS NOT NULL THEN 4 END AS vix_bucket
+    CASE WHEN vix <= 15 THEN 0 WHEN vix <= 20 THEN 1 WHEN vix <= 25 THEN 2 WHEN vix <= 30 THEN 3 WHEN vix IS NOT NULL THEN 4 END AS vix_bucket,
+    vix - last_value(vix3m IGNORE NULLS) {W} AS vix_term
   FROM (SELECT *, list(vix) OVER (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS p FROM index_series)""")
-series("mkt_rates", v.index_series, rg.rate_features, {"spread": 6, "spread_slope": 6, "rate_direction": 0}, f"""
-  SELECT date, spread, spread - lag(spread, 5) {W} AS spread_slope, sign(us10y - lag(us10y, 60) {W}) AS rate_direction
-  FROM (SELECT *, us10y - last_value(us2y IGNORE NULLS) {W} AS spread FROM index_series)""")
+series("mkt_rates", v.index_series, rg.rate_features, {"spread": 6, "spread_slope": 6, "fed_rate": 6, "rate_direction": 6}, f"""
+  SELECT date, spread, spread - lag(spread, 5) {W} AS spread_slope, fed_rate, fed_rate - lag(fed_rate, 60) {W} AS rate_direction
+  FROM (SELECT *, us10y - last_value(us2y IGNORE NULLS) {W} AS spread, last_value(irx IGNORE NULLS) {W} AS fed_rate FROM index_series)""")
 series("mkt_credit", wide, lambda d: rg.ratio_change(d, "hyg", "lqd"), {"ratio": 5, "ratio_change": 5}, f"SELECT date, ratio, ratio - lag(ratio, 20) {W} AS ratio_change FROM (SELECT *, hyg / nullif(lqd, 0) AS ratio FROM wide)")
 series("mkt_spy", v.index_series, rg.index_trend, {"index_roc": 6, "above_mean": 0}, f"SELECT date, spx / nullif(lag(spx, 20) {W}, 0) - 1 AS index_roc, CASE WHEN spx > m THEN 1 WHEN m IS NOT NULL THEN 0 END AS above_mean FROM (SELECT *, {mean('spx', 200)} AS m FROM index_series)")
 series("mkt_breadth", v.index_series, rg.breadth, {"breadth": 6, "breadth_momentum": 6}, f"SELECT date, b AS breadth, b - lag(b, 20) {W} AS breadth_momentum FROM (SELECT *, {mean('advn', 10)} / nullif({mean('decn', 10)}, 0) AS b FROM index_series)")
@@ -85,11 +86,12 @@ def mkt_seasonal_features(spark, sf_dir):
     return out.select("symbol", "date", "holding_days", "direction", "win_rate", "mean_return", regime.cast("double").alias("regime"), alignment.cast("double").alias("alignment"))
 
 
-add("mkt_seasonal_features", mkt_seasonal_features, f"""WITH look AS (SELECT week, phase, year, {sq('win_rate')} AS win_rate, {sq('mean_return', 5)} AS mean_return FROM expanding)
+SEASONAL = f"""WITH look AS (SELECT week, phase, year, {sq('win_rate')} AS win_rate, {sq('mean_return', 5)} AS mean_return FROM expanding)
 SELECT symbol, date, holding_days, direction, win_rate, mean_return,
   (CASE WHEN win_rate < 0.4 THEN -2 WHEN win_rate < 0.5 THEN -1 WHEN win_rate < 0.6 THEN 0 WHEN win_rate < 0.7 THEN 1 WHEN win_rate IS NOT NULL THEN 2 END)::DOUBLE AS regime,
   (CASE WHEN win_rate >= 0.55 THEN 1 WHEN win_rate <= 0.45 THEN -1 WHEN win_rate IS NOT NULL THEN 0 END * CASE WHEN direction = 'l' THEN 1 ELSE -1 END)::DOUBLE AS alignment
-FROM (SELECT *, week(date)::INT AS week, {PHASE.format(d='date')} AS phase FROM candidates) LEFT JOIN look USING (week, phase, year)""")
+FROM (SELECT *, week(date)::INT AS week, {PHASE.format(d='date')} AS phase FROM candidates) LEFT JOIN look USING (week, phase, year)"""
+add("mkt_seasonal_features", mkt_seasonal_features, SEASONAL)
 
 
 def cal_features(spark, sf_dir):

@@ -54,14 +54,13 @@ def scan_opps_by_date(spark, sf_dir):
     return fl.near_dates(spark.read.parquet(path), TARGET).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio")
 
 
-CACHE = "SELECT symbol, days_out, direction, combo, sharpe_ratio, CASE WHEN symbol < 'Brand#2' THEN 'US' ELSE 'ETF' END AS market, date::VARCHAR AS target_date FROM opps WHERE date BETWEEN '2000-06-01' AND '2000-06-30'"
+CACHE = "SELECT symbol, days_out, direction, combo, sharpe_ratio, CASE WHEN symbol < 'Brand#2' THEN 'US' ELSE 'ETF' END AS market, date::VARCHAR AS target_date FROM opps"
 
 
 def cache(spark, sf_dir):
-    """June's opportunities in a cache, written in two goes of which the second brings the first one's dates again."""
+    """All opportunities in a cache, written in two goes of which the second brings the first one's dates again."""
     path = shared_path(spark, "cache")
-    o = v.opportunities(spark, sf_dir).where(F.col("date").between("2000-06-01", "2000-06-30"))
-    o = o.select("symbol", "days_out", "direction", "combo", "sharpe_ratio", F.when(F.col("symbol") < "Brand#2", "US").otherwise("ETF").alias("market"), F.col("date").cast("string").alias("target_date"))
+    o = v.opportunities(spark, sf_dir).select("symbol", "days_out", "direction", "combo", "sharpe_ratio", F.when(F.col("symbol") < "Brand#2", "US").otherwise("ETF").alias("market"), F.col("date").cast("string").alias("target_date"))
     fl.write_cache(o.where(F.col("target_date") < "2000-06-16"), path)
     fl.write_cache(o, path)
     return path

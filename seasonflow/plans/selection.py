@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seasonflow.functions.core import avg_tie_rank, q
 from seasonflow.operators import selection as sl
+from seasonflow.plans import regime
 from seasonflow.plans.sqlviews import q as sq
 from seasonflow.plans.sqlviews import sql
 from seasonflow.sources import views as v
@@ -68,16 +69,18 @@ def join_vix_by_date(spark, sf_dir):
     return sl.with_vix(c(spark, sf_dir), v.index_series(spark, sf_dir), 20.0).select(*K, "vix")
 
 
-@query(f"SELECT {KS}, ml_score FROM candidates WHERE NOT (sector = 'ASIA' AND direction = 's')")
+@query(f"SELECT {KS}, ml_score, coalesce(alignment, 0) AS alignment FROM candidates JOIN ({regime.SEASONAL}) USING ({KS}) WHERE coalesce(alignment, 0) <> -1", regime.EXTRA)
 def filter_against_season(spark, sf_dir):
-    """Candidates without those against the season; here shorts of one sector stand for an alignment of -1."""
-    aligned = c(spark, sf_dir).withColumn("alignment", F.when((F.col("sector") == "ASIA") & (F.col("direction") == "s"), -1).otherwise(0))
-    return aligned.where(F.col("alignment") != -1).select(*K, "ml_score")
+    """Candidates without those whose direction is against the season of earlier years; those without a season stay."""
+    aligned = regime.mkt_seasonal_features(spark, sf_dir).select(*K, F.coalesce("alignment", F.lit(0.0)).alias("alignment"))
+    return c(spark, sf_dir).join(aligned, K).where(F.col("alignment") != -1).select(*K, "ml_score", "alignment")
 
 
-@query("SELECT symbol, date, days_out, direction, combo, sharpe_ratio, avg_profit FROM opps WHERE direction = 'l' AND days_out BETWEEN 10 AND 25 AND sharpe_ratio > 1 AND avg_profit >= 2 AND upper(symbol) NOT IN ('BRAND#3', 'BRAND#17')")
+@query(" UNION ALL ".join(f"SELECT '{way}' AS way, symbol, date, days_out, direction, combo, sharpe_ratio, sharpe_ratio2, avg_profit FROM opps WHERE {cond} AND days_out BETWEEN 10 AND 25 AND (sharpe_ratio > 1 OR coalesce(sharpe_ratio2 > 1, false)) AND avg_profit >= 2 AND upper(symbol) NOT IN ('BRAND#3', 'BRAND#17')" for way, cond in (("l", "direction = 'l'"), ("both", "direction IN ('l', 's')"))))
 def filter_prefilter(spark, sf_dir):
-    return sl.prefilter(v.opportunities(spark, sf_dir), "l", (10, 25), 2.0, ["brand#3", "Brand#17"]).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio", "avg_profit")
+    o = v.opportunities(spark, sf_dir)
+    shown = lambda way: sl.prefilter(o, way, (10, 25), 2.0, ["brand#3", "Brand#17"]).select(F.lit(way).alias("way"), "symbol", "date", "days_out", "direction", "combo", "sharpe_ratio", "sharpe_ratio2", "avg_profit")
+    return shown("l").unionByName(shown("both"))
 
 
 @query(f"SELECT {KS}, ml_score FROM candidates ANTI JOIN earnings e ON candidates.symbol = e.symbol AND e.date BETWEEN candidates.date AND (candidates.date + holding_days) WHERE ml_score >= 70 AND win_probability >= 0.68 AND predicted_return >= 1.5".replace("symbol, date,", "candidates.symbol, candidates.date,"))
@@ -230,10 +233,25 @@ def no_repeat(spark, sf_dir):
     return sl.no_repeat(v.trades(spark, sf_dir), 5).select("strategy_id", "symbol", "entry_date", "exit_date", "direction", "holding_days")
 
 
-@query("""SELECT strategy_id, symbol, entry_date, direction, holding_days, losses, losses >= 3 AS many_losses FROM (SELECT *, coalesce(sum(CASE WHEN exit_return <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy_id
-  ORDER BY exit_date, entry_date, symbol, direction, holding_days ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS losses FROM trades)""")
+DAYS = "SELECT d::DATE AS date, (SELECT count(*) FROM (SELECT DISTINCT date FROM ticks) t WHERE t.date <= d::DATE) - 1 AS idx FROM (SELECT unnest(generate_series((SELECT min(date) FROM ticks), (SELECT max(date) + 40 FROM ticks), INTERVAL 1 DAY)) AS d)"
+
+
+def trading_days(spark, sf_dir):
+    """(date, idx) of every calendar date from the first bar to 40 days after the last: the number of the latest trading day. A calendar."""
+    d = v.ticks(spark, sf_dir).select("date").distinct()
+    ends = d.agg(F.min("date").alias("a"), F.date_add(F.max("date"), 40).alias("b"))
+    every = ends.select(F.explode(F.sequence("a", "b")).alias("date")).join(d.withColumn("t", F.lit(1)), "date", "left")
+    return every.select("date", (F.count("t").over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).alias("idx"))
+
+
+@query("""SELECT strategy_id, symbol, entry_date, direction, holding_days, losses, losses >= 3 AS many_losses, coalesce(day_losses, 0)::BIGINT AS day_losses, coalesce(day_losses, 0) >= 3 AS blocked FROM (SELECT *, coalesce(sum(CASE WHEN exit_return <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy_id
+  ORDER BY exit_date, entry_date, symbol, direction, holding_days ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS losses FROM trades)
+LEFT JOIN (SELECT date AS entry_date, idx FROM days) USING (entry_date) LEFT JOIN (SELECT strategy_id, idx, sum(n) AS day_losses FROM
+  (SELECT strategy_id, unnest([i, i + 1, i + 2, i + 3, i + 4, i + 5]) AS idx, n FROM (SELECT strategy_id, idx AS i, count(*) AS n FROM trades JOIN days ON exit_date = date WHERE exit_return <= 0 GROUP BY 1, 2)) GROUP BY 1, 2) USING (strategy_id, idx)""", {"days": DAYS})
 def recent_loss_flag(spark, sf_dir):
-    return sl.recent_losses(v.trades(spark, sf_dir)).select("strategy_id", "symbol", "entry_date", "direction", "holding_days", "losses", "many_losses")
+    """Losses among the last five exits, and losing exits within five trading days up to the entry."""
+    t = sl.loss_breaker(sl.recent_losses(v.trades(spark, sf_dir)), trading_days(spark, sf_dir))
+    return t.select("strategy_id", "symbol", "entry_date", "direction", "holding_days", "losses", "many_losses", "day_losses", "blocked")
 
 
 KELLY = """WITH t AS (SELECT *, unnest([70, 80, 85, 90])::DOUBLE AS threshold FROM candidates), f AS (SELECT * FROM t WHERE ml_score >= threshold),
@@ -260,12 +278,19 @@ B = 0.09
 
 @query(f"""SELECT {KS}, {sq(f'{B}')} AS sf, {sq(f'least(k * 0.25, {2 * B})')} AS sk, {sq(f'least(k * 0.5, {2 * B})')} AS sh, {sq(f'least(k * CASE WHEN ml_score >= 90 THEN 0.5 WHEN ml_score >= 80 THEN 0.35 ELSE 0.25 END, {2 * B})')} AS sa,
   {sq(f'greatest(0.5, least(1.5, (win_probability - 0.5) * 4)) * {B}')} AS sc, {sq(f'greatest(0.5, least(2.0, 0.25 / stock_volatility_20d)) * {B}')} AS sv,
-  {sq('least(0.15 * greatest(0.75, least(1.35, win_probability / 0.68)), 0.24)')} AS conf, {sq('least(greatest(0.15 * 25 / greatest(15, stock_volatility_20d * 100), 0.15 * 0.6), 0.15 * 1.4) * least(1, 20 / greatest(coalesce(vix, 20), 10))')} AS inv_vix
+  {sq('least(0.15 * greatest(0.75, least(1.35, win_probability / 0.68)), 0.24)')} AS conf, {sq('least(greatest(0.15 * 25 / greatest(15, stock_volatility_20d * 100), 0.15 * 0.6), 0.15 * 1.4) * least(1, 20 / greatest(coalesce(vix, 20), 10))')} AS inv_vix,
+  {sq(f'least(k * 0.25, {2 * B}) * CASE WHEN coalesce(vix, 15) > 15 THEN greatest(least((35 - coalesce(vix, 15)) / 20, 1.0::DOUBLE), 0.1::DOUBLE) ELSE 1.0::DOUBLE END')} AS sk_vix,
+  {sq('least(0.05::DOUBLE, 0.1::DOUBLE)')} AS opt_sf, {sq('least(k * 0.5, 0.1::DOUBLE)')} AS opt_sh, {sq('greatest(least(k * 0.5, 0.1::DOUBLE, 0.5::DOUBLE - ml_score / 200), 0)')} AS opt_left,
+  {sq('least(k * CASE WHEN ml_score >= 90 THEN 0.5 WHEN ml_score >= 80 THEN 0.35 ELSE 0.25 END, 0.1::DOUBLE)')} AS spread_sa
 FROM (SELECT *, greatest(win_probability - (1 - win_probability) / 1.3::DOUBLE, 0) AS k FROM candidates) LEFT JOIN index_series USING (date)""")
 def size_fraction(spark, sf_dir):
-    df = sl.with_vix(c(spark, sf_dir), v.index_series(spark, sf_dir), 20.0)
+    """Shares of equity by method; of these one under the second VIX scale, and premiums of options and spreads (one beside open positions)."""
+    df = sl.with_vix(c(spark, sf_dir), v.index_series(spark, sf_dir).select("date", "vix"), 20.0).withColumnRenamed("vix", "vix20")
+    df = sl.with_vix(df, v.index_series(spark, sf_dir).select("date", "vix"), 15.0)
     sizes = {m.lower(): q(sl.size_fraction(m)) for m in ("SF", "SK", "SH", "SA", "SC", "SV")}
-    return df.select(*K, *[e.alias(m) for m, e in sizes.items()], q(sl.position_weight("confidence")).alias("conf"), q(sl.position_weight("vol_inverse", vix=F.col("vix"))).alias("inv_vix"))
+    return df.select(*K, *[e.alias(m) for m, e in sizes.items()], q(sl.position_weight("confidence")).alias("conf"), q(sl.position_weight("vol_inverse", vix=F.col("vix20"))).alias("inv_vix"),
+        q(sl.size_fraction("SK") * sl.vix_scale(F.col("vix"))).alias("sk_vix"), q(sl.budget("option", "SF")).alias("opt_sf"), q(sl.budget("option", "SH")).alias("opt_sh"),
+        q(sl.budget("option", "SH", open_share=F.col("ml_score") / 200)).alias("opt_left"), q(sl.budget("spread", "SA")).alias("spread_sa"))
 
 
 @query(f"SELECT {KS}, {sq('CASE WHEN t <= 0.5 THEN a ELSE a * 0.5 / t END')} AS capped FROM (SELECT *, sum(a) OVER (PARTITION BY date) AS t FROM (SELECT *, greatest(0.5, least(1.5, (win_probability - 0.5) * 4)) * {B} AS a FROM candidates))")

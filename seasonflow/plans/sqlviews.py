@@ -16,6 +16,7 @@ VIEWS = {
     "sectors": "SELECT DISTINCT p_brand AS symbol, r_name AS sector FROM part JOIN region ON regexp_extract(p_brand, '(\\d+)', 1)::INT % 5 = r_regionkey WHERE p_brand <> 'Brand#25'",
     "index_series": f"""SELECT o_orderdate::DATE AS date, {q('avg(o_totalprice)', 4)} AS spx, {q("10 + 30 * avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 4)} AS vix,
   {q('avg(o_totalprice) / 1e5')} AS us10y, {q("avg(o_totalprice) FILTER (o_orderpriority = '2-HIGH') / 1e5")} AS us2y,
+  {q("10 + avg(o_totalprice) FILTER (o_orderpriority = '3-MEDIUM') / 2e4", 4)} AS vix3m, {q("avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') / 1e5")} AS irx,
   count(*) FILTER (o_orderstatus = 'F') AS advn, count(*) FILTER (o_orderstatus = 'O') AS decn FROM orders GROUP BY 1""",
     "earnings": "SELECT DISTINCT symbol, date FROM ticks WHERE l_returnflag = 'R' AND l_orderkey % 37 = 0",
     "opps0": f"""SELECT *, CASE WHEN k = 0 THEN 10 ELSE (5 + (l_partkey + 5 * k) % 31) END::INT AS year1, (l_linenumber + k) % 7 = 0 AS is_pe
@@ -23,8 +24,8 @@ VIEWS = {
     "opps1": "SELECT *, (CASE WHEN is_pe THEN year1 ELSE year1 - l_suppkey % (year1 - floor(year1 * 0.8::DOUBLE)::BIGINT + 1) END)::INT AS year2 FROM opps0",
     "opps2": f"""SELECT symbol, date, (10 + l_orderkey % 21)::INT AS days_out, CASE WHEN l_linestatus = 'F' THEN 'l' ELSE 's' END AS direction,
   year1 || '_' || year2 || CASE WHEN is_pe THEN '_PE2' ELSE '' END AS combo, year1, year2, is_pe, {q('20 * l_discount + 5 * l_tax + 0.1::DOUBLE * k', 4)} AS sharpe_ratio, {q('100 * l_tax', 4)} AS avg_profit,
-  CASE WHEN l_linenumber <> 1 THEN {q('100 * l_discount', 4)} END AS avg_profit2, {KEY} FROM opps1""",
-    "opps": f"""SELECT symbol, date, days_out, direction, combo, year1, year2, is_pe, sharpe_ratio, avg_profit, avg_profit2 FROM opps2
+  CASE WHEN l_linenumber <> 2 THEN {q('25 * l_tax', 4)} END AS sharpe_ratio2, CASE WHEN l_linenumber <> 1 THEN {q('100 * l_discount', 4)} END AS avg_profit2, {KEY} FROM opps1""",
+    "opps": f"""SELECT symbol, date, days_out, direction, combo, year1, year2, is_pe, sharpe_ratio, avg_profit, sharpe_ratio2, avg_profit2 FROM opps2
   QUALIFY row_number() OVER (PARTITION BY symbol, date, days_out, direction, combo ORDER BY sharpe_ratio DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1""",
     "cand0": f"""SELECT *, (10 + l_orderkey % 21)::INT AS holding_days, CASE WHEN l_linestatus = 'F' THEN 'l' ELSE 's' END AS direction FROM ticks
   QUALIFY row_number() OVER (PARTITION BY symbol, date, 10 + l_orderkey % 21, l_linestatus = 'F' ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1""",
@@ -37,6 +38,7 @@ VIEWS = {
     "equity0": "SELECT c_mktsegment AS strategy_id, o_orderdate::DATE AS date, sum((o_totalprice - 200000) / 100) AS pnl FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "equity": f"SELECT strategy_id, date, {q('pnl')} AS pnl, {q('100000 + sum(pnl) OVER (PARTITION BY strategy_id ORDER BY date)', 4)} AS equity FROM equity0",
     "trades": f"""SELECT 'S' || (holding_days % 5) AS strategy_id, symbol, sector, direction, date AS entry_date, (date + holding_days)::DATE AS exit_date, holding_days, floor(1 + holding_days * 5 / 7.0::DOUBLE)::INT AS days_held, ml_score,
+  {q('0.004::DOUBLE * floor(1 + holding_days * 5 / 7.0::DOUBLE)')} AS theta, {q('greatest(actual_return / 100 * 12 - 0.004::DOUBLE * floor(1 + holding_days * 5 / 7.0::DOUBLE), -1.0::DOUBLE)')} AS option_return,
   {q('actual_return / 100')} AS exit_return, {q('actual_mfe / 100')} AS hwm, {q('actual_return * 50', 4)} AS pnl FROM candidates""",
 }
 

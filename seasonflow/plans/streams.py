@@ -35,7 +35,7 @@ def stream_score(spark, sf_dir):
     rows = request_rows(spark, sf_dir)
     rows.write.parquet(src)
     jobs.scored_stream(spark.readStream.schema(rows.schema).parquet(src), features, bins, ["10_30", "31_60", "61_90"], out, state)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 QUERIES = {"stream_opps_ingest": stream_opps_ingest, "stream_score": stream_score}

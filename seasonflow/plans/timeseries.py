@@ -37,7 +37,10 @@ EXTRA = {
     "atrs": f"SELECT *, {mean('tr', 14)} AS atr14, CASE WHEN count(tr) {w(14)} >= 10 THEN avg(tr) {w(14)} / nullif(close, 0) END AS atr_pct FROM ranges",
     "smas": f"SELECT *, {mean('close', 20)} AS sma20, {mean('close', 50)} AS sma50, {mean('close', 100)} AS sma100, {mean('close', 200)} AS sma200 FROM atrs",
     "wmas": f"SELECT symbol, date, ({' + '.join(f'lag(close, {k}) {W} * {13 - k}' for k in range(1, 13))} + close * 13) / 91 AS wma13, close / nullif(lag(close, 20) {W}, 0) - 1 AS roc20 FROM bars",
-    "trends": """SELECT *, least(greatest(5 + (close - sma20) / a, 0), 10) + least(greatest(5 + (close - sma50) / a, 0), 10) + least(greatest(5 + (close - sma100) / a, 0), 10)
+    "trends": """SELECT *, least(greatest(5 - (close - sma20) / a, 0), 10) + least(greatest(5 - (close - sma50) / a, 0), 10) + least(greatest(5 - (close - sma100) / a, 0), 10)
+  + CASE WHEN sma200 IS NOT NULL THEN least(greatest(5 - (close - sma200) / a, 0), 10) END + CASE WHEN macd_hist > 0 THEN 3 ELSE 7 END
+  + CASE WHEN macd_hist > 0 THEN 10 - least(abs(macd_hist) / a, 5) / 5 * 10 ELSE least(abs(macd_hist) / a, 5) / 5 * 10 END
+  + CASE WHEN ema5 > wma13 THEN 3 ELSE 7 END + CASE WHEN close > ema5 THEN 3 ELSE 7 END + 10 - rsi14 / 10 + least(abs(roc20) * 200, 10) / 2 + 2.5::DOUBLE AS trend_short, least(greatest(5 + (close - sma20) / a, 0), 10) + least(greatest(5 + (close - sma50) / a, 0), 10) + least(greatest(5 + (close - sma100) / a, 0), 10)
   + CASE WHEN sma200 IS NOT NULL THEN least(greatest(5 + (close - sma200) / a, 0), 10) END + CASE WHEN macd_hist > 0 THEN 7 ELSE 3 END
   + CASE WHEN macd_hist > 0 THEN least(abs(macd_hist) / a, 5) / 5 * 10 ELSE 10 - least(abs(macd_hist) / a, 5) / 5 * 10 END
   + CASE WHEN ema5 > wma13 THEN 7 ELSE 3 END + CASE WHEN close > ema5 THEN 7 ELSE 3 END + rsi14 / 10 + least(abs(roc20) * 200, 10) / 2 + 2.5::DOUBLE AS trend_long
@@ -81,7 +84,7 @@ indicator("ts_obv_slope", ts.with_obv_slope, {"obv": 4, "obv_slope": 4}, f"""SEL
   SELECT symbol, date, sum(v) {W} AS obv FROM (SELECT symbol, date, coalesce(sign(close - lag(close) {W}), 0) * volume AS v FROM bars))""")
 indicator("ts_vol_price_confirm", ts.with_volume_confirmation, {"vol_price_confirm": None}, f"""SELECT symbol, date, (CASE WHEN u IS NULL THEN NULL WHEN u = 0 OR x = 0 THEN 0 WHEN x > 0 THEN 1 ELSE -1 END)::DOUBLE AS vol_price_confirm
   FROM (SELECT symbol, date, close - lag(close) {W} AS u, volume - lag(volume) {W} AS x FROM bars)""")
-indicator("ts_trend_score", ts.with_trend_score, {"trend_long": 5, "trend_delta": 5}, f"SELECT symbol, date, trend_long, trend_long - lag(trend_long) {W} AS trend_delta FROM trends")
+indicator("ts_trend_score", ts.with_trend_score, {"trend_long": 5, "trend_short": 5, "trend_delta": 5}, f"SELECT symbol, date, trend_long, trend_short, trend_long - lag(trend_long) {W} AS trend_delta FROM trends")
 indicator("ts_52w", ts.with_52w, {"from_high": 6, "from_low": 6, "in_range": 6}, f"""SELECT symbol, date, (close - h) / nullif(h, 0) AS from_high, (close - l) / nullif(l, 0) AS from_low, (close - l) / nullif(h - l, 0) AS in_range
   FROM (SELECT *, CASE WHEN count(close) {w(252)} >= 20 THEN max(high) {w(252)} END AS h, CASE WHEN count(close) {w(252)} >= 20 THEN min(low) {w(252)} END AS l FROM bars)""")
 indicator("ts_liquidity", ts.with_liquidity, {"avg_volume20": 4, "log_dollar_volume": 6}, f"SELECT symbol, date, {mean('volume', 20)} AS avg_volume20, CASE WHEN close * volume > 0 THEN ln(close * volume) END AS log_dollar_volume FROM bars")

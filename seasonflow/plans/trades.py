@@ -65,11 +65,9 @@ def interval_price_path(spark, sf_dir):
     return p.groupBy(*K).agg(F.count(F.lit(1)).alias("n_bars"), F.min("bar_close").alias("low"), F.max("bar_close").alias("high"))
 
 
-@query(f"SELECT {KS}, bar_date, t::INT AS t, {sq('cum')} AS cum, last::INT AS last FROM paths WHERE date < '1997-01-01'")
+@query(f"SELECT {KS}, bar_date, t::INT AS t, {sq('cum')} AS cum, last::INT AS last FROM paths")
 def trade_path(spark, sf_dir):
-    c = v.candidates(spark, sf_dir).where(F.col("date") < "1997-01-01")
-    return tr.trade_path(c, v.bars(spark, sf_dir)).select(*K, "bar_date", "t", q("cum").alias("cum"), "last")
-
+    return path(spark, sf_dir).select(*K, "bar_date", "t", q("cum").alias("cum"), "last")
 
 
 def predicted():
@@ -108,11 +106,9 @@ def option(spark, sf_dir):
     return tr.option_path(path(spark, sf_dir), "D60", F.col("holding_days") * 2)
 
 
-@query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed FROM options WHERE date < '1997-01-01'")
+@query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed FROM options")
 def pnl_option_path(spark, sf_dir):
-    p = tr.trade_path(v.candidates(spark, sf_dir).where(F.col("date") < "1997-01-01"), v.bars(spark, sf_dir))
-    p = tr.option_path(p, "D60", F.col("holding_days") * 2)
-    return p.select(*K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"))
+    return option(spark, sf_dir).select(*K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM ({exits('options', rules)})" for rule, rules in {

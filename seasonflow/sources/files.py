@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import require_columns
+from seasonflow.functions.core import require_columns, shared_path
 
 BARS = "date date, open double, high double, low double, close double, volume double"
 OPPS = "LorS string, date date, daysOut int, sym string, sharpe_ratio double, avg_profit double, avg_profit2 double"
@@ -60,13 +60,22 @@ def near_dates(opps: DataFrame, target: str, days: tuple[int, ...] = (-14, -7, 0
 
 
 def write_cache(df: DataFrame, path: str, by: tuple[str, ...] = ("market", "target_date")) -> None:
-    """Add the partitions of df that the cache lacks; what is there stays."""
+    """Write the partitions of df that the cache lacks or holds with another number of rows; the others stay.
+
+    So what a failed job has left short is written anew, and a job that runs twice changes nothing.
+    """
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df = df.withColumns({c: F.col(c).cast("string") for c in by})
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        there = spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in by]).distinct()
-        df = df.withColumns({c: F.col(c).cast("string") for c in by}).join(there, list(by), "left_anti")
-    df.write.mode("append").option("compression", "snappy").partitionBy(*by).parquet(path)
+        counted = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        there = counted(spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in by]))
+        # written out, as what is read can't be overwritten
+        todo = shared_path(spark, "todo")
+        counted(df).join(there, [*by, "_n"], "left_anti").select(*by).write.parquet(todo)
+        df = df.join(spark.read.parquet(todo), list(by), "left_semi")
+    out = df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.option("compression", "snappy").partitionBy(*by).parquet(path)
 
 
 def cached_candidates(spark: SparkSession, path: str, target: str, markets: list[str]) -> DataFrame:

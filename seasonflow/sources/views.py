@@ -38,12 +38,13 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, spx, vix, us10y, us2y, advn, decn) by order date; us2y is absent on some dates."""
+    """(date, spx, vix, vix3m, us10y, us2y, irx, advn, decn) by order date; vix3m, us2y and irx are absent on some dates."""
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice", "o_orderpriority", "o_orderstatus")
     share = F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1.0)).otherwise(F.lit(0.0)))
     return o.groupBy("date").agg(
         q(F.avg("o_totalprice"), 4).alias("spx"), q(10 + 30 * share, 4).alias("vix"), q(F.avg("o_totalprice") / 1e5).alias("us10y"),
         q(F.avg(F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice"))) / 1e5).alias("us2y"),
+        q(10 + F.avg(F.when(F.col("o_orderpriority") == "3-MEDIUM", F.col("o_totalprice"))) / 2e4, 4).alias("vix3m"), q(F.avg(F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice"))) / 1e5).alias("irx"),
         F.count_if(F.col("o_orderstatus") == "F").alias("advn"), F.count_if(F.col("o_orderstatus") == "O").alias("decn"),
     )
 
@@ -53,7 +54,7 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pattern rows (symbol, date, days_out, direction, combo, year1, year2, is_pe, sharpe_ratio, avg_profit, avg_profit2)."""
+    """Pattern rows (symbol, date, days_out, direction, combo, year1, year2, is_pe, sharpe_ratio, avg_profit, sharpe_ratio2, avg_profit2)."""
     t = ticks(spark, sf_dir).where(F.year("date") == 2000).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
     t = t.where((F.col("l_suppkey") + F.col("k")) % 3 != 0)
     year1 = F.when(F.col("k") == 0, 10).otherwise(5 + (F.col("l_partkey") + 5 * F.col("k")) % 31).cast("int")
@@ -63,10 +64,10 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select(
         "symbol", "date", (10 + F.col("l_orderkey") % 21).cast("int").alias("days_out"), F.when(F.col("l_linestatus") == "F", "l").otherwise("s").alias("direction"), "combo", "year1", "year2", "is_pe",
         q(20 * F.col("l_discount") + 5 * F.col("l_tax") + 0.1 * F.col("k"), 4).alias("sharpe_ratio"), q(100 * F.col("l_tax"), 4).alias("avg_profit"),
-        F.when(F.col("l_linenumber") != 1, q(100 * F.col("l_discount"), 4)).alias("avg_profit2"), *KEY,
+        F.when(F.col("l_linenumber") != 2, q(25 * F.col("l_tax"), 4)).alias("sharpe_ratio2"), F.when(F.col("l_linenumber") != 1, q(100 * F.col("l_discount"), 4)).alias("avg_profit2"), *KEY,
     )
     own = ["symbol", "date", "days_out", "direction", "combo"]
-    best = rows.groupBy(*own).agg(F.max_by(F.struct("year1", "year2", "is_pe", "sharpe_ratio", "avg_profit", "avg_profit2"), F.struct("sharpe_ratio", *KEY)).alias("b"))
+    best = rows.groupBy(*own).agg(F.max_by(F.struct("year1", "year2", "is_pe", "sharpe_ratio", "avg_profit", "sharpe_ratio2", "avg_profit2"), F.struct("sharpe_ratio", *KEY)).alias("b"))
     return best.select(*own, "b.*")
 
 
@@ -99,11 +100,11 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed trades: candidates of even score under one of five strategies, (strategy_id, symbol, ..., exit_return as a share)."""
+    """Closed trades: candidates under one of five strategies, (strategy_id, symbol, ..., exit_return as a share); theta and option_return of the same trade by options."""
     c = candidates(spark, sf_dir)
     number = F.col("holding_days") % 5
     held = (1 + F.col("holding_days") * 5 / 7).cast("int")
     return c.select(
         F.concat(F.lit("S"), number).alias("strategy_id"), "symbol", "sector", "direction", F.col("date").alias("entry_date"), F.date_add("date", F.col("holding_days")).alias("exit_date"), "holding_days", held.alias("days_held"),
-        "ml_score", q(F.col("actual_return") / 100).alias("exit_return"), q(F.col("actual_mfe") / 100).alias("hwm"), q(F.col("actual_return") * 50, 4).alias("pnl"),
+        "ml_score", q(0.004 * held).alias("theta"), q(F.greatest(F.col("actual_return") / 100 * 12 - 0.004 * held, F.lit(-1.0))).alias("option_return"), q(F.col("actual_return") / 100).alias("exit_return"), q(F.col("actual_mfe") / 100).alias("hwm"), q(F.col("actual_return") * 50, 4).alias("pnl"),
     )

@@ -29,14 +29,17 @@ def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: list[
 
 
 def scored_stream(requests: DataFrame, features: DataFrame, bins: DataFrame, tiers: list[str], out: str, checkpoint: str) -> None:
-    """Requests joined with the static features and calibration; each batch appends scored and error rows."""
+    """Requests joined with the static features and calibration; each batch gives scored and error rows.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch owns the folder batch=<its id> and writes it whole: a batch that is tried again replaces its rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         checked = validated(batch, tiers).withColumn("d", F.expr("try_to_date(date, 'yyyy-MM-dd')"))
         joined = checked.join(features.withColumnRenamed("symbol", "_s"), F.col("symbol") == F.col("_s"), "left").drop("_s")
         done = calibrated(joined, bins, "predicted")
         missing = F.when(F.col("error").isNull() & F.col("predicted").isNull(), "no features").otherwise(F.col("error"))
         done = done.withColumn("error", missing).withColumn("calibrated_score", F.when(F.col("error").isNull(), F.col("calibrated_score")))
-        done.select("event_id", "symbol", "date", "days_out", "tier", "error", "calibrated_score").write.mode("append").parquet(out)
+        done.select("event_id", "symbol", "date", "days_out", "tier", "error", "calibrated_score").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
