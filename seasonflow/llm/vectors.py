@@ -34,7 +34,7 @@ from seasonflow.llm.common import cut, unit_hash
 from seasonflow.llm.components import components
 
 #: Blocks into which a table is cut at least; the least and the most vectors in a block, and its most bytes.
-PARTS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 32, 1024, 16384, 1 << 25
+PARTS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 16, 1024, 16384, 1 << 25
 #: Slack for rounding at borders.
 EPS = 1e-6
 
