@@ -17,17 +17,19 @@ def safe_log1p(r: Column) -> Column:
     return F.log1p(F.greatest(r, F.lit(-0.9999)))
 
 
-def ranked_counts(df: DataFrame, c: str, by: list[str], parts: int = 64) -> DataFrame:
+def ranked_counts(df: DataFrame, c: str, by: list[str], parts: int = 64, rows: str | None = None) -> DataFrame:
     """(by, c, n, before, total): each distinct value with its rows, the rows below it, and all rows of its group.
 
-    Values are counted first; the counts are dealt by range into parts of a group's span, so that no task sees all of a
-    group, and a part's offset is the total of the parts before it, from a table of `parts` rows for each group.
+    Values are counted first; the counts are cut into `parts` ranges of about as many values each, at approximate
+    percentiles of a group's values, so that no task sees all of a group however its values are spread. A range's offset
+    is the total of the ranges before it, from a table of `parts` rows for each group. With rows, a column of whole
+    numbers, each row of df stands for so many.
     """
-    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.sum("n").alias("total"))
-    with_ends = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))
-    span = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (parts - 1))).otherwise(0)
-    dealt = with_ends.withColumn("_part", span.cast("int")).drop("_lo", "_hi")
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
+    grid = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(c, grid, 20 * parts).alias("_cuts"), F.sum("n").alias("total"))
+    with_cuts = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    dealt = with_cuts.withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(c)))).drop("_cuts")
     inner = dealt.withColumn("_b", F.sum("n").over(Window.partitionBy(*by, "_part").orderBy(c)) - F.col("n"))
     totals = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_t"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -35,10 +37,10 @@ def ranked_counts(df: DataFrame, c: str, by: list[str], parts: int = 64) -> Data
     return inner.join(offsets, [*by, "_part"]).select(*by, c, "n", (F.col("_o") + F.col("_b")).alias("before"), "total")
 
 
-def quantiles(df: DataFrame, c: str, probs: list[float], by: list[str] = ()) -> DataFrame:
-    """(by, p, value): exact quantiles with linear interpolation, from ranked counts."""
+def quantiles(df: DataFrame, c: str, probs: list[float], by: list[str] = (), rows: str | None = None) -> DataFrame:
+    """(by, p, value): exact quantiles with linear interpolation, from ranked counts; rows as there."""
     by = list(by)
-    r = ranked_counts(df, c, by)
+    r = ranked_counts(df, c, by, rows=rows)
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), ((F.col("total") - 1) * F.lit(float(p))).alias("at")) for p in probs])
     last = F.col("before") + F.col("n") - 1
     near = F.filter(wanted, lambda x: (F.floor(x["at"]) <= last) & (F.floor(x["at"]) + 1 >= F.col("before")))
@@ -86,11 +88,15 @@ def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
+    """One row of counts, rates, correlations, means and quantiles of candidates with has_event."""
     g = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), (100 * share(F.col("actual_return") > 0)).alias("win_rate"),
         F.corr("predicted_return", "actual_return").alias("corr_return"), F.corr("predicted_mfe", "actual_mfe").alias("corr_mfe"), F.avg("actual_return").alias("mean"),
+        (100 * share(F.col("has_event"))).alias("event_rate"), F.avg("actual_mfe").alias("mfe_mean"),
     )
-    return g.crossJoin(pivoted(quantiles(df, "actual_return", [0.5, 0.05, 0.95]), {0.5: "median", 0.05: "p05", 0.95: "p95"}))
+    of_return = pivoted(quantiles(df, "actual_return", [0.5, 0.05, 0.95]), {0.5: "median", 0.05: "p05", 0.95: "p95"})
+    of_mfe = pivoted(quantiles(df, "actual_mfe", [0.5]), {0.5: "mfe_median"})
+    return g.crossJoin(F.broadcast(of_return)).crossJoin(F.broadcast(of_mfe))  # one row each
 
 
 def by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -107,25 +113,30 @@ def by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
     return g.select(dim.cast("string").alias("dim"), value.cast("string").alias("value"), "trades", "win_rate", "avg_return", "avg_predicted", "avg_mfe")
 
 
-def global_rank(df: DataFrame, c: str, parts: int = 64) -> DataFrame:
-    """df with rank, its average-tie rank over all rows, without one task seeing all of them; rows with a null c go."""
-    r = ranked_counts(df, c, [], parts)
-    return df.join(r.select(c, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")), c)
+def global_rank(df: DataFrame, c: str, by: list[str] = (), parts: int = 64) -> DataFrame:
+    """df with rank, its average-tie rank over all rows or a group's, without one task seeing all of them; rows with a null c go."""
+    r = ranked_counts(df, c, list(by), parts)
+    return df.join(r.select(*by, c, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")), [*by, c])
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Area under the ROC curve by group from rank sums of counted scores; 0.5 where a class is missing."""
-    g = df.groupBy(*by, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(score)
-    g = g.withColumn("below", F.sum("n").over(w) - F.col("n"))
-    s = g.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
-    value = F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).otherwise(0.5)
+    hits = df.groupBy(*by, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("_p"))
+    g = ranked_counts(df, score, by).join(hits, [*by, score])
+    s = g.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_r"), F.sum("_p").alias("_p"), F.sum(F.col("n") - F.col("_p")).alias("_q"))
+    value = F.when((F.col("_p") > 0) & (F.col("_q") > 0), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_q"))).otherwise(0.5)
     return s.select(*by, value.alias("auc"))
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ra = global_rank(df, a).withColumnRenamed("rank", "_ra")
-    return global_rank(ra, b).agg(F.corr("_ra", "rank").alias("spearman"))
+def above_median(df: DataFrame, c: str, by: list[str]) -> DataFrame:
+    """df with is_high, whether c is over its group's median."""
+    m = pivoted(quantiles(df, c, [0.5], by), {0.5: "_median"}, by)
+    return df.join(m, by).withColumn("is_high", F.col(c) > F.col("_median")).drop("_median")
+
+
+def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
+    ra = global_rank(df.select(*by, a, b), a, by).withColumnRenamed("rank", "_ra")
+    return global_rank(ra, b, by).groupBy(*by).agg(F.corr("_ra", "rank").alias("spearman"))
 
 
 def regression(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataFrame:
@@ -144,20 +155,51 @@ def binary(df: DataFrame, predicted: str, hit: Column, by: list[str]) -> DataFra
     return c.select(*by, "n", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "precision", "recall", f1.alias("f1"), ((F.col("tp") + F.col("fn")) / F.col("n")).alias("base_rate"))
 
 
-def lift(df: DataFrame, score: str, floors: tuple[int, ...] = (0, 50, 60, 70, 80, 85, 90), least: int = 10) -> DataFrame:
-    """(floor, n, win_rate, avg_return, median_return, avg_mfe, median_mfe, sharpe, pct_of_trades) of the rows above each percentile of the score."""
+def lift(df: DataFrame, score: str, positive: Column, key: list[str], floors: tuple[int, ...] = (50, 60, 70, 80, 85, 90), least: int = 10) -> DataFrame:
+    """(filter, n, win_rate, avg_return, median_return, avg_mfe, median_mfe, sharpe, max_drawdown, pct_of_trades) of all rows, of those above each percentile of the score, and of the positive ones.
+
+    Rows aren't multiplied: each has one flag for each filter, sums are conditional, and medians come from counts of
+    values by the set of filters that they pass. max_drawdown is that of the returns compounded in the order of key,
+    whose first column is a date.
+    """
     n = df.agg(F.count(F.lit(1)).alias("_all"))
-    r = global_rank(df, score).crossJoin(F.broadcast(n)).withColumn("_pct", F.col("rank") / F.col("_all") * 100)
-    r = r.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors]))).where((F.col("_pct") >= F.col("floor")) | (F.col("floor") == 0))
-    g = r.groupBy("floor").agg(
-        F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"), F.avg("actual_mfe").alias("avg_mfe"),
-        F.coalesce(ratio(F.avg("actual_return"), F.stddev_samp("actual_return")) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), F.max("_all").alias("_all"),
-    )
+    r = global_rank(df, score).crossJoin(F.broadcast(n)).withColumn("_pct", F.col("rank") / F.col("_all") * 100)  # one row
+    flags = {"all": F.lit(True), **{str(f): F.col("_pct") >= f for f in floors}, "positive": F.coalesce(positive, F.lit(False))}
+    r = r.withColumn("_in", F.array(*[F.when(flag, F.lit(k)) for k, flag in flags.items()])).withColumn("_in", F.filter("_in", lambda x: x.isNotNull()))
+    stats = lambda k, c: F.when(F.array_contains("_in", k), F.col(c))
+    rows = []
+    for k in flags:
+        x, m = stats(k, "actual_return"), stats(k, "actual_mfe")
+        sharpe = F.coalesce(ratio(F.avg(x), F.stddev_samp(x)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
+        rows.append(F.struct(F.lit(k).alias("filter"), F.count(x).alias("n"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"), F.avg(x).alias("avg_return"), F.avg(m).alias("avg_mfe"), sharpe.alias("sharpe"), F.max("_all").alias("_all")))
+    g = r.agg(F.array(*rows).alias("x")).select(F.inline("x"))
     for c in ("actual_return", "actual_mfe"):
-        g = g.join(pivoted(quantiles(r, c, [0.5], ["floor"]), {0.5: f"median_{c.removeprefix('actual_')}"}, ["floor"]), "floor")
+        counted = r.groupBy("_in", c).agg(F.count(F.lit(1)).alias("_n")).select(F.explode("_in").alias("filter"), c, "_n")
+        g = g.join(pivoted(quantiles(counted, c, [0.5], ["filter"], rows="_n"), {0.5: f"median_{c.removeprefix('actual_')}"}, ["filter"]), "filter")
+    g = g.join(worst_drawdown(r, "actual_return", {k: F.array_contains("_in", k) for k in flags}, key), "filter")
     return g.where(F.col("n") >= least).withColumn("pct_of_trades", F.col("n") / F.col("_all") * 100).drop("_all")
 
 
+def worst_drawdown(df: DataFrame, ret: str, flags: dict[str, Column], key: list[str]) -> DataFrame:
+    """(filter, max_drawdown): the deepest fall below the peak, in percent, of percent returns compounded in the order of key, for the rows of each flag.
+
+    Days first: each day's growth, its highest and lowest points and its own deepest fall, all as logarithms. Days are
+    then put together in a window over the calendar.
+    """
+    day = Window.partitionBy(key[0]).orderBy(*key[1:])
+    own = {k: F.when(flag, safe_log1p(F.col(ret) / 100)) for k, flag in flags.items()}
+    d = df.select(*key, *[x.alias(f"_r{i}") for i, x in enumerate(own.values())])
+    d = d.withColumns({f"_c{i}": F.when(F.col(f"_r{i}").isNotNull(), F.sum(f"_r{i}").over(day)) for i in range(len(own))})
+    d = d.withColumns({f"_p{i}": F.col(f"_c{i}") - F.max(f"_c{i}").over(day) for i in range(len(own))})
+    parts = [F.struct(F.lit(k).alias("filter"), F.sum(f"_r{i}").alias("s"), F.max(f"_c{i}").alias("hi"), F.min(f"_c{i}").alias("lo"), F.min(f"_p{i}").alias("fall")) for i, k in enumerate(own)]
+    days = d.groupBy(key[0]).agg(F.array(*parts).alias("x")).select(key[0], F.inline("x")).where("s is not null")
+    w = Window.partitionBy("filter").orderBy(key[0])
+    days = days.withColumn("start", F.sum("s").over(w) - F.col("s"))
+    days = days.withColumn("peak", F.max(F.col("start") + F.col("hi")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    fall = F.least("fall", F.coalesce(F.col("start") + F.col("lo") - F.col("peak"), F.lit(0.0)))
+    return days.groupBy("filter").agg(((F.exp(F.min(fall)) - 1) * 100).alias("max_drawdown"))
+
+
 def drawdown(df: DataFrame, by: list[str], order: list[str], equity: str) -> DataFrame:
     """df with peak, the running maximum, and drawdown, the share below it."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -205,16 +247,32 @@ def equity_statistics(equity: DataFrame) -> DataFrame:
     return out
 
 
-def trade_statistics(trades: DataFrame, by: list[str], years: float) -> DataFrame:
-    r, p = F.col("exit_return"), F.col("pnl")
+def trade_statistics(trades: DataFrame, by: list[str], years: float, ret: str = "exit_return", total_loss: float = -1.0) -> DataFrame:
+    """Win rate, means, gross sums and rates of trades by their column ret; a return of at most total_loss is a total loss."""
+    r, p = F.col(ret), F.col("pnl")
     win = r > 0
     g = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), share(win).alias("win_rate"), F.coalesce(F.avg(F.when(win, r)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(~win, r)), F.lit(0.0)).alias("avg_loss"), F.coalesce(F.sum(F.when(win, p)), F.lit(0.0)).alias("gross_profit"),
-        F.coalesce(F.abs(F.sum(F.when(~win, p))), F.lit(0.0)).alias("gross_loss"), F.min(r).alias("worst"), share(r <= -1).alias("total_loss_rate"), F.avg(r).alias("ev"), F.avg("days_held").alias("avg_days"),
+        F.coalesce(F.abs(F.sum(F.when(~win, p))), F.lit(0.0)).alias("gross_loss"), F.min(r).alias("worst"), share(r <= total_loss).alias("total_loss_rate"), F.avg(r).alias("ev"), F.avg("days_held").alias("avg_days"),
     )
     return g.withColumn("profit_factor", ratio(F.col("gross_profit"), F.col("gross_loss"))).withColumn("per_year", F.col("n") / years)
 
 
+def option_statistics(trades: DataFrame, by: list[str], years: float) -> DataFrame:
+    """trade_statistics of option returns, where -90 % is a total loss, with avg_theta and multiplier, the options' sum of returns over the stocks'."""
+    extra = trades.groupBy(*by).agg(F.avg("theta").alias("avg_theta"), F.sum("option_return").alias("_o"), F.sum("exit_return").alias("_s"))
+    extra = extra.withColumn("multiplier", F.when(F.abs("_s") > 0.001, F.col("_o") / F.col("_s")).otherwise(0.0)).drop("_o", "_s")
+    return trade_statistics(trades, by, years, "option_return", -0.90).join(extra, by)
+
+
+def yearly_dollars(trades: DataFrame, by: list[str], capital: float, share_of: float, haircuts: tuple[float, ...] = (0.3, 0.5)) -> DataFrame:
+    """(by, year, n, ev, dollars, and dollars after each haircut): what trades of a share of the capital each earn in a year; year 0 is the mean of the years that have trades."""
+    y = trades.groupBy(*by, F.year("entry_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("exit_return").alias("ev"))
+    y = y.withColumn("dollars", F.col("ev") * F.col("n") * share_of * capital)
+    mean = y.groupBy(*by).agg(F.lit(0).alias("year"), F.sum("n").alias("n"), ratio(F.sum(F.col("ev") * F.col("n")), F.sum("n")).alias("ev"), F.avg("dollars").alias("dollars"))
+    return y.unionByName(mean).withColumns({f"after_{round(h * 100)}": F.col("dollars") * (1 - h) for h in haircuts})
+
+
 def min_max(c: str) -> Column:
     w = Window.partitionBy(F.lit(0))
     lo, hi = F.min(c).over(w), F.max(c).over(w)
@@ -232,6 +290,49 @@ def brief_score(summary: DataFrame, years: float) -> DataFrame:
     return summary.withColumn("brief_score", s)
 
 
+def window_statistics(df: DataFrame, windows: dict[str, tuple[str, str]]) -> DataFrame:
+    """Counts, win rates and mean returns by direction and score floor, inside and outside the windows and in each of them, in one pass."""
+    within = {k: F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")) for k, (a, b) in windows.items()}
+    inside = F.greatest(*within.values(), F.lit(False))
+    labels = F.array(F.when(inside, "inside").otherwise("outside"), *[F.when(x, k) for k, x in within.items()])
+    d = df.withColumn("period", F.explode(F.filter(labels, lambda x: x.isNotNull())))
+    of = lambda floor, way=None: (F.col("ml_score") >= floor) & (F.lit(True) if way is None else F.col("direction") == way)
+    win = lambda c: 100 * F.avg(F.when(c, F.when(F.col("actual_return") > 0, 1.0).otherwise(0.0)))
+    mean = lambda c: F.avg(F.when(c, F.col("actual_return")))
+    floors = {"": (-1, None), "_long": (-1, "l"), "_short": (-1, "s"), "70": (70, None), "85": (85, None), "85_long": (85, "l"), "85_short": (85, "s")}
+    r70 = F.when(of(70), F.col("actual_return"))
+    return d.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(of(-1, "l")).alias("n_long"), F.count_if(of(-1, "s")).alias("n_short"), *[win(of(*x)).alias(f"wr{k}") for k, x in floors.items()],
+        *[mean(of(*floors[k])).alias(f"avg{k}") for k in ("70", "85", "85_long")], F.coalesce(ratio(F.avg(r70), F.stddev_samp(r70)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe70"),
+    )
+
+
+def threshold_grid(df: DataFrame, inside: Column, floors: list[int]) -> DataFrame:
+    """(threshold, in_window, n, win_rate, avg_return) of the rows over each floor, inside and outside."""
+    d = df.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in floors]))).where(F.col("ml_score") >= F.col("threshold"))
+    return d.groupBy("threshold", inside.alias("in_window")).agg(F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"))
+
+
+def equivalent_threshold(grid: DataFrame, reference: int) -> DataFrame:
+    """One row (equivalent, reference_rate): the lowest floor whose win rate inside reaches that of the reference floor outside; null without one."""
+    outside = F.broadcast(grid.where(~F.col("in_window") & (F.col("threshold") == reference)).agg(F.max("win_rate").alias("reference_rate")))
+    return grid.where("in_window").crossJoin(outside).agg(F.min(F.when(F.col("win_rate") >= F.col("reference_rate"), F.col("threshold"))).alias("equivalent"), F.max("reference_rate").alias("reference_rate"))
+
+
+def joined_predictions(labels: DataFrame, parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """labels with each part's prediction by their key, and all_there, whether labels and parts have as many rows each.
+
+    Rows that a part lacks go. A key stands once in labels and in each part.
+    """
+    n = labels.agg(F.count(F.lit(1)).alias("_n0"))
+    out, same = labels, F.lit(True)
+    for i, p in enumerate(parts.values(), 1):
+        out = out.join(p, key)
+        n = n.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias(f"_n{i}"))))
+        same = same & (F.col(f"_n{i}") == F.col("_n0"))
+    return out.crossJoin(F.broadcast(n.select(same.alias("all_there"))))  # one row
+
+
 def daily_book(picks: DataFrame, slippage: float = 0.2, start: float = 100000.0) -> DataFrame:
     """(date, n, ret, equity, drawdown): each day's picks in equal weights, percent returns less slippage, compounded.
 

@@ -53,6 +53,9 @@ EXTRA = {
   JOIN (SELECT strategy_id, count(*) FILTER (r > 0) AS years_profitable, min(r) AS worst_year FROM (SELECT strategy_id, arg_max(equity, date) / arg_min(equity, date) - 1 AS r FROM equity GROUP BY strategy_id, year(date)) GROUP BY 1) USING (strategy_id)""",
     "trade_stats": """SELECT strategy_id, direction, count(*) AS n, avg((exit_return > 0)::INT::DOUBLE) AS win_rate, coalesce(avg(exit_return) FILTER (exit_return > 0), 0) AS avg_win, coalesce(avg(exit_return) FILTER (exit_return <= 0), 0) AS avg_loss,
   coalesce(sum(pnl) FILTER (exit_return > 0), 0) AS gross_profit, coalesce(abs(sum(pnl) FILTER (exit_return <= 0)), 0) AS gross_loss, min(exit_return) AS worst, avg((exit_return <= -1)::INT::DOUBLE) AS total_loss_rate, avg(exit_return) AS ev, avg(days_held) AS avg_days FROM trades GROUP BY 1, 2""",
+    "option_stats": """SELECT strategy_id, direction, count(*) AS n, avg((option_return > 0)::INT::DOUBLE) AS win_rate, coalesce(avg(option_return) FILTER (option_return > 0), 0) AS avg_win, coalesce(avg(option_return) FILTER (option_return <= 0), 0) AS avg_loss,
+  coalesce(sum(pnl) FILTER (option_return > 0), 0) AS gross_profit, coalesce(abs(sum(pnl) FILTER (option_return <= 0)), 0) AS gross_loss, min(option_return) AS worst, avg((option_return <= -0.9::DOUBLE)::INT::DOUBLE) AS total_loss_rate,
+  avg(theta) AS avg_theta, CASE WHEN abs(sum(exit_return)) > 0.001 THEN sum(option_return) / sum(exit_return) ELSE 0 END AS multiplier FROM trades GROUP BY 1, 2""",
     "long_trades": "SELECT * FROM trades WHERE direction = 'l'",
     "book_days": f"SELECT date, count(*) AS n, avg(actual_return - 0.2::DOUBLE) / 100 AS ret FROM capped GROUP BY date",
     "book": "SELECT date, n, ret, 100000 * exp(sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) OVER (ORDER BY date)) AS equity FROM book_days",
@@ -122,13 +125,14 @@ def agg_yearly_label_stats(spark, sf_dir):
     return rounded(g, ["year", "direction", "n"], ["mean", "std", "hit_rate"])
 
 
-OV = ["win_rate", "corr_return", "corr_mfe", "mean", "median", "p05", "p95"]
+OV = ["win_rate", "corr_return", "corr_mfe", "mean", "median", "p05", "p95", "event_rate", "mfe_mean", "mfe_median"]
 
 
 @query(rsql(f"""SELECT count(*) AS n, count(DISTINCT symbol) AS symbols, min(date) AS date_min, max(date) AS date_max, 100 * {WIN} AS win_rate, corr(predicted_return, actual_return) AS corr_return, corr(predicted_mfe, actual_mfe) AS corr_mfe,
-  avg(actual_return) AS mean, quantile_cont(actual_return, 0.5) AS median, quantile_cont(actual_return, 0.05) AS p05, quantile_cont(actual_return, 0.95) AS p95 FROM candidates""", ["n", "symbols", "date_min", "date_max"], OV))
+  avg(actual_return) AS mean, quantile_cont(actual_return, 0.5) AS median, quantile_cont(actual_return, 0.05) AS p05, quantile_cont(actual_return, 0.95) AS p95, 100 * avg(has_event::INT::DOUBLE) AS event_rate, avg(actual_mfe) AS mfe_mean, quantile_cont(actual_mfe, 0.5) AS mfe_median
+  FROM (SELECT *, EXISTS (SELECT 1 FROM earnings e WHERE e.symbol = c.symbol AND e.date BETWEEN c.date AND c.date + c.holding_days) AS has_event FROM candidates c)""", ["n", "symbols", "date_min", "date_max"], OV))
 def agg_overview(spark, sf_dir):
-    return rounded(mt.overview(c(spark, sf_dir)), ["n", "symbols", "date_min", "date_max"], OV)
+    return rounded(mt.overview(tr.with_event_flag(c(spark, sf_dir), v.earnings(spark, sf_dir))), ["n", "symbols", "date_min", "date_max"], OV)
 
 
 DIMS = ["direction", "year", "sector", "holding_days"]
@@ -150,16 +154,16 @@ def agg_deciles(spark, sf_dir):
     return out
 
 
-@query(f"""SELECT w AS in_window, count(*) AS n, count(*) FILTER (ml_score >= 70 AND direction = 'l') AS n70l, {sq('avg((actual_return > 0)::INT::DOUBLE) FILTER (ml_score >= 70)')} AS wr70, {sq("avg((actual_return > 0)::INT::DOUBLE) FILTER (ml_score >= 85 AND direction = 's')")} AS wr85s,
-  {sq('avg(actual_return) FILTER (ml_score >= 70) / stddev_samp(actual_return) FILTER (ml_score >= 70)')} AS sharpe70 FROM (SELECT *, {IN} AS w FROM candidates) GROUP BY w""")
+WS = {"wr": "true", "wr_long": "direction = 'l'", "wr_short": "direction = 's'", "wr70": "ml_score >= 70", "wr85": "ml_score >= 85", "wr85_long": "ml_score >= 85 AND direction = 'l'", "wr85_short": "ml_score >= 85 AND direction = 's'"}
+WA = {f"avg{k}": WS[f"wr{k}"] for k in ("70", "85", "85_long")}
+NAMED = {f"w{i}": w for i, w in enumerate(WINDOWS)}
+PERIODS = f"SELECT *, CASE WHEN {IN} THEN 'inside' ELSE 'outside' END AS period FROM candidates" + "".join(f" UNION ALL SELECT *, '{k}' AS period FROM candidates WHERE date BETWEEN '{a}' AND '{b}'" for k, (a, b) in NAMED.items())
+
+
+@query(rsql(f"""SELECT period, count(*) AS n, count(*) FILTER (direction = 'l') AS n_long, count(*) FILTER (direction = 's') AS n_short, {', '.join(f"100 * avg((actual_return > 0)::INT::DOUBLE) FILTER ({x}) AS {k}" for k, x in WS.items())},
+  {', '.join(f"avg(actual_return) FILTER ({x}) AS {k}" for k, x in WA.items())}, coalesce(avg(actual_return) FILTER (ml_score >= 70) / nullif(stddev_samp(actual_return) FILTER (ml_score >= 70), 0) * sqrt(252), 0) AS sharpe70 FROM ({PERIODS}) GROUP BY 1""", ["period", "n", "n_long", "n_short"], [*WS, *WA, "sharpe70"]))
 def agg_window_stats(spark, sf_dir):
-    hit = F.when(F.col("actual_return") > 0, 1.0).otherwise(0.0)
-    hi = F.col("ml_score") >= 70
-    g = c(spark, sf_dir).groupBy(sl.in_windows(F.col("date"), WINDOWS).alias("in_window")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(hi & (F.col("direction") == "l")).alias("n70l"), F.avg(F.when(hi, hit)).alias("wr70"), F.avg(F.when((F.col("ml_score") >= 85) & (F.col("direction") == "s"), hit)).alias("wr85s"),
-        ratio(F.avg(F.when(hi, F.col("actual_return"))), F.stddev_samp(F.when(hi, F.col("actual_return")))).alias("sharpe70"),
-    )
-    return rounded(g, ["in_window", "n", "n70l"], ["wr70", "wr85s", "sharpe70"])
+    return rounded(mt.window_statistics(c(spark, sf_dir), NAMED), ["period", "n", "n_long", "n_short"], [*WS, *WA, "sharpe70"])
 
 
 @query(f"SELECT sector, {sq('i')} AS inside, {sq('o')} AS outside, {sq('i - o')} AS delta FROM (SELECT sector, avg(actual_return) FILTER (w) AS i, avg(actual_return) FILTER (NOT w) AS o FROM (SELECT *, {IN} AS w FROM candidates) GROUP BY 1)")
@@ -169,11 +173,17 @@ def agg_sector_in_out(spark, sf_dir):
     return rounded(g.withColumn("delta", F.col("inside") - F.col("outside")), ["sector"], ["inside", "outside", "delta"])
 
 
-@query(f"SELECT threshold, w AS in_window, count(*) AS n, {sq(WIN)} AS win_rate, {sq('avg(actual_return)')} AS avg_return FROM (SELECT *, unnest([50, 60, 70, 80, 90])::INT AS threshold, {IN} AS w FROM candidates) WHERE ml_score >= threshold GROUP BY 1, 2")
+FLOORS = list(range(50, 100, 5))
+GRID = f"SELECT threshold, w AS in_window, count(*) AS n, {WIN} AS win_rate, avg(actual_return) AS avg_return FROM (SELECT *, unnest({FLOORS})::INT AS threshold, {IN} AS w FROM candidates WHERE direction = 'l') WHERE ml_score >= threshold GROUP BY 1, 2"
+
+
+@query(f"""WITH grid AS ({GRID}), ref AS (SELECT max(win_rate) AS r FROM grid WHERE threshold = 85 AND NOT in_window), eq AS (SELECT min(threshold) FILTER (in_window AND win_rate >= r) AS equivalent FROM grid, ref)
+SELECT threshold, in_window, n, {sq('win_rate')} AS win_rate, {sq('avg_return')} AS avg_return, equivalent FROM grid, eq""")
 def agg_threshold_grid(spark, sf_dir):
-    d = c(spark, sf_dir).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (50, 60, 70, 80, 90)]))).where(F.col("ml_score") >= F.col("threshold"))
-    g = d.groupBy("threshold", sl.in_windows(F.col("date"), WINDOWS).alias("in_window")).agg(F.count(F.lit(1)).alias("n"), mt.share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"))
-    return rounded(g, ["threshold", "in_window", "n"], ["win_rate", "avg_return"])
+    """Longs over each floor inside and outside the windows, with the lowest floor inside that is as good as 85 outside."""
+    g = mt.threshold_grid(c(spark, sf_dir).where("direction = 'l'"), sl.in_windows(F.col("date"), WINDOWS), FLOORS)
+    g = g.crossJoin(F.broadcast(mt.equivalent_threshold(g, 85).select("equivalent")))  # one row
+    return rounded(g, ["threshold", "in_window", "n", "equivalent"], ["win_rate", "avg_return"])
 
 
 @query(f"SELECT floor, above, {sq('avg((actual_return > above)::INT::DOUBLE)')} AS pct FROM (SELECT *, unnest([0, 2, 5, 8, 10, 15, 20])::INT AS above FROM (SELECT *, unnest([0, 70, 85])::INT AS floor FROM candidates)) WHERE ml_score >= floor GROUP BY 1, 2")
@@ -205,9 +215,12 @@ def eval_binary(spark, sf_dir):
 AUC = "(sum(r) FILTER ({h}) - count(*) FILTER ({h}) * (count(*) FILTER ({h}) + 1) / 2) / (count(*) FILTER ({h}) * count(*) FILTER (NOT {h}))"
 
 
-@query(f"SELECT year, {sq(AUC.format(h='actual_return > 0'))} AS auc FROM (SELECT *, rank() OVER (PARTITION BY year ORDER BY predicted_return) + (count(*) OVER (PARTITION BY year, predicted_return) - 1) / 2.0::DOUBLE AS r FROM candidates) GROUP BY 1")
+@query(f"SELECT year, {sq(AUC.format(h='actual_return > 0'))} AS auc, {sq(AUC.format(h='actual_mfe > m'))} AS auc_mfe FROM (SELECT *, rank() OVER (PARTITION BY year ORDER BY predicted_return) + (count(*) OVER (PARTITION BY year, predicted_return) - 1) / 2.0::DOUBLE AS r FROM candidates) JOIN (SELECT year, quantile_cont(actual_mfe, 0.5) AS m FROM candidates GROUP BY 1) USING (year) GROUP BY 1")
 def eval_auc(spark, sf_dir):
-    return rounded(mt.auc(c(spark, sf_dir), "predicted_return", F.col("actual_return") > 0, ["year"]), ["year"], ["auc"])
+    """Of hits, and of excursions over their year's median."""
+    d = mt.above_median(c(spark, sf_dir), "actual_mfe", ["year"])
+    high = mt.auc(d, "predicted_return", F.col("is_high"), ["year"]).withColumnRenamed("auc", "auc_mfe")
+    return rounded(mt.auc(d, "predicted_return", F.col("actual_return") > 0, ["year"]).join(high, "year"), ["year"], ["auc", "auc_mfe"])
 
 
 @query(f"SELECT {sq('corr(a, b)')} AS spearman FROM (SELECT {rank_sql('predicted_return')} AS a, {rank_sql('actual_return')} AS b FROM candidates)")
@@ -215,20 +228,30 @@ def eval_spearman(spark, sf_dir):
     return rounded(mt.spearman(c(spark, sf_dir), "predicted_return", "actual_return"), [], ["spearman"])
 
 
-LIFT = f"""SELECT floor, count(*) AS n, {WIN} AS win_rate, avg(actual_return) AS avg_return, quantile_cont(actual_return, 0.5) AS median_return, avg(actual_mfe) AS avg_mfe, quantile_cont(actual_mfe, 0.5) AS median_mfe,
-  coalesce(avg(actual_return) / nullif(stddev_samp(actual_return), 0) * sqrt(252), 0) AS sharpe, count(*) / any_value(total) * 100 AS pct_of_trades
-FROM (SELECT *, unnest([0, 50, 60, 70, 80, 85, 90])::INT AS floor FROM (SELECT *, {rank_sql('ml_score')} / count(*) OVER () * 100 AS pct, count(*) OVER () AS total FROM candidates)) WHERE pct >= floor OR floor = 0 GROUP BY 1 HAVING count(*) >= 10"""
-LIFT_COLS = ["win_rate", "avg_return", "median_return", "sharpe", "pct_of_trades"]
+FILTERS = {"all": "true", **{str(f): f"pct >= {f}" for f in (50, 60, 70, 80, 85, 90)}, "positive": "predicted_return > 0"}
+LIFTED = " UNION ALL ".join(f"SELECT *, '{k}' AS filter FROM scored WHERE {x}" for k, x in FILTERS.items())
+LIFT = f"""WITH scored AS (SELECT *, {rank_sql('ml_score')} / count(*) OVER () * 100 AS pct, count(*) OVER () AS total FROM candidates), f AS ({LIFTED}),
+curve AS (SELECT filter, date, symbol, holding_days, direction, sum(ln(1 + greatest(actual_return / 100, -0.9999::DOUBLE))) OVER (PARTITION BY filter ORDER BY date, symbol, holding_days, direction) AS c FROM f),
+fall AS (SELECT filter, min(exp(c - p) - 1) * 100 AS max_drawdown FROM (SELECT filter, c, max(c) OVER (PARTITION BY filter ORDER BY date, symbol, holding_days, direction) AS p FROM curve) GROUP BY 1)
+SELECT filter, count(*) AS n, {WIN} AS win_rate, avg(actual_return) AS avg_return, quantile_cont(actual_return, 0.5) AS median_return, avg(actual_mfe) AS avg_mfe, quantile_cont(actual_mfe, 0.5) AS median_mfe,
+  coalesce(avg(actual_return) / nullif(stddev_samp(actual_return), 0) * sqrt(252), 0) AS sharpe, count(*) / any_value(total) * 100 AS pct_of_trades, any_value(max_drawdown) AS max_drawdown
+FROM f JOIN fall USING (filter) GROUP BY 1 HAVING count(*) >= 10"""
+LIFT_COLS = ["win_rate", "avg_return", "median_return", "sharpe", "max_drawdown", "pct_of_trades"]
+BY_DAY = ["date", "symbol", "holding_days", "direction"]
+
+
+def lifted(spark, sf_dir):
+    return mt.lift(c(spark, sf_dir), "ml_score", F.col("predicted_return") > 0, BY_DAY)
 
 
-@query(rsql(LIFT, ["floor", "n"], LIFT_COLS))
+@query(rsql(LIFT, ["filter", "n"], LIFT_COLS))
 def eval_topk_lift(spark, sf_dir):
-    return rounded(mt.lift(c(spark, sf_dir), "ml_score"), ["floor", "n"], LIFT_COLS)
+    return rounded(lifted(spark, sf_dir), ["filter", "n"], LIFT_COLS)
 
 
-@query(rsql(LIFT, ["floor", "n"], ["avg_mfe", "median_mfe", "win_rate", "sharpe"]))
+@query(rsql(LIFT, ["filter", "n"], ["avg_mfe", "median_mfe", "win_rate", "sharpe"]))
 def eval_topk_lift_mfe(spark, sf_dir):
-    return rounded(mt.lift(c(spark, sf_dir), "ml_score"), ["floor", "n"], ["avg_mfe", "median_mfe", "win_rate", "sharpe"])
+    return rounded(lifted(spark, sf_dir), ["filter", "n"], ["avg_mfe", "median_mfe", "win_rate", "sharpe"])
 
 
 def members(spark, sf_dir):
@@ -246,10 +269,23 @@ def ensemble_mean(spark, sf_dir):
     return members(spark, sf_dir).select(*K, q("mean").alias("mean"))
 
 
-@query(rsql(f"SELECT year, m AS member, {REG_SQL.format(p='p')} FROM member GROUP BY 1, 2", ["year", "member", "n"], REG))
+def member_rank(x: str) -> str:
+    return f"(rank() OVER (PARTITION BY year, m ORDER BY {x}) + (count(*) OVER (PARTITION BY year, m, {x}) - 1) / 2.0::DOUBLE)"
+
+
+@query(rsql(f"""SELECT year, m AS member, {REG_SQL.format(p='p')}, {AUC.format(h='actual_return > 0')} AS auc, {AUC.format(h='actual_mfe > median')} AS auc_mfe, corr(r, ra) AS spearman
+  FROM (SELECT *, {member_rank('p')} AS r, {member_rank('actual_return')} AS ra FROM member) JOIN (SELECT year, quantile_cont(actual_mfe, 0.5) AS median FROM candidates GROUP BY 1) USING (year) GROUP BY 1, 2""", ["year", "member", "n"], [*REG, "auc", "auc_mfe", "spearman"]))
 def eval_ensemble_by_member(spark, sf_dir):
-    d = members(spark, sf_dir).select("year", "actual_return", "a", "b", "mean").unpivot(["year", "actual_return"], ["a", "b", "mean"], "member", "p")
-    return rounded(mt.regression(d, "p", "actual_return", ["year", "member"]), ["year", "member", "n"], REG)
+    return rounded(by_member(members(spark, sf_dir), ["a", "b", "mean"], "year"), ["year", "member", "n"], [*REG, "auc", "auc_mfe", "spearman"])
+
+
+def by_member(df, names: list[str], year: str):
+    """Regression metrics, both AUCs and the rank correlation of each member's predictions by year."""
+    by = [year, "member"]
+    d = df.select(year, "actual_return", "actual_mfe", *names).unpivot([year, "actual_return", "actual_mfe"], names, "member", "p")
+    d = mt.above_median(d, "actual_mfe", by)
+    out = mt.regression(d, "p", "actual_return", by).join(mt.auc(d, "p", F.col("actual_return") > 0, by), by)
+    return out.join(mt.auc(d, "p", F.col("is_high"), by).withColumnRenamed("auc", "auc_mfe"), by).join(mt.spearman(d, "p", "actual_return", by), by)
 
 
 @query(f"""WITH w AS (SELECT y AS val_year FROM (SELECT unnest(range(1998, 2002))::INT AS y))
@@ -262,14 +298,16 @@ def wf_windows(spark, sf_dir):
     return d.groupBy("val_year", "kind").agg(F.count_if(~F.col("is_val")).alias("n_train"), F.count_if(F.col("is_val")).alias("n_val"))
 
 
-@query("SELECT 13::INT AS n_features, true AS ok, count(*) AS n_rows, count(*) FILTER (atr_14d_pct IS NOT NULL AND ml_score IS NOT NULL) AS n_complete FROM candidates")
+@query("SELECT o.k AS given, 13::INT AS n_features, o.k = 'same' AS ok, count(*) AS n_rows, count(*) FILTER (atr_14d_pct IS NOT NULL AND ml_score IS NOT NULL) AS n_complete FROM candidates, (SELECT unnest(['same', 'reversed']) AS k) o GROUP BY 1")
 def feature_contract(spark, sf_dir):
-    """The features that a model needs are there, in the order it was fitted with; rows in all and rows without a null."""
+    """Whether the features that a model needs come in the order it was fitted with, as they are and turned round; rows in all and rows without a null."""
     from seasonflow.operators.ml import FEATURES, contract, with_features
 
     d = with_features(c(spark, sf_dir)).select(*FEATURES)
     rows = d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.greatest(*[F.col(x).isNull() for x in FEATURES]) == F.lit(False)).alias("n_complete"))
-    return contract(d, FEATURES).crossJoin(rows)
+    ways = {"same": d, "reversed": d.select(*FEATURES[::-1])}
+    one, other = (contract(x, FEATURES).select(F.lit(k).alias("given"), "n_features", "ok") for k, x in ways.items())
+    return one.unionByName(other).crossJoin(F.broadcast(rows))  # one row
 
 
 DD = ["peak", "drawdown"]
@@ -307,21 +345,29 @@ def brief_score(spark, sf_dir):
     return rounded(mt.brief_score(mt.equity_statistics(v.equity(spark, sf_dir)), YEARS), ["strategy_id"], ["brief_score"])
 
 
-TS = {"win_rate": 6, "avg_win": 6, "avg_loss": 6, "gross_profit": 2, "gross_loss": 2, "worst": 6, "total_loss_rate": 6, "profit_factor": 6, "per_year": 6}
+TS = {"avg_theta": 6, "multiplier": 4, "win_rate": 6, "avg_win": 6, "avg_loss": 6, "gross_profit": 2, "gross_loss": 2, "worst": 6, "total_loss_rate": 6, "profit_factor": 6, "per_year": 6}
 
 
-@query(rsql("SELECT *, gross_profit / nullif(gross_loss, 0) AS profit_factor, n / 7.0::DOUBLE AS per_year FROM trade_stats", ["strategy_id", "direction", "n"], TS))
+@query(" UNION ALL ".join(rsql(f"SELECT *, '{kind}' AS kind, gross_profit / nullif(gross_loss, 0) AS profit_factor, n / 7.0::DOUBLE AS per_year{extra} FROM {source}", ["kind", "strategy_id", "direction", "n"], TS) for kind, source, extra in (("stock", "trade_stats", ", NULL::DOUBLE AS avg_theta, NULL::DOUBLE AS multiplier"), ("option", "option_stats", ""))))
 def trade_stats(spark, sf_dir):
-    return rounded(mt.trade_statistics(v.trades(spark, sf_dir), ["strategy_id", "direction"], YEARS), ["strategy_id", "direction", "n"], TS)
+    """The same trades by stocks and by options."""
+    t, by = v.trades(spark, sf_dir), ["strategy_id", "direction"]
+    stock = mt.trade_statistics(t, by, YEARS).withColumns({"kind": F.lit("stock"), "avg_theta": F.lit(None).cast("double"), "multiplier": F.lit(None).cast("double")})
+    return rounded(stock.unionByName(mt.option_statistics(t, by, YEARS).withColumn("kind", F.lit("option"))), ["kind", *by, "n"], TS)
 
 
-EC = ["win_rate", "avg_win", "avg_loss", "ev", "per_year", "yearly"]
+EC = {"win_rate": 6, "avg_win": 6, "avg_loss": 6, "per_year": 6, "ev": 6, "dollars": 4, "after_30": 4, "after_50": 4}
+DOLLARS = "ev * n * 0.1::DOUBLE * 10000"
 
 
-@query(rsql("SELECT *, n / 7.0::DOUBLE AS per_year, ev * n / 7.0::DOUBLE * 0.1::DOUBLE * 10000 AS yearly FROM trade_stats", ["strategy_id", "direction"], {**dict.fromkeys(EC, 6), "yearly": 4}))
+@query(rsql(f"""SELECT s.strategy_id, s.direction, d.year, d.n, s.win_rate, s.avg_win, s.avg_loss, s.n / 7.0::DOUBLE AS per_year, d.ev, d.dollars, d.dollars * (1 - 0.3::DOUBLE) AS after_30, d.dollars * (1 - 0.5::DOUBLE) AS after_50 FROM trade_stats s JOIN (
+  WITH y AS (SELECT strategy_id, direction, year(entry_date)::INT AS year, count(*) AS n, avg(exit_return) AS ev FROM trades GROUP BY 1, 2, 3)
+  SELECT strategy_id, direction, year, n, ev, {DOLLARS} AS dollars FROM y UNION ALL SELECT strategy_id, direction, 0, sum(n)::BIGINT, sum(ev * n) / sum(n), avg({DOLLARS}) FROM y GROUP BY 1, 2) d ON s.strategy_id = d.strategy_id AND s.direction = d.direction""", ["strategy_id", "direction", "year", "n"], EC))
 def agg_trade_economics(spark, sf_dir):
-    d = mt.trade_statistics(v.trades(spark, sf_dir), ["strategy_id", "direction"], YEARS).withColumn("yearly", F.col("ev") * F.col("n") / YEARS * 0.1 * 10000)
-    return rounded(d, ["strategy_id", "direction"], {**dict.fromkeys(EC, 6), "yearly": 4})
+    """Dollars by year of a strategy that stakes a tenth of 10000 on each trade, their mean (year 0), and both after haircuts."""
+    t, by = v.trades(spark, sf_dir), ["strategy_id", "direction"]
+    whole = mt.trade_statistics(t, by, YEARS).select(*by, "win_rate", "avg_win", "avg_loss", "per_year")
+    return rounded(mt.yearly_dollars(t, by, 10000.0, 0.1).join(whole, by), [*by, "year", "n"], EC)
 
 
 @query(f"""WITH m AS (SELECT strategy_id, date_trunc('month', entry_date)::DATE AS month, {sq('sum(exit_return)')} AS s FROM trades GROUP BY 1, 2), w AS (SELECT strategy_id, min(s) AS worst_month, (list(month ORDER BY s, month))[1] AS month FROM m GROUP BY 1)
@@ -414,12 +460,22 @@ def join_atr(spark, sf_dir):
     return rounded(g, ["year", "n"], ["coverage", "mean_atr"])
 
 
-@query("SELECT symbol, date, holding_days, direction, strftime(date, '%m-%d') AS pattern_md, predicted_return, predicted_mfe, actual_return FROM candidates")
+PATTERN = "strftime(date - (holding_days % 3)::INT, '%m-%d')"
+
+
+@query(f"SELECT symbol, date, holding_days, direction, {PATTERN} AS pattern_md, predicted_return, predicted_mfe, actual_return, count(*) OVER () = (SELECT count(*) FROM candidates) AS all_there FROM candidates WHERE holding_days <> 13 AND NOT (holding_days = 17 AND direction = 's')")
 def join_predictions(spark, sf_dir):
-    """Labels with two models' predictions, joined by their full key, pattern month-day included."""
-    d = c(spark, sf_dir).withColumn("pattern_md", F.date_format("date", "MM-dd"))
-    key = [*K, "pattern_md"]
-    return d.select(*key, "actual_return").join(d.select(*key, "predicted_return"), key).join(d.select(*key, "predicted_mfe"), key)
+    """Labels with two models' predictions by their full key, pattern month-day included, which may lie before the entry; each model lacks some rows."""
+    from seasonflow.functions.core import shared_path
+
+    d = c(spark, sf_dir).withColumn("pattern_md", F.date_format(F.expr("date_sub(date, holding_days % 3)"), "MM-dd"))
+    key, tables = [*K, "pattern_md"], {"labels": "actual_return", "sr": "predicted_return", "mfe": "predicted_mfe"}
+    lacks = {"sr": "holding_days <> 13", "mfe": "not (holding_days = 17 and direction = 's')"}
+    paths = {k: shared_path(spark, k) for k in tables}
+    for k, column in tables.items():
+        d.where(lacks.get(k, "true")).select(*key, column).write.parquet(paths[k])
+    labels, sr, mfe = (spark.read.parquet(p) for p in paths.values())
+    return mt.joined_predictions(labels, {"sr": sr, "mfe": mfe}, key)
 
 
 @query("""SELECT c.symbol, c.date, c.holding_days, c.direction, f.etf, i.close AS etf_close FROM candidates c LEFT JOIN (SELECT sector, min(symbol) AS etf FROM sectors GROUP BY 1) f USING (sector) ASOF LEFT JOIN bars i ON i.symbol = f.etf AND c.date >= i.date""")
