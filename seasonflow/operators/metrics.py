@@ -87,6 +87,13 @@ def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
     return d.select(*df.columns, F.col("_i").alias("bin"), F.col("_b.win_prob").alias("win_prob"), F.col("_b.p_hit_pred").alias("p_hit"), (F.floor(score * 10 + 0.5 + 1e-6) / 10).alias("calibrated_score"))
 
 
+def scored(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
+    """calibrated, with an error in place of the figures where the prediction isn't finite."""
+    bad = F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    out = calibrated(df, bins, c).withColumn("error", F.when(bad, "prediction is not finite"))
+    return out.withColumns({x: F.when(F.col("error").isNull(), F.col(x)) for x in ("bin", "win_prob", "p_hit", "calibrated_score")})
+
+
 def overview(df: DataFrame) -> DataFrame:
     """One row of counts, rates, correlations, means and quantiles of candidates with has_event."""
     g = df.agg(
@@ -113,7 +120,7 @@ def by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
     return g.select(dim.cast("string").alias("dim"), value.cast("string").alias("value"), "trades", "win_rate", "avg_return", "avg_predicted", "avg_mfe")
 
 
-def global_rank(df: DataFrame, c: str, by: list[str] = (), parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, c: str, parts: int = 64, by: list[str] = ()) -> DataFrame:
     """df with rank, its average-tie rank over all rows or a group's, without one task seeing all of them; rows with a null c go."""
     r = ranked_counts(df, c, list(by), parts)
     return df.join(r.select(*by, c, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")), [*by, c])
@@ -135,8 +142,8 @@ def above_median(df: DataFrame, c: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
-    ra = global_rank(df.select(*by, a, b), a, by).withColumnRenamed("rank", "_ra")
-    return global_rank(ra, b, by).groupBy(*by).agg(F.corr("_ra", "rank").alias("spearman"))
+    ra = global_rank(df.select(*by, a, b), a, by=by).withColumnRenamed("rank", "_ra")
+    return global_rank(ra, b, by=by).groupBy(*by).agg(F.corr("_ra", "rank").alias("spearman"))
 
 
 def regression(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataFrame:

@@ -16,6 +16,10 @@ from seasonflow.functions.core import require_columns
 FEATURES = ["holding_days", "ml_score", "predicted_return", "predicted_mfe", "win_probability", "p_hit_return", "p_hit_mfe", "stock_volatility_20d", "atr_14d_pct", "is_long", "month", "day_of_year", "cycle"]
 
 
+#: The learners of an ensemble.
+MEMBERS = ["gbt", "forest", "linear"]
+
+
 def with_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"is_long": F.when(F.col("direction") == "l", 1.0).otherwise(0.0), "month": F.month("date").cast("double"), "day_of_year": F.dayofyear("date").cast("double"), "cycle": F.pmod(F.year("date") - 2001, F.lit(4)).cast("double")})
 
@@ -53,7 +57,7 @@ def fit_regressor(df: DataFrame, label: str, features: list[str] = FEATURES, val
 
 
 def fit_members(df: DataFrame, label: str, features: list[str] = FEATURES) -> list[tuple[str, PipelineModel]]:
-    own = {
+    own = {  # named as in MEMBERS
         "gbt": GBTRegressor(labelCol=label, featuresCol="features", predictionCol="gbt", maxIter=5, maxDepth=3, seed=42),
         "forest": RandomForestRegressor(labelCol=label, featuresCol="features", predictionCol="forest", numTrees=10, maxDepth=4, seed=42),
         "linear": LinearRegression(labelCol=label, featuresCol="features", predictionCol="linear", regParam=0.1),
@@ -75,17 +79,20 @@ def predicted_by(models: list[tuple[str, PipelineModel]], df: DataFrame) -> Data
     return d.withColumn("predicted", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).select(*keep, *names, "predicted")
 
 
-def walk_forward(df: DataFrame, label: str, years: list[int], by_direction: bool = False) -> DataFrame:
-    """Out-of-sample predictions of each year by members fitted on all earlier years; optionally long and short apart.
+def walk_forward(df: DataFrame, label: str, years: list[int], by_direction: bool = False, kind: str = "expanding") -> DataFrame:
+    """Out-of-sample predictions of each year by members fitted on all earlier years, or on those of its cycle phase (same_phase); optionally long and short apart.
 
-    The loop runs over a few windows; each fit and transform is distributed.
+    Years without earlier rows give none. The loop runs over a few windows; each fit and transform is distributed.
     """
-    out = None
+    out = df.limit(0).select("*", *[F.lit(None).cast("double").alias(n) for n in (*MEMBERS, "predicted")], F.lit(0).alias("val_year"))
     for y in years:
+        before = (F.col("year") < y) if kind == "expanding" else (F.col("year") < y) & (F.pmod(F.col("year") - y, F.lit(4)) == 0)
         for d in ("l", "s") if by_direction else (None,):
             part = df if d is None else df.where(F.col("direction") == d)
-            p = predicted_by(fit_members(part.where(F.col("year") < y), label), part.where(F.col("year") == y)).withColumn("val_year", F.lit(y))
-            out = p if out is None else out.unionByName(p)
+            if part.where(before).isEmpty():
+                continue
+            p = predicted_by(fit_members(part.where(before), label), part.where(F.col("year") == y)).withColumn("val_year", F.lit(y))
+            out = out.unionByName(p)
     return out
 
 
@@ -97,12 +104,14 @@ def importances(model: PipelineModel, features: list[str] = FEATURES) -> DataFra
     return SparkSession.active().createDataFrame(list(zip(names, v)), "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
-def tune(df: DataFrame, label: str, features: list[str] = FEATURES) -> DataFrame:
-    """(depth, rounds, rmse) of a small grid, on a seeded split."""
+def tune(df: DataFrame, label: str, features: list[str] = FEATURES, most: int = 2_000_000, depths: tuple[int, ...] = (2, 3, 4), rounds: tuple[int, ...] = (3, 6)) -> DataFrame:
+    """(depth, rounds, rmse) of a grid, on a seeded split of a seeded sample of about `most` rows."""
     from pyspark.sql import SparkSession
 
+    df = df.sample(min(1.0, most / max(df.count(), 1)), 42)
+
     g = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="predicted", seed=42)
-    grid = ParamGridBuilder().addGrid(g.maxDepth, [2, 3]).addGrid(g.maxIter, [3, 6]).build()
+    grid = ParamGridBuilder().addGrid(g.maxDepth, list(depths)).addGrid(g.maxIter, list(rounds)).build()
     s = TrainValidationSplit(estimator=Pipeline(stages=[*stages(features), g]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, predictionCol="predicted"), trainRatio=0.8, seed=42, parallelism=2)
     m = s.fit(prepared(df, features))
     rows = [(int(p[g.maxDepth]), int(p[g.maxIter]), float(r)) for p, r in zip(grid, m.validationMetrics)]

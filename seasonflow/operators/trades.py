@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRADE = ["symbol", "date", "holding_days", "direction"]
-#: delta, leverage, time value, spread cost by strike (fixed values).
+#: delta, leverage, time value, spread cost by strike; premium over the stock's price by strike (fixed values).
 STRIKES = {"D30": (0.30, 12, 0.85, 0.025), "D40": (0.40, 11, 0.70, 0.015), "D50": (0.50, 11, 0.55, 0.015), "D60": (0.60, 11, 0.40, 0.015)}
+PREMIUMS = {"D30": 0.025, "D40": 0.036, "D50": 0.045, "D60": 0.055}
+#: days to expiry as (times, plus) of the holding days, premium multiplier by expiry; premium multiplier, share that passes by volatility filter (fixed values).
+EXPIRIES = {"XS": (1, 3, 1.0), "XN": (1, 10, 1.3), "XB": (1, 7, 1.5), "X2": (2, 0, 1.8)}
+VOLATILITIES = {"IN": (1.10, 1.00), "IL": (1.00, 0.60), "IH": (0.90, 0.30)}
 #: cost over width by (width, expiry) of debit spreads; credit over width by (short distance, width, expiry) (fixed values).
 DEBIT = {(0.03, "XN"): 0.40, (0.05, "XN"): 0.37, (0.03, "XB"): 0.41, (0.05, "XB"): 0.38, (0.03, "X2"): 0.39, (0.05, "X2"): 0.36, (0.03, "XS"): 0.44, (0.05, "XS"): 0.40}
 CREDIT = {
@@ -62,15 +66,32 @@ def upto(column: Column, func=F.max, before: bool = False) -> Column:
     return func(column).over(Window.partitionBy(*TRADE).orderBy("t").rowsBetween(Window.unboundedPreceding, -1 if before else 0))
 
 
-def first_trigger(path: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
-    """One row per trade: exit_t, exit_return, reason of the first day on which a rule fires; earlier rules go first in a day.
+Rules = list[tuple[str, Column, Column]]
 
-    rules: (reason, condition, return). The last day's own return is the last rule.
+
+def first_triggers(path: DataFrame, sets: dict[str, Rules]) -> DataFrame:
+    """One row per trade and set of rules: rule, exit_t, exit_return, reason of the first day on which one fires; earlier rules go first in a day.
+
+    sets: name -> [(reason, condition, return)]. The last day's own return is the last rule of each. All sets are
+    resolved in one pass over the path.
     """
-    rules = [*rules, ("expiry", F.col("t") >= F.col("last"), F.col("cum"))]
-    hits = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.col("t").alias("t"), F.lit(i).alias("i"), ret.cast("double").alias("r"), F.lit(name).alias("name"))) for i, (name, cond, ret) in enumerate(rules)]), lambda h: h.isNotNull())
-    one = path.withColumn("_hit", F.array_min(hits)).groupBy(*TRADE).agg(F.min("_hit").alias("h"))
-    return one.select(*TRADE, F.col("h.t").alias("exit_t"), F.col("h.r").alias("exit_return"), F.col("h.name").alias("reason"))
+
+    def hit(rules: Rules) -> Column:
+        rules = [*rules, ("expiry", F.col("t") >= F.col("last"), F.col("cum"))]
+        fired = F.array(*[
+            F.when(F.coalesce(cond, F.lit(False)), F.struct(F.col("t").alias("t"), F.lit(i).alias("i"), ret.cast("double").alias("r"), F.lit(name).alias("name")))
+            for i, (name, cond, ret) in enumerate(rules)
+        ])
+        return F.array_min(F.filter(fired, lambda h: h.isNotNull()))
+
+    one = path.groupBy(*TRADE).agg(*[F.min(hit(rules)).alias(f"_{k}") for k, rules in enumerate(sets.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_{k}.t").alias("exit_t"), F.col(f"_{k}.r").alias("exit_return"), F.col(f"_{k}.name").alias("reason")) for k, name in enumerate(sets)])
+    return one.select(*TRADE, F.inline(rows))
+
+
+def first_trigger(path: DataFrame, rules: Rules) -> DataFrame:
+    """first_triggers of a single set, without its name."""
+    return first_triggers(path, {"": rules}).drop("rule")
 
 
 def with_marks(path: DataFrame, predicted: Column) -> DataFrame:
@@ -114,6 +135,16 @@ def exit_atr_trail(path: DataFrame, atr: Column, k: float = 2.0) -> DataFrame:
     return first_trigger(p, [("atr_trail", (F.col("cum") <= stop) & (F.col("t") >= 2), stop)])
 
 
+def expiry_days(expiry: str, holding: Column) -> Column:
+    times, plus, _ = EXPIRIES[expiry]
+    return holding * times + plus
+
+
+def premium(strike: str, expiry: str, volatility: str = "IL") -> float:
+    """An option's premium over the stock's price."""
+    return PREMIUMS[strike] * EXPIRIES[expiry][2] * VOLATILITIES[volatility][0]
+
+
 def option_path(path: DataFrame, strike: str, dte: Column) -> DataFrame:
     """path with opt, the option's gain over its premium by day, never below -1, and dte_left.
 
@@ -135,41 +166,54 @@ def option_result(opt: Column, strike: str) -> Column:
     return F.greatest(opt - STRIKES[strike][3] / 2, F.lit(-1.0))
 
 
-def exit_option(path: DataFrame, rule: str, predicted: Column, atr: Column | None = None) -> DataFrame:
+def option_rules(rule: str, atr: Column | None = None) -> Rules:
     """ES: premium stop at -40 %. EC: -50 %, trail on the stock, decay near expiry. EM, ET: as for stocks. EA: -50 %, ATR trail, decay."""
-    p = with_marks(path, predicted).withColumn("stock", F.col("cum")).withColumn("cum", F.col("opt"))
     trail = ("mfe_trail", F.col("reached") & (F.col("stock") <= F.col("stop")), F.col("opt"))
     decay = ("theta_exit", (F.col("dte_left") <= 5) & (F.col("opt") < 0), F.col("opt"))
     stop = lambda at: ("premium_stop", F.col("opt") <= at, F.lit(at))
     if rule == "ES":
-        rules = [stop(-0.40)]
-    elif rule == "EC":
-        rules = [stop(-0.50), trail, decay]
-    elif rule == "ET":
-        rules = [("time_limit", (F.col("t") >= F.floor(F.col("last") * 0.6)) & ~F.col("reached_before"), F.col("opt")), trail]
-    elif rule.startswith("EA"):
+        return [stop(-0.40)]
+    if rule == "EC":
+        return [stop(-0.50), trail, decay]
+    if rule == "ET":
+        return [("time_limit", (F.col("t") >= F.floor(F.col("last") * 0.6)) & ~F.col("reached_before"), F.col("opt")), trail]
+    if rule.startswith("EA"):
         k = int(rule[2:] or 20) / 10
-        rules = [stop(-0.50), ("atr_trail", (F.col("stock") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2), F.col("opt")), decay]
-    else:
-        rules = [trail]
-    return first_trigger(p, rules)
+        return [stop(-0.50), ("atr_trail", (F.col("stock") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2), F.col("opt")), decay]
+    return [trail]
 
 
-def exit_spread(path: DataFrame, kind: str, width: float, rule: str = "EH", atr: Column | None = None, short: float = 0.03) -> DataFrame:
+def exit_options(path: DataFrame, rules: list[str], predicted: Column, atr: Column | None = None) -> DataFrame:
+    """Exits of an option path by several rules in one pass; a column `rule` names them."""
+    p = with_marks(path, predicted).withColumn("stock", F.col("cum")).withColumn("cum", F.col("opt"))
+    return first_triggers(p, {rule: option_rules(rule, atr) for rule in rules})
+
+
+def exit_option(path: DataFrame, rule: str, predicted: Column, atr: Column | None = None) -> DataFrame:
+    return exit_options(path, [rule], predicted, atr).drop("rule")
+
+
+def spread_rules(kind: str, width: float, rule: str = "EH", atr: Column | None = None, short: float = 0.03) -> Rules:
     """Debit: out at the full width, at 90 % of it (EP), or by an ATR trail (EA). Credit: out halfway to the short strike."""
-    p = path.withColumn("hwm", F.greatest(upto(F.col("cum")), F.lit(0.0)))
     early = F.col("t") < F.col("last")
     full = ("max_profit", (F.col("cum") >= width) & early, F.col("cum"))
     if kind == "CREDIT":
-        rules = [("credit_stop", (F.col("cum") <= -short * 0.5) & early, F.col("cum"))]
-    elif rule == "EP":
-        rules = [("profit_target", (F.col("cum") >= width * 0.9) & early, F.col("cum"))]
-    elif rule.startswith("EA"):
+        return [("credit_stop", (F.col("cum") <= -short * 0.5) & early, F.col("cum"))]
+    if rule == "EP":
+        return [("profit_target", (F.col("cum") >= width * 0.9) & early, F.col("cum"))]
+    if rule.startswith("EA"):
         k = int(rule[2:]) / 10
-        rules = [("atr_trail", (F.col("cum") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2) & early, F.col("cum")), full]
-    else:
-        rules = [full]
-    return first_trigger(p, rules)
+        return [("atr_trail", (F.col("cum") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2) & early, F.col("cum")), full]
+    return [full]
+
+
+def exit_spreads(path: DataFrame, sets: dict[str, Rules]) -> DataFrame:
+    """Exits of spreads by several spread_rules in one pass."""
+    return first_triggers(path.withColumn("hwm", F.greatest(upto(F.col("cum")), F.lit(0.0))), sets)
+
+
+def exit_spread(path: DataFrame, kind: str, width: float, rule: str = "EH", atr: Column | None = None, short: float = 0.03) -> DataFrame:
+    return exit_spreads(path, {"": spread_rules(kind, width, rule, atr, short)}).drop("rule")
 
 
 def debit_spread(ret: Column, width: float, expiry: str) -> Column:

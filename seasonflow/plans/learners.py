@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from seasonflow.functions.core import shared_path
 from seasonflow.operators import metrics as mt
 from seasonflow.operators import ml
-from seasonflow.operators import selection as sl
-from seasonflow.plans.metrics import K
+from seasonflow.plans.metrics import K, by_member
 from seasonflow.sources import views as v
 
 ORACLES: dict[str, str] = {}
+#: Holding days of the tiers; the fixture has 10 to 30 days.
+TIERS = {"10_19": (10, 19), "20_30": (20, 30)}
 
 
 def data(spark, sf_dir):
@@ -25,12 +26,25 @@ def fit_regressor(spark, sf_dir):
     return m.transform(ml.prepared(d.where("year = 2001"))).select(*K, "predicted")
 
 
+#: The fixture's years that have a year before them.
+YEARS = [1998, 1999, 2000, 2001]
+
+
 def wf_train(spark, sf_dir):
-    return ml.walk_forward(data(spark, sf_dir), "actual_return", [2000, 2001]).select(*K, "val_year", "gbt", "forest", "linear", "predicted")
+    """Metrics of each member and of their mean by validation year, over expanding windows and those of one cycle phase."""
+    out = None
+    for kind in ("expanding", "same_phase"):
+        p = ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, kind=kind).select("val_year", "actual_return", "actual_mfe", *ml.MEMBERS, "predicted")
+        path = shared_path(spark, "walked")
+        p.write.parquet(path)
+        one = by_member(spark.read.parquet(path), [*ml.MEMBERS, "predicted"], "val_year").withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def wf_train_split(spark, sf_dir):
-    return ml.walk_forward(data(spark, sf_dir), "actual_return", [2001], by_direction=True).select(*K, "val_year", "predicted")
+    """Out-of-sample predictions of models for longs and for shorts."""
+    return ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted")
 
 
 def fit_final(spark, sf_dir):
@@ -47,19 +61,22 @@ def agg_feature_importance(spark, sf_dir):
 
 
 def tune_params(spark, sf_dir):
-    return ml.tune(data(spark, sf_dir).where("year <= 1999"), "actual_return")
+    return ml.tune(data(spark, sf_dir), "actual_return")
 
 
 def score_batch(spark, sf_dir):
-    """Candidates of the last year scored by tier, with an error where the prediction isn't finite; calibrated on the years before."""
-    d = data(spark, sf_dir)
-    m = ml.fit_regressor(d.where("year <= 1999"), "actual_return", rounds=5)
-    past = m.transform(ml.prepared(d.where("year = 2000")))
-    bins = mt.calibration(past, "predicted")
-    now = m.transform(ml.prepared(d.where("year = 2001"))).select(*K, "predicted").withColumn("tier", sl.tier_for(F.col("holding_days")))
-    bad = F.col("predicted").isNull() | F.isnan("predicted")
-    out = mt.calibrated(now, bins, "predicted")
-    return out.withColumn("error", F.when(bad, "prediction is not finite"))
+    """Candidates of the last year scored by the model of their tier, fitted and calibrated on the years before.
+
+    A prediction that isn't finite gives an error in place of a score.
+    """
+    d, out = data(spark, sf_dir), None
+    for tier, days in TIERS.items():
+        own = d.where(F.col("holding_days").between(*days))
+        m = ml.fit_regressor(own.where("year <= 1999"), "actual_return", rounds=5)
+        bins = mt.calibration(m.transform(ml.prepared(own.where("year = 2000"))), "predicted")
+        one = mt.scored(m.transform(ml.prepared(own.where("year = 2001"))).select(*K, "predicted"), bins, "predicted").withColumn("tier", F.lit(tier))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES = {f.__name__: f for f in (fit_regressor, wf_train, wf_train_split, fit_final, agg_feature_importance, tune_params, score_batch)}

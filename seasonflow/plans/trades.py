@@ -22,12 +22,21 @@ EXTRA = {
   WINDOW w AS (PARTITION BY c.symbol, c.date, c.holding_days, c.direction ORDER BY x.date)""",
     "marked": f"""SELECT *, predicted + (hwm - predicted) * 0.5 AS stop FROM (SELECT *, greatest(max(cum) OVER ({P} ORDER BY t), 0.0::DOUBLE) AS hwm, max((cum >= predicted)::INT) OVER ({P} ORDER BY t) = 1 AS reached,
   coalesce(max((cum >= predicted)::INT) OVER ({P} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS reached_before FROM paths)""",
-    "moves": f"""SELECT *, dte_left - 0 AS dl, (cum - coalesce(lag(cum) OVER ({P} ORDER BY t), 0)) * {D60[0] * D60[1]!r}::DOUBLE - (sqrt(dte_left / dte) - sqrt((dte_left - 1) / dte)) * {D60[2]}::DOUBLE + CASE WHEN t = 1 THEN {-D60[3] / 2!r}::DOUBLE ELSE 0 END AS d
-  FROM (SELECT *, greatest(dte - (t - 1), 1) AS dte_left FROM (SELECT *, (holding_days * 2)::DOUBLE AS dte FROM marked))""",
-    "options": f"SELECT *, s + greatest(0, -1 - min(s) OVER ({P} ORDER BY t)) AS opt FROM (SELECT *, sum(d) OVER ({P} ORDER BY t) AS s FROM moves)",
 }
 
 
+def option_sql(strike: str, expiry: str) -> str:
+    """An option's path in SQL: its gain opt over the premium by day and dte_left."""
+    delta, leverage, value, cost = tr.STRIKES[strike]
+    times, plus, _ = tr.EXPIRIES[expiry]
+    return f"""SELECT *, s + greatest(0, -1 - min(s) OVER ({P} ORDER BY t)) AS opt FROM (SELECT *, sum(d) OVER ({P} ORDER BY t) AS s FROM (
+  SELECT *, (cum - coalesce(lag(cum) OVER ({P} ORDER BY t), 0)) * {delta * leverage!r}::DOUBLE - (sqrt(dte_left / dte) - sqrt((dte_left - 1) / dte)) * {value}::DOUBLE + CASE WHEN t = 1 THEN {-cost / 2!r}::DOUBLE ELSE 0 END AS d
+  FROM (SELECT *, greatest(dte - (t - 1), 1) AS dte_left FROM (SELECT *, (holding_days * {times} + {plus})::DOUBLE AS dte FROM marked))))"""
+
+
+EXTRA |= {"options": option_sql("D60", "X2"), "near_options": option_sql("D40", "XN")}
+
+
 def query(body: str, extra: dict | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -39,7 +48,7 @@ def query(body: str, extra: dict | None = None):
 
 def exits(source: str, rules: list[tuple[str, str, str]]) -> str:
     """The first day's first rule that fires, in SQL; rules: (reason, condition, return)."""
-    rules = [*rules, ("expiry", "t >= last", "cum" if source != "options" else "opt")]
+    rules = [*rules, ("expiry", "t >= last", "opt" if source.endswith("options") else "cum")]
     hit = "CASE " + " ".join(f"WHEN {cond} THEN {i}" for i, (_, cond, _) in enumerate(rules)) + " END"
     ret = "CASE i " + " ".join(f"WHEN {i} THEN {r}" for i, (_, _, r) in enumerate(rules)) + " END"
     name = "CASE i " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(rules)) + " END"
@@ -102,25 +111,35 @@ def exit_atr_trail(spark, sf_dir):
     return shown(tr.exit_atr_trail(path(spark, sf_dir), F.col("atr_14d_pct"), 2.0))
 
 
-def option(spark, sf_dir):
-    return tr.option_path(path(spark, sf_dir), "D60", F.col("holding_days") * 2)
+def option(spark, sf_dir, strike: str = "D60", expiry: str = "X2"):
+    return tr.option_path(path(spark, sf_dir), strike, tr.expiry_days(expiry, F.col("holding_days")))
 
 
-@query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed FROM options")
+@query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed, {sq(tr.premium('D60', 'X2'))} AS premium FROM options")
 def pnl_option_path(spark, sf_dir):
-    return option(spark, sf_dir).select(*K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"))
+    return option(spark, sf_dir).select(*K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"), q(F.lit(tr.premium("D60", "X2"))).alias("premium"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM ({exits('options', rules)})" for rule, rules in {
+MFE = ("mfe_trail", "reached AND cum <= stop", "opt")
+DECAY = ("theta_exit", "dte_left <= 5 AND opt < 0", "opt")
+OPTION_RULES = {
     "ES": [("premium_stop", "opt <= -0.4", "-0.4")],
-    "EC": [("premium_stop", "opt <= -0.5", "-0.5"), ("mfe_trail", "reached AND cum <= stop", "opt"), ("theta_exit", "dte_left <= 5 AND opt < 0", "opt")],
-    "ET": [("time_limit", "t >= floor(last * 0.6::DOUBLE) AND NOT reached_before", "opt"), ("mfe_trail", "reached AND cum <= stop", "opt")],
-    "EA20": [("premium_stop", "opt <= -0.5", "-0.5"), ("atr_trail", "cum <= hwm - 2.0::DOUBLE * atr AND t >= 2", "opt"), ("theta_exit", "dte_left <= 5 AND opt < 0", "opt")],
-}.items()))
+    "EC": [("premium_stop", "opt <= -0.5", "-0.5"), MFE, DECAY],
+    "EM": [MFE],
+    "ET": [("time_limit", "t >= floor(last * 0.6::DOUBLE) AND NOT reached_before", "opt"), MFE],
+    "EA20": [("premium_stop", "opt <= -0.5", "-0.5"), ("atr_trail", "cum <= hwm - 2.0::DOUBLE * atr AND t >= 2", "opt"), DECAY],
+}
+#: Rules by (strike, expiry) and the view of that option's path.
+OPTIONS = {("D60", "X2"): ("options", ["ES", "EC", "ET", "EA20"]), ("D40", "XN"): ("near_options", ["ES", "EM", "EC"])}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS strike, '{e}' AS expiry, '{rule}' AS rule, * FROM ({exits(view, OPTION_RULES[rule])})" for (s, e), (view, rules) in OPTIONS.items() for rule in rules))
 def exit_option_rules(spark, sf_dir):
-    p, out = option(spark, sf_dir), None
-    for rule in ("ES", "EC", "ET", "EA20"):
-        one = shown(tr.exit_option(p, rule, predicted(), F.col("atr_14d_pct"))).select(F.lit(rule).alias("rule"), *K, "exit_t", "exit_return", "reason")
+    """Each option's path is made once and resolved by all its rules in one pass."""
+    out = None
+    for (strike, expiry), (_, rules) in OPTIONS.items():
+        one = tr.exit_options(option(spark, sf_dir, strike, expiry), rules, predicted(), F.col("atr_14d_pct"))
+        one = one.select(F.lit(strike).alias("strike"), F.lit(expiry).alias("expiry"), "rule", *K, "exit_t", q("exit_return").alias("exit_return"), "reason")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -132,12 +151,8 @@ def exit_option_rules(spark, sf_dir):
     "CREDIT": [("credit_stop", "cum <= -0.015 AND t < last", "cum")],
 }.items()))
 def exit_spread_rules(spark, sf_dir):
-    p, out = path(spark, sf_dir), None
-    for rule in ("EH", "EP", "EA20", "CREDIT"):
-        one = tr.exit_spread(p, "CREDIT" if rule == "CREDIT" else "DEBIT", 0.05, rule, F.col("atr_14d_pct"))
-        one = shown(one).select(F.lit(rule).alias("rule"), *K, "exit_t", "exit_return", "reason")
-        out = one if out is None else out.unionByName(one)
-    return out
+    sets = {rule: tr.spread_rules("CREDIT" if rule == "CREDIT" else "DEBIT", 0.05, rule, F.col("atr_14d_pct")) for rule in ("EH", "EP", "EA20", "CREDIT")}
+    return tr.exit_spreads(path(spark, sf_dir), sets).select("rule", *K, "exit_t", q("exit_return").alias("exit_return"), "reason")
 
 
 RET = "actual_return / 100"

@@ -73,6 +73,54 @@ def test_ema_equals_the_recursion(spark):
         assert abs(s - y) < 1e-9
 
 
+@pytest.mark.parametrize("span", [5, 12, 26])
+def test_ema_over_several_blocks(spark, span):
+    rnd, a = random.Random(span), 2 / (span + 1)
+    closes = [100 + rnd.random() * 50 for _ in range(1300)]
+    rows = ts.with_ema(bars_of(spark, closes).unionByName(bars_of(spark, [7.0] * 3, "B")), (span,)).orderBy("symbol", "date").collect()
+    s = closes[0]
+    for k, (x, r) in enumerate(zip(closes, rows)):
+        s = s if k == 0 else s * (1 - a) + x * a
+        assert math.isclose(s, r[f"ema{span}"], rel_tol=1e-12)
+    assert [r[f"ema{span}"] for r in rows[1300:]] == pytest.approx([7.0] * 3)
+
+
+def test_ema_passes_over_nulls(spark):
+    df = spark.createDataFrame([("A", DAY + timedelta(k), x) for k, x in enumerate([None, 1.0, None, 4.0])], "symbol string, date date, close double")
+    assert [r.ema5 for r in ts.with_ema(df, (5,)).orderBy("date").collect()] == [None, 1.0, pytest.approx(1.0), pytest.approx(2.0)]
+
+
+def test_ranked_counts_of_a_heavy_tail(spark):
+    """One outlier must not put all other values in one part."""
+    rnd = random.Random(4)
+    xs = [rnd.random() for _ in range(3000)] + [1e12, 1e12]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = mt.ranked_counts(df, "x", [], 16)
+    s = sorted(xs)
+    assert {r.x: (r.before, r.n) for r in got.collect()} == {x: (s.index(x), s.count(x)) for x in set(xs)}
+    cuts = df.groupBy().agg(F.percentile_approx("x", F.array(*[F.lit(k / 16) for k in range(1, 16)]), 320).alias("c")).first().c
+    sizes = [sum(a < x <= b for x in xs) for a, b in zip([-1, *cuts], [*cuts, 2e12])]
+    assert max(sizes) < 400
+
+
+def test_lift_drawdown_is_that_of_the_curve(spark):
+    rnd = random.Random(5)
+    rows = [(DAY + timedelta(k // 7), f"S{k % 7}", 10, "l", float(rnd.randrange(100)), rnd.uniform(-9, 9), abs(rnd.gauss(0, 3))) for k in range(400)]
+    df = spark.createDataFrame(rows, "date date, symbol string, holding_days int, direction string, ml_score double, actual_return double, actual_mfe double")
+    got = {r["filter"]: r for r in mt.lift(df, "ml_score", F.col("actual_return") > 5, ["date", "symbol", "holding_days", "direction"]).collect()}
+    scores = sorted(r[4] for r in rows)
+    pct = {x: (scores.index(x) + (scores.count(x) + 1) / 2) / len(rows) * 100 for x in scores}
+    keep = {"all": lambda r: True, "positive": lambda r: r[5] > 5, **{str(f): lambda r, f=f: pct[r[4]] >= f for f in (50, 90)}}
+    for k, own in keep.items():
+        cum, peak, worst, n = 1.0, 0.0, 0.0, 0
+        for r in sorted(rows, key=lambda r: (r[0], r[1])):
+            if own(r):
+                cum, n = cum * (1 + r[5] / 100), n + 1
+                peak = max(peak, cum)
+                worst = min(worst, (cum - peak) / peak * 100)
+        assert got[k].n == n and math.isclose(got[k].max_drawdown, worst, rel_tol=1e-9, abs_tol=1e-9), k
+
+
 def test_rsi_without_losses(spark):
     up = bars_of(spark, range(1, 40))
     assert ts.with_rsi(up).orderBy(F.desc("date")).first().rsi14 is None
@@ -214,6 +262,56 @@ def test_bad_dates_in_json(spark):
     assert [(r.symbol, r.date) for r in fl.earnings_of_json(df).collect()] == [("A", DAY)]
 
 
+def test_cache_repairs_short_partitions(spark, tmp_path):
+    df = spark.createDataFrame([("US", "a", k) for k in range(5)] + [("ETF", "a", k) for k in range(3)], "market string, target_date string, x int")
+    path = str(tmp_path / "cache")
+    fl.write_cache(df.where("market = 'US' and x < 2"), path)  # what a failed job has left
+    fl.write_cache(df, path)
+    fl.write_cache(df, path)
+    got = sorted((r.market, r.x) for r in spark.read.parquet(path).collect())
+    assert got == sorted((r.market, r.x) for r in df.collect())
+    fl.write_cache(df.where("market = 'ETF'"), path)
+    assert spark.read.parquet(path).count() == 8
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    from seasonflow.streaming import jobs
+
+    rows = [("1", "A", "2000-01-03", "12", "l", "10_30"), ("2", "B", "2000-01-03", "12", "l", "10_30"), ("3", "A", "bad", "0", "l", None)]
+    req = spark.createDataFrame(rows, "event_id string, symbol string, date string, days_out string, direction string, tier string")
+    req.write.parquet(str(tmp_path / "in"))
+    features = spark.createDataFrame([("A", 1.0)], "symbol string, predicted double")
+    bins = spark.createDataFrame([(0, 0.0, 2.0, 0.5, 0.5)], "bin int, pred_min double, pred_max double, win_prob double, p_hit_pred double")
+    for checkpoint in ("one", "two"):  # a new checkpoint: batch 0 runs once more
+        jobs.scored_stream(spark.readStream.schema(req.schema).parquet(str(tmp_path / "in")), features, bins, ["10_30"], str(tmp_path / "out"), str(tmp_path / checkpoint))
+    got = {r.event_id: r.error for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and got["1"] is None and got["2"] == "no features" and got["3"] is not None
+
+
+def test_infinite_predictions_are_errors(spark):
+    bins = spark.createDataFrame([(0, 0.0, 2.0, 0.5, 0.5)], "bin int, pred_min double, pred_max double, win_prob double, p_hit_pred double")
+    df = spark.createDataFrame([(1, 1.0), (2, float("inf")), (3, float("-inf")), (4, float("nan")), (5, None)], "k int, p double")
+    got = {r.k: (r.error, r.calibrated_score) for r in mt.scored(df, bins, "p").collect()}
+    assert got[1] == (None, 50.0) and all(got[k] == ("prediction is not finite", None) for k in (2, 3, 4, 5))
+
+
+def test_loss_breaker_counts_trading_days(spark):
+    days = spark.createDataFrame([(DAY + timedelta(k), k) for k in range(30)], "date date, idx long")
+    trades = spark.createDataFrame([("s", DAY, DAY + timedelta(x), r) for x, r in ((2, -0.1), (3, -0.1), (3, 0.1), (4, -0.2))] + [("s", DAY + timedelta(k), DAY + timedelta(29), 0.1) for k in (3, 4, 7, 8, 20)] + [("t", DAY + timedelta(4), DAY + timedelta(29), 0.1)], "strategy_id string, entry_date date, exit_date date, exit_return double")
+    got = {(r.strategy_id, (r.entry_date - DAY).days): (r.day_losses, r.blocked) for r in sl.loss_breaker(trades, days).where("exit_return = 0.1 and exit_date = date'2000-02-01'").collect()}
+    assert got == {("s", 3): (2, False), ("s", 4): (3, True), ("s", 7): (3, True), ("s", 8): (2, False), ("s", 20): (0, False), ("t", 4): (0, False)}
+
+
+def test_one_pass_of_rules_equals_each_alone(spark):
+    rnd = random.Random(6)
+    rows = [(f"S{k}", DAY, 10, "l", t, rnd.uniform(-0.2, 0.2), 8, 0.05, rnd.uniform(-1, 1), rnd.randrange(1, 9)) for k in range(40) for t in range(1, 9)]
+    df = spark.createDataFrame(rows, "symbol string, date date, holding_days int, direction string, t int, cum double, last int, p double, opt double, dte_left int")
+    rules = ["ES", "EC", "EM", "ET", "EA20"]
+    both = {(r.symbol, r.rule): (r.exit_t, r.exit_return, r.reason) for r in tr.exit_options(df, rules, F.col("p"), F.lit(0.03)).collect()}
+    for rule in rules:
+        assert {r.symbol: (r.exit_t, r.exit_return, r.reason) for r in tr.exit_option(df, rule, F.col("p"), F.lit(0.03)).collect()} == {s: x for (s, k), x in both.items() if k == rule}
+
+
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="missing columns: b"):
         require_columns(spark.range(1).withColumnRenamed("id", "a"), ["a", "b"])
