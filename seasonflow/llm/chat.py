@@ -6,7 +6,8 @@ of its path. Rounds grow with the logarithm of the deepest path. Only ids and sc
 the end. Branches are ranked by their mean score.
 
 The template is <|role|>text<|end|> for each turn. Inside roles and texts, &, < and [ are written &amp;, &lt; and
-&#91;, so that no text can hold a mark of this or another common template; unescape() gives the text back.
+&#91;, so that no text can hold a mark of this or another common template; inside roles > and | are written &gt; and
+&#124; as well, so that a role ends at its own mark. unescape() gives both back.
 
 Defined results: null roles and texts count as empty; a parent that isn't there or is null makes a root; nodes on a
 cycle have no root and are left out; of rows that repeat a node, the smallest (parent, score) counts; ties between
@@ -29,7 +30,12 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit("["), F.lit("&#91;"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(F.replace(escape(c), F.lit(">"), F.lit("&gt;")), F.lit("|"), F.lit("&#124;"))
+
+
 def unescape(c: Column) -> Column:
+    c = F.replace(F.replace(c, F.lit("&#124;"), F.lit("|")), F.lit("&gt;"), F.lit(">"))
     c = F.replace(F.replace(c, F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<"))
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
@@ -73,19 +79,16 @@ def formatted(paths: DataFrame, turns: DataFrame, loss_role: str = "assistant")
     """
     first = turns.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("s")).select("tree", "node", "s.*")
     rows = paths.join(first, ["tree", "node"]).select("tree", "rank", "depth", "role", "text")
-    whole = rows.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit("<|"), escape(t["role"]), F.lit("|>")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("counts")))
-    whole = whole.select("tree", "rank", parts.alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    empty = F.lit(None).cast("array<struct<start:int,length:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
-
-    def walk(s: Column, p: Column) -> Column:
-        body = s["at"] + F.char_length(p["head"])
-        span = F.when(F.coalesce(p["counts"], F.lit(False)), F.array(F.struct(body.alias("start"), F.char_length(p["body"]).alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-        return F.struct((body + F.char_length(p["body"]) + F.lit(len(END))).alias("at"), F.concat(s["spans"], span).alias("spans"))
-
-    return whole.select("tree", "rank", text.alias("formatted"), F.aggregate("parts", start, walk, lambda s: s["spans"]).alias("loss"))
+    head, body = F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>")), escape(F.col("text"))
+    rows = rows.select("tree", "rank", "depth", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("counts"))
+    # where each turn's text starts, from running lengths
+    before = Window.partitionBy("tree", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.char_length("head") + F.char_length("body") + F.lit(len(END))
+    start = (F.coalesce(F.sum(whole).over(before), F.lit(0)) + F.char_length("head")).cast("int")
+    turn = F.struct("depth", F.concat("head", "body", F.lit(END)).alias("piece"), "counts", F.struct(start.alias("start"), F.char_length("body").alias("length")).alias("span"))
+    said = rows.select("tree", "rank", turn.alias("turn")).groupBy("tree", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["counts"]), lambda t: t["span"])
+    return said.select("tree", "rank", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss"))
 
 
 def parsed(formatted_col: Column) -> Column:

@@ -24,10 +24,13 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations are trees whose turns answer the turn before; conversation -7 holds a template's own marks."""
+    """Conversations are trees whose turns answer the turn before; conversation -7 holds a template's own marks.
+
+    Rows without a conv_id belong to no conversation; null roles and texts are empty.
+    """
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     turns = cut(rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", F.coalesce("text", F.lit("")).alias("text")), "turns")
     nodes = turns.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.log1p(F.char_length("text").cast("double")).alias("score"))
     out = chat.formatted(chat.best_paths(nodes), turns)

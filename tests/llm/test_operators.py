@@ -192,6 +192,28 @@ def test_chat_escapes_come_back(spark):
     assert out.formatted.count("<") == 2 * len(texts)
 
 
+def test_roles_with_marks_come_back(spark):
+    roles = ["user|>x", ">a", "|", "a|b>c", "&gt;", "&#124;|>", "<|end|>", "", None, "assistant"]
+    turns = spark.createDataFrame([(1, i, r, f"t{i}|>") for i, r in enumerate(roles)], "tree long, node long, role string, text string")
+    out = chat.formatted(turns.select("tree", F.lit(1).alias("rank"), "node", F.col("node").alias("depth")), turns).select("*", chat.parsed(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")).first()
+    assert [(t.role, t.text) for t in out.turns] == [(r or "", f"t{i}|>") for i, r in enumerate(roles)] and out.under == "t9|>"
+
+
+def test_conversations_of_odd_rows(spark, tmp_path):
+    """Roles with marks, null columns, repeated rows and one long conversation, against the SQL."""
+    import duckdb
+
+    rows = [(1, 0, "user|>", "a"), (1, 1, "assistant", "b<c"), (1, 1, "assistant", "b<c"), (2, None, None, None), (2, 1, "assistant", None), (None, 0, "user", "lost"), (3, 0, ">", "")]
+    rows += [(4, k, "assistant" if k % 2 else "user", f"turn {k} [x]") for k in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    same_rows(registry.op3_reply_trees(spark, str(tmp_path)), con.execute(registry.ORACLES["op3_reply_trees"]).df())
+    df.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r.conv_id for r in registry.op3_reply_trees(spark, f"{tmp_path}/none").collect()] == [-7]
+
+
 # mixing
 
 
@@ -630,5 +652,40 @@ def test_media_query_reads_back(spark, sf):
         assert r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.tail_crc32 == zlib.crc32(data[-32:])
 
 
+def test_media_query_against_plain_code(spark, tmp_path):
+    texts = ["", None, "a", "é" * 288, "é" * 289, "x" * 700_000, "a", "𝄞\x00\xff"]
+    df = spark.createDataFrame([*[(i, t) for i, t in enumerate(texts)], (None, "no id")], DOC).withColumn("media", F.lit("clash")).withColumn("feature", F.lit("clash"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op10_media_sequences(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) + 1
+    for i, t in [*enumerate(texts), (None, "no id")]:
+        raw = (t or "").encode()
+        data = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        form = b"P5\n576 " + str(len(data) // 576).encode() + b"\n255\n" + data
+        r, x = got[i], list(data)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(data), len(form))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(form).hexdigest(), zlib.crc32(data[-32:]))
+        assert r.feature == f"{len(data) // 576}x576:{sum(x) * 1000 // len(x)}:{sum(abs(a - b) for a, b in zip(x, x[1:])) * 1000 // len(x)}"
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert registry.op10_media_sequences(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_nnpu_toxicity", "op2_ppm_language", "op4_pfair_mixing", "op5_sentence_rules", "op7_token_counts", "op8_byte_bpe"])
+def test_document_queries_on_odd_rows(spark, tmp_path, name):
+    """Nulls in every column, empty and long texts, repeated rows; then an empty table."""
+    rows = [(1, "the cat sat", "en", "a"), (1, "the cat sat", "en", "a"), (2, None, None, None), (3, "", "en", None), (None, None, None, "a"), (None, "der hund", "de", "b"), (4, "x" * 300_000, "de", "b"), (5, "word " * 60_000, "en", "b"), (6, "12 !!", None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    for at, part in (("some", df), ("none", df.limit(0))):
+        part.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{at}/labels.parquet")
+    got = registry.QUERIES[name](spark, f"{tmp_path}/some").collect()
+    assert len(got) == len(rows) and sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 1, 2, 3, 4, 5, 6]
+    assert registry.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+    if name == "op7_token_counts":
+        count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json")).lengths
+        assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got if r.doc_id} == {i: (len((t or "").encode()), count([t or ""])[0]) for i, t, *_ in rows if i}
+
+
 def test_fresh(spark):
     assert fresh(spark.range(1).select(F.lit(1).alias("A"), F.lit(2).alias("a_")), "a") == "a__"
