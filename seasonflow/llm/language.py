@@ -123,8 +123,13 @@ class Coder:
         return total
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its share of the evidence."""
+        return self.explain(texts)[:2]
+
+    def explain(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """predict() and, for each text with a letter, the bits by which its best code is longer (or shorter, below 0) than its plain bytes."""
         texts = ["" if t is None else t for t in texts]
-        named, score = ["und"] * len(texts), np.zeros(len(texts))
+        named, score, excess = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
         has = [k for k, t in enumerate(texts) if LETTER.search(t)] if self.langs else []
         if has:
             bits = self.code_lengths([texts[k] for k in has])
@@ -132,7 +137,8 @@ class Coder:
             share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
             for k, b, s in zip(has, best, share):
                 named[k], score[k] = self.langs[b], s
-        return named, score
+            excess[has] = bits.min(1) - [8.0 * len(texts[k].encode("utf-8", "replace")) for k in has]
+        return named, score, excess
 
 
 def train(docs: DataFrame, docs_per_language: int = 250) -> dict[str, list]:
@@ -152,14 +158,17 @@ def train(docs: DataFrame, docs_per_language: int = 250) -> dict[str, list]:
 
 
 def identify(docs: DataFrame, model: dict[str, list], text_col: str = "text", out: str = "lang_id") -> DataFrame:
-    """docs with a struct column (lang_pred string, score double); other columns stay as they are."""
+    """docs with a struct column (lang_pred string, score double, excess double); other columns stay as they are.
+
+    excess is null where no language is named.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, excess double")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = Coder(shared.value)
         for b in batches:
-            lang, s = coder.predict([x if isinstance(x, str) else None for x in b.tolist()])
-            yield pd.DataFrame({"lang_pred": lang, "score": s})
+            lang, s, excess = coder.explain([x if isinstance(x, str) else None for x in b.tolist()])
+            yield pd.DataFrame({"lang_pred": lang, "score": s, "excess": [None if np.isnan(x) else x for x in excess]})
 
     return docs.withColumn(out, named(F.col(text_col)))

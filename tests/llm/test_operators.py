@@ -154,6 +154,17 @@ def test_language_edges(spark):
     assert language.Coder(model).predict(["the " * 200_000])[0] == ["en"]
 
 
+def test_excess_tells_unknown_scripts_from_short_texts(spark):
+    rnd = random.Random(3)
+    model = {"x": language.grow([prose(k, 200) for k in range(20)])}
+    texts = ["Zyx", "q", prose(99, 40), "日本語のテキスト " * 10, bytes(rnd.randrange(161, 256) for _ in range(300)).decode("latin-1") + "a"]
+    _, _, excess = language.Coder(model).explain([*texts, None, "12"])
+    assert (excess[:2] < 64).all() and excess[2] < -500 and (excess[3:5] > 64).all() and np.isnan(excess[5:]).all()
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("found", F.lit("clash"))
+    got = {r.doc_id: r.found_.excess for r in language.identify(docs, model, out="found_").collect()}
+    assert all(abs(got[i] - excess[i]) < 1e-6 for i in got)
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = registry.op2_ppm_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()

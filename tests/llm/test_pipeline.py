@@ -31,6 +31,31 @@ def test_stages_narrow_and_keep_columns(staged):
     assert staged[5].count() == staged[4].count()
 
 
+def test_each_stage_against_plain_code(spark, sf, staged):
+    """What each stage keeps of its predecessor's rows, by models applied text by text, all pairs, and one pass over slots."""
+    from test_operators import edf, weighted_classes
+
+    from seasonflow.llm import language, toxicity
+
+    docs, calm, named, single, mixed = ([r.asDict() for r in d.collect()] for d in staged[:5])
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+    model = toxicity.train(staged[0], spark.read.parquet(f"{sf}/labels.parquet"))
+    assert ids(calm) == ids(r for r in docs if toxicity.score_texts(model, [r["text"] or ""])[0] < 0.5)
+    coder = language.Coder(language.train(staged[1]))
+    kept = [r for r in calm for lang, _, excess in [coder.explain([r["text"]])] if lang[0] != "und" and excess[0] <= cp.UNEXPLAINED_BITS]
+    assert ids(named) == ids(kept)
+    classes, _ = weighted_classes([(r["doc_id"], r["text"]) for r in named], spark, 0.8)
+    assert ids(single) == sorted(i for i, c in classes.items() if i == c)
+    sources = sorted({r["source"] for r in single})
+    own = {s: sorted((r["doc_id"] for r in single if r["source"] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in sources}
+    order, taken = edf([round(len(own[s]) ** 0.5) for s in sources], [len(own[s]) for s in sources]), dict.fromkeys(sources, 0)
+    want = []
+    for k in order:
+        want.append(own[sources[k]][taken[sources[k]]])
+        taken[sources[k]] += 1
+    assert [r["doc_id"] for r in mixed][: len(want)] == want and ids(mixed) == ids(single)
+
+
 def test_copies_are_gone_and_one_stays(staged):
     before, after = staged[2], staged[3]
     assert after.groupBy("text").count().where("count > 1").count() == 0
