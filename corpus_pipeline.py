@@ -15,6 +15,8 @@ from seasonflow.llm import byte_bpe, language, minhash, mixing, toxicity
 from seasonflow.llm.common import cut, fresh, read
 
 TOXIC_FROM = 0.5
+#: A text whose best code is longer than its plain bytes by more bits than this is in none of the languages.
+UNEXPLAINED_BITS = 64.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found: those whose text is null or has no letter go."""
+    """Documents in which a language is found: those whose text is null, has no letter, or isn't explained by any language go."""
     own = fresh(docs, "found")
-    return language.identify(docs, language.train(docs), out=own).where(F.col(f"{own}.lang_pred") != "und").drop(own)
+    named = language.identify(docs, language.train(docs), out=own)
+    return named.where((F.col(f"{own}.lang_pred") != "und") & (F.col(f"{own}.excess") <= UNEXPLAINED_BITS)).drop(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
