@@ -16,7 +16,7 @@ from seasonflow.llm.common import cut, fresh, read
 
 TOXIC_FROM = 0.5
 #: A text whose best code is longer than its plain bytes by more bits than this is in none of the languages.
-UNEXPLAINED_BITS = 64.0
+UNEXPLAINED_BITS = 512.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
