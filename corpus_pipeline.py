@@ -57,7 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     places = cut(mixing.mixed(docs).groupBy("doc_id").agg(F.min(F.coalesce("slot", "due")).alias(own)), "places")
     span = fresh(docs, "span")
     last = places.agg((F.coalesce(F.max(own), F.lit(0)) + 1).alias(span))
-    named = docs.where("doc_id is not null").join(places, "doc_id").select(*docs.columns, own)
+    # a merge join at every size: the places grow with the documents
+    named = docs.where("doc_id is not null").join(places.hint("merge"), "doc_id").select(*docs.columns, own)
     nameless = docs.where("doc_id is null").crossJoin(F.broadcast(last)).select(*docs.columns, F.pmod(F.xxhash64("text"), span).alias(own))
     return named.unionByName(nameless).orderBy(own).select(docs.columns)
 
