@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlab
         return unfitted(prior)
     prior = min(max(prior, 1e-3), 0.9)
     toxic_ids = own.where((F.col("toxic") == 1) & (unit_hash("doc_id") < most_toxic / tally.t)).select("doc_id")
-    toxic = [r.text or "" for r in rows.join(toxic_ids, "doc_id", "left_semi").select("text").collect()]
+    # about most_toxic ids
+    toxic = [r.text or "" for r in rows.join(F.broadcast(toxic_ids), "doc_id", "left_semi").select("text").collect()]
     drawn = rows.where(unit_hash("doc_id", F.lit(1)) < most_unlabelled / n_docs)
     features = sorted(f for f, n in hits(toxic).items() if n >= LEAST_TEXTS)
     return fit(toxic, [r.text or "" for r in drawn.select("text").collect()], *corpus_hits(rows, features), prior)
