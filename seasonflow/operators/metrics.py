@@ -218,12 +218,28 @@ def compounded(df: DataFrame, by: list[str], order: list[str], ret: str, start:
 
 
 def losing_streaks(trades: DataFrame, by: list[str], order: list[str], ret: str = "exit_return", long: int = 3) -> DataFrame:
-    """(by, longest, n_long): the longest run of losses and the number of runs of at least `long`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    t = trades.withColumn("_l", F.col(ret) <= 0).withColumn("_rn", F.row_number().over(w))
-    t = t.withColumn("_g", F.col("_rn") - F.row_number().over(Window.partitionBy(*by, "_l").orderBy(*order)))
-    runs = t.groupBy(*by, "_l", "_g").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_l"), F.col("n"))), F.lit(0)).alias("longest"), F.count_if(F.col("_l") & (F.col("n") >= long)).alias("n_long"))
+    """(by, longest, n_long): the longest run of losses and the number of runs of at least `long`.
+
+    Runs are found within months of the first column of order, a date, so that no task sees all of a group. Runs that
+    touch an end of their month, two a month at most, are then chained over the months.
+    """
+    month = [*by, "_month"]
+    t = trades.withColumn("_month", F.trunc(order[0], "month")).withColumn("_l", F.col(ret) <= 0)
+    w = Window.partitionBy(*month).orderBy(*order)
+    t = t.withColumn("_rn", F.row_number().over(w)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*month)))
+    t = t.withColumn("_g", F.col("_rn") - F.row_number().over(Window.partitionBy(*month, "_l").orderBy(*order)))
+    runs = t.where("_l").groupBy(*month, "_g").agg(F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z"), F.max("_size").alias("_size"))
+    runs = runs.withColumn("_starts", F.col("_a") == 1).withColumn("_ends", F.col("_z") == F.col("_size"))
+    months = t.select(*month).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_month")))
+    edges = runs.where("_starts or _ends").join(months, month)
+    chain = Window.partitionBy(*by).orderBy("_k", "_a")
+    goes_on = F.col("_starts") & F.lag("_ends").over(chain) & (F.lag("_k").over(chain) == F.col("_k") - 1)
+    edges = edges.withColumn("_on", F.coalesce(goes_on, F.lit(False))).withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(chain))
+    chained = edges.groupBy(*by, "_chain").agg(F.sum("n").alias("n")).drop("_chain")
+    every = runs.where("not (_starts or _ends)").select(*by, "n").unionByName(chained)
+    found = every.groupBy(*by).agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= long).alias("n_long"))
+    zero = F.lit(0).cast("long")
+    return months.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("longest", zero).alias("longest"), F.coalesce("n_long", zero).alias("n_long"))
 
 
 def resampled(equity: DataFrame) -> DataFrame:

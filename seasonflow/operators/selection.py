@@ -148,9 +148,23 @@ def no_repeat(trades: DataFrame, days: int) -> DataFrame:
 
 
 def recent_losses(trades: DataFrame, n: int = 5, least: int = 3) -> DataFrame:
-    """trades with the losses among the strategy's last n exits before their own, and whether those are at least `least`."""
-    w = Window.partitionBy("strategy_id").orderBy("exit_date", "entry_date", "symbol", "direction", "holding_days").rowsBetween(-n, -1)
-    return trades.withColumn("losses", F.coalesce(F.sum(F.when(F.col("exit_return") <= 0, 1).otherwise(0)).over(w), F.lit(0)).cast("long")).withColumn("many_losses", F.col("losses") >= least)
+    """trades with the losses among the strategy's last n exits before their own, and whether those are at least `least`.
+
+    Exits are counted within their month, so that no task sees all of a strategy; what a month's first n rows still lack
+    comes from the last n rows of the months before, carried over in a table of a row for each month.
+    """
+    order, month = ["exit_date", "entry_date", "symbol", "direction", "holding_days"], ["strategy_id", "_month"]
+    w = Window.partitionBy(*month).orderBy(*order)
+    back = Window.partitionBy(*month).orderBy(*[F.desc(c) for c in order])
+    t = trades.withColumn("_month", F.trunc("exit_date", "month")).withColumn("_l", F.when(F.col("exit_return") <= 0, 1).otherwise(0))
+    t = t.withColumns({"_rn": F.row_number().over(w), "_back": F.row_number().over(back), "_own": F.coalesce(F.sum("_l").over(w.rowsBetween(-n, -1)), F.lit(0))})
+    tail = t.where(F.col("_back") <= n).groupBy(*month).agg(F.transform(F.array_sort(F.collect_list(F.struct("_back", "_l"))), lambda x: x["_l"]).alias("_tail"))
+    before = F.collect_list("_tail").over(Window.partitionBy("strategy_id").orderBy("_month").rowsBetween(-n, -1))
+    carried = tail.select(*month, F.slice(F.flatten(F.reverse(before)), 1, n).alias("_carried"))
+    t = t.join(carried, month)
+    lacking = F.slice("_carried", F.lit(1), F.greatest(F.lit(n) - F.col("_rn") + 1, F.lit(0)))
+    losses = F.col("_own") + F.aggregate(lacking, F.lit(0), lambda s, x: s + x)
+    return t.withColumn("losses", losses.cast("long")).withColumn("many_losses", F.col("losses") >= least).select(*trades.columns, "losses", "many_losses")
 
 
 def days_with_losses(trades: DataFrame, trading_days: DataFrame, days: int = 5, least: int = 3) -> DataFrame:

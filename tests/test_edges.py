@@ -302,6 +302,25 @@ def test_loss_breaker_counts_trading_days(spark):
     assert got == {("s", 3): (2, False), ("s", 4): (3, True), ("s", 7): (3, True), ("s", 8): (2, False), ("s", 20): (0, False), ("t", 4): (0, False)}
 
 
+def test_losses_over_month_ends(spark):
+    rnd = random.Random(8)
+    rows = []
+    for s, share in (("a", 0.8), ("b", 0.3), ("c", 1.0), ("d", 0.0)):
+        day = DAY
+        for k in range(120):
+            day += timedelta(rnd.choice((0, 0, 1, 2, 9, 40)))
+            rows.append((s, f"S{k}", day, day, "l", 10, -0.1 if rnd.random() < share else 0.1))
+    df = spark.createDataFrame(rows, "strategy_id string, symbol string, entry_date date, exit_date date, direction string, holding_days int, exit_return double")
+    streaks = {r.strategy_id: (r.longest, r.n_long) for r in mt.losing_streaks(df, ["strategy_id"], ["entry_date", "symbol"]).collect()}
+    flags = {(r.strategy_id, r.symbol): r.losses for r in sl.recent_losses(df).collect()}
+    for s in "abcd":
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]))
+        lost = [int(r[6] < 0) for r in own]
+        runs = [len(x) for x in "".join(map(str, lost)).split("0") if x]
+        assert streaks[s] == (max(runs, default=0), sum(x >= 3 for x in runs))
+        assert [flags[(s, r[1])] for r in own] == [sum(lost[max(0, k - 5) : k]) for k in range(len(own))]
+
+
 def test_one_pass_of_rules_equals_each_alone(spark):
     rnd = random.Random(6)
     rows = [(f"S{k}", DAY, 10, "l", t, rnd.uniform(-0.2, 0.2), 8, 0.05, rnd.uniform(-1, 1), rnd.randrange(1, 9)) for k in range(40) for t in range(1, 9)]
