@@ -165,15 +165,15 @@ def asof_ffill(dates: DataFrame, series: DataFrame, value: str) -> DataFrame:
     return dates.select("date").distinct().join(filled, "date")
 
 
-def next_trading_day(bars: DataFrame, tolerance: int) -> DataFrame:
-    """(symbol, cal_date, trade_date): for each calendar date up to `tolerance` days before a bar, the first bar from it on.
+def next_trading_day(bars: DataFrame, tolerance: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, cal_date, trade_date, and carried columns of the bar): for each calendar date up to `tolerance` days before a bar, the first bar from it on.
 
     Each bar spreads backwards over the days since the bar before it, so that a lookup is an equi-join.
     """
     before = F.lag("date").over(by_symbol())
     first = F.greatest(F.date_add("date", -tolerance), F.date_add(before, 1))
     days = F.sequence(F.coalesce(first, F.date_add("date", -tolerance)), F.col("date"))
-    return bars.select("symbol", "date", days.alias("days")).select("symbol", F.explode("days").alias("cal_date"), F.col("date").alias("trade_date"))
+    return bars.select("symbol", "date", *carried, days.alias("days")).select("symbol", F.explode("days").alias("cal_date"), F.col("date").alias("trade_date"), *carried)
 
 
 def last_trading_day(bars: DataFrame, tolerance: int) -> DataFrame:

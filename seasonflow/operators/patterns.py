@@ -58,14 +58,12 @@ def resolved(rows: DataFrame, bars: DataFrame, wanted: str = "wanted", entry_tol
     """rows(symbol, wanted, days_out, direction, ...) with entry, exit, and ret, the signed percent return between their closes.
 
     Entry is the first trading day from the wanted date within the tolerance, exit the first one from entry + days_out.
-    Both are equi-joins on a map of calendar dates to trading days. Rows without an entry or exit go.
+    Both are equi-joins on a map of calendar dates to trading days with their closes. Rows without an entry or exit go.
     """
     close = bars.select("symbol", "date", "close")
-    first = next_trading_day(close, entry_tolerance).select("symbol", F.col("cal_date").alias(wanted), F.col("trade_date").alias("entry"))
-    last = next_trading_day(close, exit_tolerance).select("symbol", F.col("cal_date").alias("_out"), F.col("trade_date").alias("exit"))
-    at = lambda c, p: close.select("symbol", F.col("date").alias(c), F.col("close").alias(p))
-    out = rows.join(first, ["symbol", wanted]).withColumn("_out", F.expr("date_add(entry, days_out)")).join(last, ["symbol", "_out"]).drop("_out")
-    out = out.join(at("entry", "p_in"), ["symbol", "entry"]).join(at("exit", "p_out"), ["symbol", "exit"]).where("p_in <> 0")
+    at = lambda tolerance, on, day, price: next_trading_day(close, tolerance, ("close",)).select("symbol", F.col("cal_date").alias(on), F.col("trade_date").alias(day), F.col("close").alias(price))
+    out = rows.join(at(entry_tolerance, wanted, "entry", "p_in"), ["symbol", wanted]).where("p_in <> 0")
+    out = out.withColumn("_out", F.expr("date_add(entry, days_out)")).join(at(exit_tolerance, "_out", "exit", "p_out"), ["symbol", "_out"]).drop("_out")
     sign = F.when(F.col("direction") == "l", 1).otherwise(-1)
     return out.withColumn("ret", sign * 100 * (F.col("p_out") - F.col("p_in")) / F.col("p_in"))
 
