@@ -239,7 +239,7 @@ def crossing(members: DataFrame, texts: DataFrame, idf, least: float, block: int
     keys = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("who").alias("who"))
     # of keys with the same members, one
     keys = keys.where("parts > 1").groupBy("n", "size", "who").agg(F.min(F.struct("key", "main")).alias("k"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes)).cast("int")
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes))).cast("int")
     keys = cut(keys.select("k.*", blocks.alias("blocks")), "mixed")
     placed = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("p"), F.greatest(o, "own").alias("q")))
