@@ -32,7 +32,10 @@ def vix_features(df: DataFrame, n: int = 60) -> DataFrame:
     same = F.size(F.filter("_past", lambda x: x == F.col("vix")))
     pct = F.when(F.size("_past") == n, (below + (same + 1) / F.lit(2.0)) / F.lit(float(n)))
     bucket = F.when(F.col("vix") <= 15, 0).when(F.col("vix") <= 20, 1).when(F.col("vix") <= 25, 2).when(F.col("vix") <= 30, 3).when(F.col("vix").isNotNull(), 4)
-    return df.withColumns({"vix_pct": pct, "vix_change": F.col("vix") - lag("vix", 5), "vix_bucket": bucket, "vix_term": F.col("vix") - F.last("vix3m", ignorenulls=True).over(calendar())}).drop("_past", "_series")
+    return df.withColumns({
+        "vix_pct": pct, "vix_change": F.col("vix") - lag("vix", 5), "vix_bucket": bucket,
+        "vix_term": F.col("vix") - F.last("vix3m", ignorenulls=True).over(calendar())
+    }).drop("_past", "_series")
 
 
 def rate_features(df: DataFrame) -> DataFrame:
@@ -50,7 +53,10 @@ def ratio_change(df: DataFrame, a: str, b: str, n: int = 20) -> DataFrame:
 
 def index_trend(df: DataFrame, c: str = "spx", n: int = 20, long: int = 200) -> DataFrame:
     df = one_series(df).withColumn("_m", mean(c, long))
-    return df.withColumns({"index_roc": ratio(F.col(c), lag(c, n)) - 1, "above_mean": F.when(F.col("_m").isNotNull(), F.when(F.col(c) > F.col("_m"), 1.0).otherwise(0.0))}).drop("_m", "_series")
+    return df.withColumns({
+        "index_roc": ratio(F.col(c), lag(c, n)) - 1,
+        "above_mean": F.when(F.col("_m").isNotNull(), F.when(F.col(c) > F.col("_m"), 1.0).otherwise(0.0))
+    }).drop("_m", "_series")
 
 
 def breadth(df: DataFrame, n: int = 10, momentum: int = 20) -> DataFrame:
@@ -95,7 +101,10 @@ def forward_returns(series: DataFrame, c: str, n: int = 15) -> DataFrame:
 def seasonal_lookup(series: DataFrame, c: str, n: int = 15, least: int = 5) -> DataFrame:
     """(week, phase, n, win_rate, mean_return) of forward returns by ISO week and cycle phase."""
     f = forward_returns(series, c, n).where("fwd is not null")
-    g = f.groupBy(F.weekofyear("date").alias("week"), cycle_year(F.year("date")).alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("fwd") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("fwd").alias("mean_return"))
+    g = f.groupBy(F.weekofyear("date").alias("week"), cycle_year(F.year("date")).alias("phase")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("fwd") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
+        F.avg("fwd").alias("mean_return")
+    )
     return g.where(F.col("n") >= least)
 
 
@@ -106,13 +115,17 @@ def seasonal_expanding(series: DataFrame, c: str, n: int = 15, least: int = 5) -
     the series; a year without new rows for a week and phase repeats the sums of the one before.
     """
     f = forward_returns(series, c, n).where("fwd is not null")
-    own = f.groupBy(F.weekofyear("date").alias("week"), cycle_year(F.year("date")).alias("phase"), F.year("fwd_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("fwd") > 0, 1).otherwise(0)).alias("wins"), F.sum("fwd").alias("total"))
+    own = f.groupBy(F.weekofyear("date").alias("week"), cycle_year(F.year("date")).alias("phase"), F.year("fwd_date").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("fwd") > 0, 1).otherwise(0)).alias("wins"), F.sum("fwd").alias("total")
+    )
     years = series.select(F.year("date").alias("year")).distinct()
     spine = own.select("week", "phase").distinct().crossJoin(F.broadcast(years))
     grid = spine.join(own, ["week", "phase", "year"], "left")
     w = prior("week", "phase")
     run = grid.select("week", "phase", "year", F.sum("n").over(w).alias("n"), F.sum("wins").over(w).alias("wins"), F.sum("total").over(w).alias("total"))
-    return run.where(F.col("n") >= least).select("week", "phase", "year", "n", (F.col("wins") / F.col("n")).alias("win_rate"), (F.col("total") / F.col("n")).alias("mean_return"))
+    return run.where(F.col("n") >= least).select(
+        "week", "phase", "year", "n", (F.col("wins") / F.col("n")).alias("win_rate"), (F.col("total") / F.col("n")).alias("mean_return")
+    )
 
 
 def seasonal_regime(win_rate: Column, direction: Column) -> tuple[Column, Column]:

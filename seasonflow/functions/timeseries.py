@@ -62,7 +62,9 @@ def with_atr(df: DataFrame, n: int = 14, least: int = 10) -> DataFrame:
 def with_atr_percentile(df: DataFrame, n: int = 60, c: str = "atr14") -> DataFrame:
     """Share of the last n values that are at most the present one, from n values on."""
     past = F.collect_list(c).over(rolling(n))
-    return df.withColumn("_past", past).withColumn("atr_percentile", F.when(F.size("_past") == n, F.size(F.filter("_past", lambda x: x <= F.col(c))) / F.lit(float(n)))).drop("_past")
+    return df.withColumn("_past", past).withColumn(
+        "atr_percentile", F.when(F.size("_past") == n, F.size(F.filter("_past", lambda x: x <= F.col(c))) / F.lit(float(n)))
+    ).drop("_past")
 
 
 def with_rvol(df: DataFrame, n: int = 20) -> DataFrame:
@@ -79,7 +81,9 @@ def with_diff(df: DataFrame, spans: tuple[int, ...] = (5, 20, 60), c: str = "clo
 
 def with_price_vs_sma(df: DataFrame) -> DataFrame:
     """Distances from sma200 in units of atr14; needs sma50, sma200, atr14."""
-    return df.withColumn("price_vs_sma200", ratio(F.col("close") - F.col("sma200"), F.col("atr14"))).withColumn("sma50_vs_sma200", ratio(F.col("sma50") - F.col("sma200"), F.col("atr14")))
+    return df.withColumn(
+        "price_vs_sma200", ratio(F.col("close") - F.col("sma200"), F.col("atr14"))
+    ).withColumn("sma50_vs_sma200", ratio(F.col("sma50") - F.col("sma200"), F.col("atr14")))
 
 
 def with_bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -118,14 +122,19 @@ def with_trend_score(df: DataFrame, missing_sma: float | None = None) -> DataFra
     df = with_macd(with_ema(df, (5, 12, 26))) if "macd_hist" not in df.columns else df
     df = with_roc(with_rsi(with_atr(with_wma(df))), (20,))
     atr = F.when(F.col("atr14") != 0, F.col("atr14"))
-    means = lambda sign: [F.coalesce(clip(5 + sign * (F.col("close") - F.col(f"sma{n}")) / atr, 0, 10), F.lit(missing_sma).cast("double")) for n in (20, 50, 100, 200)]
+    means = lambda sign: [F.coalesce(
+        clip(5 + sign * (F.col("close") - F.col(f"sma{n}")) / atr, 0, 10), F.lit(missing_sma).cast("double")
+    ) for n in (20, 50, 100, 200)]
     up = F.col("macd_hist") > 0
     size = clip(F.abs("macd_hist") / atr, 0, 5) / 5 * 10
     vote = lambda c, sign: F.when(c, 5.0 + 2 * sign).otherwise(5.0 - 2 * sign)
     rsi = clip(F.col("rsi14") / 10, 0, 10)
 
     def score(sign: int) -> Column:
-        parts = [*means(sign), vote(up, sign), F.when(up if sign > 0 else ~up, size).otherwise(10 - size), vote(F.col("ema5") > F.col("wma13"), sign), vote(F.col("close") > F.col("ema5"), sign)]
+        parts = [
+            *means(sign), vote(up, sign), F.when(up if sign > 0 else ~up, size).otherwise(10 - size),
+            vote(F.col("ema5") > F.col("wma13"), sign), vote(F.col("close") > F.col("ema5"), sign)
+        ]
         parts += [rsi if sign > 0 else 10 - rsi, clip(F.abs("roc20") * 200, 0, 10) / 2 + 2.5]
         return sum(parts[1:], parts[0])
 
@@ -158,7 +167,9 @@ def asof_ffill(dates: DataFrame, series: DataFrame, value: str) -> DataFrame:
     A union sorted once, with the last non-null value carried forward: no range join. For one series; its size is
     that of a calendar.
     """
-    both = dates.select("date", F.lit(None).cast(series.schema[value].dataType).alias(value), F.lit(None).cast("date").alias("src_date")).unionByName(series.where(F.col(value).isNotNull()).select("date", value, F.col("date").alias("src_date")))
+    both = dates.select(
+        "date", F.lit(None).cast(series.schema[value].dataType).alias(value), F.lit(None).cast("date").alias("src_date")
+    ).unionByName(series.where(F.col(value).isNotNull()).select("date", value, F.col("date").alias("src_date")))
     one = both.groupBy("date").agg(F.max(value).alias(value), F.max("src_date").alias("src_date"), F.lit(0).alias("_one"))
     w = Window.partitionBy("_one").orderBy("date")
     filled = one.select("date", F.last(value, ignorenulls=True).over(w).alias(value), F.last("src_date", ignorenulls=True).over(w).alias("src_date"))
@@ -173,7 +184,9 @@ def next_trading_day(bars: DataFrame, tolerance: int, carried: tuple[str, ...] =
     before = F.lag("date").over(by_symbol())
     first = F.greatest(F.date_add("date", -tolerance), F.date_add(before, 1))
     days = F.sequence(F.coalesce(first, F.date_add("date", -tolerance)), F.col("date"))
-    return bars.select("symbol", "date", *carried, days.alias("days")).select("symbol", F.explode("days").alias("cal_date"), F.col("date").alias("trade_date"), *carried)
+    return bars.select("symbol", "date", *carried, days.alias("days")).select(
+        "symbol", F.explode("days").alias("cal_date"), F.col("date").alias("trade_date"), *carried
+    )
 
 
 def last_trading_day(bars: DataFrame, tolerance: int) -> DataFrame:

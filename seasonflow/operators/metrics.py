@@ -72,7 +72,11 @@ def with_bin(df: DataFrame, c: str, n: int, out: str = "bin") -> DataFrame:
 
 def calibration(df: DataFrame, c: str = "predicted", outcome: str = "actual_return", n: int = 20) -> DataFrame:
     b = with_bin(df, c, n)
-    return b.groupBy("bin").agg(F.min(c).alias("pred_min"), F.max(c).alias("pred_max"), F.avg(c).alias("pred_mean"), F.count(F.lit(1)).alias("n_samples"), share(F.col("actual_return") > 0).alias("win_prob"), share(F.col(outcome) >= F.col(c)).alias("p_hit_pred"), F.avg(outcome).alias("avg_outcome"))
+    return b.groupBy("bin").agg(
+        F.min(c).alias("pred_min"), F.max(c).alias("pred_max"), F.avg(c).alias("pred_mean"), F.count(F.lit(1)).alias("n_samples"),
+        share(F.col("actual_return") > 0).alias("win_prob"), share(F.col(outcome) >= F.col(c)).alias("p_hit_pred"),
+        F.avg(outcome).alias("avg_outcome")
+    )
 
 
 def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
@@ -84,7 +88,10 @@ def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
     width = F.col("_b.pred_max") - F.col("_b.pred_min")
     inside = F.when(width > 0, (F.col(c) - F.col("_b.pred_min")) / width).otherwise(0.5)
     score = (F.col("_i") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside))) / F.col("_n") * 100
-    return d.select(*df.columns, F.col("_i").alias("bin"), F.col("_b.win_prob").alias("win_prob"), F.col("_b.p_hit_pred").alias("p_hit"), (F.floor(score * 10 + 0.5 + 1e-6) / 10).alias("calibrated_score"))
+    return d.select(
+        *df.columns, F.col("_i").alias("bin"), F.col("_b.win_prob").alias("win_prob"), F.col("_b.p_hit_pred").alias("p_hit"),
+        (F.floor(score * 10 + 0.5 + 1e-6) / 10).alias("calibrated_score")
+    )
 
 
 def scored(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
@@ -130,7 +137,10 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame
     """Area under the ROC curve by group from rank sums of counted scores; 0.5 where a class is missing."""
     hits = df.groupBy(*by, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("_p"))
     g = ranked_counts(df, score, by).join(hits, [*by, score])
-    s = g.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_r"), F.sum("_p").alias("_p"), F.sum(F.col("n") - F.col("_p")).alias("_q"))
+    s = g.groupBy(*by).agg(
+        F.sum(F.col("_p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_r"), F.sum("_p").alias("_p"),
+        F.sum(F.col("n") - F.col("_p")).alias("_q")
+    )
     value = F.when((F.col("_p") > 0) & (F.col("_q") > 0), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_q"))).otherwise(0.5)
     return s.select(*by, value.alias("auc"))
 
@@ -155,11 +165,17 @@ def regression(df: DataFrame, predicted: str, actual: str, by: list[str]) -> Dat
 
 def binary(df: DataFrame, predicted: str, hit: Column, by: list[str]) -> DataFrame:
     pos = F.col(predicted) > 0
-    c = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(pos & hit).alias("tp"), F.count_if(pos & ~hit).alias("fp"), F.count_if(~pos & hit).alias("fn"), F.count_if(~pos & ~hit).alias("tn"))
+    c = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pos & hit).alias("tp"), F.count_if(pos & ~hit).alias("fp"),
+        F.count_if(~pos & hit).alias("fn"), F.count_if(~pos & ~hit).alias("tn")
+    )
     p, r = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     c = c.withColumn("precision", p).withColumn("recall", r)
     f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return c.select(*by, "n", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "precision", "recall", f1.alias("f1"), ((F.col("tp") + F.col("fn")) / F.col("n")).alias("base_rate"))
+    return c.select(
+        *by, "n", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "precision", "recall", f1.alias("f1"),
+        ((F.col("tp") + F.col("fn")) / F.col("n")).alias("base_rate")
+    )
 
 
 def lift(df: DataFrame, score: str, positive: Column, key: list[str], floors: tuple[int, ...] = (50, 60, 70, 80, 85, 90), least: int = 10) -> DataFrame:
@@ -178,7 +194,10 @@ def lift(df: DataFrame, score: str, positive: Column, key: list[str], floors: tu
     for k in flags:
         x, m = stats(k, "actual_return"), stats(k, "actual_mfe")
         sharpe = F.coalesce(ratio(F.avg(x), F.stddev_samp(x)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
-        rows.append(F.struct(F.lit(k).alias("filter"), F.count(x).alias("n"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"), F.avg(x).alias("avg_return"), F.avg(m).alias("avg_mfe"), sharpe.alias("sharpe"), F.max("_all").alias("_all")))
+        rows.append(F.struct(
+            F.lit(k).alias("filter"), F.count(x).alias("n"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"),
+            F.avg(x).alias("avg_return"), F.avg(m).alias("avg_mfe"), sharpe.alias("sharpe"), F.max("_all").alias("_all")
+        ))
     g = r.agg(F.array(*rows).alias("x")).select(F.inline("x"))
     for c in ("actual_return", "actual_mfe"):
         counted = r.groupBy("_in", c).agg(F.count(F.lit(1)).alias("_n")).select(F.explode("_in").alias("filter"), c, "_n")
@@ -198,7 +217,10 @@ def worst_drawdown(df: DataFrame, ret: str, flags: dict[str, Column], key: list[
     d = df.select(*key, *[x.alias(f"_r{i}") for i, x in enumerate(own.values())])
     d = d.withColumns({f"_c{i}": F.when(F.col(f"_r{i}").isNotNull(), F.sum(f"_r{i}").over(day)) for i in range(len(own))})
     d = d.withColumns({f"_p{i}": F.col(f"_c{i}") - F.max(f"_c{i}").over(day) for i in range(len(own))})
-    parts = [F.struct(F.lit(k).alias("filter"), F.sum(f"_r{i}").alias("s"), F.max(f"_c{i}").alias("hi"), F.min(f"_c{i}").alias("lo"), F.min(f"_p{i}").alias("fall")) for i, k in enumerate(own)]
+    parts = [F.struct(
+        F.lit(k).alias("filter"), F.sum(f"_r{i}").alias("s"), F.max(f"_c{i}").alias("hi"), F.min(f"_c{i}").alias("lo"),
+        F.min(f"_p{i}").alias("fall")
+    ) for i, k in enumerate(own)]
     days = d.groupBy(key[0]).agg(F.array(*parts).alias("x")).select(key[0], F.inline("x")).where("s is not null")
     w = Window.partitionBy("filter").orderBy(key[0])
     days = days.withColumn("start", F.sum("s").over(w) - F.col("s"))
@@ -228,7 +250,9 @@ def losing_streaks(trades: DataFrame, by: list[str], order: list[str], ret: str
     w = Window.partitionBy(*month).orderBy(*order)
     t = t.withColumn("_rn", F.row_number().over(w)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*month)))
     t = t.withColumn("_g", F.col("_rn") - F.row_number().over(Window.partitionBy(*month, "_l").orderBy(*order)))
-    runs = t.where("_l").groupBy(*month, "_g").agg(F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z"), F.max("_size").alias("_size"))
+    runs = t.where("_l").groupBy(*month, "_g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z"), F.max("_size").alias("_size")
+    )
     runs = runs.withColumn("_starts", F.col("_a") == 1).withColumn("_ends", F.col("_z") == F.col("_size"))
     months = t.select(*month).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_month")))
     edges = runs.where("_starts or _ends").join(months, month)
@@ -239,14 +263,18 @@ def losing_streaks(trades: DataFrame, by: list[str], order: list[str], ret: str
     every = runs.where("not (_starts or _ends)").select(*by, "n").unionByName(chained)
     found = every.groupBy(*by).agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= long).alias("n_long"))
     zero = F.lit(0).cast("long")
-    return months.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("longest", zero).alias("longest"), F.coalesce("n_long", zero).alias("n_long"))
+    return months.select(*by).distinct().join(found, by, "left").select(
+        *by, F.coalesce("longest", zero).alias("longest"), F.coalesce("n_long", zero).alias("n_long")
+    )
 
 
 def resampled(equity: DataFrame) -> DataFrame:
     """(strategy_id, date, equity) on every weekday from a strategy's first to its last date, the last value carried forward."""
     span = equity.groupBy("strategy_id").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = span.select("strategy_id", F.explode(F.sequence("a", "b")).alias("date")).where(F.weekday("date") < 5)
-    both = days.select("strategy_id", "date", F.lit(None).cast("double").alias("equity"), F.lit(True).alias("_w")).unionByName(equity.select("strategy_id", "date", "equity", F.lit(False).alias("_w")))
+    both = days.select(
+        "strategy_id", "date", F.lit(None).cast("double").alias("equity"), F.lit(True).alias("_w")
+    ).unionByName(equity.select("strategy_id", "date", "equity", F.lit(False).alias("_w")))
     one = both.groupBy("strategy_id", "date").agg(F.max("equity").alias("equity"), F.max("_w").alias("_w"))
     w = Window.partitionBy("strategy_id").orderBy("date")
     return one.withColumn("equity", F.last("equity", ignorenulls=True).over(w)).where("_w").drop("_w")
@@ -255,8 +283,13 @@ def resampled(equity: DataFrame) -> DataFrame:
 def equity_statistics(equity: DataFrame) -> DataFrame:
     """One row per strategy: total and annual return, monthly Sharpe, daily Sharpe, worst drawdown, years in profit and the worst year."""
     by = Window.partitionBy("strategy_id")
-    span = equity.groupBy("strategy_id").agg(F.min_by("equity", "date").alias("first"), F.max_by("equity", "date").alias("last"), F.datediff(F.max("date"), F.min("date")).alias("days"))
-    month = equity.groupBy("strategy_id", F.trunc("date", "month").alias("m")).agg(F.max_by("equity", "date").alias("e")).withColumn("r", ratio(F.col("e"), F.lag("e").over(by.orderBy("m"))) - 1)
+    span = equity.groupBy("strategy_id").agg(
+        F.min_by("equity", "date").alias("first"), F.max_by("equity", "date").alias("last"),
+        F.datediff(F.max("date"), F.min("date")).alias("days")
+    )
+    month = equity.groupBy("strategy_id", F.trunc("date", "month").alias("m")).agg(F.max_by("equity", "date").alias("e")).withColumn(
+        "r", ratio(F.col("e"), F.lag("e").over(by.orderBy("m"))) - 1
+    )
     monthly = month.groupBy("strategy_id").agg((F.sqrt(F.lit(12.0)) * ratio(F.avg("r"), F.stddev_samp("r"))).alias("monthly_sharpe"))
     day = resampled(equity).withColumn("r", ratio(F.col("equity"), F.lag("equity").over(by.orderBy("date"))) - 1)
     daily = day.groupBy("strategy_id").agg((F.sqrt(F.lit(252.0)) * ratio(F.avg("r"), F.stddev_pop("r"))).alias("daily_sharpe"))
@@ -264,7 +297,10 @@ def equity_statistics(equity: DataFrame) -> DataFrame:
     year = equity.groupBy("strategy_id", F.year("date").alias("y")).agg((ratio(F.max_by("equity", "date"), F.min_by("equity", "date")) - 1).alias("r"))
     yearly = year.groupBy("strategy_id").agg(F.count_if(F.col("r") > 0).alias("years_profitable"), F.min("r").alias("worst_year"))
     total = ratio(F.col("last"), F.col("first")) - 1
-    out = span.select("strategy_id", total.alias("total_return"), F.when(total > -1, F.pow(1 + total, 365.25 / F.col("days")) - 1).otherwise(-1.0).alias("annual_return"))
+    out = span.select(
+        "strategy_id", total.alias("total_return"),
+        F.when(total > -1, F.pow(1 + total, 365.25 / F.col("days")) - 1).otherwise(-1.0).alias("annual_return")
+    )
     for part in (monthly, daily, down, yearly):
         out = out.join(part, "strategy_id")
     return out
@@ -292,7 +328,10 @@ def yearly_dollars(trades: DataFrame, by: list[str], capital: float, share_of: f
     """(by, year, n, ev, dollars, and dollars after each haircut): what trades of a share of the capital each earn in a year; year 0 is the mean of the years that have trades."""
     y = trades.groupBy(*by, F.year("entry_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("exit_return").alias("ev"))
     y = y.withColumn("dollars", F.col("ev") * F.col("n") * share_of * capital)
-    mean = y.groupBy(*by).agg(F.lit(0).alias("year"), F.sum("n").alias("n"), ratio(F.sum(F.col("ev") * F.col("n")), F.sum("n")).alias("ev"), F.avg("dollars").alias("dollars"))
+    mean = y.groupBy(*by).agg(
+        F.lit(0).alias("year"), F.sum("n").alias("n"), ratio(F.sum(F.col("ev") * F.col("n")), F.sum("n")).alias("ev"),
+        F.avg("dollars").alias("dollars")
+    )
     return y.unionByName(mean).withColumns({f"after_{round(h * 100)}": F.col("dollars") * (1 - h) for h in haircuts})
 
 
@@ -326,20 +365,27 @@ def window_statistics(df: DataFrame, windows: dict[str, tuple[str, str]]) -> Dat
     r70 = F.when(of(70), F.col("actual_return"))
     return d.groupBy("period").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(of(-1, "l")).alias("n_long"), F.count_if(of(-1, "s")).alias("n_short"), *[win(of(*x)).alias(f"wr{k}") for k, x in floors.items()],
-        *[mean(of(*floors[k])).alias(f"avg{k}") for k in ("70", "85", "85_long")], F.coalesce(ratio(F.avg(r70), F.stddev_samp(r70)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe70"),
+        *[mean(of(*floors[k])).alias(f"avg{k}") for k in ("70", "85", "85_long")], F.coalesce(
+            ratio(F.avg(r70), F.stddev_samp(r70)) * F.sqrt(F.lit(252.0)), F.lit(0.0)
+        ).alias("sharpe70"),
     )
 
 
 def threshold_grid(df: DataFrame, inside: Column, floors: list[int]) -> DataFrame:
     """(threshold, in_window, n, win_rate, avg_return) of the rows over each floor, inside and outside."""
     d = df.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in floors]))).where(F.col("ml_score") >= F.col("threshold"))
-    return d.groupBy("threshold", inside.alias("in_window")).agg(F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"))
+    return d.groupBy("threshold", inside.alias("in_window")).agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return")
+    )
 
 
 def equivalent_threshold(grid: DataFrame, reference: int) -> DataFrame:
     """One row (equivalent, reference_rate): the lowest floor whose win rate inside reaches that of the reference floor outside; null without one."""
     outside = F.broadcast(grid.where(~F.col("in_window") & (F.col("threshold") == reference)).agg(F.max("win_rate").alias("reference_rate")))
-    return grid.where("in_window").crossJoin(outside).agg(F.min(F.when(F.col("win_rate") >= F.col("reference_rate"), F.col("threshold"))).alias("equivalent"), F.max("reference_rate").alias("reference_rate"))
+    return grid.where("in_window").crossJoin(outside).agg(
+        F.min(F.when(F.col("win_rate") >= F.col("reference_rate"), F.col("threshold"))).alias("equivalent"),
+        F.max("reference_rate").alias("reference_rate")
+    )
 
 
 def joined_predictions(labels: DataFrame, parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -366,5 +412,8 @@ def daily_book(picks: DataFrame, slippage: float = 0.2, start: float = 100000.0)
 
 
 def book_statistics(book: DataFrame) -> DataFrame:
-    g = book.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), (F.exp(F.sum(safe_log1p(F.col("ret")))) - 1).alias("total_return"), (F.sqrt(F.lit(252.0)) * ratio(F.avg("ret"), F.stddev_pop("ret"))).alias("sharpe"), F.max("drawdown").alias("max_drawdown"))
+    g = book.agg(
+        F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), (F.exp(F.sum(safe_log1p(F.col("ret")))) - 1).alias("total_return"),
+        (F.sqrt(F.lit(252.0)) * ratio(F.avg("ret"), F.stddev_pop("ret"))).alias("sharpe"), F.max("drawdown").alias("max_drawdown")
+    )
     return g.withColumn("annual_return", F.pow(1 + F.col("total_return"), 252 / F.col("days")) - 1)

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from seasonflow.functions.core import require_columns
 
 #: What the models see, in this order.
-FEATURES = ["holding_days", "ml_score", "predicted_return", "predicted_mfe", "win_probability", "p_hit_return", "p_hit_mfe", "stock_volatility_20d", "atr_14d_pct", "is_long", "month", "day_of_year", "cycle"]
+FEATURES = [
+    "holding_days", "ml_score", "predicted_return", "predicted_mfe", "win_probability", "p_hit_return", "p_hit_mfe", "stock_volatility_20d",
+    "atr_14d_pct", "is_long", "month", "day_of_year", "cycle"
+]
 
 
 #: The learners of an ensemble.
@@ -21,7 +24,10 @@ MEMBERS = ["gbt", "forest", "linear"]
 
 
 def with_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({"is_long": F.when(F.col("direction") == "l", 1.0).otherwise(0.0), "month": F.month("date").cast("double"), "day_of_year": F.dayofyear("date").cast("double"), "cycle": F.pmod(F.year("date") - 2001, F.lit(4)).cast("double")})
+    return df.withColumns({
+        "is_long": F.when(F.col("direction") == "l", 1.0).otherwise(0.0), "month": F.month("date").cast("double"),
+        "day_of_year": F.dayofyear("date").cast("double"), "cycle": F.pmod(F.year("date") - 2001, F.lit(4)).cast("double")
+    })
 
 
 def contract(df: DataFrame, features: list[str]) -> DataFrame:
@@ -40,7 +46,10 @@ def walk_forward_windows(df: DataFrame, years: list[int]) -> DataFrame:
 
 def stages(features: list[str]) -> list:
     """Missing values become the mean, with a flag column each, as the learners take no nulls."""
-    return [Imputer(inputCols=features, outputCols=[f"{c}_i" for c in features]), VectorAssembler(inputCols=[*[f"{c}_i" for c in features], *[f"{c}_missing" for c in features]], outputCol="features")]
+    return [
+        Imputer(inputCols=features, outputCols=[f"{c}_i" for c in features]),
+        VectorAssembler(inputCols=[*[f"{c}_i" for c in features], *[f"{c}_missing" for c in features]], outputCol="features")
+    ]
 
 
 def prepared(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -104,7 +113,10 @@ def importances(model: PipelineModel, features: list[str] = FEATURES) -> DataFra
     return SparkSession.active().createDataFrame(list(zip(names, v)), "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
-def tune(df: DataFrame, label: str, features: list[str] = FEATURES, most: int = 2_000_000, depths: tuple[int, ...] = (2, 3, 4), rounds: tuple[int, ...] = (3, 6)) -> DataFrame:
+def tune(
+    df: DataFrame, label: str, features: list[str] = FEATURES, most: int = 2_000_000, depths: tuple[int, ...] = (2, 3, 4),
+    rounds: tuple[int, ...] = (3, 6)
+) -> DataFrame:
     """(depth, rounds, rmse) of a grid, on a seeded split of a seeded sample of about `most` rows."""
     from pyspark.sql import SparkSession
 
@@ -112,7 +124,10 @@ def tune(df: DataFrame, label: str, features: list[str] = FEATURES, most: int =
 
     g = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="predicted", seed=42)
     grid = ParamGridBuilder().addGrid(g.maxDepth, list(depths)).addGrid(g.maxIter, list(rounds)).build()
-    s = TrainValidationSplit(estimator=Pipeline(stages=[*stages(features), g]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, predictionCol="predicted"), trainRatio=0.8, seed=42, parallelism=2)
+    s = TrainValidationSplit(
+        estimator=Pipeline(stages=[*stages(features), g]), estimatorParamMaps=grid,
+        evaluator=RegressionEvaluator(labelCol=label, predictionCol="predicted"), trainRatio=0.8, seed=42, parallelism=2
+    )
     m = s.fit(prepared(df, features))
     rows = [(int(p[g.maxDepth]), int(p[g.maxIter]), float(r)) for p, r in zip(grid, m.validationMetrics)]
     return SparkSession.active().createDataFrame(rows, "depth int, rounds int, rmse double")

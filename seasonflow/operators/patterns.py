@@ -23,7 +23,9 @@ def depth_profile(opps: DataFrame, depth_cap: int = 35, capped: int = 30) -> Dat
     worst_first = F.struct(F.col("sharpe_ratio"), -F.col("year1"), -F.col("year2"), ~F.col("is_pe"))
     g = opps.groupBy(*PATTERN).agg(
         F.max("sharpe_ratio").alias("best_sharpe"), F.max_by("avg_profit2", worst_first).alias("avg_profit2"), F.coalesce(F.max(plain(F.col("year1"))), F.lit(0)).alias("deepest_pass"),
-        F.max_by("sharpe_ratio", F.when(~F.col("is_pe"), F.struct("year1", "sharpe_ratio"))).alias("sharpe_at_deepest"), F.max(F.when(recent, 1).otherwise(0)).alias("passes_recent_10"), F.max(F.when(recent, F.col("sharpe_ratio"))).alias("sharpe_at_10"),
+        F.max_by(
+            "sharpe_ratio", F.when(~F.col("is_pe"), F.struct("year1", "sharpe_ratio"))
+        ).alias("sharpe_at_deepest"), F.max(F.when(recent, 1).otherwise(0)).alias("passes_recent_10"), F.max(F.when(recent, F.col("sharpe_ratio"))).alias("sharpe_at_10"),
         F.count(F.lit(1)).alias("n_combos"), F.coalesce(F.max(F.when(F.col("is_pe"), F.col("year1"))), F.lit(0)).alias("pe_deepest"), F.max(win).alias("best_winrate"), F.min(win).alias("worst_winrate"),
         F.coalesce(F.stddev_pop(plain(win)), F.lit(0.0)).alias("consistency_std"),
     )
@@ -31,14 +33,19 @@ def depth_profile(opps: DataFrame, depth_cap: int = 35, capped: int = 30) -> Dat
     depth = F.least(F.col("data_years"), F.lit(depth_cap))
     return g.withColumns({
         "deepest_capped": F.least(F.col("deepest_pass"), F.lit(capped)), "pe_match": F.when(F.col("pe_deepest") > 0, 1).otherwise(0), "depth_utilization": F.coalesce(ratio(F.col("deepest_pass"), depth), F.lit(0.0)),
-        "pe_utilization": F.coalesce(ratio(F.col("pe_deepest"), depth / 4.0), F.lit(0.0)), "recent_vs_deep": ratio(F.when(F.col("sharpe_at_10") != 0, F.col("sharpe_at_10")), F.col("sharpe_at_deepest")),
+        "pe_utilization": F.coalesce(ratio(F.col("pe_deepest"), depth / 4.0), F.lit(0.0)), "recent_vs_deep": ratio(
+            F.when(F.col("sharpe_at_10") != 0, F.col("sharpe_at_10")), F.col("sharpe_at_deepest")
+        ),
     })
 
 
 def extra_profile(opps: DataFrame) -> DataFrame:
     """Profit per day, Sharpe per root day, MFE ratio, holding bucket and whether a pattern passes at its symbol's deepest combo."""
     order = F.struct(F.col("sharpe_ratio"), -F.col("year1"), -F.col("year2"), ~F.col("is_pe"))
-    g = opps.groupBy(*PATTERN).agg(F.max_by(F.struct("sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("p2")), order).alias("b"), F.max(F.when(~F.col("is_pe"), F.col("year1"))).alias("deepest"))
+    g = opps.groupBy(*PATTERN).agg(
+        F.max_by(F.struct("sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("p2")), order).alias("b"),
+        F.max(F.when(~F.col("is_pe"), F.col("year1"))).alias("deepest")
+    )
     deepest = opps.where("not is_pe").groupBy("symbol").agg(F.max("year1").alias("most"))
     g = g.join(deepest, "symbol", "left")
     d = F.col("days_out")
@@ -61,7 +68,9 @@ def resolved(rows: DataFrame, bars: DataFrame, wanted: str = "wanted", entry_tol
     Both are equi-joins on a map of calendar dates to trading days with their closes. Rows without an entry or exit go.
     """
     close = bars.select("symbol", "date", "close")
-    at = lambda tolerance, on, day, price: next_trading_day(close, tolerance, ("close",)).select("symbol", F.col("cal_date").alias(on), F.col("trade_date").alias(day), F.col("close").alias(price))
+    at = lambda tolerance, on, day, price: next_trading_day(close, tolerance, ("close",)).select(
+        "symbol", F.col("cal_date").alias(on), F.col("trade_date").alias(day), F.col("close").alias(price)
+    )
     out = rows.join(at(entry_tolerance, wanted, "entry", "p_in"), ["symbol", wanted]).where("p_in <> 0")
     out = out.withColumn("_out", F.expr("date_add(entry, days_out)")).join(at(exit_tolerance, "_out", "exit", "p_out"), ["symbol", "_out"]).drop("_out")
     sign = F.when(F.col("direction") == "l", 1).otherwise(-1)
@@ -138,7 +147,10 @@ def neighbourhood(opps: DataFrame, bars: DataFrame, years: tuple[int, int], wind
         return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some))
 
     near = mean(pre2, pre1, post1, post2)
-    return g.select(*key[:-1], "year", near.alias("neighbour_wr"), ratio(own, near).alias("sharpness"), (pre1 - pre2).alias("pre_slope"), (own - mean(post1, post2)).alias("post_cliff"))
+    return g.select(
+        *key[:-1], "year", near.alias("neighbour_wr"), ratio(own, near).alias("sharpness"), (pre1 - pre2).alias("pre_slope"),
+        (own - mean(post1, post2)).alias("post_cliff")
+    )
 
 
 def hit_last_year(samples: DataFrame, bars: DataFrame) -> DataFrame:
@@ -158,4 +170,7 @@ def interactions(df: DataFrame) -> DataFrame:
     sign = F.when(F.col("direction") == "l", 1).otherwise(-1)
     trend = lambda p, m: F.when(F.col(p).isNotNull() & F.col(m).isNotNull(), F.when(F.col(p) > F.col(m), 1).otherwise(-1))
     above = F.when(F.col("spy_sma200").isNotNull(), F.when(F.col("spy") > F.col("spy_sma200"), 1.0).otherwise(0.0))
-    return df.withColumns({"dir_x_market": sign * trend("spy", "spy_sma200"), "dir_x_sector": sign * trend("etf", "etf_sma200"), "depth_x_vix": ratio(F.col("deepest_pass"), F.col("vix")), "quality_x_regime": F.col("best_sharpe") * above})
+    return df.withColumns({
+        "dir_x_market": sign * trend("spy", "spy_sma200"), "dir_x_sector": sign * trend("etf", "etf_sma200"),
+        "depth_x_vix": ratio(F.col("deepest_pass"), F.col("vix")), "quality_x_regime": F.col("best_sharpe") * above
+    })

@@ -53,11 +53,16 @@ def in_windows(date: Column, windows: list[tuple[str, str]]) -> Column:
     return out
 
 
-def regime_switch(df: DataFrame, windows: list[tuple[str, str]], ml: float, floor: float = 70.0, excluded: tuple[str, ...] = ("ASIA",), direction: str | None = None) -> DataFrame:
+def regime_switch(
+    df: DataFrame, windows: list[tuple[str, str]], ml: float, floor: float = 70.0, excluded: tuple[str, ...] = ("ASIA",),
+    direction: str | None = None
+) -> DataFrame:
     """Within the windows: long only, a lower score floor, some sectors left out; elsewhere the usual floor and direction."""
     inside = in_windows(F.col("date"), windows)
     usual = F.lit(True) if direction is None else F.col("direction") == direction
-    return df.withColumn("in_regime", inside).where(F.when(inside, (F.col("ml_score") >= min(ml, floor)) & (F.col("direction") == "l") & ~F.col("sector").isin(*excluded)).otherwise((F.col("ml_score") >= ml) & usual))
+    return df.withColumn("in_regime", inside).where(F.when(
+        inside, (F.col("ml_score") >= min(ml, floor)) & (F.col("direction") == "l") & ~F.col("sector").isin(*excluded)
+    ).otherwise((F.col("ml_score") >= ml) & usual))
 
 
 def iv_share(symbol: Column, date: Column, code: str) -> Column:
@@ -79,7 +84,10 @@ def rank_by(df: DataFrame, method: str) -> DataFrame:
         score = F.col(simple[method])
     else:
         a, b, c = {"CW": (0.60, 0.25, 0.15), "CR": (0.30, 0.50, 0.20)}[method]
-        df = df.withColumns({"_a": avg_tie_rank(["date"], "win_probability"), "_b": avg_tie_rank(["date"], "predicted_return"), "_c": avg_tie_rank(["date"], "gap")})
+        df = df.withColumns({
+            "_a": avg_tie_rank(["date"], "win_probability"), "_b": avg_tie_rank(["date"], "predicted_return"),
+            "_c": avg_tie_rank(["date"], "gap")
+        })
         score = F.floor((F.col("_a") * a + F.col("_b") * b + F.col("_c") * c) * 1e9 + 0.5) / 1e9
     df = df.withColumn("score", score)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), *KEY))).drop("_a", "_b", "_c")
@@ -101,9 +109,15 @@ def symbol_quality_rows(df: DataFrame, years: DataFrame, least: int = 10, least_
     own = df.groupBy("symbol", "year").agg(F.sum("actual_return").alias("s"), F.count(F.lit(1)).alias("n"))
     grid = own.select("symbol").distinct().crossJoin(F.broadcast(years.select("year"))).join(own, ["symbol", "year"], "left")
     whole = Window.partitionBy("symbol")
-    run = grid.select("symbol", "year", F.sum("s").over(prior("symbol")).alias("s"), F.sum("n").over(prior("symbol")).alias("n"), F.sum("s").over(whole).alias("sa"), F.sum("n").over(whole).alias("na"))
+    run = grid.select(
+        "symbol", "year", F.sum("s").over(prior("symbol")).alias("s"), F.sum("n").over(prior("symbol")).alias("n"),
+        F.sum("s").over(whole).alias("sa"), F.sum("n").over(whole).alias("na")
+    )
     enough = run.groupBy("year").agg((F.coalesce(F.sum("n"), F.lit(0)) >= least_all).alias("enough"))
-    run = run.join(F.broadcast(enough), "year").select("symbol", "year", F.when(F.col("enough"), F.col("s")).otherwise(F.col("sa")).alias("s"), F.when(F.col("enough"), F.col("n")).otherwise(F.col("na")).alias("n"))
+    run = run.join(F.broadcast(enough), "year").select(
+        "symbol", "year", F.when(F.col("enough"), F.col("s")).otherwise(F.col("sa")).alias("s"),
+        F.when(F.col("enough"), F.col("n")).otherwise(F.col("na")).alias("n")
+    )
     return run.where(F.col("n") >= least).select("symbol", "year", F.greatest(F.least(F.col("s") / F.col("n"), F.lit(limit)), F.lit(-limit)).alias("quality"))
 
 
@@ -112,7 +126,11 @@ def rank_quality(df: DataFrame, quality: DataFrame, method: str = "CW", default:
     df = df.join(quality, ["symbol", "year"], "left").withColumn("quality", F.coalesce("quality", F.lit(default))).withColumn("gap", F.col("predicted_mfe") - F.col("predicted_return"))
     a, b, c = {"CW": (0.54, 0.225, 0.135), "CR": (0.27, 0.45, 0.18)}[method]
     day = Window.partitionBy("date")
-    df = df.withColumns({"_a": avg_tie_rank(["date"], "win_probability"), "_b": avg_tie_rank(["date"], "predicted_return"), "_c": avg_tie_rank(["date"], "gap"), "_q": avg_tie_rank(["date"], "quality"), "_flat": F.min("quality").over(day) == F.max("quality").over(day)})
+    df = df.withColumns({
+        "_a": avg_tie_rank(["date"], "win_probability"), "_b": avg_tie_rank(["date"], "predicted_return"),
+        "_c": avg_tie_rank(["date"], "gap"), "_q": avg_tie_rank(["date"], "quality"),
+        "_flat": F.min("quality").over(day) == F.max("quality").over(day)
+    })
     score = F.col("_a") * a + F.col("_b") * b + F.col("_c") * c + F.when(F.col("_flat"), 0.5).otherwise(F.col("_q")) * 0.10
     df = df.withColumn("score", F.floor(score * 1e9 + 0.5) / 1e9)
     return df.withColumn("rank", F.row_number().over(day.orderBy(F.desc("score"), *KEY))).drop("_a", "_b", "_c", "_q", "_flat")
@@ -157,8 +175,13 @@ def recent_losses(trades: DataFrame, n: int = 5, least: int = 3) -> DataFrame:
     w = Window.partitionBy(*month).orderBy(*order)
     back = Window.partitionBy(*month).orderBy(*[F.desc(c) for c in order])
     t = trades.withColumn("_month", F.trunc("exit_date", "month")).withColumn("_l", F.when(F.col("exit_return") <= 0, 1).otherwise(0))
-    t = t.withColumns({"_rn": F.row_number().over(w), "_back": F.row_number().over(back), "_own": F.coalesce(F.sum("_l").over(w.rowsBetween(-n, -1)), F.lit(0))})
-    tail = t.where(F.col("_back") <= n).groupBy(*month).agg(F.transform(F.array_sort(F.collect_list(F.struct("_back", "_l"))), lambda x: x["_l"]).alias("_tail"))
+    t = t.withColumns({
+        "_rn": F.row_number().over(w), "_back": F.row_number().over(back),
+        "_own": F.coalesce(F.sum("_l").over(w.rowsBetween(-n, -1)), F.lit(0))
+    })
+    tail = t.where(F.col("_back") <= n).groupBy(*month).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_back", "_l"))), lambda x: x["_l"]
+    ).alias("_tail"))
     before = F.collect_list("_tail").over(Window.partitionBy("strategy_id").orderBy("_month").rowsBetween(-n, -1))
     carried = tail.select(*month, F.slice(F.flatten(F.reverse(before)), 1, n).alias("_carried"))
     t = t.join(carried, month)
@@ -182,7 +205,9 @@ def days_with_losses(trades: DataFrame, trading_days: DataFrame, days: int = 5,
 def loss_breaker(trades: DataFrame, trading_days: DataFrame, days: int = 5, least: int = 3) -> DataFrame:
     """trades with day_losses, the strategy's losing exits within the trading days before and on their entry, and blocked."""
     lost = days_with_losses(trades, trading_days, days, least).withColumnRenamed("losses", "day_losses")
-    out = trades.join(trading_days.select(F.col("date").alias("entry_date"), "idx"), "entry_date", "left").join(lost, ["strategy_id", "idx"], "left").drop("idx")
+    out = trades.join(
+        trading_days.select(F.col("date").alias("entry_date"), "idx"), "entry_date", "left"
+    ).join(lost, ["strategy_id", "idx"], "left").drop("idx")
     return out.withColumns({"day_losses": F.coalesce("day_losses", F.lit(0).cast("long")), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
@@ -192,20 +217,28 @@ def pareto(df: DataFrame, risk: str, reward: str) -> DataFrame:
     return df.withColumn("_best", F.max(reward).over(w)).where(F.col("_best").isNull() | (F.col(reward) > F.col("_best"))).drop("_best")
 
 
-def kelly_ratio(df: DataFrame, floors: list[float], years: list[int], by: tuple[str, ...] = (), least: int = 100, least_side: int = 10, default: float = 1.3) -> DataFrame:
+def kelly_ratio(
+    df: DataFrame, floors: list[float], years: list[int], by: tuple[str, ...] = (), least: int = 100, least_side: int = 10,
+    default: float = 1.3
+) -> DataFrame:
     """(by, threshold, year, r): mean win over mean loss in earlier years, all years where these are few, a default where a side is.
 
     Rows are spread over thresholds and summed by year first; the running sums see a few rows per threshold.
     """
     t = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in floors]))).where(F.col("ml_score") >= F.col("threshold"))
     win = F.col("actual_return") > 0
-    own = t.groupBy(*by, "threshold", "year").agg(F.sum(F.when(win, F.col("actual_return"))).alias("ws"), F.count_if(win).alias("wn"), F.sum(F.when(~win, F.abs("actual_return"))).alias("ls"), F.count_if(~win).alias("ln"))
+    own = t.groupBy(*by, "threshold", "year").agg(
+        F.sum(F.when(win, F.col("actual_return"))).alias("ws"), F.count_if(win).alias("wn"),
+        F.sum(F.when(~win, F.abs("actual_return"))).alias("ls"), F.count_if(~win).alias("ln")
+    )
     grid = own.select(*by, "threshold").distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
     cols = ("ws", "wn", "ls", "ln")
     allrows = own.groupBy(*by, "threshold").agg(*[F.sum(c).alias(f"{c}_all") for c in cols])
     before = prior(*by, "threshold")
     every = grid.join(own, [*by, "threshold", "year"], "full")
-    run = every.select(*by, "threshold", "year", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in cols]).where(F.col("year").isin(*years)).join(allrows, [*by, "threshold"])
+    run = every.select(
+        *by, "threshold", "year", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in cols]
+    ).where(F.col("year").isin(*years)).join(allrows, [*by, "threshold"])
     few = F.col("wn") + F.col("ln") < least
     pick = {c: F.when(few, F.coalesce(f"{c}_all", F.lit(0))).otherwise(F.col(c)) for c in cols}
     run = run.select(*by, "threshold", "year", *[e.alias(c) for c, e in pick.items()])

@@ -13,7 +13,10 @@ PREMIUMS = {"D30": 0.025, "D40": 0.036, "D50": 0.045, "D60": 0.055}
 EXPIRIES = {"XS": (1, 3, 1.0), "XN": (1, 10, 1.3), "XB": (1, 7, 1.5), "X2": (2, 0, 1.8)}
 VOLATILITIES = {"IN": (1.10, 1.00), "IL": (1.00, 0.60), "IH": (0.90, 0.30)}
 #: cost over width by (width, expiry) of debit spreads; credit over width by (short distance, width, expiry) (fixed values).
-DEBIT = {(0.03, "XN"): 0.40, (0.05, "XN"): 0.37, (0.03, "XB"): 0.41, (0.05, "XB"): 0.38, (0.03, "X2"): 0.39, (0.05, "X2"): 0.36, (0.03, "XS"): 0.44, (0.05, "XS"): 0.40}
+DEBIT = {
+    (0.03, "XN"): 0.40, (0.05, "XN"): 0.37, (0.03, "XB"): 0.41, (0.05, "XB"): 0.38, (0.03, "X2"): 0.39, (0.05, "X2"): 0.36,
+    (0.03, "XS"): 0.44, (0.05, "XS"): 0.40
+}
 CREDIT = {
     (0.03, 0.03, "XS"): 0.28, (0.03, 0.03, "XN"): 0.25, (0.03, 0.05, "XS"): 0.22, (0.03, 0.05, "XN"): 0.20, (0.05, 0.03, "XS"): 0.18, (0.05, 0.03, "XN"): 0.15,
     (0.05, 0.05, "XS"): 0.12, (0.05, 0.05, "XN"): 0.10, (0.02, 0.03, "XS"): 0.33, (0.02, 0.03, "XN"): 0.30, (0.02, 0.05, "XS"): 0.27, (0.02, 0.05, "XN"): 0.24,
@@ -33,7 +36,9 @@ def without_events(df: DataFrame, events: DataFrame) -> DataFrame:
 def with_event_flag(df: DataFrame, events: DataFrame) -> DataFrame:
     """df with has_event; each row's key appears once in df."""
     e = events.select(F.col("symbol").alias("_s"), F.col("date").alias("_e"))
-    hit = with_exit_date(df).join(e, (F.col("symbol") == F.col("_s")) & F.col("_e").between(F.col("date"), F.col("exit_date")), "left_semi").select(*TRADE, F.lit(True).alias("_h"))
+    hit = with_exit_date(df).join(
+        e, (F.col("symbol") == F.col("_s")) & F.col("_e").between(F.col("date"), F.col("exit_date")), "left_semi"
+    ).select(*TRADE, F.lit(True).alias("_h"))
     return df.join(hit, TRADE, "left").withColumn("has_event", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
@@ -45,7 +50,10 @@ def interval_path(df: DataFrame, bars: DataFrame) -> DataFrame:
     month = lambda d: F.year(d) * 12 + F.month(d)
     t = with_exit_date(df).withColumn("_m", F.explode(F.sequence(month("date"), month("exit_date"))))
     b = bars.select(F.col("symbol").alias("_s"), F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), month("date").alias("_bm"))
-    return t.join(b, (F.col("symbol") == F.col("_s")) & (F.col("_m") == F.col("_bm")) & (F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("exit_date"))).drop("_s", "_m", "_bm")
+    return t.join(
+        b,
+        (F.col("symbol") == F.col("_s")) & (F.col("_m") == F.col("_bm")) & (F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("exit_date"))
+    ).drop("_s", "_m", "_bm")
 
 
 def trade_path(df: DataFrame, bars: DataFrame) -> DataFrame:
@@ -79,13 +87,19 @@ def first_triggers(path: DataFrame, sets: dict[str, Rules]) -> DataFrame:
     def hit(rules: Rules) -> Column:
         rules = [*rules, ("expiry", F.col("t") >= F.col("last"), F.col("cum"))]
         fired = F.array(*[
-            F.when(F.coalesce(cond, F.lit(False)), F.struct(F.col("t").alias("t"), F.lit(i).alias("i"), ret.cast("double").alias("r"), F.lit(name).alias("name")))
+            F.when(
+                F.coalesce(cond, F.lit(False)),
+                F.struct(F.col("t").alias("t"), F.lit(i).alias("i"), ret.cast("double").alias("r"), F.lit(name).alias("name"))
+            )
             for i, (name, cond, ret) in enumerate(rules)
         ])
         return F.array_min(F.filter(fired, lambda h: h.isNotNull()))
 
     one = path.groupBy(*TRADE).agg(*[F.min(hit(rules)).alias(f"_{k}") for k, rules in enumerate(sets.values())])
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_{k}.t").alias("exit_t"), F.col(f"_{k}.r").alias("exit_return"), F.col(f"_{k}.name").alias("reason")) for k, name in enumerate(sets)])
+    rows = F.array(*[F.struct(
+        F.lit(name).alias("rule"), F.col(f"_{k}.t").alias("exit_t"), F.col(f"_{k}.r").alias("exit_return"),
+        F.col(f"_{k}.name").alias("reason")
+    ) for k, name in enumerate(sets)])
     return one.select(*TRADE, F.inline(rows))
 
 

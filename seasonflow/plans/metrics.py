@@ -121,7 +121,10 @@ def check_calibration_range(spark, sf_dir):
 
 @query(f"SELECT year, direction, count(*) AS n, {sq('avg(actual_return)')} AS mean, {sq('stddev_samp(actual_return)')} AS std, {sq(WIN)} AS hit_rate FROM candidates GROUP BY 1, 2")
 def agg_yearly_label_stats(spark, sf_dir):
-    g = c(spark, sf_dir).groupBy("year", "direction").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_return").alias("mean"), F.stddev_samp("actual_return").alias("std"), mt.share(F.col("actual_return") > 0).alias("hit_rate"))
+    g = c(spark, sf_dir).groupBy("year", "direction").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("actual_return").alias("mean"), F.stddev_samp("actual_return").alias("std"),
+        mt.share(F.col("actual_return") > 0).alias("hit_rate")
+    )
     return rounded(g, ["year", "direction", "n"], ["mean", "std", "hit_rate"])
 
 
@@ -139,7 +142,10 @@ DIMS = ["direction", "year", "sector", "holding_days"]
 BD = ["win_rate", "avg_return", "avg_predicted", "avg_mfe"]
 
 
-@query(rsql(" UNION ALL ".join(f"SELECT '{d}' AS dim, {d}::VARCHAR AS value, count(*) AS trades, 100 * {WIN} AS win_rate, avg(actual_return) AS avg_return, avg(predicted_return) AS avg_predicted, avg(actual_mfe) AS avg_mfe FROM candidates GROUP BY {d}" for d in DIMS), ["dim", "value", "trades"], BD))
+@query(rsql(
+    " UNION ALL ".join(f"SELECT '{d}' AS dim, {d}::VARCHAR AS value, count(*) AS trades, 100 * {WIN} AS win_rate, avg(actual_return) AS avg_return, avg(predicted_return) AS avg_predicted, avg(actual_mfe) AS avg_mfe FROM candidates GROUP BY {d}" for d in DIMS),
+    ["dim", "value", "trades"], BD
+))
 def agg_by_dim(spark, sf_dir):
     return rounded(mt.by_dimension(c(spark, sf_dir), DIMS), ["dim", "value", "trades"], BD)
 
@@ -148,13 +154,19 @@ def agg_by_dim(spark, sf_dir):
 def agg_deciles(spark, sf_dir):
     out = None
     for x in ("ml_score", "win_probability"):
-        g = mt.with_bin(c(spark, sf_dir), x, 10).groupBy((F.col("bin") + 1).alias("decile")).agg(F.count(F.lit(1)).alias("trades"), (100 * mt.share(F.col("actual_return") > 0)).alias("win_rate"), F.avg("actual_return").alias("avg_return"))
+        g = mt.with_bin(c(spark, sf_dir), x, 10).groupBy((F.col("bin") + 1).alias("decile")).agg(
+            F.count(F.lit(1)).alias("trades"), (100 * mt.share(F.col("actual_return") > 0)).alias("win_rate"),
+            F.avg("actual_return").alias("avg_return")
+        )
         g = rounded(g.withColumn("by", F.lit(x)), ["by", "decile", "trades"], ["win_rate", "avg_return"])
         out = g if out is None else out.unionByName(g)
     return out
 
 
-WS = {"wr": "true", "wr_long": "direction = 'l'", "wr_short": "direction = 's'", "wr70": "ml_score >= 70", "wr85": "ml_score >= 85", "wr85_long": "ml_score >= 85 AND direction = 'l'", "wr85_short": "ml_score >= 85 AND direction = 's'"}
+WS = {
+    "wr": "true", "wr_long": "direction = 'l'", "wr_short": "direction = 's'", "wr70": "ml_score >= 70", "wr85": "ml_score >= 85",
+    "wr85_long": "ml_score >= 85 AND direction = 'l'", "wr85_short": "ml_score >= 85 AND direction = 's'"
+}
 WA = {f"avg{k}": WS[f"wr{k}"] for k in ("70", "85", "85_long")}
 NAMED = {f"w{i}": w for i, w in enumerate(WINDOWS)}
 PERIODS = f"SELECT *, CASE WHEN {IN} THEN 'inside' ELSE 'outside' END AS period FROM candidates" + "".join(f" UNION ALL SELECT *, '{k}' AS period FROM candidates WHERE date BETWEEN '{a}' AND '{b}'" for k, (a, b) in NAMED.items())
@@ -169,7 +181,9 @@ def agg_window_stats(spark, sf_dir):
 @query(f"SELECT sector, {sq('i')} AS inside, {sq('o')} AS outside, {sq('i - o')} AS delta FROM (SELECT sector, avg(actual_return) FILTER (w) AS i, avg(actual_return) FILTER (NOT w) AS o FROM (SELECT *, {IN} AS w FROM candidates) GROUP BY 1)")
 def agg_sector_in_out(spark, sf_dir):
     w = sl.in_windows(F.col("date"), WINDOWS)
-    g = c(spark, sf_dir).groupBy("sector").agg(F.avg(F.when(w, F.col("actual_return"))).alias("inside"), F.avg(F.when(~w, F.col("actual_return"))).alias("outside"))
+    g = c(spark, sf_dir).groupBy("sector").agg(
+        F.avg(F.when(w, F.col("actual_return"))).alias("inside"), F.avg(F.when(~w, F.col("actual_return"))).alias("outside")
+    )
     return rounded(g.withColumn("delta", F.col("inside") - F.col("outside")), ["sector"], ["inside", "outside", "delta"])
 
 
@@ -345,14 +359,22 @@ def brief_score(spark, sf_dir):
     return rounded(mt.brief_score(mt.equity_statistics(v.equity(spark, sf_dir)), YEARS), ["strategy_id"], ["brief_score"])
 
 
-TS = {"avg_theta": 6, "multiplier": 4, "win_rate": 6, "avg_win": 6, "avg_loss": 6, "gross_profit": 2, "gross_loss": 2, "worst": 6, "total_loss_rate": 6, "profit_factor": 6, "per_year": 6}
+TS = {
+    "avg_theta": 6, "multiplier": 4, "win_rate": 6, "avg_win": 6, "avg_loss": 6, "gross_profit": 2, "gross_loss": 2, "worst": 6,
+    "total_loss_rate": 6, "profit_factor": 6, "per_year": 6
+}
 
 
-@query(" UNION ALL ".join(rsql(f"SELECT *, '{kind}' AS kind, gross_profit / nullif(gross_loss, 0) AS profit_factor, n / 7.0::DOUBLE AS per_year{extra} FROM {source}", ["kind", "strategy_id", "direction", "n"], TS) for kind, source, extra in (("stock", "trade_stats", ", NULL::DOUBLE AS avg_theta, NULL::DOUBLE AS multiplier"), ("option", "option_stats", ""))))
+@query(" UNION ALL ".join(rsql(
+    f"SELECT *, '{kind}' AS kind, gross_profit / nullif(gross_loss, 0) AS profit_factor, n / 7.0::DOUBLE AS per_year{extra} FROM {source}",
+    ["kind", "strategy_id", "direction", "n"], TS
+) for kind, source, extra in (("stock", "trade_stats", ", NULL::DOUBLE AS avg_theta, NULL::DOUBLE AS multiplier"), ("option", "option_stats", ""))))
 def trade_stats(spark, sf_dir):
     """The same trades by stocks and by options."""
     t, by = v.trades(spark, sf_dir), ["strategy_id", "direction"]
-    stock = mt.trade_statistics(t, by, YEARS).withColumns({"kind": F.lit("stock"), "avg_theta": F.lit(None).cast("double"), "multiplier": F.lit(None).cast("double")})
+    stock = mt.trade_statistics(t, by, YEARS).withColumns({
+        "kind": F.lit("stock"), "avg_theta": F.lit(None).cast("double"), "multiplier": F.lit(None).cast("double")
+    })
     return rounded(stock.unionByName(mt.option_statistics(t, by, YEARS).withColumn("kind", F.lit("option"))), ["kind", *by, "n"], TS)
 
 
@@ -375,7 +397,9 @@ SELECT strategy_id, {sq('min(exit_return)')} AS worst, {sq('quantile_cont(exit_r
 def agg_worst_case(spark, sf_dir):
     t = v.trades(spark, sf_dir)
     m = t.groupBy("strategy_id", F.trunc("entry_date", "month").alias("month")).agg(q(F.sum("exit_return")).alias("s"))
-    w = m.groupBy("strategy_id").agg(F.min(F.struct("s", "month")).alias("m")).select("strategy_id", F.col("m.s").alias("worst_month"), F.col("m.month").alias("month"))
+    w = m.groupBy("strategy_id").agg(F.min(F.struct("s", "month")).alias("m")).select(
+        "strategy_id", F.col("m.s").alias("worst_month"), F.col("m.month").alias("month")
+    )
     low = mt.pivoted(mt.quantiles(t, "exit_return", [0.05, 0.10], ["strategy_id"]), {0.05: "p5", 0.10: "p10"}, ["strategy_id"])
     g = t.groupBy("strategy_id").agg(F.min("exit_return").alias("worst")).join(low, "strategy_id")
     return rounded(g.join(w, "strategy_id"), ["strategy_id", "worst_month", "month"], ["worst", "p5", "p10"])
@@ -384,7 +408,10 @@ def agg_worst_case(spark, sf_dir):
 @query(f"SELECT kind, {sq('avg(monthly_sharpe)')} AS sharpe, {sq('avg(max_drawdown)')} AS drawdown, count(*) FILTER (total_return > 0) AS profitable, count(*) FILTER (years_profitable >= 4) AS steady FROM (SELECT *, CASE WHEN strategy_id < 'F' THEN 'stock' ELSE 'spread' END AS kind FROM stats) GROUP BY 1")
 def agg_structure_summary(spark, sf_dir):
     s = mt.equity_statistics(v.equity(spark, sf_dir)).withColumn("kind", F.when(F.col("strategy_id") < "F", "stock").otherwise("spread"))
-    g = s.groupBy("kind").agg(F.avg("monthly_sharpe").alias("sharpe"), F.avg("max_drawdown").alias("drawdown"), F.count_if(F.col("total_return") > 0).alias("profitable"), F.count_if(F.col("years_profitable") >= 4).alias("steady"))
+    g = s.groupBy("kind").agg(
+        F.avg("monthly_sharpe").alias("sharpe"), F.avg("max_drawdown").alias("drawdown"),
+        F.count_if(F.col("total_return") > 0).alias("profitable"), F.count_if(F.col("years_profitable") >= 4).alias("steady")
+    )
     return rounded(g, ["kind", "profitable", "steady"], ["sharpe", "drawdown"])
 
 
@@ -420,7 +447,10 @@ QUERIES["sample_subset"] = sample_subset
 
 @query(f"SELECT strategy_id, n, {sq('m / s * sqrt(252 / h)')} AS sharpe FROM (SELECT strategy_id, count(*) AS n, avg(exit_return) AS m, stddev_samp(exit_return) AS s, avg(holding_days) AS h FROM trades GROUP BY 1) WHERE n >= 5")
 def holding_adjusted_sharpe(spark, sf_dir):
-    g = v.trades(spark, sf_dir).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n"), (ratio(F.avg("exit_return"), F.stddev_samp("exit_return")) * F.sqrt(252 / F.avg("holding_days"))).alias("sharpe"))
+    g = v.trades(spark, sf_dir).groupBy("strategy_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        (ratio(F.avg("exit_return"), F.stddev_samp("exit_return")) * F.sqrt(252 / F.avg("holding_days"))).alias("sharpe")
+    )
     return rounded(g.where("n >= 5"), ["strategy_id", "n"], ["sharpe"])
 
 
@@ -435,7 +465,9 @@ def cross_configs(spark, sf_dir):
     """A grid of configurations against all candidates: six rows, broadcast."""
     grid = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (70, 80, 90)])).alias("floor")).withColumn("least_win", F.explode(F.array(F.lit(0.68), F.lit(0.74))))
     d = c(spark, sf_dir).crossJoin(F.broadcast(grid)).where((F.col("ml_score") >= F.col("floor")) & (F.col("win_probability") >= F.col("least_win")))
-    g = d.groupBy("floor", "least_win").agg(F.count(F.lit(1)).alias("n"), mt.share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return"))
+    g = d.groupBy("floor", "least_win").agg(
+        F.count(F.lit(1)).alias("n"), mt.share(F.col("actual_return") > 0).alias("win_rate"), F.avg("actual_return").alias("avg_return")
+    )
     return rounded(g, ["floor", "least_win", "n"], ["win_rate", "avg_return"])
 
 
@@ -456,7 +488,9 @@ def join_features_by_date(spark, sf_dir):
 @query(f"SELECT year(c.date)::INT AS year, count(*) AS n, {sq('avg((a.atr_pct IS NOT NULL)::INT::DOUBLE)')} AS coverage, {sq('avg(a.atr_pct)')} AS mean_atr FROM candidates c LEFT JOIN atrs a ON c.symbol = a.symbol AND c.date = a.date GROUP BY 1")
 def join_atr(spark, sf_dir):
     a = ts.with_atr(v.bars(spark, sf_dir)).select("symbol", "date", "atr_pct")
-    g = c(spark, sf_dir).join(a, ["symbol", "date"], "left").groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), mt.share(F.col("atr_pct").isNotNull()).alias("coverage"), F.avg("atr_pct").alias("mean_atr"))
+    g = c(spark, sf_dir).join(a, ["symbol", "date"], "left").groupBy(F.year("date").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), mt.share(F.col("atr_pct").isNotNull()).alias("coverage"), F.avg("atr_pct").alias("mean_atr")
+    )
     return rounded(g, ["year", "n"], ["coverage", "mean_atr"])
 
 

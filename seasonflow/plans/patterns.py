@@ -40,7 +40,10 @@ def agg_pattern_depth(spark, sf_dir):
     d = pt.depth_profile(v.opportunities(spark, sf_dir))
     doubles = ["best_winrate", "worst_winrate", "consistency_std", "depth_utilization", "pe_utilization", "recent_vs_deep"]
     whole = ["deepest_pass", "deepest_capped", "pe_deepest", "pe_match", "passes_recent_10", "n_combos", "data_years"]
-    return d.select(*pt.PATTERN, "best_sharpe", "avg_profit2", "sharpe_at_deepest", "sharpe_at_10", *[F.col(c).cast("double").alias(c) for c in whole], *[q(c).alias(c) for c in doubles])
+    return d.select(
+        *pt.PATTERN, "best_sharpe", "avg_profit2", "sharpe_at_deepest", "sharpe_at_10", *[F.col(c).cast("double").alias(c) for c in whole],
+        *[q(c).alias(c) for c in doubles]
+    )
 
 
 add("agg_pattern_depth", agg_pattern_depth, f"""WITH years AS (SELECT symbol, max(year1) AS data_years FROM opps WHERE NOT is_pe GROUP BY 1),
@@ -73,7 +76,11 @@ def label_replay(spark, sf_dir):
     return r.select("symbol", "md", "days_out", "direction", "year", "entry", "exit", q("ret").alias("ret"), "hit")
 
 
-add("label_replay", label_replay, f"SELECT symbol, md, days_out, direction, year, entry, exit, {sq('ret')} AS ret, (ret > 0)::INT AS hit FROM replayed_out WHERE seen >= 200", {"wanted_rows": "SELECT *, base AS wanted FROM replayed WHERE base IS NOT NULL", "replayed_out": resolve("wanted_rows")})
+add(
+    "label_replay", label_replay,
+    f"SELECT symbol, md, days_out, direction, year, entry, exit, {sq('ret')} AS ret, (ret > 0)::INT AS hit FROM replayed_out WHERE seen >= 200",
+    {"wanted_rows": "SELECT *, base AS wanted FROM replayed WHERE base IS NOT NULL", "replayed_out": resolve("wanted_rows")}
+)
 
 
 def agg_concurrent(spark, sf_dir):
@@ -86,7 +93,11 @@ def agg_concurrent(spark, sf_dir):
     return r.select("symbol", "md", "days_out", "direction", "entry", F.count(F.lit(1)).over(w).alias("concurrent"), kinds.alias("kinds"))
 
 
-add("agg_concurrent", agg_concurrent, "SELECT symbol, md, days_out, direction, entry, count(*) OVER (PARTITION BY symbol, entry) AS concurrent, len(list_distinct(list(days_out || direction) OVER (PARTITION BY symbol, entry)))::BIGINT AS kinds FROM replayed_out WHERE seen >= 200", {"wanted_rows": "SELECT *, base AS wanted FROM replayed WHERE base IS NOT NULL", "replayed_out": resolve("wanted_rows")})
+add(
+    "agg_concurrent", agg_concurrent,
+    "SELECT symbol, md, days_out, direction, entry, count(*) OVER (PARTITION BY symbol, entry) AS concurrent, len(list_distinct(list(days_out || direction) OVER (PARTITION BY symbol, entry)))::BIGINT AS kinds FROM replayed_out WHERE seen >= 200",
+    {"wanted_rows": "SELECT *, base AS wanted FROM replayed WHERE base IS NOT NULL", "replayed_out": resolve("wanted_rows")}
+)
 
 
 def sample_rows(spark, sf_dir):
@@ -94,7 +105,9 @@ def sample_rows(spark, sf_dir):
 
 
 def label_mfe(spark, sf_dir):
-    return pt.favourable_excursion(sample_rows(spark, sf_dir), v.bars(spark, sf_dir), DAYS).select("symbol", "date", "days_out", "direction", q("mfe").alias("mfe"))
+    return pt.favourable_excursion(sample_rows(spark, sf_dir), v.bars(spark, sf_dir), DAYS).select(
+        "symbol", "date", "days_out", "direction", q("mfe").alias("mfe")
+    )
 
 
 add("label_mfe", label_mfe, f"""SELECT c.symbol, c.date, c.holding_days AS days_out, c.direction, {sq("100 * CASE WHEN c.direction = 'l' THEN (max(x.close) - any_value(b.close)) / any_value(b.close) ELSE (any_value(b.close) - min(x.close)) / any_value(b.close) END")} AS mfe
@@ -143,7 +156,10 @@ def pat_interactions(spark, sf_dir):
         out = out.join(at, "date", "left")
     out = out.join(ts.asof_ffill(days, v.index_series(spark, sf_dir).select("date", "vix"), "vix").select("date", "vix"), "date", "left")
     r = pt.interactions(out)
-    return r.select(*pt.PATTERN, F.col("dir_x_market").cast("double").alias("dir_x_market"), F.col("dir_x_sector").cast("double").alias("dir_x_sector"), q("depth_x_vix").alias("depth_x_vix"), q("quality_x_regime").alias("quality_x_regime"))
+    return r.select(
+        *pt.PATTERN, F.col("dir_x_market").cast("double").alias("dir_x_market"), F.col("dir_x_sector").cast("double").alias("dir_x_sector"),
+        q("depth_x_vix").alias("depth_x_vix"), q("quality_x_regime").alias("quality_x_regime")
+    )
 
 
 add("pat_interactions", pat_interactions, f"""WITH p AS (SELECT symbol, date, days_out, direction, max(sharpe_ratio) AS best_sharpe, coalesce(max(year1) FILTER (NOT is_pe), 0) AS deepest_pass FROM opps GROUP BY 1, 2, 3, 4),

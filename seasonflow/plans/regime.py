@@ -54,36 +54,66 @@ series("mkt_vix", v.index_series, rg.vix_features, {"vix_pct": 6, "vix_change":
 series("mkt_rates", v.index_series, rg.rate_features, {"spread": 6, "spread_slope": 6, "fed_rate": 6, "rate_direction": 6}, f"""
   SELECT date, spread, spread - lag(spread, 5) {W} AS spread_slope, fed_rate, fed_rate - lag(fed_rate, 60) {W} AS rate_direction
   FROM (SELECT *, us10y - last_value(us2y IGNORE NULLS) {W} AS spread, last_value(irx IGNORE NULLS) {W} AS fed_rate FROM index_series)""")
-series("mkt_credit", wide, lambda d: rg.ratio_change(d, "hyg", "lqd"), {"ratio": 5, "ratio_change": 5}, f"SELECT date, ratio, ratio - lag(ratio, 20) {W} AS ratio_change FROM (SELECT *, hyg / nullif(lqd, 0) AS ratio FROM wide)")
-series("mkt_spy", v.index_series, rg.index_trend, {"index_roc": 6, "above_mean": 0}, f"SELECT date, spx / nullif(lag(spx, 20) {W}, 0) - 1 AS index_roc, CASE WHEN spx > m THEN 1 WHEN m IS NOT NULL THEN 0 END AS above_mean FROM (SELECT *, {mean('spx', 200)} AS m FROM index_series)")
-series("mkt_breadth", v.index_series, rg.breadth, {"breadth": 6, "breadth_momentum": 6}, f"SELECT date, b AS breadth, b - lag(b, 20) {W} AS breadth_momentum FROM (SELECT *, {mean('advn', 10)} / nullif({mean('decn', 10)}, 0) AS b FROM index_series)")
-series("mkt_rotation", wide, lambda d: rg.rotation(d, "xlk", "xlu"), {"rotation": 5}, f"SELECT date, (xlk / nullif(lag(xlk, 20) {W}, 0) - 1) - (xlu / nullif(lag(xlu, 20) {W}, 0) - 1) AS rotation FROM wide")
+series(
+    "mkt_credit", wide, lambda d: rg.ratio_change(d, "hyg", "lqd"), {"ratio": 5, "ratio_change": 5},
+    f"SELECT date, ratio, ratio - lag(ratio, 20) {W} AS ratio_change FROM (SELECT *, hyg / nullif(lqd, 0) AS ratio FROM wide)"
+)
+series(
+    "mkt_spy", v.index_series, rg.index_trend, {"index_roc": 6, "above_mean": 0},
+    f"SELECT date, spx / nullif(lag(spx, 20) {W}, 0) - 1 AS index_roc, CASE WHEN spx > m THEN 1 WHEN m IS NOT NULL THEN 0 END AS above_mean FROM (SELECT *, {mean('spx', 200)} AS m FROM index_series)"
+)
+series(
+    "mkt_breadth", v.index_series, rg.breadth, {"breadth": 6, "breadth_momentum": 6},
+    f"SELECT date, b AS breadth, b - lag(b, 20) {W} AS breadth_momentum FROM (SELECT *, {mean('advn', 10)} / nullif({mean('decn', 10)}, 0) AS b FROM index_series)"
+)
+series(
+    "mkt_rotation", wide, lambda d: rg.rotation(d, "xlk", "xlu"), {"rotation": 5},
+    f"SELECT date, (xlk / nullif(lag(xlk, 20) {W}, 0) - 1) - (xlu / nullif(lag(xlu, 20) {W}, 0) - 1) AS rotation FROM wide"
+)
 series("mkt_commodity_fx", wide, lambda d: rg.filled_roc(d, ["dxy", "cl", "gc"]), {"dxy_roc": 5, "cl_roc": 5, "gc_roc": 5}, f"""
   SELECT date, {', '.join(f'{k} / nullif(lag({k}, 20) {W}, 0) - 1 AS {k}_roc' for k in ('dxy', 'cl', 'gc'))}
   FROM (SELECT date, {', '.join(f'last_value({k} IGNORE NULLS) {W} AS {k}' for k in ('dxy', 'cl', 'gc'))} FROM wide)""")
 
 
 def agg_seasonal_lookup(spark, sf_dir):
-    return rg.seasonal_lookup(v.index_series(spark, sf_dir), "spx").select("week", "phase", "n", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return"))
+    return rg.seasonal_lookup(v.index_series(spark, sf_dir), "spx").select(
+        "week", "phase", "n", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return")
+    )
 
 
-add("agg_seasonal_lookup", agg_seasonal_lookup, f"SELECT week, phase, count(*) AS n, {sq('avg(CASE WHEN fwd > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS win_rate, {sq('avg(fwd)', 5)} AS mean_return FROM fwds WHERE fwd IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5")
+add(
+    "agg_seasonal_lookup", agg_seasonal_lookup,
+    f"SELECT week, phase, count(*) AS n, {sq('avg(CASE WHEN fwd > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS win_rate, {sq('avg(fwd)', 5)} AS mean_return FROM fwds WHERE fwd IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5"
+)
 
 
 def agg_seasonal_expanding(spark, sf_dir):
-    return rg.seasonal_expanding(v.index_series(spark, sf_dir), "spx").select("week", "phase", "year", "n", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return"))
+    return rg.seasonal_expanding(v.index_series(spark, sf_dir), "spx").select(
+        "week", "phase", "year", "n", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return")
+    )
 
 
-add("agg_seasonal_expanding", agg_seasonal_expanding, f"SELECT week, phase, year, n, {sq('win_rate')} AS win_rate, {sq('mean_return', 5)} AS mean_return FROM expanding")
+add(
+    "agg_seasonal_expanding", agg_seasonal_expanding,
+    f"SELECT week, phase, year, n, {sq('win_rate')} AS win_rate, {sq('mean_return', 5)} AS mean_return FROM expanding"
+)
 
 
 def mkt_seasonal_features(spark, sf_dir):
     """Candidates with the season that earlier years show for their week and cycle phase."""
-    look = rg.seasonal_expanding(v.index_series(spark, sf_dir), "spx").select("week", "phase", "year", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return"))
-    c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction", "year", F.weekofyear("date").alias("week"), rg.cycle_year(F.year("date")).alias("phase"))
+    look = rg.seasonal_expanding(v.index_series(spark, sf_dir), "spx").select(
+        "week", "phase", "year", q("win_rate").alias("win_rate"), q("mean_return", 5).alias("mean_return")
+    )
+    c = v.candidates(spark, sf_dir).select(
+        "symbol", "date", "holding_days", "direction", "year", F.weekofyear("date").alias("week"),
+        rg.cycle_year(F.year("date")).alias("phase")
+    )
     regime, alignment = rg.seasonal_regime(F.col("win_rate"), F.col("direction"))
     out = c.join(F.broadcast(look), ["week", "phase", "year"], "left")  # at most 53 weeks x 4 phases x the number of years
-    return out.select("symbol", "date", "holding_days", "direction", "win_rate", "mean_return", regime.cast("double").alias("regime"), alignment.cast("double").alias("alignment"))
+    return out.select(
+        "symbol", "date", "holding_days", "direction", "win_rate", "mean_return", regime.cast("double").alias("regime"),
+        alignment.cast("double").alias("alignment")
+    )
 
 
 SEASONAL = f"""WITH look AS (SELECT week, phase, year, {sq('win_rate')} AS win_rate, {sq('mean_return', 5)} AS mean_return FROM expanding)
@@ -115,7 +145,10 @@ def aligned_series(spark, sf_dir):
     return one.join(two, "date").select("date", q(F.col("a") - F.col("b"), 4).alias("diff"))
 
 
-add("aligned_series", aligned_series, f"SELECT a.date, {sq('a.close - b.close', 4)} AS diff FROM bars a JOIN bars b USING (date) WHERE a.symbol = 'Brand#1' AND b.symbol = 'Brand#2'")
+add(
+    "aligned_series", aligned_series,
+    f"SELECT a.date, {sq('a.close - b.close', 4)} AS diff FROM bars a JOIN bars b USING (date) WHERE a.symbol = 'Brand#1' AND b.symbol = 'Brand#2'"
+)
 
 
 def trading_days(spark, sf_dir):
@@ -126,4 +159,7 @@ def trading_days(spark, sf_dir):
     return d.select("date", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).cast("long").alias("idx"))
 
 
-add("trading_days", trading_days, "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM ticks WHERE date BETWEEN '1997-01-01' AND '2000-12-31')")
+add(
+    "trading_days", trading_days,
+    "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM ticks WHERE date BETWEEN '1997-01-01' AND '2000-12-31')"
+)

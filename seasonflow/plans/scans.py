@@ -60,7 +60,10 @@ CACHE = "SELECT symbol, days_out, direction, combo, sharpe_ratio, CASE WHEN symb
 def cache(spark, sf_dir):
     """All opportunities in a cache, written in two goes of which the second brings the first one's dates again."""
     path = shared_path(spark, "cache")
-    o = v.opportunities(spark, sf_dir).select("symbol", "days_out", "direction", "combo", "sharpe_ratio", F.when(F.col("symbol") < "Brand#2", "US").otherwise("ETF").alias("market"), F.col("date").cast("string").alias("target_date"))
+    o = v.opportunities(spark, sf_dir).select(
+        "symbol", "days_out", "direction", "combo", "sharpe_ratio",
+        F.when(F.col("symbol") < "Brand#2", "US").otherwise("ETF").alias("market"), F.col("date").cast("string").alias("target_date")
+    )
     fl.write_cache(o.where(F.col("target_date") < "2000-06-16"), path)
     fl.write_cache(o, path)
     return path
@@ -69,7 +72,9 @@ def cache(spark, sf_dir):
 @query(CACHE)
 def sink_cache(spark, sf_dir):
     df = spark.read.parquet(cache(spark, sf_dir))
-    return df.withColumn("target_date", F.col("target_date").cast("string")).select("symbol", "days_out", "direction", "combo", "sharpe_ratio", "market", "target_date")
+    return df.withColumn("target_date", F.col("target_date").cast("string")).select(
+        "symbol", "days_out", "direction", "combo", "sharpe_ratio", "market", "target_date"
+    )
 
 
 @query("SELECT symbol, days_out, direction, combo, sharpe_ratio, market FROM c WHERE target_date = '2000-06-15'", {"c": CACHE})
@@ -101,7 +106,9 @@ FORM = "CASE l_linenumber % 3 WHEN 0 THEN '8-K/E' WHEN 1 THEN '8-K' ELSE '10-Q'
 @query(f"""WITH e AS (SELECT DISTINCT symbol, date FROM ticks WHERE {FORM} = '8-K/E'), o AS (SELECT year(date)::INT AS year, symbol, count(*) AS n FROM e GROUP BY 1, 2)
 SELECT year, count(*) AS n_symbols, sum(n)::BIGINT AS n_events, min(n) AS least, {sq('avg(n)')} AS mean, max(n) AS most FROM o GROUP BY 1""")
 def earnings_from_filings(spark, sf_dir):
-    f = v.ticks(spark, sf_dir).groupBy("symbol").agg(F.collect_list(F.struct(F.expr(FORM).alias("form"), F.col("date").cast("string").alias("date"))).alias("filings"))
+    f = v.ticks(spark, sf_dir).groupBy("symbol").agg(F.collect_list(F.struct(
+        F.expr(FORM).alias("form"), F.col("date").cast("string").alias("date")
+    )).alias("filings"))
     return fl.coverage(fl.earnings_of_filings(f)).withColumn("mean", q("mean"))
 
 

@@ -69,17 +69,24 @@ def join_vix_by_date(spark, sf_dir):
     return sl.with_vix(c(spark, sf_dir), v.index_series(spark, sf_dir), 20.0).select(*K, "vix")
 
 
-@query(f"SELECT {KS}, ml_score, coalesce(alignment, 0) AS alignment FROM candidates JOIN ({regime.SEASONAL}) USING ({KS}) WHERE coalesce(alignment, 0) <> -1", regime.EXTRA)
+@query(
+    f"SELECT {KS}, ml_score, coalesce(alignment, 0) AS alignment FROM candidates JOIN ({regime.SEASONAL}) USING ({KS}) WHERE coalesce(alignment, 0) <> -1",
+    regime.EXTRA
+)
 def filter_against_season(spark, sf_dir):
     """Candidates without those whose direction is against the season of earlier years; those without a season stay."""
     aligned = regime.mkt_seasonal_features(spark, sf_dir).select(*K, F.coalesce("alignment", F.lit(0.0)).alias("alignment"))
     return c(spark, sf_dir).join(aligned, K).where(F.col("alignment") != -1).select(*K, "ml_score", "alignment")
 
 
-@query(" UNION ALL ".join(f"SELECT '{way}' AS way, symbol, date, days_out, direction, combo, sharpe_ratio, sharpe_ratio2, avg_profit FROM opps WHERE {cond} AND days_out BETWEEN 10 AND 25 AND (sharpe_ratio > 1 OR coalesce(sharpe_ratio2 > 1, false)) AND avg_profit >= 2 AND upper(symbol) NOT IN ('BRAND#3', 'BRAND#17')" for way, cond in (("l", "direction = 'l'"), ("both", "direction IN ('l', 's')"))))
+@query(" UNION ALL ".join(f"SELECT '{way}' AS way, symbol, date, days_out, direction, combo, sharpe_ratio, sharpe_ratio2, avg_profit FROM opps WHERE {cond} AND days_out BETWEEN 10 AND 25 AND (sharpe_ratio > 1 OR coalesce(sharpe_ratio2 > 1, false)) AND avg_profit >= 2 AND upper(symbol) NOT IN ('BRAND#3', 'BRAND#17')" for way, cond in (
+    ("l", "direction = 'l'"), ("both", "direction IN ('l', 's')")
+)))
 def filter_prefilter(spark, sf_dir):
     o = v.opportunities(spark, sf_dir)
-    shown = lambda way: sl.prefilter(o, way, (10, 25), 2.0, ["brand#3", "Brand#17"]).select(F.lit(way).alias("way"), "symbol", "date", "days_out", "direction", "combo", "sharpe_ratio", "sharpe_ratio2", "avg_profit")
+    shown = lambda way: sl.prefilter(o, way, (10, 25), 2.0, ["brand#3", "Brand#17"]).select(
+        F.lit(way).alias("way"), "symbol", "date", "days_out", "direction", "combo", "sharpe_ratio", "sharpe_ratio2", "avg_profit"
+    )
     return shown("l").unionByName(shown("both"))
 
 
@@ -145,7 +152,10 @@ VALIDATED = """SELECT *, error IS NULL AND tier <> auto AS mismatch FROM (SELECT
   FROM (SELECT *, try_cast(days_out AS INT) AS days FROM requests))))"""
 
 
-@query("SELECT event_id, symbol, date, days_out, direction, tier, error, coalesce(mismatch, false) AS mismatch FROM validated", {"requests": REQUESTS, "validated": VALIDATED})
+@query(
+    "SELECT event_id, symbol, date, days_out, direction, tier, error, coalesce(mismatch, false) AS mismatch FROM validated",
+    {"requests": REQUESTS, "validated": VALIDATED}
+)
 def validate_requests(spark, sf_dir):
     out = sl.validated(request_rows(spark, sf_dir), ["10_30", "31_60", "61_90"])
     return out.select("event_id", "symbol", "date", "days_out", "direction", "tier", "error", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
@@ -154,7 +164,10 @@ def validate_requests(spark, sf_dir):
 @query(f"SELECT symbol, date, holding_days, direction, (date + holding_days)::DATE AS exit_date, {sq('actual_return / 100')} AS ret, {sq('atr_14d_pct * 100')} AS atr_pct_points, stock_volatility_20d AS rel_volume FROM candidates")
 def proj_rename_units(spark, sf_dir):
     df = c(spark, sf_dir).withColumnsRenamed({"stock_volatility_20d": "rel_volume"})
-    return df.select(*K, F.expr("date_add(date, holding_days)").alias("exit_date"), q(F.col("actual_return") / 100).alias("ret"), q(F.col("atr_14d_pct") * 100).alias("atr_pct_points"), "rel_volume")
+    return df.select(
+        *K, F.expr("date_add(date, holding_days)").alias("exit_date"), q(F.col("actual_return") / 100).alias("ret"),
+        q(F.col("atr_14d_pct") * 100).alias("atr_pct_points"), "rel_volume"
+    )
 
 
 @query(f"SELECT {KS}, {sq('0.45 * ml_score + 35 * win_probability + 3 * predicted_return + 10 * p_hit_return')} AS combo_rank FROM candidates")
@@ -209,12 +222,17 @@ def rank_quality(spark, sf_dir):
 
 @query("SELECT symbol, date, direction, holding_days, ml_score FROM candidates QUALIFY row_number() OVER (PARTITION BY date, symbol, direction ORDER BY ml_score DESC, holding_days) = 1")
 def dedup_best(spark, sf_dir):
-    return sl.best_per(c(spark, sf_dir), ["date", "symbol", "direction"], [F.desc("ml_score"), F.col("holding_days")]).select("symbol", "date", "direction", "holding_days", "ml_score")
+    return sl.best_per(
+        c(spark, sf_dir), ["date", "symbol", "direction"], [F.desc("ml_score"), F.col("holding_days")]
+    ).select("symbol", "date", "direction", "holding_days", "ml_score")
 
 
 @query("SELECT symbol, date, days_out, direction, combo, sharpe_ratio FROM opps QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC, date, days_out, direction, combo) <= 3")
 def topk_per_symbol(spark, sf_dir):
-    return sl.best_per(v.opportunities(spark, sf_dir), ["symbol"], [F.desc("sharpe_ratio"), F.col("date"), F.col("days_out"), F.col("direction"), F.col("combo")], 3).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio")
+    return sl.best_per(
+        v.opportunities(spark, sf_dir), ["symbol"],
+        [F.desc("sharpe_ratio"), F.col("date"), F.col("days_out"), F.col("direction"), F.col("combo")], 3
+    ).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio")
 
 
 @query("""WITH one AS (SELECT * FROM candidates WHERE win_probability >= 0.6 QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY win_probability DESC, predicted_return DESC, holding_days, direction) = 1)
@@ -225,7 +243,9 @@ def select_daily(spark, sf_dir):
 
 @query("SELECT date, symbol, holding_days, direction, sector, ml_score FROM capped")
 def topk_sector_cap(spark, sf_dir):
-    return sl.sector_capped(c(spark, sf_dir), 5, 2, [F.desc("ml_score"), F.col("symbol"), F.col("holding_days"), F.col("direction")]).select("date", "symbol", "holding_days", "direction", "sector", "ml_score")
+    return sl.sector_capped(
+        c(spark, sf_dir), 5, 2, [F.desc("ml_score"), F.col("symbol"), F.col("holding_days"), F.col("direction")]
+    ).select("date", "symbol", "holding_days", "direction", "sector", "ml_score")
 
 
 @query("SELECT strategy_id, symbol, entry_date, exit_date, direction, holding_days FROM (SELECT *, entry_date - lag(exit_date) OVER (PARTITION BY strategy_id, symbol ORDER BY entry_date, exit_date, direction, holding_days) AS g FROM trades) WHERE g IS NULL OR g >= 5")

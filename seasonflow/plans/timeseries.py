@@ -68,33 +68,54 @@ def indicator(name: str, build, columns: dict[str, int | None], body: str) -> No
 indicator("ts_sma", ts.with_sma, {f"sma{n}": 4 for n in (20, 50, 100, 200)}, "SELECT * FROM smas")
 indicator("ts_ema", ts.with_ema, {f"ema{n}": 4 for n in (5, 12, 26)}, "SELECT * FROM emas")
 indicator("ts_wma", ts.with_wma, {"wma13": 4}, "SELECT * FROM wmas")
-indicator("ts_macd", ts.with_macd, {"macd": 4, "macd_signal": 4, "macd_hist": 4, "macd_slope": 4}, f"SELECT *, macd_hist - lag(macd_hist) {W} AS macd_slope FROM macds")
+indicator(
+    "ts_macd", ts.with_macd, {"macd": 4, "macd_signal": 4, "macd_hist": 4, "macd_slope": 4},
+    f"SELECT *, macd_hist - lag(macd_hist) {W} AS macd_slope FROM macds"
+)
 indicator("ts_rsi", ts.with_rsi, {"rsi14": 6}, "SELECT * FROM rsis")
 indicator("ts_atr", ts.with_atr, {"atr14": 4, "atr_pct": 6}, "SELECT * FROM atrs")
 indicator("ts_atr_percentile", lambda b: ts.with_atr_percentile(ts.with_atr(b).withColumn("atr14", q("atr14", 4))), {"atr_percentile": 6}, f"""
   SELECT symbol, date, CASE WHEN len(p) = 60 THEN len(list_filter(p, lambda x: x <= a)) / 60.0::DOUBLE END AS atr_percentile
   FROM (SELECT symbol, date, a, list(a) FILTER (a IS NOT NULL) {w(60)} AS p FROM (SELECT symbol, date, {sq("atr14", 4)} AS a FROM atrs))""")
 indicator("ts_rvol", ts.with_rvol, {"rvol20": 6}, f"SELECT symbol, date, volume / nullif({mean('volume', 20)}, 0) AS rvol20 FROM bars")
-indicator("ts_roc", ts.with_roc, {"roc5": 6, "roc20": 6}, f"SELECT symbol, date, close / nullif(lag(close, 5) {W}, 0) - 1 AS roc5, close / nullif(lag(close, 20) {W}, 0) - 1 AS roc20 FROM bars")
-indicator("ts_diff", ts.with_diff, {f"diff{n}": 4 for n in (5, 20, 60)}, "SELECT symbol, date, " + ", ".join(f"close - lag(close, {n}) {W} AS diff{n}" for n in (5, 20, 60)) + " FROM bars")
-indicator("ts_price_vs_sma", lambda b: ts.with_price_vs_sma(ts.with_atr(ts.with_sma(b))), {"price_vs_sma200": 6, "sma50_vs_sma200": 6}, "SELECT symbol, date, (close - sma200) / nullif(atr14, 0) AS price_vs_sma200, (sma50 - sma200) / nullif(atr14, 0) AS sma50_vs_sma200 FROM smas")
+indicator(
+    "ts_roc", ts.with_roc, {"roc5": 6, "roc20": 6},
+    f"SELECT symbol, date, close / nullif(lag(close, 5) {W}, 0) - 1 AS roc5, close / nullif(lag(close, 20) {W}, 0) - 1 AS roc20 FROM bars"
+)
+indicator(
+    "ts_diff", ts.with_diff, {f"diff{n}": 4 for n in (5, 20, 60)},
+    "SELECT symbol, date, " + ", ".join(f"close - lag(close, {n}) {W} AS diff{n}" for n in (5, 20, 60)) + " FROM bars"
+)
+indicator(
+    "ts_price_vs_sma", lambda b: ts.with_price_vs_sma(ts.with_atr(ts.with_sma(b))), {"price_vs_sma200": 6, "sma50_vs_sma200": 6},
+    "SELECT symbol, date, (close - sma200) / nullif(atr14, 0) AS price_vs_sma200, (sma50 - sma200) / nullif(atr14, 0) AS sma50_vs_sma200 FROM smas"
+)
 indicator("ts_bollinger", ts.with_bollinger, {"bollinger": 6}, f"""SELECT symbol, date, CASE WHEN s > 0 THEN (close - (m - 2 * s)) / (4 * s) WHEN s = 0 THEN 0.5::DOUBLE END AS bollinger
   FROM (SELECT symbol, date, close, {mean('close', 20)} AS m, CASE WHEN count(close) {w(20)} = 20 THEN stddev_pop(close) {w(20)} END AS s FROM bars)""")
 indicator("ts_obv_slope", ts.with_obv_slope, {"obv": 4, "obv_slope": 4}, f"""SELECT *, {' + '.join(f"lag(obv, {9 - x}) {W} * ({(x - 4.5) / 82.5!r}::DOUBLE)" for x in range(10))} AS obv_slope FROM (
   SELECT symbol, date, sum(v) {W} AS obv FROM (SELECT symbol, date, coalesce(sign(close - lag(close) {W}), 0) * volume AS v FROM bars))""")
 indicator("ts_vol_price_confirm", ts.with_volume_confirmation, {"vol_price_confirm": None}, f"""SELECT symbol, date, (CASE WHEN u IS NULL THEN NULL WHEN u = 0 OR x = 0 THEN 0 WHEN x > 0 THEN 1 ELSE -1 END)::DOUBLE AS vol_price_confirm
   FROM (SELECT symbol, date, close - lag(close) {W} AS u, volume - lag(volume) {W} AS x FROM bars)""")
-indicator("ts_trend_score", ts.with_trend_score, {"trend_long": 5, "trend_short": 5, "trend_delta": 5}, f"SELECT symbol, date, trend_long, trend_short, trend_long - lag(trend_long) {W} AS trend_delta FROM trends")
+indicator(
+    "ts_trend_score", ts.with_trend_score, {"trend_long": 5, "trend_short": 5, "trend_delta": 5},
+    f"SELECT symbol, date, trend_long, trend_short, trend_long - lag(trend_long) {W} AS trend_delta FROM trends"
+)
 indicator("ts_52w", ts.with_52w, {"from_high": 6, "from_low": 6, "in_range": 6}, f"""SELECT symbol, date, (close - h) / nullif(h, 0) AS from_high, (close - l) / nullif(l, 0) AS from_low, (close - l) / nullif(h - l, 0) AS in_range
   FROM (SELECT *, CASE WHEN count(close) {w(252)} >= 20 THEN max(high) {w(252)} END AS h, CASE WHEN count(close) {w(252)} >= 20 THEN min(low) {w(252)} END AS l FROM bars)""")
-indicator("ts_liquidity", ts.with_liquidity, {"avg_volume20": 4, "log_dollar_volume": 6}, f"SELECT symbol, date, {mean('volume', 20)} AS avg_volume20, CASE WHEN close * volume > 0 THEN ln(close * volume) END AS log_dollar_volume FROM bars")
+indicator(
+    "ts_liquidity", ts.with_liquidity, {"avg_volume20": 4, "log_dollar_volume": 6},
+    f"SELECT symbol, date, {mean('volume', 20)} AS avg_volume20, CASE WHEN close * volume > 0 THEN ln(close * volume) END AS log_dollar_volume FROM bars"
+)
 
 
 def ts_trend_direction_match(spark, sf_dir):
     """Candidates with the trend of their day against their direction."""
     trend = ts.with_trend_score(v.bars(spark, sf_dir)).select("symbol", "date", q("trend_long", 5).alias("trend_long"))
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").join(trend, ["symbol", "date"], "left")
-    return c.select("symbol", "date", "holding_days", "direction", ts.trend_direction_match(F.col("trend_long"), F.col("direction")).cast("double").alias("trend_match"))
+    return c.select(
+        "symbol", "date", "holding_days", "direction",
+        ts.trend_direction_match(F.col("trend_long"), F.col("direction")).cast("double").alias("trend_match")
+    )
 
 
 add("ts_trend_direction_match", ts_trend_direction_match, f"""SELECT symbol, date, holding_days, direction, (CASE WHEN t >= 60 THEN s WHEN t <= 40 THEN -s WHEN t IS NOT NULL THEN 0 END)::DOUBLE AS trend_match
@@ -109,7 +130,10 @@ def ts_rs_vs_bench(spark, sf_dir):
     for name, brand in (("spy", "Brand#1"), ("sec", "Brand#2")):
         bench = ts.asof_ffill(days, b.where(F.col("symbol") == brand).select("date", F.col("roc20").alias(name)), name).drop("src_date")
         out = out.join(bench, "date", "left")
-    return out.select("symbol", "date", q(F.col("roc20") - F.col("spy")).alias("rs_vs_spy"), q(F.col("sec") - F.col("spy")).alias("sector_vs_spy"), q(F.col("roc20") - F.col("sec")).alias("rs_vs_sector"))
+    return out.select(
+        "symbol", "date", q(F.col("roc20") - F.col("spy")).alias("rs_vs_spy"), q(F.col("sec") - F.col("spy")).alias("sector_vs_spy"),
+        q(F.col("roc20") - F.col("sec")).alias("rs_vs_sector")
+    )
 
 
 add("ts_rs_vs_bench", ts_rs_vs_bench, f"""WITH r AS (SELECT symbol, date, close / nullif(lag(close, 20) {W}, 0) - 1 AS roc20 FROM bars)
@@ -133,7 +157,10 @@ def asof_ffill(spark, sf_dir):
     return b.join(rate, "date", "left").select("symbol", "date", "us2y", F.col("src_date").cast("string").alias("src_date"))
 
 
-add("asof_ffill", asof_ffill, "SELECT b.symbol, b.date, i.us2y, i.date::VARCHAR AS src_date FROM bars b ASOF LEFT JOIN (SELECT date, us2y FROM index_series WHERE us2y IS NOT NULL) i ON b.date >= i.date")
+add(
+    "asof_ffill", asof_ffill,
+    "SELECT b.symbol, b.date, i.us2y, i.date::VARCHAR AS src_date FROM bars b ASOF LEFT JOIN (SELECT date, us2y FROM index_series WHERE us2y IS NOT NULL) i ON b.date >= i.date"
+)
 
 
 def asof_back_tolerance(spark, sf_dir):
@@ -142,7 +169,9 @@ def asof_back_tolerance(spark, sf_dir):
     at = ts.last_trading_day(b, 5)
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").withColumn("cal_date", F.date_add("date", F.col("holding_days")))
     c = c.join(at, ["symbol", "cal_date"], "left")
-    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close")
+    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select(
+        "symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close"
+    )
 
 
 add("asof_back_tolerance", asof_back_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN c.x - b.date <= 5 THEN b.date::VARCHAR END AS trade_date, CASE WHEN c.x - b.date <= 5 THEN b.close END AS close
@@ -155,7 +184,9 @@ def asof_forward_tolerance(spark, sf_dir):
     at = ts.next_trading_day(b, 4)
     c = v.candidates(spark, sf_dir).select("symbol", "date", "holding_days", "direction").withColumn("cal_date", F.date_add("date", F.col("holding_days")))
     c = c.join(at, ["symbol", "cal_date"], "left")
-    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select("symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close")
+    return c.join(b.select("symbol", F.col("date").alias("trade_date"), "close"), ["symbol", "trade_date"], "left").select(
+        "symbol", "date", "holding_days", "direction", F.col("trade_date").cast("string").alias("trade_date"), "close"
+    )
 
 
 add("asof_forward_tolerance", asof_forward_tolerance, """SELECT c.symbol, c.date, c.holding_days, c.direction, CASE WHEN b.date - c.x <= 4 THEN b.date::VARCHAR END AS trade_date, CASE WHEN b.date - c.x <= 4 THEN b.close END AS close

@@ -117,7 +117,10 @@ def option(spark, sf_dir, strike: str = "D60", expiry: str = "X2"):
 
 @query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed, {sq(tr.premium('D60', 'X2'))} AS premium FROM options")
 def pnl_option_path(spark, sf_dir):
-    return option(spark, sf_dir).select(*K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"), q(F.lit(tr.premium("D60", "X2"))).alias("premium"))
+    return option(spark, sf_dir).select(
+        *K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"),
+        q(F.lit(tr.premium("D60", "X2"))).alias("premium")
+    )
 
 
 MFE = ("mfe_trail", "reached AND cum <= stop", "opt")
@@ -185,16 +188,24 @@ def pnl_single_leg(spark, sf_dir):
 def ret_stock_profile(spark, sf_dir):
     r, m, a = F.col("actual_return"), F.col("actual_mfe"), F.col("atr_14d_pct") * 100
     p = lambda name: tr.stock_profile(name, r, m, a)
-    return v.candidates(spark, sf_dir).select(*K, q(p("target4_trail2")).alias("t4"), q(p("target5_trail3")).alias("t5"), q(p("target6_atr2")).alias("t6"), p("hold").alias("hold"))
+    return v.candidates(spark, sf_dir).select(
+        *K, q(p("target4_trail2")).alias("t4"), q(p("target5_trail3")).alias("t5"), q(p("target6_atr2")).alias("t6"),
+        p("hold").alias("hold")
+    )
 
 
 @query(f"SELECT {KS}, {sq('least(greatest(((0.55::DOUBLE * greatest(actual_return / 100, 0) + 0.30::DOUBLE * greatest(actual_mfe / 100, 0) - 0.045::DOUBLE) / 0.045::DOUBLE - 0.35::DOUBLE * holding_days / 30) * 100, -100), 300)', 5)} AS ret FROM candidates")
 def ret_option_profile(spark, sf_dir):
-    return v.candidates(spark, sf_dir).select(*K, q(tr.option_profile(F.col("actual_return"), F.col("actual_mfe"), F.col("holding_days"), 0.045, 0.35), 5).alias("ret"))
+    return v.candidates(spark, sf_dir).select(
+        *K, q(tr.option_profile(F.col("actual_return"), F.col("actual_mfe"), F.col("holding_days"), 0.045, 0.35), 5).alias("ret")
+    )
 
 
 @query(f"""SELECT {KS}, {sq('least(greatest((CASE WHEN actual_mfe >= 1 + 0.5 * 5 THEN 0.6::DOUBLE * 5 ELSE least(greatest(actual_return, 0), 5) END - 0.4::DOUBLE * 5) / (0.4::DOUBLE * 5) * 100, -100), 150)', 5)} AS call,
   {sq('least(greatest((0.32::DOUBLE * 5 - least(greatest(-actual_return - 1, 0), 5)) / (5 - 0.32::DOUBLE * 5) * 100, -100), 60)', 5)} AS put FROM candidates""")
 def ret_spread_profile(spark, sf_dir):
     r, m = F.col("actual_return"), F.col("actual_mfe")
-    return v.candidates(spark, sf_dir).select(*K, q(tr.spread_profile("bull_call", r, m, 1.0, 5.0), 5).alias("call"), q(tr.spread_profile("bull_put", r, m, 1.0, 5.0), 5).alias("put"))
+    return v.candidates(spark, sf_dir).select(
+        *K, q(tr.spread_profile("bull_call", r, m, 1.0, 5.0), 5).alias("call"),
+        q(tr.spread_profile("bull_put", r, m, 1.0, 5.0), 5).alias("put")
+    )

@@ -14,7 +14,9 @@ MARKETS = ["US", "ETF", "INDX", "COMM"]
 
 
 def write_bars_csv(bars: DataFrame, path: str) -> None:
-    bars.withColumn("file_symbol", F.replace("symbol", F.lit("#"), F.lit("_"))).select("file_symbol", "date", "open", "high", "low", "close", "volume").write.partitionBy("file_symbol").option("header", True).csv(path)
+    bars.withColumn("file_symbol", F.replace("symbol", F.lit("#"), F.lit("_"))).select(
+        "file_symbol", "date", "open", "high", "low", "close", "volume"
+    ).write.partitionBy("file_symbol").option("header", True).csv(path)
 
 
 def scan_bars(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -36,7 +38,10 @@ def first_market(bars: DataFrame, markets: list[str] = MARKETS) -> DataFrame:
 
 
 def write_opps_csv(opps: DataFrame, path: str) -> None:
-    out = opps.select("combo", F.col("direction").alias("LorS"), "date", F.col("days_out").alias("daysOut"), F.col("symbol").alias("sym"), "sharpe_ratio", "avg_profit", "avg_profit2")
+    out = opps.select(
+        "combo", F.col("direction").alias("LorS"), "date", F.col("days_out").alias("daysOut"), F.col("symbol").alias("sym"), "sharpe_ratio",
+        "avg_profit", "avg_profit2"
+    )
     out.write.partitionBy("combo").option("header", True).option("compression", "gzip").csv(path)
 
 
@@ -51,7 +56,10 @@ def scan_opps(spark: SparkSession, path: str, days: tuple[int, int] = (1, 400))
     df = spark.read.schema(OPPS).option("header", True).option("enforceSchema", False).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).csv(path)
     df = df.withColumn("combo", F.regexp_extract(F.col("_metadata.file_path"), r"combo=([^/]+)/", 1))
     df = combo_columns(df.where(F.col("daysOut").between(*days)))
-    return df.select(F.col("sym").alias("symbol"), "date", F.col("daysOut").alias("days_out"), F.col("LorS").alias("direction"), "combo", "year1", "year2", "is_pe", "sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("avg_profit2"))
+    return df.select(
+        F.col("sym").alias("symbol"), "date", F.col("daysOut").alias("days_out"), F.col("LorS").alias("direction"), "combo", "year1",
+        "year2", "is_pe", "sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("avg_profit2")
+    )
 
 
 def near_dates(opps: DataFrame, target: str, days: tuple[int, ...] = (-14, -7, 0, 7, 14)) -> DataFrame:
@@ -94,18 +102,25 @@ def training_columns(df: DataFrame, needed: list[str], days: str = "days_out") -
 def earnings_of_json(lines: DataFrame, c: str = "value") -> DataFrame:
     """(symbol, date) from JSON objects {symbol: [dates]}; strings that are no dates are dropped."""
     m = lines.select(F.explode(F.from_json(F.col(c), "map<string, array<string>>")).alias("symbol", "dates"))
-    return m.select("symbol", F.explode("dates").alias("d")).select("symbol", F.expr("try_to_date(d, 'yyyy-MM-dd')").alias("date")).where("date is not null").distinct()
+    return m.select("symbol", F.explode("dates").alias("d")).select(
+        "symbol", F.expr("try_to_date(d, 'yyyy-MM-dd')").alias("date")
+    ).where("date is not null").distinct()
 
 
 def earnings_of_filings(filings: DataFrame, form: str = "8-K/E") -> DataFrame:
     """(symbol, date) of the filings of one form; filings: (symbol, array of (form, date))."""
-    return filings.select("symbol", F.inline("filings")).where(F.col("form") == form).select("symbol", F.expr("try_to_date(date, 'yyyy-MM-dd')").alias("date")).where("date is not null").distinct()
+    return filings.select("symbol", F.inline("filings")).where(F.col("form") == form).select(
+        "symbol", F.expr("try_to_date(date, 'yyyy-MM-dd')").alias("date")
+    ).where("date is not null").distinct()
 
 
 def coverage(events: DataFrame) -> DataFrame:
     """(year, n_symbols, n_events, least, mean, most) of events by symbol within each year."""
     one = events.groupBy(F.year("date").alias("year"), "symbol").agg(F.count(F.lit(1)).alias("n"))
-    return one.groupBy("year").agg(F.count(F.lit(1)).alias("n_symbols"), F.sum("n").alias("n_events"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"))
+    return one.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_symbols"), F.sum("n").alias("n_events"), F.min("n").alias("least"), F.avg("n").alias("mean"),
+        F.max("n").alias("most")
+    )
 
 
 def union_universes(parts: dict[str, DataFrame], tag: str = "tier") -> DataFrame:

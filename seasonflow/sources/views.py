@@ -18,7 +18,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: a trade of its part's brand on its ship date."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
-    return rows.select("symbol", F.to_date("l_shipdate").alias("date"), q(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("px"), F.col("l_quantity").alias("qty"), *KEY, "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return rows.select(
+        "symbol", F.to_date("l_shipdate").alias("date"), q(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("px"),
+        F.col("l_quantity").alias("qty"), *KEY, "l_discount", "l_tax", "l_returnflag", "l_linestatus"
+    )
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,9 @@ def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("date").agg(
         q(F.avg("o_totalprice"), 4).alias("spx"), q(10 + 30 * share, 4).alias("vix"), q(F.avg("o_totalprice") / 1e5).alias("us10y"),
         q(F.avg(F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice"))) / 1e5).alias("us2y"),
-        q(10 + F.avg(F.when(F.col("o_orderpriority") == "3-MEDIUM", F.col("o_totalprice"))) / 2e4, 4).alias("vix3m"), q(F.avg(F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice"))) / 1e5).alias("irx"),
+        q(
+            10 + F.avg(F.when(F.col("o_orderpriority") == "3-MEDIUM", F.col("o_totalprice"))) / 2e4, 4
+        ).alias("vix3m"), q(F.avg(F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice"))) / 1e5).alias("irx"),
         F.count_if(F.col("o_orderstatus") == "F").alias("advn"), F.count_if(F.col("o_orderstatus") == "O").alias("decn"),
     )
 
@@ -67,18 +72,24 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") != 2, q(25 * F.col("l_tax"), 4)).alias("sharpe_ratio2"), F.when(F.col("l_linenumber") != 1, q(100 * F.col("l_discount"), 4)).alias("avg_profit2"), *KEY,
     )
     own = ["symbol", "date", "days_out", "direction", "combo"]
-    best = rows.groupBy(*own).agg(F.max_by(F.struct("year1", "year2", "is_pe", "sharpe_ratio", "avg_profit", "sharpe_ratio2", "avg_profit2"), F.struct("sharpe_ratio", *KEY)).alias("b"))
+    best = rows.groupBy(*own).agg(F.max_by(
+        F.struct("year1", "year2", "is_pe", "sharpe_ratio", "avg_profit", "sharpe_ratio2", "avg_profit2"), F.struct("sharpe_ratio", *KEY)
+    ).alias("b"))
     return best.select(*own, "b.*")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per (symbol, date, days_out, direction); returns are in percent."""
-    t = ticks(spark, sf_dir).withColumn("holding_days", (10 + F.col("l_orderkey") % 21).cast("int")).withColumn("direction", F.when(F.col("l_linestatus") == "F", "l").otherwise("s"))
+    t = ticks(spark, sf_dir).withColumn("holding_days", (10 + F.col("l_orderkey") % 21).cast("int")).withColumn(
+        "direction", F.when(F.col("l_linestatus") == "F", "l").otherwise("s")
+    )
     b = t.groupBy("symbol", "date", "holding_days", "direction").agg(F.max(F.struct(*KEY, "l_discount", "l_tax")).alias("m"))
     b = b.select("symbol", "date", F.year("date").alias("year"), "direction", "holding_days", "m.*")
     score = (F.col("l_orderkey") * 7919 % 1001) / F.lit(10.0)
     predicted = q(100 * F.col("l_discount") - 2, 4)
-    b = b.withColumn("ml_score", score).withColumn("predicted_return", predicted).withColumn("predicted_mfe", q(F.col("predicted_return") + 50 * F.col("l_tax"), 4))
+    b = b.withColumn("ml_score", score).withColumn("predicted_return", predicted).withColumn(
+        "predicted_mfe", q(F.col("predicted_return") + 50 * F.col("l_tax"), 4)
+    )
     b = b.withColumn("actual_return", q(F.col("predicted_return") + ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 2001 - 1000) / F.lit(100.0), 4))
     b = b.join(F.broadcast(sectors(spark, sf_dir)), "symbol", "left")
     return b.select(
@@ -106,5 +117,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (1 + F.col("holding_days") * 5 / 7).cast("int")
     return c.select(
         F.concat(F.lit("S"), number).alias("strategy_id"), "symbol", "sector", "direction", F.col("date").alias("entry_date"), F.date_add("date", F.col("holding_days")).alias("exit_date"), "holding_days", held.alias("days_held"),
-        "ml_score", q(0.004 * held).alias("theta"), q(F.greatest(F.col("actual_return") / 100 * 12 - 0.004 * held, F.lit(-1.0))).alias("option_return"), q(F.col("actual_return") / 100).alias("exit_return"), q(F.col("actual_mfe") / 100).alias("hwm"), q(F.col("actual_return") * 50, 4).alias("pnl"),
+        "ml_score", q(0.004 * held).alias("theta"), q(F.greatest(
+            F.col("actual_return") / 100 * 12 - 0.004 * held, F.lit(-1.0)
+        )).alias("option_return"), q(F.col("actual_return") / 100).alias("exit_return"), q(F.col("actual_mfe") / 100).alias("hwm"), q(F.col("actual_return") * 50, 4).alias("pnl"),
     )

@@ -16,9 +16,15 @@ def opps_stream(spark: SparkSession, path: str, delay: str = "1 day") -> DataFra
     A pattern's dates lie in the future, so the time of arrival is the event time.
     """
     df = spark.readStream.schema(OPPS).option("header", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).csv(path)
-    df = df.select("*", F.col("_metadata.file_modification_time").alias("arrived"), F.regexp_extract(F.col("_metadata.file_path"), r"combo=([^/]+)/", 1).alias("combo"))
+    df = df.select(
+        "*", F.col("_metadata.file_modification_time").alias("arrived"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"combo=([^/]+)/", 1).alias("combo")
+    )
     df = combo_columns(df).where("sym is not null and date is not null and daysOut > 0 and LorS in ('l', 's')")
-    df = df.select("arrived", F.col("sym").alias("symbol"), "date", F.col("daysOut").alias("days_out"), F.col("LorS").alias("direction"), "combo", "sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("avg_profit2"))
+    df = df.select(
+        "arrived", F.col("sym").alias("symbol"), "date", F.col("daysOut").alias("days_out"), F.col("LorS").alias("direction"), "combo",
+        "sharpe_ratio", "avg_profit", F.coalesce("avg_profit2", "avg_profit").alias("avg_profit2")
+    )
     return df.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["combo", "symbol", "date", "days_out", "direction"])
 
 
