@@ -45,7 +45,9 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> Da
     one = nodes.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("s"))
     n = one.select("tree", "node", F.col("s.parent").alias("jump"), F.coalesce("s.score", F.lit(0.0)).cast("double").alias("total"))
     there = n.select("tree", F.col("node").alias("jump"), F.lit(1).alias("there"))
-    n = n.join(there, ["tree", "jump"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("jump")).alias("jump"), "total", F.lit(1).cast("long").alias("depth"))
+    n = n.join(there, ["tree", "jump"], "left").select(
+        "tree", "node", F.when(F.col("there") == 1, F.col("jump")).alias("jump"), "total", F.lit(1).cast("long").alias("depth")
+    )
     state, up = cut(n, "paths"), []
     for _ in range(most_rounds):
         going = state.where("jump is not null")
@@ -53,7 +55,10 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> Da
             break  # what still jumps after a round without an arrival goes round in a cycle
         up.append(going.select("tree", "node", "jump", F.col("depth").alias("by")))
         to = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        met = going.join(to, ["tree", "jump"]).select("tree", "node", F.col("next").alias("jump"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
+        met = going.join(to, ["tree", "jump"]).select(
+            "tree", "node", F.col("next").alias("jump"), (F.col("total") + F.col("t2")).alias("total"),
+            (F.col("depth") + F.col("d2")).alias("depth")
+        )
         # nodes that have arrived wait; only those under way are joined again
         before, state = left, cut(state.where("jump is null").select(met.columns).unionByName(met), "paths")
     done = state.where("jump is null")
@@ -61,7 +66,9 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) -> Da
     leaves = done.join(inner, ["tree", "node"], "left_anti")
     if branches == 1:
         first = F.min(F.struct((-F.col("total") / F.col("depth")).alias("score"), (-F.col("depth")).alias("depth"), "node"))
-        leaves = leaves.groupBy("tree").agg(first.alias("l")).select("tree", F.lit(1).alias("rank"), F.col("l.node").alias("node"), (-F.col("l.depth")).alias("depth"))
+        leaves = leaves.groupBy("tree").agg(first.alias("l")).select(
+            "tree", F.lit(1).alias("rank"), F.col("l.node").alias("node"), (-F.col("l.depth")).alias("depth")
+        )
     else:
         w = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", "rank", "node", "depth")
@@ -85,7 +92,10 @@ def formatted(paths: DataFrame, turns: DataFrame, loss_role: str = "assistant")
     before = Window.partitionBy("tree", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.char_length("head") + F.char_length("body") + F.lit(len(END))
     start = (F.coalesce(F.sum(whole).over(before), F.lit(0)) + F.char_length("head")).cast("int")
-    turn = F.struct("depth", F.concat("head", "body", F.lit(END)).alias("piece"), "counts", F.struct(start.alias("start"), F.char_length("body").alias("length")).alias("span"))
+    turn = F.struct(
+        "depth", F.concat("head", "body", F.lit(END)).alias("piece"), "counts",
+        F.struct(start.alias("start"), F.char_length("body").alias("length")).alias("span")
+    )
     said = rows.select("tree", "rank", turn.alias("turn")).groupBy("tree", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["counts"]), lambda t: t["span"])
     return said.select("tree", "rank", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss"))
@@ -95,7 +105,13 @@ def parsed(formatted_col: Column) -> Column:
     """The turns (role, text) of a formatted conversation."""
     pieces = F.filter(F.split(formatted_col, r"<\|end\|>"), lambda p: p != "")
     split = lambda p: F.instr(p, "|>")
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring(p, F.lit(3), split(p) - 3)).alias("role"), unescape(F.substring(p, split(p) + 2, F.char_length(p))).alias("text")))
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            unescape(F.substring(p, F.lit(3), split(p) - 3)).alias("role"),
+            unescape(F.substring(p, split(p) + 2, F.char_length(p))).alias("text")
+        )
+    )
 
 
 def under_loss(formatted_col: Column, loss_col: Column) -> Column:

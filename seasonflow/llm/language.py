@@ -61,7 +61,10 @@ def grow(texts: list[str]) -> list[tuple]:
     for k in range(ORDER + 1):
         code, n = np.unique(w & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
         ctx, first = np.unique(code >> np.uint64(8), return_index=True)
-        tree.append((code, n.astype(np.float64), ctx, np.add.reduceat(n, first).astype(np.float64) if len(first) else n.astype(np.float64), np.diff(np.append(first, len(code))).astype(np.float64)))
+        tree.append((
+            code, n.astype(np.float64), ctx, np.add.reduceat(n, first).astype(np.float64) if len(first) else n.astype(np.float64),
+            np.diff(np.append(first, len(code))).astype(np.float64)
+        ))
     return tree
 
 

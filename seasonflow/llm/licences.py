@@ -32,28 +32,67 @@ def key(sentence: str) -> str:
 _TEXTS = [
     ("MIT-brief", "Released under the MIT License"),
     ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    (
+        "MIT-grant",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+    ),
     ("MIT-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("MIT-as-is", "The software is provided as is, without warranty of any kind"),
-    ("MIT-as-is", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
-    ("MIT-liable", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    (
+        "MIT-as-is",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"
+    ),
+    (
+        "MIT-liable",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"
+    ),
     ("Apache-2-brief", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2-head", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
     ("Apache-comply", "You may not use this file except in compliance with the License"),
     ("Apache-copy", "You may obtain a copy of the License at"),
     ("Apache-as-is", "Distributed under the License is distributed on an \"AS IS\" BASIS"),
-    ("Apache-as-is", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    (
+        "Apache-as-is",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"
+    ),
     ("Apache-see", "See the License for the specific language governing permissions and limitations under the License"),
-    ("BSD-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "BSD-grant",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    ),
     ("BSD-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("BSD-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    ("BSD-name", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BSD-as-is", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
-    ("BSD-liable", "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services"),
-    ("BSD-liable", "In no event shall the copyright owner or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services"),
-    ("ISC-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("ISC-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("ISC-as-is", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    (
+        "BSD-binary",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+    ),
+    (
+        "BSD-name",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ),
+    (
+        "BSD-as-is",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    ),
+    (
+        "BSD-liable",
+        "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services"
+    ),
+    (
+        "BSD-liable",
+        "In no event shall the copyright owner or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services"
+    ),
+    (
+        "ISC-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    (
+        "ISC-grant",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    (
+        "ISC-as-is",
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    ),
     ("MPL-2-terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
     ("MPL-2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
     ("MPL-2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
@@ -73,8 +112,15 @@ _TEXTS = [
 ]
 _GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
 _VERSIONS = {"GPL": ["2", "3"], "LGPL": ["2.1", "3"], "AGPL": ["3"]}
-_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-ND-4.0": "Attribution-NoDerivatives", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives"}
-_SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", *_CC, *[f"{g}-{v if '.' in v else v + '.0'}-{k}" for g, vs in _VERSIONS.items() for v in vs for k in ("only", "or-later")]]
+_CC = {
+    "CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-ND-4.0": "Attribution-NoDerivatives",
+    "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives"
+}
+_SPDX = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", *_CC,
+    *[f"{g}-{v if '.' in v else v + '.0'}-{k}" for g, vs in _VERSIONS.items() for v in vs for k in ("only", "or-later")]
+]
 
 
 def _gnu_sentences():
@@ -172,9 +218,14 @@ def recognise(docs: DataFrame, text_col: str = "text", rules: list = RULES, cata
     def apply(state: Column, rule: Column) -> Column:
         hit = F.contains(state["rest"], rule["seq"])
         # ' | ' keeps what stood before and after a used sequence from becoming neighbours
-        return F.struct(F.replace(state["rest"], rule["seq"], F.lit(" | ")).alias("rest"), F.when(hit, F.concat(state["found"], F.array(rule["licence"]))).otherwise(state["found"]).alias("found"))
+        return F.struct(
+            F.replace(state["rest"], rule["seq"], F.lit(" | ")).alias("rest"),
+            F.when(hit, F.concat(state["found"], F.array(rule["licence"]))).otherwise(state["found"]).alias("found")
+        )
 
     done = F.when(F.size("sentence_ids") > 0, F.aggregate(steps, start, apply)).otherwise(start)
     out = out.withColumn(work, done)
     unmatched = F.filter(F.split(F.col(f"{work}.rest"), " "), lambda x: (x != "") & (x != "|"))
-    return out.withColumn("licences", F.array_distinct(f"{work}.found")).withColumn("unmatched", F.transform(unmatched, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))).drop(work)
+    return out.withColumn("licences", F.array_distinct(f"{work}.found")).withColumn(
+        "unmatched", F.transform(unmatched, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))
+    ).drop(work)

@@ -126,7 +126,10 @@ def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 b = whole.iloc[at : at + 500]
                 texts = ["" if t is None else t for t in b["text"]]
                 forms = [stored(payload(t)) for t in texts]
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "digest": [hashlib.sha256(x).hexdigest() for x in forms], "media": forms})
+                yield pd.DataFrame({
+                    "id": b["id"].to_numpy(), "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts],
+                    "digest": [hashlib.sha256(x).hexdigest() for x in forms], "media": forms
+                })
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(store, f"id {kind}, n_bytes long, digest string, media binary")
@@ -149,7 +152,10 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((own, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), own, feature))
             yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    seen = media.select("media").mapInPandas(read_back, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    seen = media.select("media").mapInPandas(
+        read_back,
+        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    )
     cols = [c for c in seen.columns if c != "digest"]
     return seen.groupBy("digest").agg(*[F.max(c).alias(c) for c in cols])
 

@@ -236,14 +236,19 @@ def settled(texts: list[str], c: np.ndarray, main: int, second: np.ndarray, idf:
 def crossing(members: DataFrame, texts: DataFrame, idf, least: float, block: int, block_bytes: int) -> DataFrame:
     """Links (a, b) between components c that share a key in members(key, doc_id, c, size)."""
     counts = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"))
-    keys = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("who").alias("who"))
+    keys = counts.groupBy("key").agg(
+        F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+        F.bit_xor("who").alias("who")
+    )
     # of keys with the same members, one
     keys = keys.where("parts > 1").groupBy("n", "size", "who").agg(F.min(F.struct("key", "main")).alias("k"))
     blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes))).cast("int")
     keys = cut(keys.select("k.*", blocks.alias("blocks")), "mixed")
     placed = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("p"), F.greatest(o, "own").alias("q")))
-    dealt = placed.select("key", "main", "doc_id", "c", "own", F.explode(pairs).alias("at")).select("key", "main", "doc_id", "c", "at.*", (F.col("own") > F.col("at.p")).alias("second"))
+    dealt = placed.select("key", "main", "doc_id", "c", "own", F.explode(pairs).alias("at")).select(
+        "key", "main", "doc_id", "c", "at.*", (F.col("own") > F.col("at.p")).alias("second")
+    )
     held = cut(dealt, "dealt").join(texts, "doc_id")
 
     def settle(g: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +289,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     first = keyed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
     links = cut(compared(cut(first, "first"), texts, idf, threshold).select("a", "b"), "links")
     label = components(links)
-    placed = keyed.select("key", "doc_id", "size").join(label.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"), "size")
+    placed = keyed.select("key", "doc_id", "size").join(label.toDF("doc_id", "c"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("c", "doc_id").alias("c"), "size"
+    )
     links = cut(links.unionByName(crossing(cut(placed, "placed"), texts, idf, threshold, block, block_bytes)), "links")
     label = components(links)
     out = member.join(label.toDF("rep", "c"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("class_id"))

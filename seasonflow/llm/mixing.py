@@ -81,13 +81,18 @@ def frames(quota: DataFrame, frame: int) -> DataFrame:
     block is due first. The last slot is the one by which some source must have had a block that it hasn't got.
     """
     some = quota.where("p > 0")
-    listed = some.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", "p")))["p"].alias("ps"), F.min(due(F.col("n") + 1, F.col("p"), F.col("q"))).alias("last"))
+    listed = some.groupBy("q").agg(
+        F.sort_array(F.collect_list(F.struct("i", "p")))["p"].alias("ps"), F.min(due(F.col("n") + 1, F.col("p"), F.col("q"))).alias("last")
+    )
     n = div(F.col("last") + frame - 1, F.lit(frame))
     of = listed.select("q", "ps", "last", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("f"))
     of = of.select("f", (F.col("f") * frame).alias("first"), F.least("last", (F.col("f") + 1) * frame).alias("past"), "q", "ps")
     low = F.transform("ps", lambda p: div(F.col("first") * p, F.col("q")))
     of = of.withColumn("low", low).withColumn("extra", F.col("first") - F.aggregate("low", F.lit(0).cast("long"), lambda s, x: s + x))
-    ahead = F.transform("ps", lambda p, i: F.when(F.pmod(F.col("first") * p, F.col("q")) > 0, F.struct(due(F.get("low", i) + 1, p, F.col("q")).alias("due"), i.alias("i"))))
+    ahead = F.transform(
+        "ps",
+        lambda p, i: F.when(F.pmod(F.col("first") * p, F.col("q")) > 0, F.struct(due(F.get("low", i) + 1, p, F.col("q")).alias("due"), i.alias("i")))
+    )
     first = F.transform(F.slice(F.array_sort(F.filter(ahead, lambda x: x.isNotNull())), F.lit(1), F.col("extra").cast("int")), lambda x: x["i"])
     of = of.withColumn("ahead", first)
     done = F.transform("low", lambda k, i: k + F.when(F.array_contains("ahead", i), 1).otherwise(0))

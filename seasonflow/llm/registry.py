@@ -28,11 +28,20 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows without a conv_id belong to no conversation; null roles and texts are empty.
     """
-    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    turns = cut(rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", F.coalesce("text", F.lit("")).alias("text")), "turns")
-    nodes = turns.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.log1p(F.char_length("text").cast("double")).alias("score"))
+    turns = cut(
+        rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", F.coalesce("text", F.lit("")).alias("text")),
+        "turns"
+    )
+    nodes = turns.select(
+        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
+        F.log1p(F.char_length("text").cast("double")).alias("score")
+    )
     out = chat.formatted(chat.best_paths(nodes), turns)
     said = chat.parsed(F.col("formatted"))
     flat = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -49,7 +58,10 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.recognise(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.array_join("unmatched", ",").alias("unmatched"))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"), F.array_join("unmatched", ",").alias("unmatched")
+    )
 
 
 def op6_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +89,20 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a page that shows its text's stored form; what follows is read back through the page."""
     stored = cut(media.media_of_texts(read(spark, sf_dir, "documents")), "media")
     name = F.concat(F.lit("document "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    page = F.concat(F.lit("<article><p>"), name, F.lit(f'</p><figure><img src="{media.REF}'), F.col("digest"), F.lit('"><figcaption>'), name, F.lit("</figcaption></figure></article>"))
+    page = F.concat(
+        F.lit("<article><p>"), name, F.lit(f'</p><figure><img src="{media.REF}'), F.col("digest"), F.lit('"><figcaption>'), name,
+        F.lit("</figcaption></figure></article>")
+    )
     pages = media.interleaved(stored.select(F.col("id").alias("doc_id"), "n_bytes", page.alias("html")))
     shown = media.resolve(pages.select("doc_id", "n_bytes", "items"), cut(media.features(stored), "features")).where("kind = 'media'")
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
 
 
-QUERIES = {f.__name__: f for f in (op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts, op8_byte_bpe, op9_weighted_minhash, op10_media_sequences)}
-ORACLES: dict[str, str] = {"op3_reply_trees": oracles.REPLY_TREES, "op4_pfair_mixing": oracles.PFAIR, "op5_sentence_rules": oracles.sentence_rules(licences.SENTENCES, licences.RULES)}
+QUERIES = {f.__name__: f for f in (
+    op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts,
+    op8_byte_bpe, op9_weighted_minhash, op10_media_sequences
+)}
+ORACLES: dict[str, str] = {
+    "op3_reply_trees": oracles.REPLY_TREES, "op4_pfair_mixing": oracles.PFAIR,
+    "op5_sentence_rules": oracles.sentence_rules(licences.SENTENCES, licences.RULES)
+}

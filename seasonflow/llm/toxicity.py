@@ -185,7 +185,10 @@ def fit(toxic: list[str], drawn: list[str], counts: dict[str, int], n_docs: int,
     x, y = np.array(x), np.array(y)
     mean, std = x.mean(0), x.std(0) + 1e-9
     whole = {f: seen[0].get(f, 0) + seen[1].get(f, 0) for f in counts}
-    return {"weights": corrected_weights(whole, len(toxic), counts, n_docs, prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean, "std": std, "prior": prior}
+    return {
+        "weights": corrected_weights(whole, len(toxic), counts, n_docs, prior), "w": fit_nnpu((x - mean) / std, y, prior), "mean": mean,
+        "std": std, "prior": prior
+    }
 
 
 def score_texts(model: dict, texts: list[str], summarise: Summariser | None = None) -> np.ndarray:

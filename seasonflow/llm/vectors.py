@@ -172,7 +172,10 @@ def product(g: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"key": key[met], "to": smallest_reached(len(key), a, b, key)[met], "n": n[met]})
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, cells: int | None = None, block: int | None = None) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, cells: int | None = None,
+    block: int | None = None
+) -> DataFrame:
     """One row per row of df: (id, n_links, component_id, kept); one vector of each group of linked ones is kept.
 
     block: residents in a block, by default a PARTS-th of the distinct vectors within the bounds above; cells: their
@@ -191,9 +194,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     block = block or max(LEAST_BLOCK, min(n // PARTS, MOST_BLOCK, BLOCK_BYTES // (8 * d)))
     common = distinct.where(F.col("d") == d)
     c = centres(common, max(1, cells or n // block), n, d, seed_rows=20_000)
-    apart = distinct.where(F.col("d") != d).select("key", "v", "w", (-F.col("d")).cast("long").alias("cell"), (-F.col("d")).cast("long").alias("home"), F.array().cast("array<int>").alias("visits"))
+    apart = distinct.where(F.col("d") != d).select(
+        "key", "v", "w", (-F.col("d")).cast("long").alias("cell"), (-F.col("d")).cast("long").alias("home"),
+        F.array().cast("array<int>").alias("visits")
+    )
     dealt = cut(assign(common, c, threshold, kind).unionByName(apart), "dealt").withColumn("resident", F.col("home") == F.col("cell"))
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if("resident") / block).cast("int").alias("br"), F.ceil(F.count_if(~F.col("resident")) / (2 * block)).cast("int").alias("bv"))
+    sizes = dealt.groupBy("cell").agg(
+        F.ceil(F.count_if("resident") / block).cast("int").alias("br"),
+        F.ceil(F.count_if(~F.col("resident")) / (2 * block)).cast("int").alias("bv")
+    )
     # visitors of a cell without residents meet nobody
     placed = dealt.join(cut(sizes.where("br > 0"), "sizes"), "cell")
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.when(F.col("resident"), F.col("br")).otherwise(F.col("bv")).cast("long")).cast("int")
@@ -204,7 +213,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     with_visitors = F.transform(F.filter(up_to(F.greatest("bv", F.lit(1))), lambda o: o < F.col("bv")), lambda o: group(F.col("own"), -1 - o, F.lit(0)))
     as_visitor = F.transform(up_to(F.col("br")), lambda o: group(o, -1 - F.col("own"), F.lit(2)))
     at = F.when(F.col("resident"), F.concat(with_residents, with_visitors)).otherwise(as_visitor)
-    placed = placed.withColumn("own", own).select("key", "v", "w", "cell", "home", "visits", F.explode(at).alias("at")).select("key", "v", "w", "cell", "home", "visits", "at.*")
+    placed = placed.withColumn("own", own).select(
+        "key", "v", "w", "cell", "home", "visits", F.explode(at).alias("at")
+    ).select("key", "v", "w", "cell", "home", "visits", "at.*")
 
     def met(g: pa.Table) -> pa.Table:
         return product(g, threshold)
@@ -218,4 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     result = cut(named.join(smallest, "g").select("key", "n_links", "component_id"), "result")
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("v")).alias("key")).join(result, "key", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
+    )

@@ -17,7 +17,10 @@ from seasonflow.llm.common import cut, fresh, slices
 from seasonflow.llm.components import components
 
 DOC = "doc_id long, text string"
-NASTY = ["", " ", "  a  b ", "a\n\n b", "<|endoftext|> x <|endoftext|>", "don't we'll I'm 12 345", "é" * 50, "日本語 テキスト", "\t  x", "a" * 5000, "x   y", "🙂 🙃🙂", "tail   ", "a'  'b", "İstanbul ẞ"]
+NASTY = [
+    "", " ", "  a  b ", "a\n\n b", "<|endoftext|> x <|endoftext|>", "don't we'll I'm 12 345", "é" * 50, "日本語 テキスト", "\t  x", "a" * 5000,
+    "x   y", "🙂 🙃🙂", "tail   ", "a'  'b", "İstanbul ẞ"
+]
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -144,7 +147,13 @@ def test_language_code_lengths_are_exact():
 
 
 def test_language_edges(spark):
-    docs = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "12 34 !!", "de"), (6, "the hat", None), (6, "the hat", None)], DOC + ", lang string")
+    docs = spark.createDataFrame(
+        [
+            (1, "the cat and the hat", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "12 34 !!", "de"),
+            (6, "the hat", None), (6, "the hat", None)
+        ],
+        DOC + ", lang string"
+    )
     both = docs.where("doc_id in (1, 2)")
     model = {r.lang: language.grow([r.text]) for r in both.collect()}
     got = {r.doc_id: r.x.lang_pred for r in language.identify(docs, model, out="x").collect()}
@@ -175,7 +184,10 @@ def test_language_held_out_accuracy(spark, sf):
 
 
 def test_reply_tree_branches(spark):
-    nodes = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 1.0), ("t", 5, 3, 0.0), ("t", 6, 3, 4.0), ("u", 1, 9, 1.0), ("c", 1, 2, 1.0), ("c", 2, 1, 1.0), (None, 1, None, 1.0), ("t", 6, 3, 4.0)]
+    nodes = [
+        ("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 1.0), ("t", 5, 3, 0.0), ("t", 6, 3, 4.0), ("u", 1, 9, 1.0),
+        ("c", 1, 2, 1.0), ("c", 2, 1, 1.0), (None, 1, None, 1.0), ("t", 6, 3, 4.0)
+    ]
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, score double")
     got = {}
     for r in chat.best_paths(df, 2).collect():
@@ -188,7 +200,10 @@ def test_reply_tree_branches(spark):
 
 def test_deep_thread(spark):
     n = 300
-    df = spark.range(1, n + 1).select(F.lit("t").alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    df = spark.range(1, n + 1).select(
+        F.lit("t").alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"),
+        F.lit(1.0).alias("score")
+    )
     rows = chat.best_paths(df).orderBy("depth").collect()
     assert [r.node for r in rows] == list(range(1, n + 1)) and [r.depth for r in rows] == list(range(1, n + 1))
 
@@ -197,7 +212,9 @@ def test_chat_escapes_come_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<|end|><|user|>", "&lt;|end|&gt;", "&amp;&#91;", None, "", "a<b & c[d]", "<|assistant|>x"]
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "us<er", t) for i, t in enumerate(texts)], "tree long, node long, role string, text string")
     paths = turns.select("tree", F.lit(1).alias("rank"), (F.col("node") + 1).alias("depth"), "node")
-    out = chat.formatted(paths, turns).select("*", chat.parsed(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")).first()
+    out = chat.formatted(paths, turns).select(
+        "*", chat.parsed(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")
+    ).first()
     assert [(t.role, t.text) for t in out.turns] == [("assistant" if i % 2 else "us<er", t or "") for i, t in enumerate(texts)]
     assert out.under == "".join(t or "" for i, t in enumerate(texts) if i % 2)
     assert out.formatted.count("<") == 2 * len(texts)
@@ -206,7 +223,9 @@ def test_chat_escapes_come_back(spark):
 def test_roles_with_marks_come_back(spark):
     roles = ["user|>x", ">a", "|", "a|b>c", "&gt;", "&#124;|>", "<|end|>", "", None, "assistant"]
     turns = spark.createDataFrame([(1, i, r, f"t{i}|>") for i, r in enumerate(roles)], "tree long, node long, role string, text string")
-    out = chat.formatted(turns.select("tree", F.lit(1).alias("rank"), "node", F.col("node").alias("depth")), turns).select("*", chat.parsed(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")).first()
+    out = chat.formatted(turns.select("tree", F.lit(1).alias("rank"), "node", F.col("node").alias("depth")), turns).select(
+        "*", chat.parsed(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")
+    ).first()
     assert [(t.role, t.text) for t in out.turns] == [(r or "", f"t{i}|>") for i, r in enumerate(roles)] and out.under == "t9|>"
 
 
@@ -214,7 +233,10 @@ def test_conversations_of_odd_rows(spark, tmp_path):
     """Roles with marks, null columns, repeated rows and one long conversation, against the SQL."""
     import duckdb
 
-    rows = [(1, 0, "user|>", "a"), (1, 1, "assistant", "b<c"), (1, 1, "assistant", "b<c"), (2, None, None, None), (2, 1, "assistant", None), (None, 0, "user", "lost"), (3, 0, ">", "")]
+    rows = [
+        (1, 0, "user|>", "a"), (1, 1, "assistant", "b<c"), (1, 1, "assistant", "b<c"), (2, None, None, None), (2, 1, "assistant", None),
+        (None, 0, "user", "lost"), (3, 0, ">", "")
+    ]
     rows += [(4, k, "assistant" if k % 2 else "user", f"turn {k} [x]") for k in range(700)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.write.parquet(f"{tmp_path}/conversations.parquet")
@@ -240,9 +262,19 @@ def edf(ps: list[int], ns: list[int]) -> list[int]:
         out.append(i)
 
 
-@pytest.mark.parametrize("weights, sizes, frame", [({"a": 0.7004, "b": 0.2996}, {"a": 70100, "b": 30100}, 1000), ({"big": 0.5, "mid": 0.25, "small": 0.1, "none": 0}, {"big": 900, "mid": 60, "none": 50, "small": 25, None: 40}, 7), (None, {"a": 1, "b": 400, "c": 17, "d": 80, None: 30}, 11), ({f"s{k:02}": 1 + k * k for k in range(12)}, {f"s{k:02}": 30 + 20 * k for k in range(12)}, 20)])
+@pytest.mark.parametrize(
+    "weights, sizes, frame",
+    [
+        ({"a": 0.7004, "b": 0.2996}, {"a": 70100, "b": 30100}, 1000),
+        ({"big": 0.5, "mid": 0.25, "small": 0.1, "none": 0}, {"big": 900, "mid": 60, "none": 50, "small": 25, None: 40}, 7),
+        (None, {"a": 1, "b": 400, "c": 17, "d": 80, None: 30}, 11),
+        ({f"s{k:02}": 1 + k * k for k in range(12)}, {f"s{k:02}": 30 + 20 * k for k in range(12)}, 20)
+    ]
+)
 def test_shares_deviate_by_less_than_a_block(spark, weights, sizes, frame):
-    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n long").select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("doc_id"))
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n long").select(
+        "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("doc_id")
+    )
     got = mixing.mixed(df, weights=weights, frame=frame).toPandas()
     assert len(got) == sum(sizes.values())
     given = {s: round(n**0.5) for s, n in sizes.items()} if weights is None else {s: weights.get(s, 0) for s in sizes}
@@ -271,7 +303,9 @@ def test_mixing_blocks_ties_and_empty(spark):
 
 
 def test_mixing_splits_a_hot_id(spark):
-    df = spark.range(2500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source")).unionByName(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("b").alias("source")))
+    df = spark.range(2500).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source")
+    ).unionByName(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("b").alias("source")))
     got = mixing.mixed(df).toPandas()
     assert sorted(got[got.source == "a"]["nth"]) == sorted(got[got.source == "b"]["nth"]) == list(range(1, 2501)) and got["in_mix"].sum() >= 4999
 
@@ -281,7 +315,11 @@ def test_mixing_splits_a_hot_id(spark):
 
 def test_ordered_rules(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND!"
-    rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, mit), (3, "The software is provided as is, without warranty of any kind."), (4, None), (5, ""), (6, "All rights reserved. All rights reserved. Released under the MIT License."), (7, "All Rights Reserved for nobody.")]
+    rows = [
+        (1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, mit),
+        (3, "The software is provided as is, without warranty of any kind."), (4, None), (5, ""),
+        (6, "All rights reserved. All rights reserved. Released under the MIT License."), (7, "All Rights Reserved for nobody.")
+    ]
     df = spark.createDataFrame(rows, DOC).withColumn("_work", F.lit(1)).withColumn("licences", F.lit("old"))
     got = {r.doc_id: (r.licences, r.unmatched) for r in licences.recognise(df).collect()}
     assert got == {1: (["Apache-2.0"], []), 2: (["MIT"], []), 3: ([], ["MIT-as-is"]), 4: ([], []), 5: ([], []), 6: (["MIT", "Proprietary"], []), 7: ([], [])}
@@ -328,10 +366,16 @@ APACHE_TEXT = """// Licensed under the Apache License, Version 2.0 (the "License
 
 def test_wrapped_licences(spark):
     unwrapped = "\n\n".join(" ".join(p.split()) for p in MIT_TEXT.split("\n\n"))
-    rows = [(1, MIT_TEXT), (2, unwrapped), (3, GPL_TEXT), (4, BSD_TEXT), (5, APACHE_TEXT), (6, MIT_TEXT.replace("\n", "\r\n")), (7, "Released under\n\nthe MIT License"), (8, "Released under. the MIT License"), (9, "x\nAll rights\nreserved\ny")]
+    rows = [
+        (1, MIT_TEXT), (2, unwrapped), (3, GPL_TEXT), (4, BSD_TEXT), (5, APACHE_TEXT), (6, MIT_TEXT.replace("\n", "\r\n")),
+        (7, "Released under\n\nthe MIT License"), (8, "Released under. the MIT License"), (9, "x\nAll rights\nreserved\ny")
+    ]
     got = {r.doc_id: (r.licences, r.unmatched) for r in licences.recognise(spark.createDataFrame(rows, DOC)).collect()}
     mit = (["MIT"], [])
-    assert got == {1: mit, 2: mit, 3: (["GPL-3.0-or-later"], []), 4: (["BSD"], []), 5: (["Apache-2.0"], []), 6: mit, 7: ([], []), 8: ([], []), 9: (["Proprietary"], [])}
+    assert got == {
+        1: mit, 2: mit, 3: (["GPL-3.0-or-later"], []), 4: (["BSD"], []), 5: (["Apache-2.0"], []), 6: mit, 7: ([], []), 8: ([], []),
+        9: (["Proprietary"], [])
+    }
 
 
 BSD3_TEXT = """Copyright (c) 2021, Someone
@@ -385,14 +429,28 @@ def test_whole_licences_and_their_sql(spark, duck):
     liable = "\nIN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE."
     cases = [
         (MIT_TEXT[: MIT_TEXT.index(" IN NO EVENT")] + liable, "MIT"), (BSD3_TEXT, "BSD-3-Clause,Proprietary"), (BSD2_TEXT, "BSD-2-Clause,Proprietary"), (ISC_TEXT, "ISC"), (MPL_TEXT, "MPL-2.0"),
-        (NOTICE.format(what="program", mark=":", mark2=",", name="General", v="3"), "GPL-3.0-or-later"), (NOTICE.format(what="program", mark=";", mark2=";", name="General", v="2"), "GPL-2.0-or-later"),
-        (NOTICE.format(what="library", mark=";", mark2=";", name="Lesser General", v="2.1"), "LGPL-2.1-or-later"), (NOTICE.format(what="program", mark=":", mark2=",", name="Affero General", v="3"), "AGPL-3.0-or-later"),
-        (APACHE_TEXT + "\n//\n// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n", "Apache-2.0"),
-        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
-        ("released under the" + " " * 400 + "MIT license.", "MIT"), ("Released under the MIT License for now", ""), ("", ""), (None, ""), ("x " * 100_000 + "\nAll rights reserved", "Proprietary"), ("... All rights reserved!!\n-- Licensed under CC BY 4.0\n\n", "CC-BY-4.0,Proprietary"),
+        (
+            NOTICE.format(what="program", mark=":", mark2=",", name="General", v="3"), "GPL-3.0-or-later"
+        ), (NOTICE.format(what="program", mark=";", mark2=";", name="General", v="2"), "GPL-2.0-or-later"),
+        (
+            NOTICE.format(what="library", mark=";", mark2=";", name="Lesser General", v="2.1"), "LGPL-2.1-or-later"
+        ), (NOTICE.format(what="program", mark=":", mark2=",", name="Affero General", v="3"), "AGPL-3.0-or-later"),
+        (
+            APACHE_TEXT + "\n//\n// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n",
+            "Apache-2.0"
+        ),
+        (
+            "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"
+        ), ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
+        ("released under the" + " " * 400 + "MIT license.", "MIT"), ("Released under the MIT License for now", ""), ("", ""), (None, ""), ("x " * 100_000 + "\nAll rights reserved", "Proprietary"), (
+            "... All rights reserved!!\n-- Licensed under CC BY 4.0\n\n", "CC-BY-4.0,Proprietary"
+        ),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOC)
-    rows = licences.recognise(df).select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences", "unmatched")])
+    rows = licences.recognise(df).select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_known"),
+        *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences", "unmatched")]
+    )
     assert {r.doc_id: r.licences for r in rows.collect()} == {i: want for i, (_, want) in enumerate(cases)}
     import duckdb
 
@@ -425,7 +483,10 @@ def test_vectors_against_brute_force(spark, cells, kind):
     g = np.random.default_rng(3)
     base = g.normal(size=(30, 4))
     vecs = [(base[k % 30] + g.normal(size=4) * 0.25).astype(np.float32).tolist() for k in range(250)]
-    vecs += [vecs[0], vecs[0], None, [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0], [2.0, 4.0], [2.0, -4.0], [3.0], [5.0], [-5.0], []]
+    vecs += [
+        vecs[0], vecs[0], None, [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0],
+        [2.0, 4.0], [2.0, -4.0], [3.0], [5.0], [-5.0], []
+    ]
     if kind == "double":
         vecs += [[1e200, 1e200, 0.0, 0.0], [1e-200, 1e-200, 0.0, 0.0], [1e200, 0.0, 0.0, 0.0], [5e-324, 5e-324, 0.0, 0.0]]
     ids = list(range(1000, 1000 + len(vecs)))
@@ -537,7 +598,10 @@ def test_near_duplicate_texts(spark):
     for k in range(40):  # a long passage in common and nothing else
         rows.append((len(rows), common + " " + prose(2000 + k, 150)))
     n = len(rows)
-    rows += [(n, rows[0][1].upper() + "!"), (n + 1, None), (n + 2, ""), (n + 3, " ... "), (n + 4, "one two"), (n + 5, "One, two"), (n + 6, ""), (None, "x y z"), (n + 4, "one two")]
+    rows += [
+        (n, rows[0][1].upper() + "!"), (n + 1, None), (n + 2, ""), (n + 3, " ... "), (n + 4, "one two"), (n + 5, "One, two"), (n + 6, ""),
+        (None, "x y z"), (n + 4, "one two")
+    ]
     df = spark.createDataFrame(rows, DOC).withColumn("key", F.lit(0)).withColumn("c", F.lit(0))
     got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(df).collect()}
     assert set(got) == set(range(n + 7))
@@ -634,7 +698,10 @@ def test_samples_agree_as_often_as_texts_are_alike():
 def test_html_keeps_order_and_captions():
     page = '<title>T</title><script>no("<p>")</script><p>one <b>two</b></p><figure><img src="sha256:ab" alt="old"><figcaption>new &amp; true</figcaption></figure>tail<img src="http://x"><img>'
     got = [(x["pos"], x["kind"], x["text"], x["digest"], x["caption"]) for x in media.sequence(page)]
-    assert got == [(0, "text", "T", None, None), (1, "text", "one two", None, None), (2, "media", None, "ab", "new & true"), (3, "text", "tail", None, None), (4, "media", None, None, None), (5, "media", None, None, None)]
+    assert got == [
+        (0, "text", "T", None, None), (1, "text", "one two", None, None), (2, "media", None, "ab", "new & true"),
+        (3, "text", "tail", None, None), (4, "media", None, None, None), (5, "media", None, None, None)
+    ]
 
 
 @pytest.mark.parametrize("text", ["", "a", "é" * 288, "é" * 289, "x" * 5000])
@@ -648,9 +715,13 @@ def test_resolve_keeps_places(spark):
     store = cut(media.media_of_texts(docs), "media")
     d = {r.id: r.digest for r in store.collect()}
     assert d[1] == d[3]
-    pages = spark.createDataFrame([(1, f'<p>x</p><img src="sha256:{d[1]}"><img src="sha256:gone" alt="c"><p>y</p>'), (2, None)], "page_id long, html string").withColumn("text", F.lit("clash"))
+    pages = spark.createDataFrame(
+        [(1, f'<p>x</p><img src="sha256:{d[1]}"><img src="sha256:gone" alt="c"><p>y</p>'), (2, None)], "page_id long, html string"
+    ).withColumn("text", F.lit("clash"))
     got = media.resolve(media.interleaved(pages), media.features(store)).orderBy("page_id", "pos").collect()
-    assert [(r.pos, r.kind, r.caption, r.payload_bytes) for r in got] == [(0, "text", None, None), (1, "media", None, 576), (2, "media", "c", None), (3, "text", None, None)]
+    assert [(r.pos, r.kind, r.caption, r.payload_bytes) for r in got] == [
+        (0, "text", None, None), (1, "media", None, 576), (2, "media", "c", None), (3, "text", None, None)
+    ]
     assert media.interleaved(pages.limit(0)).count() == 0
 
 
@@ -665,7 +736,9 @@ def test_media_query_reads_back(spark, sf):
 
 def test_media_query_against_plain_code(spark, tmp_path):
     texts = ["", None, "a", "é" * 288, "é" * 289, "x" * 700_000, "a", "𝄞\x00\xff"]
-    df = spark.createDataFrame([*[(i, t) for i, t in enumerate(texts)], (None, "no id")], DOC).withColumn("media", F.lit("clash")).withColumn("feature", F.lit("clash"))
+    df = spark.createDataFrame(
+        [*[(i, t) for i, t in enumerate(texts)], (None, "no id")], DOC
+    ).withColumn("media", F.lit("clash")).withColumn("feature", F.lit("clash"))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in registry.op10_media_sequences(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) + 1
@@ -684,7 +757,10 @@ def test_media_query_against_plain_code(spark, tmp_path):
 @pytest.mark.parametrize("name", ["op1_nnpu_toxicity", "op2_ppm_language", "op4_pfair_mixing", "op5_sentence_rules", "op7_token_counts", "op8_byte_bpe"])
 def test_document_queries_on_odd_rows(spark, tmp_path, name):
     """Nulls in every column, empty and long texts, repeated rows; then an empty table."""
-    rows = [(1, "the cat sat", "en", "a"), (1, "the cat sat", "en", "a"), (2, None, None, None), (3, "", "en", None), (None, None, None, "a"), (None, "der hund", "de", "b"), (4, "x" * 300_000, "de", "b"), (5, "word " * 60_000, "en", "b"), (6, "12 !!", None, "a")]
+    rows = [
+        (1, "the cat sat", "en", "a"), (1, "the cat sat", "en", "a"), (2, None, None, None), (3, "", "en", None), (None, None, None, "a"),
+        (None, "der hund", "de", "b"), (4, "x" * 300_000, "de", "b"), (5, "word " * 60_000, "en", "b"), (6, "12 !!", None, "a")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
     for at, part in (("some", df), ("none", df.limit(0))):

@@ -71,7 +71,10 @@ def test_ids_are_the_encoder_s(staged):
 
 
 def test_stages_on_odd_rows(spark, sf):
-    rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (3, "a b c d e f", "en", "a", 11), (3, "a b c d e f", "en", "a", 11), (4, "A b c d e, f", "de", "b", 12), (None, "no id here", "en", "b", 10)]
+    rows = [
+        (1, None, None, None, 0), (2, "", "en", "a", 0), (3, "a b c d e f", "en", "a", 11), (3, "a b c d e f", "en", "a", 11),
+        (4, "A b c d e, f", "de", "b", 12), (None, "no id here", "en", "b", 10)
+    ]
     df = spark.createDataFrame(rows, COLS).withColumn("score", F.lit(1)).withColumn("found", F.lit(2)).withColumn("kept", F.lit(3))
     for _, f in cp.STAGES[:4]:
         got = f(spark, df, sf)
@@ -87,7 +90,9 @@ def test_run(spark, sf, staged):
 
 
 def test_mixing_keeps_every_row_in_mix_order(spark, sf):
-    rows = [(i, f"text {i}", "en", "big" if i < 300 else "mid" if i < 340 else None, 6) for i in range(341)] + [(None, "x", "en", "big", 1), (None, "y", None, "mid", 1)]
+    rows = [(
+        i, f"text {i}", "en", "big" if i < 300 else "mid" if i < 340 else None, 6
+    ) for i in range(341)] + [(None, "x", "en", "big", 1), (None, "y", None, "mid", 1)]
     df = spark.createDataFrame(rows, COLS)
     got = [r.asDict() for r in cp.mix_sources(spark, df, sf).collect()]
     key = lambda r: str(sorted(r.items()))
