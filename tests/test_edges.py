@@ -187,7 +187,10 @@ def test_exits_equal_the_loop(spark):
 
 def test_option_floor_and_recovery(spark):
     cums = [-0.2, -0.5, -0.1, 0.1]
-    df = spark.createDataFrame([("A", DAY, 10, "l", t, x, 4) for t, x in enumerate(cums, 1)], "symbol string, date date, holding_days int, direction string, t int, cum double, last int")
+    df = spark.createDataFrame(
+        [("A", DAY, 10, "l", t, x, 4) for t, x in enumerate(cums, 1)],
+        "symbol string, date date, holding_days int, direction string, t int, cum double, last int"
+    )
     got = [r.opt for r in tr.option_path(df, "D60", F.lit(20)).orderBy("t").collect()]
     delta, lev, value, cost = tr.STRIKES["D60"]
     s, prev, want = -cost / 2, 0.0, []
@@ -237,7 +240,10 @@ def test_sector_cap_equals_greedy(spark):
 
 
 def test_requests(spark):
-    rows = [("A", "2000-01-01", "0", "l", None), ("A", "2000-01-01", "x", "l", None), ("A", None, "5", "l", None), ("A", "2000-01-01", "5", "l", "9_9"), ("A", "2000-01-01", "45", "l", "10_30"), ("A", "2000-01-01", "45", "l", None)]
+    rows = [
+        ("A", "2000-01-01", "0", "l", None), ("A", "2000-01-01", "x", "l", None), ("A", None, "5", "l", None),
+        ("A", "2000-01-01", "5", "l", "9_9"), ("A", "2000-01-01", "45", "l", "10_30"), ("A", "2000-01-01", "45", "l", None)
+    ]
     df = spark.createDataFrame(rows, "symbol string, date string, days_out string, direction string, tier string")
     got = [(r.error, r.tier, r.mismatch) for r in sl.validated(df, ["10_30", "31_60", "61_90"]).collect()]
     assert [g[0] for g in got] == ["daysOut must be positive", "daysOut must be an integer", "Missing required fields", "Unknown tier", None, None]
@@ -253,7 +259,9 @@ def test_prior_statistics_do_not_leak(spark):
 
 
 def test_market_order(spark):
-    df = spark.createDataFrame([("A", DAY, "COMM", 1.0), ("A", DAY, "ETF", 2.0), ("A", DAY, "MOON", 3.0)], "symbol string, date date, market string, close double")
+    df = spark.createDataFrame(
+        [("A", DAY, "COMM", 1.0), ("A", DAY, "ETF", 2.0), ("A", DAY, "MOON", 3.0)], "symbol string, date date, market string, close double"
+    )
     assert [r.market for r in fl.first_market(df).collect()] == ["ETF"]
 
 
@@ -283,7 +291,10 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
     features = spark.createDataFrame([("A", 1.0)], "symbol string, predicted double")
     bins = spark.createDataFrame([(0, 0.0, 2.0, 0.5, 0.5)], "bin int, pred_min double, pred_max double, win_prob double, p_hit_pred double")
     for checkpoint in ("one", "two"):  # a new checkpoint: batch 0 runs once more
-        jobs.scored_stream(spark.readStream.schema(req.schema).parquet(str(tmp_path / "in")), features, bins, ["10_30"], str(tmp_path / "out"), str(tmp_path / checkpoint))
+        jobs.scored_stream(
+            spark.readStream.schema(req.schema).parquet(str(tmp_path / "in")), features, bins, ["10_30"], str(tmp_path / "out"),
+            str(tmp_path / checkpoint)
+        )
     got = {r.event_id: r.error for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and got["1"] is None and got["2"] == "no features" and got["3"] is not None
 
@@ -297,7 +308,10 @@ def test_infinite_predictions_are_errors(spark):
 
 def test_loss_breaker_counts_trading_days(spark):
     days = spark.createDataFrame([(DAY + timedelta(k), k) for k in range(30)], "date date, idx long")
-    trades = spark.createDataFrame([("s", DAY, DAY + timedelta(x), r) for x, r in ((2, -0.1), (3, -0.1), (3, 0.1), (4, -0.2))] + [("s", DAY + timedelta(k), DAY + timedelta(29), 0.1) for k in (3, 4, 7, 8, 20)] + [("t", DAY + timedelta(4), DAY + timedelta(29), 0.1)], "strategy_id string, entry_date date, exit_date date, exit_return double")
+    trades = spark.createDataFrame(
+        [("s", DAY, DAY + timedelta(x), r) for x, r in ((2, -0.1), (3, -0.1), (3, 0.1), (4, -0.2))] + [("s", DAY + timedelta(k), DAY + timedelta(29), 0.1) for k in (3, 4, 7, 8, 20)] + [("t", DAY + timedelta(4), DAY + timedelta(29), 0.1)],
+        "strategy_id string, entry_date date, exit_date date, exit_return double"
+    )
     got = {(r.strategy_id, (r.entry_date - DAY).days): (r.day_losses, r.blocked) for r in sl.loss_breaker(trades, days).where("exit_return = 0.1 and exit_date = date'2000-02-01'").collect()}
     assert got == {("s", 3): (2, False), ("s", 4): (3, True), ("s", 7): (3, True), ("s", 8): (2, False), ("s", 20): (0, False), ("t", 4): (0, False)}
 
@@ -310,7 +324,9 @@ def test_losses_over_month_ends(spark):
         for k in range(120):
             day += timedelta(rnd.choice((0, 0, 1, 2, 9, 40)))
             rows.append((s, f"S{k}", day, day, "l", 10, -0.1 if rnd.random() < share else 0.1))
-    df = spark.createDataFrame(rows, "strategy_id string, symbol string, entry_date date, exit_date date, direction string, holding_days int, exit_return double")
+    df = spark.createDataFrame(
+        rows, "strategy_id string, symbol string, entry_date date, exit_date date, direction string, holding_days int, exit_return double"
+    )
     streaks = {r.strategy_id: (r.longest, r.n_long) for r in mt.losing_streaks(df, ["strategy_id"], ["entry_date", "symbol"]).collect()}
     flags = {(r.strategy_id, r.symbol): r.losses for r in sl.recent_losses(df).collect()}
     for s in "abcd":
@@ -324,7 +340,10 @@ def test_losses_over_month_ends(spark):
 def test_one_pass_of_rules_equals_each_alone(spark):
     rnd = random.Random(6)
     rows = [(f"S{k}", DAY, 10, "l", t, rnd.uniform(-0.2, 0.2), 8, 0.05, rnd.uniform(-1, 1), rnd.randrange(1, 9)) for k in range(40) for t in range(1, 9)]
-    df = spark.createDataFrame(rows, "symbol string, date date, holding_days int, direction string, t int, cum double, last int, p double, opt double, dte_left int")
+    df = spark.createDataFrame(
+        rows,
+        "symbol string, date date, holding_days int, direction string, t int, cum double, last int, p double, opt double, dte_left int"
+    )
     rules = ["ES", "EC", "EM", "ET", "EA20"]
     both = {(r.symbol, r.rule): (r.exit_t, r.exit_return, r.reason) for r in tr.exit_options(df, rules, F.col("p"), F.lit(0.03)).collect()}
     for rule in rules:
