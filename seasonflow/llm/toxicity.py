@@ -26,7 +26,7 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 LEAST_WEIGHT = 1.5
 LEAST_TEXTS = 3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def features_of(word: str) -> list[str]:
