@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, token_counts, toxicity, vectors
+from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, token_counts, toxicity, vectors, whitening
 from seasonflow.llm.common import cut, is_held_out, read
 
 
@@ -98,9 +98,19 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
 
 
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = whitening.whiten(vecs, whitening.fit(vecs), out="white").select("vec_id", "white.*")
+    by_component = rows.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return by_component.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error", "deviation_exact"
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts,
-    op8_byte_bpe, op9_weighted_minhash, op10_media_sequences
+    op8_byte_bpe, op9_weighted_minhash, op10_media_sequences, op13_jacobi_whitening
 )}
 ORACLES: dict[str, str] = {
     "op3_reply_trees": oracles.REPLY_TREES, "op4_pfair_mixing": oracles.PFAIR,
