@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, token_counts, toxicity, vectors, whitening
+from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, runs, token_counts, toxicity, vectors, whitening
 from seasonflow.llm.common import cut, is_held_out, read
 
 
@@ -98,6 +98,29 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text, by a hash of its id, repeats its words from a drawn place on with a drawn period."""
+    spans = r"([^\x20\x09-\x0D]+)"
+    whole = F.coalesce(F.regexp_extract_all("text", F.lit(spans), F.lit(1)), F.array().cast("array<string>"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", whole.alias("words"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    sized = docs.select("*", F.size("words").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+    drawn = sized.select("*", F.expr("if(h % 10 = 0 and n > 0, g % n, null)").alias("a")).select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    root = F.expr("slice(words, int(a) + 1, int(p))")
+    tail = F.slice(F.flatten(F.array_repeat(root, F.expr("int((n - a + p - 1) div p)"))), F.lit(1), F.expr("int(n - a)"))
+    planted = F.when(F.col("a").isNull(), F.col("words")).otherwise(F.concat(F.expr("slice(words, 1, int(a))"), tail))
+    found = runs.periodic_runs(drawn.select("doc_id", F.array_join(planted, " ").alias("text"))).select("doc_id", "periodic.runs", "periodic.collapsed")
+    best = F.expr(
+        "aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), "
+        "(b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))"
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "runs"
+    )
+
+
 def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = whitening.whiten(vecs, whitening.fit(vecs), out="white").select("vec_id", "white.*")
@@ -110,7 +133,8 @@ def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts,
-    op8_byte_bpe, op9_weighted_minhash, op10_media_sequences, op13_jacobi_whitening
+    op8_byte_bpe, op9_weighted_minhash, op10_media_sequences, op11_periodic_runs,
+    op13_jacobi_whitening
 )}
 ORACLES: dict[str, str] = {
     "op3_reply_trees": oracles.REPLY_TREES, "op4_pfair_mixing": oracles.PFAIR,
