@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, runs, token_counts, toxicity, vectors, whitening
+from seasonflow.llm import byte_bpe, chat, language, licences, media, minhash, mixing, oracles, page_kit, pages, runs, token_counts, toxicity, vectors, whitening
 from seasonflow.llm.common import cut, is_held_out, read
 
 
@@ -93,8 +93,8 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<article><p>"), name, F.lit(f'</p><figure><img src="{media.REF}'), F.col("digest"), F.lit('"><figcaption>'), name,
         F.lit("</figcaption></figure></article>")
     )
-    pages = media.interleaved(stored.select(F.col("id").alias("doc_id"), "n_bytes", page.alias("html")))
-    shown = media.resolve(pages.select("doc_id", "n_bytes", "items"), cut(media.features(stored), "features")).where("kind = 'media'")
+    shown_in = media.interleaved(stored.select(F.col("id").alias("doc_id"), "n_bytes", page.alias("html")))
+    shown = media.resolve(shown_in.select("doc_id", "n_bytes", "items"), cut(media.features(stored), "features")).where("kind = 'media'")
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
 
 
@@ -121,6 +121,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_crf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field is trained on 600 drawn pages whose main text is known: the table has no labels."""
+    model = pages.train(page_kit.labelled_pages(600))
+    return pages.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), model).select(
+        "page_id", "url", "main.text", F.char_length("main.text").cast("long").alias("n_chars"), "main.n_blocks", "main.n_kept"
+    )
+
+
 def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = whitening.whiten(vecs, whitening.fit(vecs), out="white").select("vec_id", "white.*")
@@ -134,7 +142,7 @@ def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_nnpu_toxicity, op2_ppm_language, op3_reply_trees, op4_pfair_mixing, op5_sentence_rules, op6_spherical_kmeans, op7_token_counts,
     op8_byte_bpe, op9_weighted_minhash, op10_media_sequences, op11_periodic_runs,
-    op13_jacobi_whitening
+    op12_crf_pages, op13_jacobi_whitening
 )}
 ORACLES: dict[str, str] = {
     "op3_reply_trees": oracles.REPLY_TREES, "op4_pfair_mixing": oracles.PFAIR,
