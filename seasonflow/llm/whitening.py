@@ -296,5 +296,7 @@ def whiten(vectors: DataFrame, model: dict[int, Model], vec_col: str = "embeddin
         return pa.array(rows, schema)
 
     own = fresh(vectors, out)
-    done = vectors.withColumn(own, added(F.col(vec_col).cast("array<double>"))).where(F.col(own).isNotNull())
+    # not deterministic: else the filter would compute it a second time
+    once = added.asNondeterministic()
+    done = vectors.withColumn(own, once(F.col(vec_col).cast("array<double>"))).where(F.col(own).isNotNull())
     return done if own == out else done.drop(*[c for c in vectors.columns if c.lower() == out.lower()]).withColumnRenamed(own, out)
