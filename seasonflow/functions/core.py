@@ -94,6 +94,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: it is computed once, and what follows starts from files that survive lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     """df itself, or an error that names the columns it lacks."""
     if missing := [c for c in needed if c not in df.columns]:

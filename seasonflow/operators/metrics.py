@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import ratio
+from seasonflow.functions.core import ratio, written
+from seasonflow.operators.prefix import prefix_scan
 
 
 def share(c: Column) -> Column:
@@ -39,8 +40,12 @@ def ranked_counts(df: DataFrame, c: str, by: list[str], parts: int = 64, rows: s
 
 def quantiles(df: DataFrame, c: str, probs: list[float], by: list[str] = (), rows: str | None = None) -> DataFrame:
     """(by, p, value): exact quantiles with linear interpolation, from ranked counts; rows as there."""
+    return picked(ranked_counts(df, c, list(by), rows=rows), c, probs, by)
+
+
+def picked(r: DataFrame, c: str, probs: list[float], by: list[str] = ()) -> DataFrame:
+    """(by, p, value): quantiles with linear interpolation from distinct values with n, before and total as ranked_counts gives them."""
     by = list(by)
-    r = ranked_counts(df, c, by, rows=rows)
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), ((F.col("total") - 1) * F.lit(float(p))).alias("at")) for p in probs])
     last = F.col("before") + F.col("n") - 1
     near = F.filter(wanted, lambda x: (F.floor(x["at"]) <= last) & (F.floor(x["at"]) + 1 >= F.col("before")))
@@ -65,18 +70,33 @@ def with_bin(df: DataFrame, c: str, n: int, out: str = "bin") -> DataFrame:
 
     The edges are one row of at most n + 1 numbers.
     """
-    edges = F.broadcast(quantile_edges(df, c, n))
-    below = F.size(F.filter("edges", lambda e: e < F.col(c)))
-    return df.crossJoin(edges).withColumn(out, F.greatest(below - 1, F.lit(0))).drop("edges")
+    return df.crossJoin(F.broadcast(quantile_edges(df, c, n))).withColumn(out, bin_of(F.col(c))).drop("edges")
+
+
+def bin_of(c: Column) -> Column:
+    """The bin of a value among sorted edges in the column edges."""
+    return F.greatest(F.size(F.filter("edges", lambda e: e < c)) - 1, F.lit(0))
 
 
 def calibration(df: DataFrame, c: str = "predicted", outcome: str = "actual_return", n: int = 20) -> DataFrame:
-    b = with_bin(df, c, n)
-    return b.groupBy("bin").agg(
-        F.min(c).alias("pred_min"), F.max(c).alias("pred_max"), F.avg(c).alias("pred_mean"), F.count(F.lit(1)).alias("n_samples"),
-        share(F.col("actual_return") > 0).alias("win_prob"), share(F.col(outcome) >= F.col(c)).alias("p_hit_pred"),
-        F.avg(outcome).alias("avg_outcome")
+    """One row for each of n equal-frequency bins of c: its range and mean, rows, share of wins and of outcomes that reach c, mean outcome.
+
+    df is read once, into sums by distinct value; edges and bins come from these, and the bins are written, as they are
+    n rows that several joins may read. Rows without a c don't count.
+    """
+    values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("actual_return") > 0).alias("_wins"), F.count_if(F.col(outcome) >= F.col(c)).alias("_hits"),
+        F.sum(outcome).alias("_sum"), F.count(outcome).alias("_known")
+    )
+    scan = prefix_scan(values, ["_v"], ["n"]).withColumnsRenamed({"before_n": "before", "all_n": "total"})
+    edges = picked(scan, "_v", [i / n for i in range(n + 1)]).agg(F.array_sort(F.collect_set("value")).alias("edges"))
+    binned = scan.crossJoin(F.broadcast(edges))  # one row
+    out = binned.groupBy(bin_of(F.col("_v")).alias("bin")).agg(
+        F.min("_v").alias("pred_min"), F.max("_v").alias("pred_max"), (F.sum(F.col("_v") * F.col("n")) / F.sum("n")).alias("pred_mean"),
+        F.sum("n").alias("n_samples"), (F.sum("_wins") / F.sum("n")).alias("win_prob"), (F.sum("_hits") / F.sum("n")).alias("p_hit_pred"),
+        ratio(F.sum("_sum"), F.sum("_known")).alias("avg_outcome")
     )
+    return written(out, "bins")
 
 
 def calibrated(df: DataFrame, bins: DataFrame, c: str) -> DataFrame:
@@ -181,29 +201,40 @@ def binary(df: DataFrame, predicted: str, hit: Column, by: list[str]) -> DataFra
 def lift(df: DataFrame, score: str, positive: Column, key: list[str], floors: tuple[int, ...] = (50, 60, 70, 80, 85, 90), least: int = 10) -> DataFrame:
     """(filter, n, win_rate, avg_return, median_return, avg_mfe, median_mfe, sharpe, max_drawdown, pct_of_trades) of all rows, of those above each percentile of the score, and of the positive ones.
 
-    Rows aren't multiplied: each has one flag for each filter, sums are conditional, and medians come from counts of
-    values by the set of filters that they pass. max_drawdown is that of the returns compounded in the order of key,
-    whose first column is a date.
+    df is read once and what is needed of it written. Percentiles of the score are turned into cuts of the score, one
+    number for each floor, by a prefix scan over the distinct scores; so a row's filters are comparisons with constants.
+    Sums are conditional. Medians of all filters come from one prefix scan over the distinct values, which carries each
+    filter's count. max_drawdown is that of the returns compounded in the order of key, whose first column is a date.
+    Rows without a score count in pct_of_trades' whole only.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_all"))
-    r = global_rank(df, score).crossJoin(F.broadcast(n)).withColumn("_pct", F.col("rank") / F.col("_all") * 100)  # one row
-    flags = {"all": F.lit(True), **{str(f): F.col("_pct") >= f for f in floors}, "positive": F.coalesce(positive, F.lit(False))}
-    r = r.withColumn("_in", F.array(*[F.when(flag, F.lit(k)) for k, flag in flags.items()])).withColumn("_in", F.filter("_in", lambda x: x.isNotNull()))
-    stats = lambda k, c: F.when(F.array_contains("_in", k), F.col(c))
+    kept = df.select(*key, F.col(score).alias("_score"), F.coalesce(positive, F.lit(False)).alias("_positive"), "actual_return", "actual_mfe")
+    base = written(kept, "lifted")
+    n_all = base.count()
+    scores = prefix_scan(base.where("_score is not null").groupBy("_score").agg(F.count(F.lit(1)).alias("n")), ["_score"], ["n"])
+    pct = (F.col("before_n") + (F.col("n") + 1) / 2) / n_all * 100
+    cuts = scores.agg(*[F.min(F.when(pct >= f, F.col("_score"))).alias(str(f)) for f in floors]).first()
+    flags = {"all": F.lit(True), **{str(f): F.col("_score") >= F.lit(cuts[str(f)]) for f in floors}, "positive": F.col("_positive")}
+    r = base.where("_score is not null")
     rows = []
-    for k in flags:
-        x, m = stats(k, "actual_return"), stats(k, "actual_mfe")
+    for k, flag in flags.items():
+        x, m = F.when(flag, F.col("actual_return")), F.when(flag, F.col("actual_mfe"))
         sharpe = F.coalesce(ratio(F.avg(x), F.stddev_samp(x)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
         rows.append(F.struct(
             F.lit(k).alias("filter"), F.count(x).alias("n"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"),
-            F.avg(x).alias("avg_return"), F.avg(m).alias("avg_mfe"), sharpe.alias("sharpe"), F.max("_all").alias("_all")
+            F.avg(x).alias("avg_return"), F.avg(m).alias("avg_mfe"), sharpe.alias("sharpe")
         ))
-    g = r.agg(F.array(*rows).alias("x")).select(F.inline("x"))
-    for c in ("actual_return", "actual_mfe"):
-        counted = r.groupBy("_in", c).agg(F.count(F.lit(1)).alias("_n")).select(F.explode("_in").alias("filter"), c, "_n")
-        g = g.join(pivoted(quantiles(counted, c, [0.5], ["filter"], rows="_n"), {0.5: f"median_{c.removeprefix('actual_')}"}, ["filter"]), "filter")
-    g = g.join(worst_drawdown(r, "actual_return", {k: F.array_contains("_in", k) for k in flags}, key), "filter")
-    return g.where(F.col("n") >= least).withColumn("pct_of_trades", F.col("n") / F.col("_all") * 100).drop("_all")
+    g = r.agg(F.array(*rows).alias("x")).select(F.inline("x")).where(F.col("n") >= least)
+    both = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"actual_{c}").alias("_v")) for c in ("return", "mfe")])
+    in_each = [F.coalesce(flag, F.lit(False)).cast("long").alias(f"_n{i}") for i, flag in enumerate(flags.values())]
+    values = r.select(F.inline(both), *in_each).where("_v is not null").groupBy("_c", "_v").agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(flags))])
+    scan = prefix_scan(values, ["_v"], [f"_n{i}" for i in range(len(flags))], ["_c"])
+    each = F.array(*[F.struct(
+        F.lit(k).alias("filter"), F.col(f"_n{i}").alias("n"), F.col(f"before__n{i}").alias("before"), F.col(f"all__n{i}").alias("total")
+    ) for i, k in enumerate(flags)])
+    medians = picked(scan.select("_c", "_v", F.inline(F.filter(each, lambda e: e["n"] > 0))), "_v", [0.5], ["_c", "filter"])
+    medians = medians.groupBy("filter").agg(*[F.max(F.when(F.col("_c") == c, F.col("value"))).alias(f"median_{c}") for c in ("return", "mfe")])
+    out = g.join(medians, "filter", "left").join(worst_drawdown(r, "actual_return", flags, key), "filter", "left")
+    return out.withColumn("pct_of_trades", F.col("n") / F.lit(n_all) * 100)
 
 
 def worst_drawdown(df: DataFrame, ret: str, flags: dict[str, Column], key: list[str]) -> DataFrame:
