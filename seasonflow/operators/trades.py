@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonflow.functions.core import written
+
 TRADE = ["symbol", "date", "holding_days", "direction"]
 #: delta, leverage, time value, spread cost by strike; premium over the stock's price by strike (fixed values).
 STRIKES = {"D30": (0.30, 12, 0.85, 0.025), "D40": (0.40, 11, 0.70, 0.015), "D50": (0.50, 11, 0.55, 0.015), "D60": (0.60, 11, 0.40, 0.015)}
@@ -23,22 +25,29 @@ CREDIT = {
 }
 
 
+def month_number(d: Column | str) -> Column:
+    return F.year(d) * 12 + F.month(d)
+
+
 def with_exit_date(df: DataFrame) -> DataFrame:
     return df.withColumn("exit_date", F.expr("date_add(date, holding_days)"))
 
 
+def with_event_inside(df: DataFrame, events: DataFrame) -> DataFrame:
+    """Distinct TRADE keys of rows that have an event of their symbol from entry to exit, both included; the join is by (symbol, month)."""
+    t = with_exit_date(df.select(*TRADE)).withColumn("_m", F.explode(F.sequence(month_number("date"), month_number("exit_date"))))
+    e = events.select("symbol", month_number("date").alias("_m"), F.col("date").alias("_e"))
+    return t.join(e, ["symbol", "_m"]).where(F.col("_e").between(F.col("date"), F.col("exit_date"))).select(*TRADE).distinct()
+
+
 def without_events(df: DataFrame, events: DataFrame) -> DataFrame:
     """Rows without an event of their symbol from entry to exit, both included."""
-    e = events.select(F.col("symbol").alias("_s"), F.col("date").alias("_e"))
-    return with_exit_date(df).join(e, (F.col("symbol") == F.col("_s")) & F.col("_e").between(F.col("date"), F.col("exit_date")), "left_anti")
+    return with_exit_date(df).join(with_event_inside(df, events), TRADE, "left_anti")
 
 
 def with_event_flag(df: DataFrame, events: DataFrame) -> DataFrame:
-    """df with has_event; each row's key appears once in df."""
-    e = events.select(F.col("symbol").alias("_s"), F.col("date").alias("_e"))
-    hit = with_exit_date(df).join(
-        e, (F.col("symbol") == F.col("_s")) & F.col("_e").between(F.col("date"), F.col("exit_date")), "left_semi"
-    ).select(*TRADE, F.lit(True).alias("_h"))
+    """df with has_event."""
+    hit = with_event_inside(df, events).withColumn("_h", F.lit(True))
     return df.join(hit, TRADE, "left").withColumn("has_event", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
@@ -47,26 +56,68 @@ def interval_path(df: DataFrame, bars: DataFrame) -> DataFrame:
 
     Bars are spread over the months that a trade spans, so that the join's key is (symbol, month), not the symbol alone.
     """
-    month = lambda d: F.year(d) * 12 + F.month(d)
-    t = with_exit_date(df).withColumn("_m", F.explode(F.sequence(month("date"), month("exit_date"))))
-    b = bars.select(F.col("symbol").alias("_s"), F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), month("date").alias("_bm"))
+    t = with_exit_date(df).withColumn("_m", F.explode(F.sequence(month_number("date"), month_number("exit_date"))))
+    b = bars.select(F.col("symbol").alias("_s"), F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), month_number("date").alias("_bm"))
     return t.join(
         b,
         (F.col("symbol") == F.col("_s")) & (F.col("_m") == F.col("_bm")) & (F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("exit_date"))
     ).drop("_s", "_m", "_bm")
 
 
+def calendar(bars: DataFrame) -> DataFrame:
+    """(date, idx, next_date) of every day on which any symbol has a bar: a calendar, so its numbering is one small task."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    return bars.select("date").distinct().select("date", (F.row_number().over(w) - 1).alias("idx"), F.lead("date").over(w).alias("next_date"))
+
+
+def filled_bars(bars: DataFrame, needed: DataFrame, days: DataFrame) -> DataFrame:
+    """(symbol, _m, bar_date, idx, close, last_close) for every trading day of the needed (symbol, _m), whether it has a bar or not.
+
+    close is null on a day without a bar, last_close goes on from the last day that has one. It is carried within the
+    month by a window, over months' ends by a table of a row for each month of a symbol; so no task sees more of a symbol
+    than its months. The calendar, broadcast by month, has a row for each trading day.
+    """
+    by_month = days.groupBy(month_number("date").alias("_m")).agg(F.collect_list(F.struct(F.col("date").alias("bar_date"), "idx")).alias("days"))
+    spine = needed.join(F.broadcast(by_month), "_m").select("symbol", "_m", F.inline("days"))
+    own = spine.join(bars.select("symbol", F.col("date").alias("bar_date"), "close"), ["symbol", "bar_date"], "left")
+    ends = bars.groupBy("symbol", month_number("date").alias("_m")).agg(F.max_by("close", "date").alias("end"))
+    months = ends.unionByName(needed.withColumn("end", F.lit(None).cast("double"))).groupBy("symbol", "_m").agg(F.max("end").alias("end"))
+    earlier = Window.partitionBy("symbol").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    before = months.select("symbol", "_m", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    inside = Window.partitionBy("symbol", "_m").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
+    return own.join(before, ["symbol", "_m"], "left").select(
+        "symbol", "_m", "bar_date", "idx", "close", F.coalesce(F.last("close", ignorenulls=True).over(inside), "before").alias("last_close")
+    )
+
+
 def trade_path(df: DataFrame, bars: DataFrame) -> DataFrame:
-    """interval_path with t, trading days since entry, cum, the signed return since the entry close, and last, the deadline's t.
+    """A row for each trading day of each trade, from the day after entry to the last one by the deadline: bar_date, t, cum, held, last.
 
-    Trades without an entry bar or a bar in their interval have no path.
+    Trading days are those on which any symbol has a bar. t counts them from entry; last is the deadline's t, 1 at least:
+    where no trading day comes before the deadline, the next one is the last. cum is the signed return since the entry
+    close, 0 on a day without a bar of the symbol; held goes on from the last bar instead, as options and spreads are
+    valued. Trades without an entry bar, or entered on the last day of all, have no path.
+
+    Trades and trading days meet by (symbol, month), so a symbol's days are dealt over many keys.
     """
+    bars = written(bars.select("symbol", "date", "close"), "closes")
+    days = written(calendar(bars), "calendar")
     at = bars.select("symbol", "date", F.col("close").alias("entry_close"))
-    p = interval_path(df.join(at, ["symbol", "date"]).where("entry_close > 0"), bars)
-    w = Window.partitionBy(*TRADE)
+    begun = with_exit_date(df).join(F.broadcast(days.toDF("date", "_entry", "_next")), "date").join(at, ["symbol", "date"])
+    begun = begun.where("entry_close > 0 and _next is not null").withColumn("_until", F.greatest("exit_date", "_next")).drop("_next")
+    trades = written(begun, "begun")
+    open_ = trades.withColumn("_m", F.explode(F.sequence(month_number("date"), month_number("_until"))))
+    filled = filled_bars(bars, open_.select("symbol", "_m").distinct(), days).toDF("symbol", "_m", "bar_date", "_idx", "bar_close", "_last_close")
+    p = open_.join(filled, ["symbol", "_m"]).where((F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("_until")))
     sign = F.when(F.col("direction") == "l", 1).otherwise(-1)
-    p = p.withColumn("t", F.row_number().over(w.orderBy("bar_date"))).withColumn("cum", sign * (F.col("bar_close") / F.col("entry_close") - 1))
-    return p.withColumn("last", F.count(F.lit(1)).over(w).cast("int"))
+    since = lambda c: F.coalesce(sign * (F.col(c) / F.col("entry_close") - 1), F.lit(0.0))
+    p = p.withColumns({"t": F.col("_idx") - F.col("_entry"), "cum": since("bar_close"), "held": since("_last_close")})
+    return p.withColumn("last", F.count(F.lit(1)).over(Window.partitionBy(*TRADE)).cast("int")).drop("_m", "_entry", "_until", "_idx", "_last_close")
+
+
+def carried(path: DataFrame) -> DataFrame:
+    """path with cum as options and spreads see it: on a day without a bar the last one's."""
+    return path.withColumn("cum", F.col("held"))
 
 
 def upto(column: Column, func=F.max, before: bool = False) -> Column:

@@ -14,14 +14,24 @@ QUERIES, ORACLES = {}, {}
 K = tr.TRADE
 KS = ", ".join(K)
 P = "PARTITION BY symbol, date, holding_days, direction"
+SP = "PARTITION BY s.symbol, s.date, holding_days, direction"
 D60 = tr.STRIKES["D60"]
+
+
+def marked_sql(paths: str) -> str:
+    return f"""SELECT *, predicted + (hwm - predicted) * 0.5 AS stop FROM (SELECT *, greatest(max(cum) OVER ({P} ORDER BY t), 0.0::DOUBLE) AS hwm, max((cum >= predicted)::INT) OVER ({P} ORDER BY t) = 1 AS reached,
+  coalesce(max((cum >= predicted)::INT) OVER ({P} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS reached_before FROM {paths})"""
+
+
 EXTRA = {
-    "paths": """SELECT c.symbol, c.date, c.holding_days, c.direction, c.predicted_return / 100 AS predicted, c.atr_14d_pct AS atr, x.date AS bar_date,
-  row_number() OVER w AS t, CASE WHEN c.direction = 'l' THEN 1 ELSE -1 END * (x.close / b.close - 1) AS cum, count(*) OVER (PARTITION BY c.symbol, c.date, c.holding_days, c.direction) AS last
-  FROM candidates c JOIN bars b ON c.symbol = b.symbol AND c.date = b.date AND b.close > 0 JOIN bars x ON x.symbol = c.symbol AND x.date > c.date AND x.date <= c.date + c.holding_days
-  WINDOW w AS (PARTITION BY c.symbol, c.date, c.holding_days, c.direction ORDER BY x.date)""",
-    "marked": f"""SELECT *, predicted + (hwm - predicted) * 0.5 AS stop FROM (SELECT *, greatest(max(cum) OVER ({P} ORDER BY t), 0.0::DOUBLE) AS hwm, max((cum >= predicted)::INT) OVER ({P} ORDER BY t) = 1 AS reached,
-  coalesce(max((cum >= predicted)::INT) OVER ({P} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS reached_before FROM paths)""",
+    "calendar": "SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM bars)",
+    "spine": """SELECT c.symbol, c.date, c.holding_days, c.direction, c.predicted_return / 100 AS predicted, c.atr_14d_pct AS atr, d.date AS bar_date, d.idx - e.idx AS t, b.close AS entry_close
+  FROM candidates c JOIN bars b ON c.symbol = b.symbol AND c.date = b.date AND b.close > 0 JOIN calendar e ON e.date = c.date
+  JOIN calendar d ON d.date > c.date AND d.date <= greatest(c.date + c.holding_days, (SELECT min(n.date) FROM calendar n WHERE n.idx = e.idx + 1))""",
+    "paths": f"""SELECT s.* EXCLUDE (entry_close), coalesce(sign * (x.close / entry_close - 1), 0) AS cum, count(*) OVER ({SP}) AS last,
+  coalesce(sign * (last_value(x.close IGNORE NULLS) OVER ({SP} ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / entry_close - 1), 0) AS held
+  FROM (SELECT *, CASE WHEN direction = 'l' THEN 1 ELSE -1 END AS sign FROM spine) s LEFT JOIN bars x ON x.symbol = s.symbol AND x.date = bar_date""",
+    "marked": marked_sql("paths"), "held_paths": "SELECT * REPLACE (held AS cum) FROM paths", "held_marked": marked_sql("held_paths"),
 }
 
 
@@ -31,7 +41,7 @@ def option_sql(strike: str, expiry: str) -> str:
     times, plus, _ = tr.EXPIRIES[expiry]
     return f"""SELECT *, s + greatest(0, -1 - min(s) OVER ({P} ORDER BY t)) AS opt FROM (SELECT *, sum(d) OVER ({P} ORDER BY t) AS s FROM (
   SELECT *, (cum - coalesce(lag(cum) OVER ({P} ORDER BY t), 0)) * {delta * leverage!r}::DOUBLE - (sqrt(dte_left / dte) - sqrt((dte_left - 1) / dte)) * {value}::DOUBLE + CASE WHEN t = 1 THEN {-cost / 2!r}::DOUBLE ELSE 0 END AS d
-  FROM (SELECT *, greatest(dte - (t - 1), 1) AS dte_left FROM (SELECT *, (holding_days * {times} + {plus})::DOUBLE AS dte FROM marked))))"""
+  FROM (SELECT *, greatest(dte - (t - 1), 1) AS dte_left FROM (SELECT *, (holding_days * {times} + {plus})::DOUBLE AS dte FROM held_marked))))"""
 
 
 EXTRA |= {"options": option_sql("D60", "X2"), "near_options": option_sql("D40", "XN")}
@@ -74,9 +84,9 @@ def interval_price_path(spark, sf_dir):
     return p.groupBy(*K).agg(F.count(F.lit(1)).alias("n_bars"), F.min("bar_close").alias("low"), F.max("bar_close").alias("high"))
 
 
-@query(f"SELECT {KS}, bar_date, t::INT AS t, {sq('cum')} AS cum, last::INT AS last FROM paths")
+@query(f"SELECT {KS}, bar_date, t::INT AS t, {sq('cum')} AS cum, {sq('held')} AS held, last::INT AS last FROM paths")
 def trade_path(spark, sf_dir):
-    return path(spark, sf_dir).select(*K, "bar_date", "t", q("cum").alias("cum"), "last")
+    return path(spark, sf_dir).select(*K, "bar_date", "t", q("cum").alias("cum"), q("held").alias("held"), "last")
 
 
 def predicted():
@@ -111,13 +121,13 @@ def exit_atr_trail(spark, sf_dir):
     return shown(tr.exit_atr_trail(path(spark, sf_dir), F.col("atr_14d_pct"), 2.0))
 
 
-def option(spark, sf_dir, strike: str = "D60", expiry: str = "X2"):
-    return tr.option_path(path(spark, sf_dir), strike, tr.expiry_days(expiry, F.col("holding_days")))
+def option(trade_path, strike: str = "D60", expiry: str = "X2"):
+    return tr.option_path(tr.carried(trade_path), strike, tr.expiry_days(expiry, F.col("holding_days")))
 
 
 @query(f"SELECT {KS}, t::INT AS t, {sq('opt')} AS opt, {sq(f'greatest(opt - {D60[3] / 2!r}, -1)')} AS closed, {sq(tr.premium('D60', 'X2'))} AS premium FROM options")
 def pnl_option_path(spark, sf_dir):
-    return option(spark, sf_dir).select(
+    return option(path(spark, sf_dir)).select(
         *K, "t", q("opt").alias("opt"), q(tr.option_result(F.col("opt"), "D60")).alias("closed"),
         q(F.lit(tr.premium("D60", "X2"))).alias("premium")
     )
@@ -138,16 +148,16 @@ OPTIONS = {("D60", "X2"): ("options", ["ES", "EC", "ET", "EA20"]), ("D40", "XN")
 
 @query(" UNION ALL ".join(f"SELECT '{s}' AS strike, '{e}' AS expiry, '{rule}' AS rule, * FROM ({exits(view, OPTION_RULES[rule])})" for (s, e), (view, rules) in OPTIONS.items() for rule in rules))
 def exit_option_rules(spark, sf_dir):
-    """Each option's path is made once and resolved by all its rules in one pass."""
-    out = None
+    """Each option's path is made once, from one path of the trades, and resolved by all its rules in one pass."""
+    out, stocks = None, path(spark, sf_dir)
     for (strike, expiry), (_, rules) in OPTIONS.items():
-        one = tr.exit_options(option(spark, sf_dir, strike, expiry), rules, predicted(), F.col("atr_14d_pct"))
+        one = tr.exit_options(option(stocks, strike, expiry), rules, predicted(), F.col("atr_14d_pct"))
         one = one.select(F.lit(strike).alias("strike"), F.lit(expiry).alias("expiry"), "rule", *K, "exit_t", q("exit_return").alias("exit_return"), "reason")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM ({exits('marked', rules)})" for rule, rules in {
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM ({exits('held_marked', rules)})" for rule, rules in {
     "EH": [("max_profit", "cum >= 0.05 AND t < last", "cum")],
     "EP": [("profit_target", f"cum >= {0.05 * 0.9!r}::DOUBLE AND t < last", "cum")],
     "EA20": [("atr_trail", "cum <= hwm - 2.0::DOUBLE * atr AND t >= 2 AND t < last", "cum"), ("max_profit", "cum >= 0.05 AND t < last", "cum")],
@@ -155,7 +165,7 @@ def exit_option_rules(spark, sf_dir):
 }.items()))
 def exit_spread_rules(spark, sf_dir):
     sets = {rule: tr.spread_rules("CREDIT" if rule == "CREDIT" else "DEBIT", 0.05, rule, F.col("atr_14d_pct")) for rule in ("EH", "EP", "EA20", "CREDIT")}
-    return tr.exit_spreads(path(spark, sf_dir), sets).select("rule", *K, "exit_t", q("exit_return").alias("exit_return"), "reason")
+    return tr.exit_spreads(tr.carried(path(spark, sf_dir)), sets).select("rule", *K, "exit_t", q("exit_return").alias("exit_return"), "reason")
 
 
 RET = "actual_return / 100"
