@@ -21,7 +21,7 @@ def stream_opps_ingest(spark, sf_dir):
     o = v.opportunities(spark, sf_dir)
     for part in ("first", "second"):
         write_opps_csv(o if part == "second" else o.where("days_out < 20"), f"{src}/{part}")
-        jobs.run_available(jobs.opps_stream(spark, src), out, state, ["direction"])
+        jobs.ingest(jobs.opps_stream(spark, src), out, state, ["direction"])
     df = spark.read.parquet(out)
     return df.select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio", "avg_profit", "avg_profit2")
 
