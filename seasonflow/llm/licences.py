@@ -206,26 +206,25 @@ def known(text: Column, catalogue: dict[str, str] = SENTENCES) -> Column:
 def recognise(docs: DataFrame, text_col: str = "text", rules: list = RULES, catalogue: dict[str, str] = SENTENCES) -> DataFrame:
     """docs with sentence_ids, licences and unmatched, all arrays of strings. licences follow the order of the rules.
 
-    A sequence is held as a string ' <id> <id> ', in which a rule's identifiers are found and replaced as one piece.
+    A sequence is held as a string '<id><id>', in which a rule's identifiers are found and replaced as one piece, as often
+    as they occur: each identifier has marks of its own on both sides, so neighbouring sequences share nothing.
     """
     out = docs.withColumn("sentence_ids", known(F.col(text_col), catalogue))
-    rest = F.concat(F.lit(" "), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), " "), F.lit(" "))
+    rest = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     work = fresh(docs, "_work")
     nothing = F.array().cast("array<string>")
-    steps = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(" " + " ".join(f"<{i}>" for i in ids) + " ").alias("seq")) for name, ids in rules])
+    steps = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit("".join(f"<{i}>" for i in ids)).alias("seq")) for name, ids in rules])
     start = F.struct(rest.alias("rest"), nothing.alias("found"))
 
     def apply(state: Column, rule: Column) -> Column:
         hit = F.contains(state["rest"], rule["seq"])
-        # ' | ' keeps what stood before and after a used sequence from becoming neighbours
+        # '|' keeps what stood before and after a used sequence from becoming neighbours
         return F.struct(
-            F.replace(state["rest"], rule["seq"], F.lit(" | ")).alias("rest"),
+            F.replace(state["rest"], rule["seq"], F.lit("|")).alias("rest"),
             F.when(hit, F.concat(state["found"], F.array(rule["licence"]))).otherwise(state["found"]).alias("found")
         )
 
     done = F.when(F.size("sentence_ids") > 0, F.aggregate(steps, start, apply)).otherwise(start)
     out = out.withColumn(work, done)
-    unmatched = F.filter(F.split(F.col(f"{work}.rest"), " "), lambda x: (x != "") & (x != "|"))
-    return out.withColumn("licences", F.array_distinct(f"{work}.found")).withColumn(
-        "unmatched", F.transform(unmatched, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))
-    ).drop(work)
+    unmatched = F.regexp_extract_all(F.col(f"{work}.rest"), F.lit("<([^>]*)>"), F.lit(1))
+    return out.withColumn("licences", F.array_distinct(f"{work}.found")).withColumn("unmatched", unmatched).drop(work)

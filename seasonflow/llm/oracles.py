@@ -41,16 +41,23 @@ FROM numbered JOIN quota ON numbered.source = quota.source LEFT JOIN inside ON n
 
 
 def sentence_rules(sentences: dict[str, str], rules: list) -> str:
-    """Known sentences between line ends, wherever they wrap; each line end is doubled, so that neighbours share it."""
-    listed = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
+    """Known sentences between line ends, wherever they wrap; each line end is doubled, so that neighbours share it.
+
+    Each identifier is one character, so that a text's identifiers and a rule's are plain strings of them: every
+    occurrence of a rule's string that no earlier rule has used is the licence, and what is left over is unmatched.
+    """
+    names = sorted(set(sentences.values()))
+    letter = {i: chr(0x4E00 + k) for k, i in enumerate(names)}
+    listed = ", ".join(f"('{s}', '{letter[i]}')" for s, i in sentences.items())
+    letters = ", ".join(f"('{c}', '{i}')" for i, c in letter.items())
     either = "|".join(s.replace(".", r"\.").replace(" ", r"(?: |\n\n)") for s in sorted(sentences, key=len, reverse=True))
     steps, prev = [], "start"
     for k, (name, ids) in enumerate(rules):
-        seq = " " + " ".join(f"<{i}>" for i in ids) + " "
-        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(rest, '{seq}', ' | ') AS rest, CASE WHEN contains(rest, '{seq}') THEN list_append(found, '{name}') ELSE found END AS found FROM {prev})")
+        seq = "".join(letter[i] for i in ids)
+        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(rest, '{seq}', '|') AS rest, CASE WHEN contains(rest, '{seq}') THEN list_append(found, '{name}') ELSE found END AS found FROM {prev})")
         prev = f"r{k}"
     return rf"""
-WITH catalogue(s, i) AS (VALUES {listed}),
+WITH catalogue(s, i) AS (VALUES {listed}), letters(c, name) AS (VALUES {letters}), m AS (SELECT map(list(c), list(name)) AS m FROM letters),
 lines AS (
   SELECT doc_id, replace(regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g'), 'license-identifier:', 'license-identifier ') AS t FROM documents),
 cuts AS (SELECT doc_id, regexp_replace(chr(10) || ' ' || t, '([^\n.!?;:])[.!?;:]+(\s+|$)', '\1' || chr(10) || chr(10), 'g') AS t FROM lines),
@@ -62,11 +69,11 @@ named AS (SELECT doc_id, ord, i FROM (SELECT doc_id, ord, replace(trim(part, chr
 runs AS (SELECT doc_id, ord, i, lag(i) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM named),
 seqs AS (SELECT doc_id, list(i ORDER BY ord) AS ids FROM runs WHERE before IS DISTINCT FROM i GROUP BY doc_id),
 start AS (
-  SELECT doc_id, coalesce(ids, []) AS ids, ' ' || coalesce(list_aggregate(list_transform(ids, lambda x: '<' || x || '>'), 'string_agg', ' '), '') || ' ' AS rest, []::VARCHAR[] AS found
+  SELECT doc_id, coalesce(ids, []) AS ids, coalesce(list_aggregate(ids, 'string_agg', ''), '') AS rest, []::VARCHAR[] AS found
   FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN seqs USING (doc_id)),
 {", ".join(steps)}
-SELECT doc_id, len(ids)::BIGINT AS n_known, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
+SELECT doc_id, len(ids)::BIGINT AS n_known, coalesce(list_aggregate(list_transform(ids, lambda x: m[x]), 'string_agg', ','), '') AS sentence_ids,
   coalesce(list_aggregate(list_filter(found, lambda x, k: list_position(found, x) = k), 'string_agg', ','), '') AS licences,
-  coalesce(list_aggregate(list_transform(list_filter(string_split(rest, ' '), lambda x: x NOT IN ('', '|')), lambda x: x[2:-2]), 'string_agg', ','), '') AS unmatched
-FROM {prev}
+  coalesce(list_aggregate(list_transform(list_filter(string_split(rest, ''), lambda x: x NOT IN ('', '|')), lambda x: m[x]), 'string_agg', ','), '') AS unmatched
+FROM {prev}, m
 """
