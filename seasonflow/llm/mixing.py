@@ -11,9 +11,15 @@ has had by then, and is drawn up again where the frame before it ends otherwise,
 the schedule that one pass over all slots gives; as the earliest deadlines soon wipe out a wrong guess, a few rounds
 do, and no task holds more than its frames.
 
+By default the mix ends where the first source has no block left for its turn. With go_on the schedule goes on there
+without the sources that have ended: the others' weights, which now add up to less, start a new epoch, within which
+the bound holds again, until every block of a source with a weight has its slot. An epoch ends one source at least.
+
+Products of blocks and weights are taken in decimals of 38 digits where longs may not hold them, so shares given as
+floats with all their digits are exact too; weights whose common denominator leaves no room for that are an error.
+
 Documents are numbered within their source in the order of their digests, in parts by the digest's first three hex
-digits, so that no task sees a whole source. The mix ends where the first source has no block left for its turn: until
-there the bound holds. Every document is returned; those beyond the mix have no slot.
+digits, so that no task sees a whole source. Every document is returned; those beyond the mix have no slot.
 
 Defined results: a null source is a source of its own, after all others; a null id has a digest of its own; equal rows
 take neighbouring numbers; a source without a weight has weight 0; where all weights are 0 nothing is mixed; an empty
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 
 from seasonflow.llm.common import cut
 
+#: Weights that add up to less than this are multiplied in longs, others in decimals; the most that decimals leave room for.
+LONG_WEIGHTS, MOST_WEIGHTS = 1 << 22, 10**25
 #: Slots in a frame.
 FRAME = 1000
 CHUNK = 1000
@@ -52,7 +60,10 @@ def whole(weights: dict) -> dict:
     common = math.lcm(*[w.denominator for w in exact.values()])
     p = {s: int(w * common) for s, w in exact.items()}
     part = math.gcd(*p.values()) or 1
-    return {s: x // part for s, x in p.items()}
+    p = {s: x // part for s, x in p.items()}
+    if sum(p.values()) >= MOST_WEIGHTS:
+        raise ValueError("the weights' common denominator is too long: give them as shares with fewer digits")
+    return p
 
 
 def quotas(sizes: DataFrame, weights: dict | None) -> DataFrame:
@@ -62,12 +73,18 @@ def quotas(sizes: DataFrame, weights: dict | None) -> DataFrame:
     """
     p = F.round(F.sqrt("n")).cast("long")
     if weights is not None:
-        given, p = whole(weights), F.lit(0).cast("long")
+        given = whole(weights)
+        kind = "long" if sum(given.values()) < LONG_WEIGHTS else "decimal(38,0)"
+        p = F.lit(0).cast(kind)
         for source, x in given.items():
-            p = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(x)).otherwise(p)
+            p = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(str(x)).cast(kind)).otherwise(p)
     rows = sizes.withColumn("p", p)
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))
-    return rows.select((F.row_number().over(by_name) - 1).alias("i"), "source", "n", "p", F.sum("p").over(Window.partitionBy(F.lit(0))).alias("q"))
+    return rows.select((F.row_number().over(by_name) - 1).alias("i"), "source", "n", "p", all_weights(rows.schema["p"].dataType).alias("q"))
+
+
+def all_weights(kind) -> Column:
+    return F.sum("p").over(Window.partitionBy(F.lit(0))).cast(kind)
 
 
 def due(block: Column, p: Column, q: Column) -> Column:
@@ -140,6 +157,34 @@ def schedule(quota: DataFrame, frame: int = FRAME) -> DataFrame:
     return slots.crossJoin(F.broadcast(horizon)).where("slot < horizon").select("i", "k", "slot")  # one row
 
 
+def epochs(quota: DataFrame, frame: int, go_on: bool) -> DataFrame:
+    """(i, k, slot, epoch, released, due): the schedule, epoch by epoch; without go_on the first one only.
+
+    The loop runs once for each source that ends, which is a catalogue's length at most; what it carries is a row for
+    each source.
+    """
+    quota, out, start = quota.withColumn("had", F.lit(0).cast("long")), None, 0
+    for epoch in range(quota.count() if go_on else 1):
+        slots = schedule(quota, frame).join(quota.select("i", "p", "q", "had"), "i")
+        now = cut(slots.select(
+            "i", (F.col("had") + F.col("k")).alias("k"), (F.col("slot") + start).alias("slot"), F.lit(epoch).alias("epoch"),
+            (div((F.col("k") - 1) * F.col("q"), F.col("p")) + start).alias("released"), (due(F.col("k"), F.col("p"), F.col("q")) + start).alias("due")
+        ), "epoch")
+        out = now if out is None else out.unionByName(now)
+        if not go_on:
+            break
+        counts = now.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+        left = quota.join(counts, "i", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        left = left.select("i", "source", (F.col("n") - F.col("c")).alias("n"), "p", (F.col("had") + F.col("c")).alias("had"))
+        kind = left.schema["p"].dataType
+        left = left.withColumn("p", F.when(F.col("n") > 0, F.col("p")).otherwise(F.lit(0)).cast(kind)).withColumn("q", all_weights(kind))
+        quota = cut(left, "quota")
+        start += now.count()
+        if quota.where("p > 0").isEmpty():
+            break
+    return out
+
+
 def numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """(source, id, nth) of every document, and (source, n)."""
     d = digest("id")
@@ -157,8 +202,8 @@ def numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame,
     return pieces.select("source", "id", nth.alias("nth")), counts.groupBy("source").agg(F.sum("n").alias("n"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block: int = 1, frame: int = FRAME) -> DataFrame:
-    """(id, source, nth, block, released, due, slot, in_mix) of every document.
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block: int = 1, frame: int = FRAME, go_on: bool = False) -> DataFrame:
+    """(id, source, nth, block, released, due, slot, in_mix) of every document; with go_on epoch too, from 0.
 
     weights: source -> target weight; by default the whole number next to the root of its number of documents, which
     damps large sources. block: documents of one source that go together. Sources are a catalogue, not a share of the
@@ -169,11 +214,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", w
     rows = rows.withColumn("block", div(F.col("nth") - 1, F.lit(block)) + 1)
     of = quota.select(F.col("source").alias("s3"), "i", "p", "q")
     placed = rows.join(of, F.col("source").eqNullSafe(F.col("s3")))
-    slots = cut(schedule(quota, frame), "schedule")
-    placed = placed.join(slots.withColumnRenamed("k", "block"), ["i", "block"], "left")
+    slots = epochs(quota, frame, go_on).withColumnsRenamed({"k": "block", "released": "_released", "due": "_due"})
+    placed = placed.join(slots, ["i", "block"], "left")
     has = F.col("p") > 0
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "nth", "block",
-        F.when(has, div((F.col("block") - 1) * F.col("q"), F.col("p"))).alias("released"), F.when(has, due(F.col("block"), F.col("p"), F.col("q"))).alias("due"),
-        "slot", F.col("slot").isNotNull().alias("in_mix"),
+        F.coalesce("_released", F.when(has, div((F.col("block") - 1) * F.col("q"), F.col("p")))).alias("released"),
+        F.coalesce("_due", F.when(has, due(F.col("block"), F.col("p"), F.col("q")))).alias("due"),
+        "slot", F.col("slot").isNotNull().alias("in_mix"), *(["epoch"] if go_on else []),
     )
