@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import require_columns
+from seasonflow.functions.core import require_columns, shared_path, written
 
 #: What the models see, in this order.
 FEATURES = [
@@ -65,69 +69,149 @@ def fit_regressor(df: DataFrame, label: str, features: list[str] = FEATURES, val
     return Pipeline(stages=[*stages(features), g]).fit(prepared(df, features))
 
 
-def fit_members(df: DataFrame, label: str, features: list[str] = FEATURES) -> list[tuple[str, PipelineModel]]:
-    own = {  # named as in MEMBERS
-        "gbt": GBTRegressor(labelCol=label, featuresCol="features", predictionCol="gbt", maxIter=5, maxDepth=3, seed=42),
-        "forest": RandomForestRegressor(labelCol=label, featuresCol="features", predictionCol="forest", numTrees=10, maxDepth=4, seed=42),
-        "linear": LinearRegression(labelCol=label, featuresCol="features", predictionCol="linear", regParam=0.1),
-    }
-    d = prepared(df, features).cache()
-    try:
-        return [(name, Pipeline(stages=[*stages(features), m]).fit(d)) for name, m in own.items()]
-    finally:
-        d.unpersist()
+def matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """df with the assembled vector `features`, written once for all fits that follow.
+
+    A missing value is 0 beside its flag, so the vector depends on no other row and serves every window alike.
+    """
+    d = prepared(df, features).fillna(0.0, features)
+    names = [*features, *[f"{c}_missing" for c in features]]
+    d = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(d)
+    return written(d.drop(*[f"{c}_missing" for c in features]), "matrix")
+
+
+def at_once(spark: SparkSession, tasks: list, run: Callable, parallel: int) -> list:
+    """run(task) of each task, `parallel` of them at a time as concurrent jobs in one fair pool, which doesn't hold up others."""
+    if not tasks:
+        return []
+
+    def go(task):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "fits")
+        return run(task)
+
+    with ThreadPool(min(parallel, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(spark)(go), tasks, chunksize=1)
 
 
-def predicted_by(models: list[tuple[str, PipelineModel]], df: DataFrame) -> DataFrame:
-    """df with a column per member and predicted, their mean."""
-    keep = df.columns
-    d = prepared(df)
-    for name, m in models:
-        d = m.transform(d).select(*[c for c in d.columns if c not in ("features",)], name)
-    names = [n for n, _ in models]
-    return d.withColumn("predicted", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).select(*keep, *names, "predicted")
+def fit_members(train: DataFrame, label: str, rounds: int = 30, depth: int = 3) -> tuple[list, int]:
+    """The members' models on an assembled matrix with a column is_val, and the rounds that the boosted trees took.
+
+    Boosting stops where another round no longer helps on the rows of is_val; the other members see the rest only.
+    """
+    g = GBTRegressor(
+        labelCol=label, featuresCol="features", predictionCol="gbt", maxIter=rounds, maxDepth=depth, seed=42, validationIndicatorCol="is_val", validationTol=0.001
+    )
+    own = train.where(~F.col("is_val"))
+    gbt = g.fit(train)
+    forest = RandomForestRegressor(labelCol=label, featuresCol="features", predictionCol="forest", numTrees=10, maxDepth=4, seed=42).fit(own)
+    linear = LinearRegression(labelCol=label, featuresCol="features", predictionCol="linear", regParam=0.1).fit(own)
+    return [gbt, forest, linear], gbt.getNumTrees
 
 
-def walk_forward(df: DataFrame, label: str, years: list[int], by_direction: bool = False, kind: str = "expanding") -> DataFrame:
-    """Out-of-sample predictions of each year by members fitted on all earlier years, or on those of its cycle phase (same_phase); optionally long and short apart.
+def walk_forward(
+    df: DataFrame, label: str, years: list[int], by_direction: bool = False, kind: str = "expanding", out: str | None = None, parallel: int = 3
+) -> DataFrame:
+    """Out-of-sample predictions of each year: df's rows and columns with the members, predicted (their mean), rounds and val_year.
 
-    Years without earlier rows give none. The loop runs over a few windows; each fit and transform is distributed.
+    Members are fitted on all earlier years, or on those of the year's cycle phase (same_phase), optionally long and short
+    apart; boosting stops early on the year itself. The feature matrix is written once and read by all windows, which
+    are fitted `parallel` at a time. Each window writes its predictions, with all columns of df, to its own folder under `out`
+    (default: the shared folder), so the keys stay and a window that is run again replaces its rows.
+    Years without earlier rows, and rows without a label, give none.
     """
-    out = df.limit(0).select("*", *[F.lit(None).cast("double").alias(n) for n in (*MEMBERS, "predicted")], F.lit(0).alias("val_year"))
-    for y in years:
+    spark = df.sparkSession
+    out = out or shared_path(spark, "walked")
+    clash = [c for c in df.columns if c in FEATURES]
+    keep = [c for c in df.columns if c not in clash]
+    own = {c: f"_own_{c}" for c in clash}  # a feature's own type comes back
+    m = matrix(df.where(F.col(label).isNotNull()).withColumns({o: F.col(c) for c, o in own.items()}))
+    there = {(r.year, r.direction) for r in m.select("year", "direction").distinct().collect()}
+
+    def window(task: tuple) -> None:
+        y, d = task
+        part = m if d is None else m.where(F.col("direction") == d)
         before = (F.col("year") < y) if kind == "expanding" else (F.col("year") < y) & (F.pmod(F.col("year") - y, F.lit(4)) == 0)
-        for d in ("l", "s") if by_direction else (None,):
-            part = df if d is None else df.where(F.col("direction") == d)
-            if part.where(before).isEmpty():
-                continue
-            p = predicted_by(fit_members(part.where(before), label), part.where(F.col("year") == y)).withColumn("val_year", F.lit(y))
-            out = out.unionByName(p)
-    return out
+        train = part.where(before | (F.col("year") == y)).withColumn("is_val", F.col("year") == y)
+        models, rounds = fit_members(train, label)
+        p = part.where(F.col("year") == y)
+        for x in models:
+            p = x.transform(p)
+        mean = sum((F.col(n) for n in MEMBERS[1:]), F.col(MEMBERS[0])) / len(MEMBERS)
+        p = p.select(*keep, *[F.col(o).alias(c) for c, o in own.items()], *MEMBERS, mean.alias("predicted"), F.lit(rounds).alias("rounds"), F.lit(y).alias("val_year"))
+        p.select(*df.columns, *MEMBERS, "predicted", "rounds", "val_year").write.mode("overwrite").parquet(f"{out}/window={y}{d or ''}")
+
+    early = lambda y, d: any(yy < y and (kind == "expanding" or (yy - y) % 4 == 0) and d in (None, dd) for yy, dd in there)
+    now = lambda y, d: any(yy == y and d in (None, dd) for yy, dd in there)
+    tasks = [(y, d) for y in years for d in (("l", "s") if by_direction else (None,)) if early(y, d) and now(y, d)]
+    at_once(spark, tasks, window, parallel)
+    empty = df.limit(0).select("*", *[F.lit(None).cast("double").alias(n) for n in (*MEMBERS, "predicted")], F.lit(0).alias("rounds"), F.lit(0).alias("val_year"))
+    return spark.read.schema(empty.schema).parquet(*[f"{out}/window={y}{d or ''}" for y, d in tasks]) if tasks else empty
 
 
 def importances(model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
-    from pyspark.sql import SparkSession
-
     v = model.stages[-1].featureImportances.toArray().tolist()
     names = [*features, *[f"{c}_missing" for c in features]]
     return SparkSession.active().createDataFrame(list(zip(names, v)), "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
+#: Points, share of the rows and rounds of boosting of each rung.
+RUNGS = ((75, 1 / 25, 1), (15, 1 / 5, 3), (3, 1.0, 9))
+POINT = "point int, depth int, step double, least_rows int, least_gain double, bins int, row_share double, feature_share double"
+
+
+def drawn_points(n: int, seed: int = 42) -> list[tuple]:
+    """n points of POINT, drawn evenly or evenly in logarithms; the same for the same seed."""
+    r = random.Random(seed)
+    log = lambda low, high: math.exp(r.uniform(math.log(low), math.log(high)))
+    return [(
+        k, r.randint(2, 5), log(0.02, 0.5), round(log(1, 200)), log(1e-6, 1e-2), r.choice([16, 32, 64, 128]), r.uniform(0.5, 1.0), r.uniform(0.3, 1.0)
+    ) for k in range(n)]
+
+
 def tune(
-    df: DataFrame, label: str, features: list[str] = FEATURES, most: int = 2_000_000, depths: tuple[int, ...] = (2, 3, 4),
-    rounds: tuple[int, ...] = (3, 6)
+    df: DataFrame, label: str, val_year: int, features: list[str] = FEATURES, rungs: tuple = RUNGS, path: str | None = None, most: int = 2_000_000,
+    parallel: int = 4, seed: int = 42
 ) -> DataFrame:
-    """(depth, rounds, rmse) of a grid, on a seeded split of a seeded sample of about `most` rows."""
-    from pyspark.sql import SparkSession
-
-    df = df.sample(min(1.0, most / max(df.count(), 1)), 42)
+    """(rung, POINT, rows, rounds, rmse) of all trials by successive halving: the best of each rung go on with more rows and rounds.
 
-    g = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="predicted", seed=42)
-    grid = ParamGridBuilder().addGrid(g.maxDepth, list(depths)).addGrid(g.maxIter, list(rounds)).build()
-    s = TrainValidationSplit(
-        estimator=Pipeline(stages=[*stages(features), g]), estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol="predicted"), trainRatio=0.8, seed=42, parallelism=2
-    )
-    m = s.fit(prepared(df, features))
-    rows = [(int(p[g.maxDepth]), int(p[g.maxIter]), float(r)) for p, r in zip(grid, m.validationMetrics)]
-    return SparkSession.active().createDataFrame(rows, "depth int, rounds int, rmse double")
+    Trials learn from rows before val_year, of which a rung takes a share by their hash (of `most` rows at most), and are
+    judged on all rows of val_year. The feature matrix is written once; the trials of a rung are concurrent jobs. A rung's
+    table is written to `path` (default: the shared folder) when it is done: a driver that starts again with the same
+    path and arguments reads the rungs that are there and goes on with the next.
+    """
+    spark = df.sparkSession
+    path = path or shared_path(spark, "tuned")
+    named = df.where(F.col(label).isNotNull() & (F.col("year") <= val_year)).withColumn("_u", F.pmod(F.xxhash64(label, *features), F.lit(1_000_003)) / 1_000_003.0)
+    m = matrix(named, features).select("features", label, "_u", (F.col("year") == val_year).alias("is_val"))
+    train, val = m.where("not is_val"), m.where("is_val")
+    whole = min(1.0, most / max(train.count(), 1))
+    points, done = drawn_points(rungs[0][0], seed), None
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    schema = f"rung int, {POINT}, rows long, rounds int, rmse double"
+    for rung, (n, share, rounds) in enumerate(rungs):
+        at = f"{path}/rung={rung}"
+        flag = fs(f"{at}/_SUCCESS")
+        if not flag.getFileSystem(spark._jsc.hadoopConfiguration()).exists(flag):
+            if done is not None:
+                best = done.orderBy("rmse", "point").limit(n).collect()
+                points = [tuple(r[c] for c in drawn_columns()) for r in best]
+            rows = written(train.where(F.col("_u") < whole * share), "rows")
+            n_rows = rows.count()
+
+            def trial(point: tuple, rows=rows, n_rows=n_rows, rounds=rounds, rung=rung) -> tuple:
+                _, depth, step, least_rows, gain, bins, row_share, feature_share = point
+                g = GBTRegressor(
+                    labelCol=label, featuresCol="features", predictionCol="p", maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=least_rows,
+                    minInfoGain=gain, maxBins=bins, subsamplingRate=row_share, featureSubsetStrategy=str(round(feature_share, 6)), seed=42,
+                )
+                rmse = g.fit(rows).transform(val).agg(F.sqrt(F.avg((F.col("p") - F.col(label)) ** 2))).first()[0]
+                return (rung, *point, n_rows, rounds, rmse)
+
+            results = at_once(spark, points, trial, parallel) if n_rows else []
+            spark.createDataFrame(results, schema).coalesce(1).write.mode("overwrite").parquet(at)
+        done = spark.read.schema(schema).parquet(at)
+    return spark.read.schema(schema).parquet(*[f"{path}/rung={k}" for k in range(len(rungs))])
+
+
+def drawn_columns() -> list[str]:
+    return [x.split()[0] for x in POINT.split(", ")]

@@ -31,20 +31,20 @@ YEARS = [1998, 1999, 2000, 2001]
 
 
 def wf_train(spark, sf_dir):
-    """Metrics of each member and of their mean by validation year, over expanding windows and those of one cycle phase."""
+    """Metrics of each member and of their mean by validation year, with the rounds that boosting took there, over expanding windows and those of one cycle phase."""
     out = None
     for kind in ("expanding", "same_phase"):
-        p = ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, kind=kind).select("val_year", "actual_return", "actual_mfe", *ml.MEMBERS, "predicted")
-        path = shared_path(spark, "walked")
-        p.write.parquet(path)
-        one = by_member(spark.read.parquet(path), [*ml.MEMBERS, "predicted"], "val_year").withColumn("kind", F.lit(kind))
+        p = ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, kind=kind)
+        rounds = p.groupBy("val_year").agg(F.max("rounds").alias("rounds"))
+        one = by_member(p.select("val_year", "actual_return", "actual_mfe", *ml.MEMBERS, "predicted"), [*ml.MEMBERS, "predicted"], "val_year")
+        one = one.join(rounds, "val_year").withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def wf_train_split(spark, sf_dir):
     """Out-of-sample predictions of models for longs and for shorts."""
-    return ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted")
+    return ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted", "rounds")
 
 
 def fit_final(spark, sf_dir):
@@ -61,7 +61,8 @@ def agg_feature_importance(spark, sf_dir):
 
 
 def tune_params(spark, sf_dir):
-    return ml.tune(data(spark, sf_dir), "actual_return")
+    """All trials of the search, judged on the last year."""
+    return ml.tune(data(spark, sf_dir), "actual_return", 2001)
 
 
 def score_batch(spark, sf_dir):
