@@ -65,12 +65,12 @@ def quantile_edges(df: DataFrame, c: str, n: int) -> DataFrame:
     return quantiles(df, c, [i / n for i in range(n + 1)]).agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
-def with_bin(df: DataFrame, c: str, n: int, out: str = "bin") -> DataFrame:
+def with_bin(df: DataFrame, c: str, n: int, out: str = "bin", edges: DataFrame | None = None) -> DataFrame:
     """df with the number of its equal-frequency bin, from 0; bins are closed on the right, the first one on both sides.
 
-    The edges are one row of at most n + 1 numbers.
+    The edges are one row of at most n + 1 numbers: exact ones, or those given, such as sketches'.
     """
-    return df.crossJoin(F.broadcast(quantile_edges(df, c, n))).withColumn(out, bin_of(F.col(c))).drop("edges")
+    return df.crossJoin(F.broadcast(edges or quantile_edges(df, c, n))).withColumn(out, bin_of(F.col(c))).drop("edges")
 
 
 def bin_of(c: Column) -> Column:
@@ -434,17 +434,66 @@ def joined_predictions(labels: DataFrame, parts: dict[str, DataFrame], key: list
 
 
 def daily_book(picks: DataFrame, slippage: float = 0.2, start: float = 100000.0) -> DataFrame:
-    """(date, n, ret, equity, drawdown): each day's picks in equal weights, percent returns less slippage, compounded.
+    """(date, n, wins, net, ret, equity, drawdown): each day's picks in equal weights, percent returns less slippage, compounded.
 
-    The last windows run over one row per day: a calendar.
+    wins are picks that gain after slippage, net is the sum of their percent returns. The last windows run over one row
+    per day: a calendar.
     """
-    day = picks.groupBy("date").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("trade_return") - slippage) / 100).alias("ret")).withColumn("_book", F.lit(0))
+    net = F.col("trade_return") - slippage
+    day = picks.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(net > 0).alias("wins"), F.sum(net).alias("net"), (F.avg(net) / 100).alias("ret")
+    ).withColumn("_book", F.lit(0))
     return drawdown(compounded(day, ["_book"], ["date"], "ret", start), ["_book"], ["date"], "equity").drop("_book", "peak")
 
 
-def book_statistics(book: DataFrame) -> DataFrame:
-    g = book.agg(
-        F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), (F.exp(F.sum(safe_log1p(F.col("ret")))) - 1).alias("total_return"),
-        (F.sqrt(F.lit(252.0)) * ratio(F.avg("ret"), F.stddev_pop("ret"))).alias("sharpe"), F.max("drawdown").alias("max_drawdown")
+def book_statistics(book: DataFrame, start: float = 100000.0) -> DataFrame:
+    """One row on a daily_book: days, n_trades, log_growth, annual_growth (a year's logarithm, of a tenth of a year at least), sharpe (0 without a spread), max_drawdown, win_rate, avg_trade.
+
+    The starting capital is the first peak.
+    """
+    days = Window.partitionBy(F.lit(0)).orderBy("date")  # a calendar
+    peak = F.greatest(F.max("equity").over(days), F.lit(start))
+    g = book.withColumn("_fall", (peak - F.col("equity")) / peak).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("n").alias("n_trades"), F.sum(safe_log1p(F.col("ret"))).alias("log_growth"),
+        F.coalesce(F.sqrt(F.lit(252.0)) * ratio(F.avg("ret"), F.stddev_pop("ret")), F.lit(0.0)).alias("sharpe"),
+        F.greatest(F.max("_fall"), F.lit(0.0)).alias("max_drawdown"), ratio(F.sum("wins"), F.sum("n")).alias("win_rate"), ratio(F.sum("net"), F.sum("n")).alias("avg_trade")
+    )
+    return g.where("days > 0").withColumn("annual_growth", F.col("log_growth") / F.greatest(F.col("days") / 252, F.lit(0.1)))
+
+
+def strategies_compared(trades: DataFrame, inside: Column, meta: DataFrame, least: int = 5) -> DataFrame:
+    """(strategy_id, n_inside, win_rate, avg_return, sharpe_inside, columns of meta) of each strategy's trades inside a window.
+
+    sharpe_inside is by trade, scaled by the mean days held; null for fewer than `least` trades or no spread. meta may
+    repeat a strategy: its smallest row by its columns in their order counts. A strategy without one keeps nulls.
+    """
+    rest = [c for c in meta.columns if c != "strategy_id"]
+    one = meta.groupBy("strategy_id").agg(F.min(F.struct(*rest)).alias("_m")).select("strategy_id", "_m.*")
+    r = F.col("exit_return")
+    held = F.greatest(F.avg("days_held"), F.lit(1.0))
+    sharpe = F.when(F.count(F.lit(1)) >= least, ratio(F.avg(r), F.stddev_samp(r)) * F.sqrt(252 / held))
+    g = trades.where(inside).groupBy("strategy_id").agg(
+        F.count(F.lit(1)).alias("n_inside"), (100 * share(r > 0)).alias("win_rate"), (100 * F.avg(r)).alias("avg_return"), sharpe.alias("sharpe_inside")
     )
-    return g.withColumn("annual_return", F.pow(1 + F.col("total_return"), 252 / F.col("days")) - 1)
+    return g.join(one, "strategy_id", "left")
+
+
+def compared_by_year(parts: dict[str, DataFrame], score: str, outcome: str, year: str = "val_year", top: float = 0.3) -> DataFrame:
+    """(year, name, n, auc, n_top, win_top, sharpe_top) of several models' predictions, and auc_gain over the first one's.
+
+    top: the share of a year's predictions, by rank, whose trades count as taken.
+    """
+    both = None
+    for name, df in parts.items():
+        one = df.select(F.col(year).alias("year"), F.lit(name).alias("name"), F.col(score).alias("score"), F.col(outcome).alias("outcome"))
+        both = one if both is None else both.unionByName(one)
+    by = ["year", "name"]
+    both = written(both, "compared")
+    cut = pivoted(quantiles(both, "score", [1 - top], by), {1 - top: "_cut"}, by)
+    x = F.when(F.col("score") >= F.col("_cut"), F.col("outcome"))
+    g = both.join(cut, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count(x).alias("n_top"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_top"),
+        F.coalesce(ratio(F.avg(x), F.stddev_samp(x)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe_top")
+    ).join(auc(both, "score", F.col("outcome") > 0, by), by)
+    first = g.where(F.col("name") == next(iter(parts))).select("year", F.col("auc").alias("_base"))
+    return g.join(first, "year", "left").withColumn("auc_gain", F.col("auc") - F.col("_base")).drop("_base")

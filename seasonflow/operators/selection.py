@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seasonflow.functions.core import avg_tie_rank, prior, ratio
@@ -151,10 +151,17 @@ def sector_capped(df: DataFrame, k: int, cap: int, order: list[Column]) -> DataF
     return best_per(capped, ["date"], order, k)
 
 
-def daily_selection(df: DataFrame, floor: float, n: int) -> DataFrame:
-    """One candidate per symbol and day above the floor, the best n of each day (0: all)."""
+def daily_selection(df: DataFrame, floor: float, n: int, seen: Observation | None = None) -> DataFrame:
+    """One candidate per symbol and day above the floor, the best n of each day (0: all).
+
+    seen takes the funnel's counts in the pass that makes the selection: prefiltered (rows that come in), scored (rows
+    with a probability) and over_floor; they are there once an action has run.
+    """
+    p = F.col("win_probability")
+    if seen is not None:
+        df = df.observe(seen, F.count(F.lit(1)).alias("prefiltered"), F.count(p).alias("scored"), F.count_if(F.coalesce(p >= floor, F.lit(False))).alias("over_floor"))
     order = [F.desc("win_probability"), F.desc("predicted_return"), F.col("holding_days"), F.col("direction")]
-    one = best_per(df.where(F.col("win_probability") >= floor), ["date", "symbol"], order)
+    one = best_per(df.where(p >= floor), ["date", "symbol"], order)
     return best_per(one, ["date"], [*order[:2], F.col("symbol")], n) if n else one
 
 

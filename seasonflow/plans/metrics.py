@@ -471,12 +471,19 @@ def cross_configs(spark, sf_dir):
     return rounded(g, ["floor", "least_win", "n"], ["win_rate", "avg_return"])
 
 
-@query(f"SELECT strategy_id, a.n, l.n AS n_long, {sq('a.ev')} AS ev, {sq('l.ev')} AS ev_long FROM (SELECT strategy_id, count(*) AS n, avg(exit_return) AS ev FROM trades GROUP BY 1) a JOIN (SELECT strategy_id, count(*) AS n, avg(exit_return) AS ev FROM long_trades GROUP BY 1) l USING (strategy_id)")
+INSIDE = IN.replace("date", "entry_date")
+
+
+@query(f"""WITH inside AS (SELECT strategy_id, count(*) AS n_inside, 100 * avg((exit_return > 0)::INT::DOUBLE) AS win_rate, 100 * avg(exit_return) AS avg_return,
+  CASE WHEN count(*) >= 5 THEN avg(exit_return) / nullif(stddev_samp(exit_return), 0) * sqrt(252 / greatest(avg(days_held), 1)) END AS sharpe_inside FROM trades WHERE {INSIDE} GROUP BY 1),
+meta AS (SELECT strategy_id, sector, count(*) AS n_sector, min(holding_days) AS least_days FROM trades GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY sector) = 1)
+SELECT strategy_id, n_inside, sector, n_sector, least_days, {sq('win_rate')} AS win_rate, {sq('avg_return')} AS avg_return, {sq('sharpe_inside')} AS sharpe_inside FROM inside LEFT JOIN meta USING (strategy_id)""")
 def join_strategy_compare(spark, sf_dir):
+    """Strategies inside the windows against what is known of them, of which there are several rows each."""
     t = v.trades(spark, sf_dir)
-    stat = lambda d: mt.trade_statistics(d, ["strategy_id"], YEARS).select("strategy_id", "n", "ev")
-    l = stat(t.where("direction = 'l'")).withColumnsRenamed({"n": "n_long", "ev": "ev_long"}).dropDuplicates(["strategy_id"])
-    return rounded(stat(t).join(l, "strategy_id"), ["strategy_id", "n", "n_long"], ["ev", "ev_long"])
+    meta = t.groupBy("strategy_id", "sector").agg(F.count(F.lit(1)).alias("n_sector"), F.min("holding_days").alias("least_days"))
+    g = mt.strategies_compared(t, sl.in_windows(F.col("entry_date"), WINDOWS), meta)
+    return rounded(g, ["strategy_id", "n_inside", "sector", "n_sector", "least_days"], ["win_rate", "avg_return", "sharpe_inside"])
 
 
 @query(f"SELECT c.symbol, c.date, c.holding_days, c.direction, {sq('x.from_high')} AS from_high, {sq('x.rvol')} AS rvol FROM candidates c LEFT JOIN (SELECT symbol, date, (close - h) / nullif(h, 0) AS from_high, rvol FROM (SELECT symbol, date, close, CASE WHEN count(close) OVER a >= 20 THEN max(high) OVER a END AS h, volume / CASE WHEN count(volume) OVER b = 20 THEN nullif(avg(volume) OVER b, 0) END AS rvol FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))) x ON c.symbol = x.symbol AND c.date = x.date")
@@ -536,6 +543,18 @@ def daily_book(spark, sf_dir):
     return shown_book(mt.daily_book(picks.withColumn("trade_return", F.col("actual_return"))))
 
 
+@query(f"""WITH net AS (SELECT date, actual_return - 0.2::DOUBLE AS x FROM capped),
+peaks AS (SELECT ln(equity / 100000) AS g, max(greatest(equity, 100000)) OVER (ORDER BY date) AS peak, equity, ret FROM book)
+SELECT count(*) AS days, (SELECT count(*) FROM net) AS n_trades, {sq('coalesce(sqrt(252) * avg(ret) / nullif(stddev_pop(ret), 0), 0)')} AS sharpe, {sq('max((peak - equity) / peak)')} AS max_drawdown,
+  {sq('(SELECT avg((x > 0)::INT::DOUBLE) FROM net)')} AS win_rate, {sq('(SELECT avg(x) FROM net)')} AS avg_trade, {sq('sum(ln(1 + greatest(ret, -0.9999::DOUBLE)))')} AS log_growth,
+  {sq('sum(ln(1 + greatest(ret, -0.9999::DOUBLE))) / greatest(count(*) / 252.0::DOUBLE, 0.1::DOUBLE)')} AS annual_growth FROM peaks""")
+def daily_book_stats(spark, sf_dir):
+    """The statistics of daily_book's book in one row."""
+    picks = sl.sector_capped(c(spark, sf_dir), 5, 2, [F.desc("ml_score"), F.col("symbol"), F.col("holding_days"), F.col("direction")])
+    g = mt.book_statistics(mt.daily_book(picks.withColumn("trade_return", F.col("actual_return"))))
+    return rounded(g, ["days", "n_trades"], ["sharpe", "max_drawdown", "win_rate", "avg_trade", "log_growth", "annual_growth"])
+
+
 def slice_query(spark, sf_dir):
     """From bars to a book: ATR, earnings filter, composite rank, sector caps, equal weights, compounding."""
     atr = ts.with_atr(v.bars(spark, sf_dir)).select("symbol", "date", "atr_pct")

@@ -9,6 +9,7 @@ from seasonflow.plans.sqlviews import q as sq
 from seasonflow.plans.sqlviews import sql
 from seasonflow.sources import files as fl
 from seasonflow.sources import views as v
+from seasonflow.sources.results import publish, published
 
 QUERIES, ORACLES = {}, {}
 TARGET = "2000-06-15"
@@ -25,9 +26,12 @@ def query(body: str, extra: dict | None = None):
 
 @query("SELECT symbol, date, open, high, low, close, volume FROM bars WHERE date BETWEEN '1996-01-01' AND '2000-12-31'")
 def scan_bars(spark, sf_dir):
-    path = shared_path(spark, "bars")
+    """CSV files by symbol, read into a table bucketed by symbol, of which a range of dates is read."""
+    path, table = shared_path(spark, "bars"), shared_path(spark, "bar_table")
     fl.write_bars_csv(v.bars(spark, sf_dir), path)
-    return fl.scan_bars(spark, path, "1996-01-01", "2000-12-31").select("symbol", "date", "open", "high", "low", "close", "volume")
+    name = table.rsplit("/", 1)[1].replace("-", "_")
+    fl.write_bar_table(fl.scan_bars(spark, path), name, table, 8)
+    return fl.bar_table(spark, name, first="1996-01-01", last="2000-12-31").select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
 MARKET = "CASE l_linenumber % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'ETF' WHEN 2 THEN 'INDX' ELSE 'COMM' END"
@@ -112,13 +116,16 @@ def earnings_from_filings(spark, sf_dir):
     return fl.coverage(fl.earnings_of_filings(f)).withColumn("mean", q("mean"))
 
 
-@query("SELECT strategy_id, symbol, entry_date, exit_date, exit_return, pnl FROM trades")
+@query(f"""SELECT t.strategy_id, symbol, entry_date, exit_date, exit_return, pnl, n, {sq('ev')} AS ev, (SELECT count(*) FROM equity) AS n_equity
+FROM trades t JOIN (SELECT strategy_id, count(*) AS n, avg(exit_return) AS ev FROM trades GROUP BY 1) USING (strategy_id)""")
 def sink_results(spark, sf_dir):
-    """Trades written as CSV with a header and read back under a schema."""
+    """Trades as CSV, their summary as JSON and the equity as Parquet, published together and read back through the manifest."""
     t = v.trades(spark, sf_dir).select("strategy_id", "symbol", "entry_date", "exit_date", "exit_return", "pnl")
-    path = shared_path(spark, "trades")
-    t.write.option("header", True).csv(path)
-    return spark.read.schema(t.schema).option("header", True).csv(path)
+    summary = t.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n"), q(F.avg("exit_return")).alias("ev"))
+    path = shared_path(spark, "results")
+    publish(spark, path, "run-1", {"trades": (t, "csv"), "summary": (summary, "json"), "equity": (v.equity(spark, sf_dir), "parquet")})
+    n = published(spark, path, "equity").agg(F.count(F.lit(1)).alias("n_equity"))
+    return published(spark, path, "trades").join(published(spark, path, "summary"), "strategy_id").crossJoin(F.broadcast(n))  # one row
 
 
 @query("""SELECT symbol, date, ml_score, 'short' AS tier FROM candidates WHERE holding_days <= 15 UNION ALL SELECT symbol, date, ml_score, 'long' FROM candidates WHERE holding_days > 15""")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import avg_tie_rank, q
+from seasonflow.functions.core import avg_tie_rank, q, written
 from seasonflow.operators import selection as sl
 from seasonflow.plans import regime
 from seasonflow.plans.sqlviews import q as sq
@@ -235,10 +235,15 @@ def topk_per_symbol(spark, sf_dir):
     ).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio")
 
 
-@query("""WITH one AS (SELECT * FROM candidates WHERE win_probability >= 0.6 QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY win_probability DESC, predicted_return DESC, holding_days, direction) = 1)
-SELECT date, symbol, win_probability, predicted_return FROM one QUALIFY row_number() OVER (PARTITION BY date ORDER BY win_probability DESC, predicted_return DESC, symbol) <= 4""")
+@query("""WITH one AS (SELECT * FROM candidates WHERE win_probability >= 0.6 QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY win_probability DESC, predicted_return DESC, holding_days, direction) = 1),
+funnel AS (SELECT count(*) AS prefiltered, count(win_probability) AS scored, count(*) FILTER (win_probability >= 0.6) AS over_floor FROM candidates)
+SELECT date, symbol, win_probability, predicted_return, prefiltered, scored, over_floor FROM (FROM one QUALIFY row_number() OVER (PARTITION BY date ORDER BY win_probability DESC, predicted_return DESC, symbol) <= 4), funnel""")
 def select_daily(spark, sf_dir):
-    return sl.daily_selection(c(spark, sf_dir), 0.6, 4).select("date", "symbol", "win_probability", "predicted_return")
+    """Picks with the counts of their funnel, which were taken while the picks were written."""
+    seen = Observation()
+    picks = sl.daily_selection(c(spark, sf_dir), 0.6, 4, seen).select("date", "symbol", "win_probability", "predicted_return")
+    picks = written(picks, "picks")
+    return picks.select("*", *[F.lit(seen.get[k]).cast("long").alias(k) for k in ("prefiltered", "scored", "over_floor")])
 
 
 @query("SELECT date, symbol, holding_days, direction, sector, ml_score FROM capped")

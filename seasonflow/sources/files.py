@@ -19,15 +19,40 @@ def write_bars_csv(bars: DataFrame, path: str) -> None:
     ).write.partitionBy("file_symbol").option("header", True).csv(path)
 
 
-def scan_bars(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """All symbols' CSV files in one scan; the symbol comes from the file's path, bad lines are dropped."""
-    df = spark.read.schema(BARS).option("header", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).csv(path)
-    df = df.withColumn("symbol", F.replace(F.regexp_extract(F.col("_metadata.file_path"), r"file_symbol=([^/]+)/", 1), F.lit("_"), F.lit("#")))
+def scan_bars(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """Symbols' CSV files in one scan; bad lines are dropped. Symbols are folders: with a list of them only theirs are read."""
+    df = spark.read.schema(f"{BARS}, file_symbol string").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    if symbols is not None:
+        df = df.where(F.col("file_symbol").isin([x.replace("#", "_") for x in symbols]))
+    df = df.withColumn("symbol", F.replace("file_symbol", F.lit("_"), F.lit("#"))).drop("file_symbol")
+    return between_dates(df, first, last).where("date is not null")
+
+
+def between_dates(df: DataFrame, first: str | None, last: str | None) -> DataFrame:
     if first:
         df = df.where(F.col("date") >= F.lit(first).cast("date"))
     if last:
         df = df.where(F.col("date") <= F.lit(last).cast("date"))
-    return df.where("date is not null")
+    return df
+
+
+def write_bar_table(bars: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """bars as the table `name`, in one file for each bucket of symbols, sorted by symbol and date.
+
+    Reading some symbols opens their buckets only, and what is keyed by the symbol (windows over its days, joins of two
+    such tables) needs no shuffle. Tables that are to be joined need the same number of buckets; joins by symbol and more
+    need spark.sql.requireAllClusterKeysForCoPartition to be false as well. A bucket holds whole symbols, whose history
+    is bounded by the calendar.
+    """
+    dealt = bars.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date")
+    dealt.option("path", path).saveAsTable(name)
+
+
+def bar_table(spark: SparkSession, name: str, symbols: list[str] | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    df = spark.table(name)
+    if symbols is not None:
+        df = df.where(F.col("symbol").isin(symbols))
+    return between_dates(df, first, last)
 
 
 def first_market(bars: DataFrame, markets: list[str] = MARKETS) -> DataFrame:
