@@ -40,6 +40,34 @@ def contract(df: DataFrame, features: list[str]) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(len(features)).alias("n_features"), F.lit(df.columns == features).alias("ok"))
 
 
+def model_features(model: PipelineModel) -> list[str]:
+    """The features that a fitted pipeline takes, in its order, from its assembler; an error where its learner takes another number."""
+    names = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    if (n := model.stages[-1].numFeatures) != len(names):
+        raise ValueError(f"the learner takes {n} features, the assembler gives {len(names)}")
+    return [x.removesuffix("_i") for x in names if not x.endswith("_missing")]
+
+
+def feature_differences(spark: SparkSession, expected: list[str], found: list[str]) -> DataFrame:
+    """(kind, name, expected_at, found_at) of every feature of a model or column of a frame.
+
+    missing: the frame lacks it; extra: the model doesn't take it; moved: among the shared ones it stands elsewhere; same.
+    """
+    shared = [x for x in found if x in expected]
+    order = [x for x in expected if x in found]
+    rows = [(
+        "missing" if x not in found else "same" if shared.index(x) == order.index(x) else "moved", x, i, found.index(x) if x in found else None
+    ) for i, x in enumerate(expected)]
+    rows += [("extra", x, None, i) for i, x in enumerate(found) if x not in expected]
+    return spark.createDataFrame(rows, "kind string, name string, expected_at int, found_at int")
+
+
+def matched(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """df with the model's features first, in its order, or an error that names what is missing."""
+    wanted = model_features(model)
+    return require_columns(df, wanted).select(*wanted, *[c for c in df.columns if c not in wanted])
+
+
 def walk_forward_windows(df: DataFrame, years: list[int]) -> DataFrame:
     """df with val_year, kind and is_val: for each year, all earlier years, and those of its cycle phase, against the year itself."""
     w = df.withColumn("val_year", F.explode(F.array(*[F.lit(y) for y in years]))).where(F.col("year") <= F.col("val_year"))

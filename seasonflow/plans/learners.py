@@ -47,6 +47,13 @@ def wf_train_split(spark, sf_dir):
     return ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted", "rounds")
 
 
+def wf_compare_split(spark, sf_dir):
+    """Models of both directions against models for longs and for shorts, by year: AUC and the best three tenths' trades."""
+    d = data(spark, sf_dir)
+    parts = {name: ml.walk_forward(d, "actual_return", YEARS, by_direction=split) for name, split in (("combined", False), ("split", True))}
+    return mt.compared_by_year(parts, "predicted", "actual_return")
+
+
 def fit_final(spark, sf_dir):
     """A model of all but the last year, saved, read again and held out on that year."""
     d = data(spark, sf_dir)
@@ -80,4 +87,4 @@ def score_batch(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (fit_regressor, wf_train, wf_train_split, fit_final, agg_feature_importance, tune_params, score_batch)}
+QUERIES = {f.__name__: f for f in (fit_regressor, wf_train, wf_train_split, wf_compare_split, fit_final, agg_feature_importance, tune_params, score_batch)}

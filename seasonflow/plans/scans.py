@@ -51,11 +51,26 @@ def scan_opps(spark, sf_dir):
     return fl.scan_opps(spark, path, (10, 25))
 
 
-@query(f"SELECT symbol, date, days_out, direction, combo, sharpe_ratio FROM opps WHERE date IN (SELECT (DATE '{TARGET}' + d)::DATE FROM (SELECT unnest([-14, -7, 0, 7, 14])::INT AS d))")
+OLD = {"oldest": ["sharpe_ratio2", "avg_profit2"], "older": ["sharpe_ratio2"], "newest": []}
+AGE = "CASE WHEN year1 > 25 THEN 'oldest' WHEN year1 > 15 THEN 'older' ELSE 'newest' END"
+
+
+@query(f"""SELECT symbol, date, days_out, direction, combo, {sq('sharpe_ratio', 3)} AS sharpe_ratio, {sq('avg_profit', 3)} AS avg_profit,
+  {sq("CASE WHEN age IN ('oldest', 'older') THEN sharpe_ratio ELSE coalesce(sharpe_ratio2, sharpe_ratio) END", 3)} AS sharpe_ratio2, {sq("CASE WHEN age = 'oldest' THEN avg_profit ELSE coalesce(avg_profit2, avg_profit) END", 3)} AS avg_profit2
+FROM (SELECT *, {AGE} AS age FROM opps) WHERE date IN (SELECT (DATE '{TARGET}' + d)::DATE FROM (SELECT unnest([-14, -7, 0, 7, 14])::INT AS d))""")
 def scan_opps_by_date(spark, sf_dir):
+    """Files of three ages, which lack different columns, by date; five dates' files are read."""
     path = shared_path(spark, "opps")
-    v.opportunities(spark, sf_dir).repartition("date").write.partitionBy("date").parquet(path)
-    return fl.near_dates(spark.read.parquet(path), TARGET).select("symbol", "date", "days_out", "direction", "combo", "sharpe_ratio")
+    o = v.opportunities(spark, sf_dir).withColumn("age", F.expr(AGE))
+    o = o.select("age", F.col("direction").alias("LorS"), "date", F.col("days_out").alias("daysOut"), F.col("symbol").alias("sym"), "combo", "sharpe_ratio", "avg_profit", "sharpe_ratio2", "avg_profit2")
+    for age, lacks in OLD.items():
+        own = o.where(F.col("age") == age).drop("age", *lacks).repartition("date")
+        own.write.partitionBy("date").option("header", True).option("compression", "gzip").csv(f"{path}/age={age}")
+    df = fl.scan_opps_by_date(spark, path, fl.neighbours(TARGET))
+    return df.select(
+        F.col("sym").alias("symbol"), "date", F.col("daysOut").cast("int").alias("days_out"), F.col("LorS").alias("direction"), "combo",
+        *[q(x, 3).alias(x) for x in ("sharpe_ratio", "avg_profit", "sharpe_ratio2", "avg_profit2")]
+    )
 
 
 CACHE = "SELECT symbol, days_out, direction, combo, sharpe_ratio, CASE WHEN symbol < 'Brand#2' THEN 'US' ELSE 'ETF' END AS market, date::VARCHAR AS target_date FROM opps"
@@ -134,9 +149,24 @@ def union_universes(spark, sf_dir):
     return fl.union_universes({"short": c.where("holding_days <= 15"), "long": c.where("holding_days > 15")}).drop("holding_days")
 
 
-@query("SELECT DISTINCT 'only_a' AS side, l_returnflag AS name FROM lineitem WHERE l_returnflag NOT IN (SELECT DISTINCT l_linestatus FROM lineitem) UNION ALL SELECT DISTINCT 'only_b', l_linestatus FROM lineitem WHERE l_linestatus NOT IN (SELECT DISTINCT l_returnflag FROM lineitem)")
+FRAME = ["atr_14d_pct", "ml_score", "holding_days", "predicted_return", "sector", "p_hit_mfe"]
+EXPECTED = ["holding_days", "ml_score", "predicted_return", "win_probability", "atr_14d_pct"]
+
+
+@query(f"""WITH wanted AS (SELECT unnest({EXPECTED}) AS name, unnest(range({len(EXPECTED)}))::INT AS expected_at), frame AS (SELECT unnest({FRAME}) AS name, unnest(range({len(FRAME)}))::INT AS found_at),
+shared AS (SELECT name, row_number() OVER (ORDER BY expected_at) AS a, row_number() OVER (ORDER BY found_at) AS b FROM wanted JOIN frame USING (name)),
+filled(name, n_filled) AS (SELECT unnest({FRAME}), unnest([{', '.join(f'count({c})' for c in FRAME)}]) FROM candidates)
+SELECT CASE WHEN found_at IS NULL THEN 'missing' WHEN expected_at IS NULL THEN 'extra' WHEN a <> b THEN 'moved' ELSE 'same' END AS kind, name, coalesce(expected_at, -1) AS expected_at, coalesce(found_at, -1) AS found_at, coalesce(n_filled, 0) AS n_filled
+FROM wanted FULL JOIN frame USING (name) LEFT JOIN shared USING (name) LEFT JOIN filled USING (name)""")
 def feature_diff(spark, sf_dir):
-    """Names that only one of two lists has, both ways."""
-    t = v.table(spark, sf_dir, "lineitem")
-    a, b = t.select(F.col("l_returnflag").alias("name")).distinct(), t.select(F.col("l_linestatus").alias("name")).distinct()
-    return a.exceptAll(b).select(F.lit("only_a").alias("side"), "name").unionByName(b.exceptAll(a).select(F.lit("only_b").alias("side"), "name"))
+    """The features of a model read from disk against a frame's columns: missing, extra, moved and same ones (-1: no place), with the frame's filled rows."""
+    from pyspark.ml import PipelineModel
+
+    from seasonflow.operators import ml
+
+    c, path = v.candidates(spark, sf_dir), shared_path(spark, "model")
+    ml.fit_regressor(c, "actual_return", EXPECTED, rounds=1, depth=2).write().save(path)
+    diff = ml.feature_differences(spark, ml.model_features(PipelineModel.load(path)), FRAME)
+    filled = c.agg(*[F.count(x).alias(x) for x in FRAME]).unpivot([], FRAME, "name", "n_filled")
+    both = diff.join(F.broadcast(filled), "name", "left")  # a row for each feature
+    return both.select("kind", "name", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("expected_at", "found_at")], F.coalesce("n_filled", F.lit(0)).alias("n_filled"))

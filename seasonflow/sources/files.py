@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +89,55 @@ def scan_opps(spark: SparkSession, path: str, days: tuple[int, int] = (1, 400))
     )
 
 
-def near_dates(opps: DataFrame, target: str, days: tuple[int, ...] = (-14, -7, 0, 7, 14)) -> DataFrame:
-    """Opportunities of the target's neighbouring dates; on a table partitioned by date this prunes partitions."""
-    return opps.where(F.col("date").isin(*[F.date_add(F.lit(target).cast("date"), d) for d in days]))
+#: Columns of an opportunity file with the types of a cache; the last two are missing in older files, which take the column named.
+OPPS_KEPT = {
+    "LorS": "string", "date": "date", "daysOut": "smallint", "sym": "string", "combo": "string", "sharpe_ratio": "float", "avg_profit": "float",
+    "sharpe_ratio2": "float", "avg_profit2": "float"
+}
+BACKFILL = {"sharpe_ratio2": "sharpe_ratio", "avg_profit2": "avg_profit"}
+
+
+def neighbours(target: str, days: tuple[int, ...] = (-14, -7, 0, 7, 14)) -> list[str]:
+    """The dates around a target, as text."""
+    at = datetime.date.fromisoformat(target)
+    return [(at + datetime.timedelta(days=d)).isoformat() for d in days]
+
+
+def scan_opps_by_date(spark: SparkSession, path: str, dates: list[str]) -> DataFrame:
+    """Opportunities of some dates from CSV files (also gzipped) at path/<any folder>/date=<date>/: no other folder is opened.
+
+    Files differ in their header: they are grouped by it, each group is one scan under its own columns, and what older
+    files lack is filled in. The headers are read first; they are a line for each file of these dates. combo is a column or
+    the first folder's name (combo=...). Ratios and profits come as floats, days as smallint. A file with a header
+    that lacks what isn't filled in gives no rows; dates without a file, too.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # part files only: what a writer leaves beside them is no table
+    globs = [f"{path}/*/date={d}/[!_.]*" for d in dates]
+    there = [g for g in globs if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(g))]
+    kinds = ", ".join(f"{c} {t}" for c, t in OPPS_KEPT.items())
+    none = spark.createDataFrame([], kinds)
+    out = none
+    if there:
+        lines = spark.read.text(there).where(F.col("value").startswith("LorS,"))
+        heads: dict[str, list[str]] = {}
+        for r in lines.select("value", F.col("_metadata.file_path").alias("file")).distinct().collect():
+            heads.setdefault(r.value.strip(), []).append(r.file)
+        for head, files in sorted(heads.items()):
+            names = head.split(",")
+            inside = [c for c in OPPS_KEPT if c in names]
+            if not {"LorS", "daysOut", "sym", "sharpe_ratio", "avg_profit"} <= set(names):
+                continue
+            raw = ", ".join(f"`{c}` {OPPS_KEPT.get(c, 'string')}" for c in names)
+            df = spark.read.schema(raw).option("header", True).option("mode", "DROPMALFORMED").csv(sorted(files))
+            file = F.col("_metadata.file_path")
+            own = df.select(*inside, *[
+                F.regexp_extract(file, rf"/{c}=([^/]+)/", 1).cast(t).alias(c) for c, t in (("combo", "string"), ("date", "date")) if c not in names
+            ])
+            own = own.withColumns({c: F.col(c) if c in names else F.col(of) for c, of in BACKFILL.items()})
+            own = own.withColumns({c: F.coalesce(c, of) for c, of in BACKFILL.items()})
+            out = out.unionByName(own.select(*OPPS_KEPT))
+    return out
 
 
 def write_cache(df: DataFrame, path: str, by: tuple[str, ...] = ("market", "target_date")) -> None:
