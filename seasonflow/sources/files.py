@@ -141,20 +141,27 @@ def scan_opps_by_date(spark: SparkSession, path: str, dates: list[str]) -> DataF
 
 
 def write_cache(df: DataFrame, path: str, by: tuple[str, ...] = ("market", "target_date")) -> None:
-    """Write the partitions of df that the cache lacks or holds with another number of rows; the others stay.
+    """Write the partitions of df that the cache lacks or holds with other rows; the others stay.
 
-    So what a failed job has left short is written anew, and a job that runs twice changes nothing.
+    Rows are compared by their number and the sum of their hashes. So what a failed job has left short, or what has
+    changed at its source, is written anew, and a job that runs twice changes nothing.
     """
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     df = df.withColumns({c: F.col(c).cast("string") for c in by})
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        counted = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        there = counted(spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in by]))
-        # written out, as what is read can't be overwritten
-        todo = shared_path(spark, "todo")
-        counted(df).join(there, [*by, "_n"], "left_anti").select(*by).write.parquet(todo)
-        df = df.join(spark.read.parquet(todo), list(by), "left_semi")
+        kept = spark.read.parquet(path)
+        rest = sorted(c for c in df.columns if c not in by)
+        # a cache with other columns or types is written anew
+        same = {c: t for c, t in kept.dtypes if c in rest} == {c: t for c, t in df.dtypes if c in rest}
+        total = F.sum(F.xxhash64(*rest).cast("decimal(20,0)")) if rest else F.lit(0)
+        counted = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), total.alias("_h"))
+        if same:
+            there = counted(kept.select(*rest, *[F.col(c).cast("string").alias(c) for c in by]))
+            # written out, as what is read can't be overwritten
+            todo = shared_path(spark, "todo")
+            counted(df).join(there, [*by, "_n", "_h"], "left_anti").select(*by).write.parquet(todo)
+            df = df.join(spark.read.parquet(todo), list(by), "left_semi")
     out = df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.option("compression", "snappy").partitionBy(*by).parquet(path)
 
