@@ -37,7 +37,7 @@ class Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.lines: list[str] = []
-        self.bare = self.r.random() < 0.25  # semantic elements without names
+        self.bare = self.r.random() < 0.4  # semantic elements without names
         self.divs = self.r.random() < 0.3  # no semantic elements
         self.vocabulary = ["".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4))) for _ in range(120)]
         self.marks = self.r.choice(["", "", "", "&", "%", "$#"])
@@ -159,7 +159,7 @@ class Page:
             elif draw < 0.93:
                 out.append(self.line(self.sentence(), "<figure><img src=a.png><figcaption>{}</figcaption></figure>"))
             else:
-                out.append(self.foreign(self.r.choice(["ad", "ad", "share", "aside", "notice", "form", "nav"])))
+                out.append(self.foreign(self.r.choice(["ad", "ad", "share", "aside", "aside", "aside", "notice", "form", "nav"])))
         if self.some(0.1):
             out.append(self.foreign("comments"))
         return "".join(out)

@@ -336,7 +336,7 @@ def train(labelled: Iterable[tuple[str, str]], rounds: int = 200, prior: float =
     for step in range(1, rounds + 1 if parsed else 1):
         grad = (sum(gradient(theta, n, *g) for g in groups) - prior * theta) / len(parsed)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta += 0.1 * (1 - 0.9 * step / rounds) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        theta += 0.2 * (1 - 0.9 * step / rounds) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     steps = tuple(tuple(tuple(float(x) for x in row) for row in kind) for kind in theta[n : n + 8].reshape(2, 2, 2))
     return Model({x: float(theta[k]) for x, k in names.items()}, steps, (float(theta[n + 8]), float(theta[n + 9])))
 

@@ -107,6 +107,51 @@ def test_held_out_pages(model):
     both = sum(len(set(a.split("\n")) & set(t.split("\n"))) for a, (_, t) in zip(got, held))
     assert both > 0.98 * sum(len(set(a.split("\n"))) for a in got) and both > 0.98 * sum(len(set(t.split("\n"))) for _, t in held)
 
+S = "Ofshhable for esti ateded inednt erreing shnd whblewh of haon oneaing. Tionen with thsher ththbleti heeashen from."
+ARTICLE = f"<article><h1>The title here</h1><p>{S}</p><p>{S}</p><h2>Sub head</h2><p>Short.</p><ul><li>one item</li><li>two items</li></ul></article>"
+WHOLE = f"The title here\n{S}\n{S}\nSub head\nShort.\none item\ntwo items"
+NAV = "<nav><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in "En la et des".split()) + "</ul></nav>"
+FOOT = f"<footer>&copy; blog.example.com &middot; {S}</footer>"
+VARIANTS = {
+    'comments section': NAV + ARTICLE + f'<section class="comments"><h2>Comments</h2><div class="comment"><p>{S}</p></div><div class="comment"><p>{S}</p></div></section>' + FOOT,
+    'comments id div': NAV + ARTICLE + f'<div id="comments"><p>{S}</p><p>{S}</p></div>' + FOOT,
+    'comments ol': NAV + ARTICLE + f'<ol class="comment-list"><li>{S}</li><li>{S}</li></ol>' + FOOT,
+    'aside': NAV + ARTICLE + f'<aside><h3>Rel</h3><p>{S}</p></aside>' + FOOT,
+    'sidebar div': NAV + f'<div class="sidebar"><p>{S}</p><p>{S}</p></div>' + ARTICLE + FOOT,
+    'cookie': f'<div class="cookie-notice"><p>{S}</p></div>'+NAV + ARTICLE + FOOT,
+    'notice': f'<div class="notice">{S}</div>'+NAV + ARTICLE + FOOT,
+    'header': f'<header><h1>Site name</h1><p>{S}</p></header>'+NAV + ARTICLE + FOOT,
+    'form': NAV + ARTICLE + f'<form action="/s"><label>{S}</label><input><button>Go</button></form>' + FOOT,
+    'ad inside': NAV + ARTICLE.replace('<h2>',f'<div class="ad">{S}</div><h2>') + FOOT,
+    'aside inside': NAV + ARTICLE.replace('<h2>',f'<aside><p>{S}</p></aside><h2>') + FOOT,
+    'comments inside article': NAV + ARTICLE.replace('</article>',f'<section class="comments"><p>{S}</p></section></article>') + FOOT,
+    'nested article comments': NAV + ARTICLE + f'<section id="comments"><article><h3>Bob</h3><p>{S}</p></article></section>' + FOOT,
+    'main div': NAV + '<div id="main" class="content">' + ARTICLE.replace('article','div')+'</div>' + FOOT,
+    'no wrapper names': NAV + '<main>' + ARTICLE.replace('article','div')+'</main>'+f'<div class="footer">{S}</div>',
+    'post class': '<div class="menu"><a href=/>Home</a> <a href=/>About</a></div><div class="post">' + ARTICLE.replace('<article>','').replace('</article>','')+f'</div><div class="related"><p>{S}</p></div><div class="footer"><p>{S}</p></div>',
+    'header in article': NAV + ARTICLE.replace('<h1>The title here</h1>','<header><h1>The title here</h1></header>') + FOOT,
+    'banner promo': f'<div class="promo-banner"><p>{S}</p></div>'+NAV + ARTICLE + f'<div class="newsletter"><p>{S}</p><form><input></form></div>' + FOOT,
+    'dialog': f'<div role="dialog"><p>{S}</p></div>'+NAV + ARTICLE + FOOT,
+    'noscript/template': NAV + f'<noscript><p>{S}</p></noscript>' + ARTICLE + FOOT,
+    'table': NAV + ARTICLE.replace('<ul><li>one item</li><li>two items</li></ul>','<table><tr><td>one item</td><td>two items</td></tr></table>') + FOOT,
+    'blockquote': NAV + ARTICLE.replace('<p>Short.</p>','<blockquote>Short.</blockquote>') + FOOT,
+    'figure': NAV + ARTICLE.replace('<p>Short.</p>','<figure><img src=x><figcaption>Short.</figcaption></figure>') + FOOT,
+    'empty article': NAV + '<article></article>' + FOOT,
+    'only nav': NAV + FOOT,
+    'one para': NAV + f'<article><p>{S}</p></article>' + FOOT,
+    'one word': NAV + '<article><h1>Auxpa.</h1><p>Auxpa.</p></article>' + FOOT,
+    'reader-comments': NAV + ARTICLE + f'<div class="reader-comments"><div class="c"><b>Ann</b> {S}</div></div>' + FOOT,
+    'alert': f'<div class="alert alert-info">{S}</div>'+NAV + ARTICLE + FOOT,
+    'breadcrumb': NAV + f'<div class="breadcrumb"><a href=/>Home</a> / <a href=/>B</a></div>' + ARTICLE + FOOT,
+}
+SHORT = {"empty article": "", "only nav": "", "one para": S, "one word": "Auxpa.\nAuxpa."}
+
+
+@pytest.mark.parametrize("name", sorted(VARIANTS))
+def test_parts_around_and_inside_an_article(model, name):
+    page = f"<!DOCTYPE html><html><head><title>The title here</title><script>var t='</p>';</script></head><body>{VARIANTS[name]}</body></html>"
+    assert pages.main_text(page, model, {}, {})[0] == SHORT.get(name, WHOLE)
+
 
 def test_training_is_repeatable_and_needs_no_rows():
     kit = page_kit.labelled_pages(40)
