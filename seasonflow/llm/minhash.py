@@ -9,9 +9,12 @@ sample with a probability equal to their weighted Jaccard similarity. Texts that
 
 Texts with the same words are one class from the start. Then each class is compared with the smallest one that it
 meets in any band; links join components. At last every band key that still holds more than one component is settled:
-its members, whatever their number, are dealt into blocks of bounded rows and bytes, each pair of blocks goes to one
-task with the members' texts, and there every two members of different components are compared. A task returns links
-that join components, never pairs that don't; keys with the same members are settled once. So all texts that share a
+its members, whatever their number, are dealt into blocks of bounded rows and bytes, blocks of those outside the
+largest component meet each other and that component's, each pair of blocks goes to one task with the members' texts,
+and there every two members of different components are compared. From keys of more than one block those texts go
+first whose own shingles, which no other text of such keys has, weigh too much for any match: texts that only quote
+the same passage aren't dealt at all. A task returns links that join components, never pairs that don't; keys with
+the same members are settled once. So all texts that share a
 band are compared or joined by links already: texts 0.8 alike miss each other in all of 14 bands of 3 once in 20000
 times, in keys of any size. All comparisons are exact weighted Jaccard similarities.
 
@@ -233,23 +236,81 @@ def settled(texts: list[str], c: np.ndarray, main: int, second: np.ndarray, idf:
     return found
 
 
-def crossing(members: DataFrame, texts: DataFrame, idf, least: float, block: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) between components c that share a key in members(key, doc_id, c, size)."""
+def mixed(members: DataFrame) -> DataFrame:
+    """Keys of members(key, doc_id, c, size) that hold several components: (key, main, n, size, main_n, main_size), main being the largest one.
+
+    Of keys with the same members, one.
+    """
     counts = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"))
     keys = counts.groupBy("key").agg(
-        F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+        F.max(F.struct("n", "c", "size")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"),
         F.bit_xor("who").alias("who")
     )
-    # of keys with the same members, one
-    keys = keys.where("parts > 1").groupBy("n", "size", "who").agg(F.min(F.struct("key", "main")).alias("k"))
-    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_bytes))).cast("int")
-    keys = cut(keys.select("k.*", blocks.alias("blocks")), "mixed")
-    placed = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("p"), F.greatest(o, "own").alias("q")))
-    dealt = placed.select("key", "main", "doc_id", "c", "own", F.explode(pairs).alias("at")).select(
-        "key", "main", "doc_id", "c", "at.*", (F.col("own") > F.col("at.p")).alias("second")
+    one = F.min(F.struct("key", F.col("m.c").alias("main"), F.col("m.n").alias("main_n"), F.col("m.size").alias("main_size"))).alias("k")
+    return keys.where("parts > 1").groupBy("n", "size", "who").agg(one).select("k.*", "n", "size")
+
+
+def unmatched(texts: DataFrame, idf, least: float) -> DataFrame:
+    """(doc_id) of texts(doc_id, text) that hold too much which no other of them holds to be `least` alike to any of them.
+
+    What a text shares with another one is at most its weight without the shingles that it alone has, and both
+    together weigh no less than the text. So the search loses no pair.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, own = Words(), idf.value
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["text"]):
+                h, w = shingles(words(t), own)
+                yield pd.DataFrame({"doc_id": np.full(len(h), i), "h": h.view(np.int64), "share": (w / w.sum()).astype(np.float32)})
+
+    held = texts.select("doc_id", "text").mapInPandas(listed, "doc_id long, h long, share float")
+    lone = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("share").alias("share")).where("n = 1")
+    # shares are rounded to floats; the slack is wider than their sum's error
+    return lone.groupBy("doc_id").agg(F.sum("share").alias("share")).where(F.col("share") > 1 - least + 1e-3).select("doc_id")
+
+
+def dealt_members(members: DataFrame, texts: DataFrame, idf, least: float, block: int, block_bytes: int) -> DataFrame:
+    """(key, p, q, main, doc_id, c, second): members of mixed keys, once for each task (key, p, q) that they go to.
+
+    A key's largest component is its main one; the others are its rest. Blocks of the rest meet each other and those
+    of main, blocks of main don't meet. Task (p, p) holds block p of the rest and block 0 of main, (p, q > p) two
+    blocks of the rest, (p, -j) block p of the rest and block j of main. From keys of more than one block those
+    members go first that no other member of such a key can match.
+    """
+    in_blocks = lambda n, size: F.least(n, F.greatest(F.ceil(n / block), F.ceil(size / block_bytes))).cast("int")
+    keys = cut(mixed(members), "mixed")
+    crowded = keys.where(in_blocks(F.col("n"), F.col("size")) > 1).select("key")
+    if not crowded.isEmpty():
+        in_mixed = cut(members.join(keys.select("key"), "key"), "mixed")
+        ids = in_mixed.join(crowded, "key", "left_semi").select("doc_id").distinct()
+        lone = cut(unmatched(texts.join(ids.hint("merge"), "doc_id", "left_semi"), idf, least), "lone")
+        gone = in_mixed.join(crowded, "key", "left_semi").join(lone, "doc_id").select("key", "doc_id")
+        members = cut(in_mixed.join(gone, ["key", "doc_id"], "left_anti").select("key", "doc_id", "c", "size"), "matched")
+        keys = cut(mixed(members), "mixed")
+    keys = keys.select(
+        "key", "main", in_blocks(F.col("n") - F.col("main_n"), F.col("size") - F.col("main_size")).alias("rest_blocks"),
+        in_blocks(F.col("main_n"), F.col("main_size")).alias("main_blocks")
+    )
+    is_main = F.col("c") == F.col("main")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("rest_blocks")).cast("long")).cast("int")
+    task = lambda p, q, second: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), second.alias("second"))
+    rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    beyond = F.filter(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: j > 0)
+    of_rest = F.concat(
+        F.transform(rest, lambda o: task(F.least(o, "own"), F.greatest(o, "own"), F.col("own") > o)),
+        F.transform(beyond, lambda j: task(F.col("own"), -j, F.lit(False)))
     )
-    held = cut(dealt, "dealt").join(texts, "doc_id")
+    of_main = F.transform(rest, lambda o: F.when(F.col("own") == 0, task(o, o, F.lit(False))).otherwise(task(o, -F.col("own"), F.lit(True))))
+    placed = members.join(keys, "key").withColumn("own", own)
+    return placed.select("key", "main", "doc_id", "c", F.explode(F.when(is_main, of_main).otherwise(of_rest)).alias("at")).select(
+        "key", "main", "doc_id", "c", "at.*"
+    )
+
+
+def crossing(members: DataFrame, texts: DataFrame, idf, least: float, block: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between components c that share a key in members(key, doc_id, c, size)."""
+    held = cut(dealt_members(members, texts, idf, least, block, block_bytes), "dealt").join(texts, "doc_id")
 
     def settle(g: pd.DataFrame) -> pd.DataFrame:
         ids = g["doc_id"].to_numpy()

@@ -776,3 +776,52 @@ def test_document_queries_on_odd_rows(spark, tmp_path, name):
 
 def test_fresh(spark):
     assert fresh(spark.range(1).select(F.lit(1).alias("A"), F.lit(2).alias("a_")), "a") == "a__"
+
+
+@pytest.mark.parametrize("share", [0, 6])
+def test_rows_dealt_in_crowded_keys_grow_with_their_members(spark, share):
+    """Texts that quote one passage, a few of them with a near copy; share is the number of members of a component beside them."""
+    dealt = []
+    for n in (400, 800, 1600):
+        common, rows = prose(999, 40), []
+        for k in range(n):
+            own = prose(5000 + k, 60).split()
+            rows.append((len(rows), common + " " + " ".join(own)))
+            if k % 100 == 0:
+                own[30] = "edited"
+                rows.append((len(rows), common + " " + " ".join(own)))
+        first = len(rows)
+        rows += [(first + k, prose(4999, 100)) for k in range(share)]
+        df = spark.createDataFrame(rows, DOC)
+        idf = spark.sparkContext.broadcast(minhash.smoothed_idf(*minhash.document_frequencies(df)))
+        members = df.select(F.lit(1).cast("long").alias("key"), "doc_id", F.least("doc_id", F.lit(first)).cast("long").alias("c"), F.length("text").cast("long").alias("size"))
+        dealt.append(minhash.dealt_members(members, df, idf, 0.8, 64, 1 << 22).count())
+        links = {tuple(sorted((r.a, r.b))) for r in minhash.crossing(members, df, idf, 0.8, 64, 1 << 22).collect()}
+        assert links == {(101 * k, 101 * k + 1) for k in range(n // 100)}
+    assert all(b < 2.5 * a for a, b in zip(dealt, dealt[1:])), dealt
+
+
+def test_rest_meets_the_whole_main_component(spark):
+    """A main component over several blocks and a rest over several: every link between them, and within the rest, is found."""
+    rnd, words, rows = random.Random(5), prose(1, 200).split(), []
+    for k in range(40):
+        w = list(words)
+        for at in rnd.sample(range(len(w)), rnd.randrange(1, 5)):
+            w[at] = f"edit{rnd.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    idf = minhash.smoothed_idf(*minhash.document_frequencies(spark.createDataFrame(rows, DOC)))
+    own = [minhash.shingles(minhash.Words()(t), idf) for _, t in rows]
+    shared = spark.sparkContext.broadcast(idf)
+    df = spark.createDataFrame(rows, DOC)
+    members = df.select(F.lit(1).cast("long").alias("key"), "doc_id", F.when(F.col("doc_id") < 22, 0).otherwise(F.col("doc_id")).cast("long").alias("c"), F.length("text").cast("long").alias("size"))
+    got = {(r.a, r.b) for r in minhash.crossing(members, df, shared, 0.8, 4, 1 << 22).collect()}
+
+    def joined(links):
+        label = {i: 0 if i < 22 else i for i in range(40)}
+        for a, b in links:
+            x, y = sorted((label[a], label[b]))
+            label = {i: x if c == y else c for i, c in label.items()}
+        return label
+
+    pairs = [(a, b) for a in range(40) for b in range(a) if minhash.similarity(own[a], own[b]) >= 0.8]
+    assert joined(got) == joined(pairs) and all(minhash.similarity(own[a], own[b]) >= 0.8 for a, b in got)
