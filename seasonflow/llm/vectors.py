@@ -95,7 +95,6 @@ def centres(vectors: DataFrame, k: int, n: int, d: int, seed_rows: int, rounds:
 def assign(vectors: DataFrame, c: np.ndarray, threshold: float, kind: str) -> DataFrame:
     """Rows (key, v, w, cell, home, visits): one in the vector's own cell, which lists the cells that it visits, and one in each of those."""
     reach = math.sin(math.acos(threshold) / 2) + EPS
-    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-30))
     step = max(16, (1 << 22) // len(c))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +103,10 @@ def assign(vectors: DataFrame, c: np.ndarray, threshold: float, kind: str) -> Da
                 b = all_.slice(at, step)
                 s = unit(rows_of(b.column("v"))) @ c.T
                 own, every = s.argmax(1), np.arange(len(s))
-                near = (s[every, own][:, None] - s) / gap[own] <= reach
+                home, at_home = np.unique(own, return_inverse=True)
+                # distances from the batch's own centres; those between all centres would grow with their square
+                gap = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 1e-30))
+                near = (s[every, own][:, None] - s) / gap[at_home] <= reach
                 near[every, own] = True
                 row, cell = np.nonzero(near)
                 resident = cell == own[row]
@@ -179,8 +181,8 @@ def near_duplicates(
     """One row per row of df: (id, n_links, component_id, kept); one vector of each group of linked ones is kept.
 
     block: residents in a block, by default a PARTS-th of the distinct vectors within the bounds above; cells: their
-    number, by default so many that one holds about a block. Centres are fitted on about 20000 vectors; they are the
-    only thing that goes to every task.
+    number, by default so many that one holds about a block. Centres are fitted on about 20000 vectors, or 8 for each
+    centre where that is more; they are the only thing that goes to every task.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     kind = rows.schema["v"].dataType.simpleString()
@@ -193,7 +195,8 @@ def near_duplicates(
     d, n = lengths[0].d, lengths[0].n
     block = block or max(LEAST_BLOCK, min(n // PARTS, MOST_BLOCK, BLOCK_BYTES // (8 * d)))
     common = distinct.where(F.col("d") == d)
-    c = centres(common, max(1, cells or n // block), n, d, seed_rows=20_000)
+    k = max(1, cells or n // block)
+    c = centres(common, k, n, d, seed_rows=max(20_000, 8 * k))
     apart = distinct.where(F.col("d") != d).select(
         "key", "v", "w", (-F.col("d")).cast("long").alias("cell"), (-F.col("d")).cast("long").alias("home"),
         F.array().cast("array<int>").alias("visits")
