@@ -55,11 +55,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def unit_hash(*cols: str) -> Column:
+def unit_hash(*cols: str | Column) -> Column:
     """A deterministic number in [0, 1) from the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
 
 
+def drawn_rows(rows: DataFrame, text_col: str, most_rows: int, most_bytes: int, salt: int) -> DataFrame:
+    """Of the distinct rows about most_rows, and about most_bytes of text_col, drawn by a hash of the whole row.
+
+    So an id that stands in many rows is drawn row by row; with no more rows and bytes than that, all distinct rows stay.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    share = min(1.0, most_rows / max(total.n, 1), most_bytes / max(total.bytes or 0, 1))
+    return rows.where(unit_hash(*rows.columns, F.lit(salt)) < share).distinct()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -144,18 +144,20 @@ class Coder:
         return named, score, excess
 
 
-def train(docs: DataFrame, docs_per_language: int = 250) -> dict[str, list]:
-    """A tree for each language from about docs_per_language whole texts, drawn by a hash of the id.
+def train(docs: DataFrame, docs_per_language: int = 250, bytes_per_language: int = 1 << 24) -> dict[str, list]:
+    """A tree for each language from about docs_per_language whole texts of about bytes_per_language at most.
 
-    Rows whose crc32(doc_id) is divisible by 5 and rows without a language are never used.
+    They are drawn by a hash of id and text, row by row, and equal rows once. Rows whose crc32(doc_id) is divisible
+    by 5 and rows without a language are never used.
     """
-    rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(docs_per_language / n))])
+    shares = {r.lang: min(docs_per_language / r.n, bytes_per_language / max(r.bytes, 1)) for r in sizes}
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
     drawn: dict[str, list[str]] = {}
-    for r in rows.where(unit_hash("doc_id", F.lit(2)) < share[F.col("lang")]).select("lang", "text").collect():
+    for r in rows.where(unit_hash("doc_id", "text", F.lit(2)) < share[F.col("lang")]).distinct().collect():
         drawn.setdefault(r.lang, []).append(r.text)
     return {k: grow(v) for k, v in drawn.items()}
 

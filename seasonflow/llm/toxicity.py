@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from seasonflow.llm.common import added_up, is_held_out, unit_hash
+from seasonflow.llm.common import added_up, drawn_rows, is_held_out, unit_hash
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -137,29 +137,31 @@ def fit_nnpu(x: np.ndarray, is_toxic: np.ndarray, prior: float, steps: int = 600
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlabelled: int = 5000, prior: float | None = None) -> dict:
-    """Fit on about most_toxic confirmed texts, drawn by a hash of the id, and on all texts as unlabelled ones.
+def train(
+    docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_unlabelled: int = 5000, prior: float | None = None, most_bytes: int = 1 << 26
+) -> dict:
+    """Fit on about most_toxic confirmed texts, drawn by a hash of the id and then of the row, and on all texts as unlabelled ones.
 
     The features of the confirmed texts are counted over all documents; only the weights of the logistic classifier,
-    six numbers, come from a sample of about most_unlabelled texts. Rows whose crc32(doc_id) is divisible by 5 are
+    six numbers, come from a sample of about most_unlabelled texts. Either sample holds about most_bytes at most. Rows whose crc32(doc_id) is divisible by 5 are
     never used. prior defaults to the toxic share of the labelled rows outside the held-out fold. Labels are reduced
     to one row per doc_id, toxic if any of its rows says so.
     """
     own = labels.where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     tally = own.agg(F.count("toxic").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("t")).first()
     rows = docs.where(~is_held_out()).select("doc_id", "text")
-    n_docs = rows.count()
     if prior is None:
         prior = tally.t / tally.n if tally.n else 0.0
-    if not tally.t or not n_docs:
+    if not tally.t or rows.isEmpty():
         return unfitted(prior)
     prior = min(max(prior, 1e-3), 0.9)
     toxic_ids = own.where((F.col("toxic") == 1) & (unit_hash("doc_id") < most_toxic / tally.t)).select("doc_id")
-    # about most_toxic ids
-    toxic = [r.text or "" for r in rows.join(F.broadcast(toxic_ids), "doc_id", "left_semi").select("text").collect()]
-    drawn = rows.where(unit_hash("doc_id", F.lit(1)) < most_unlabelled / n_docs)
+    # about most_toxic ids; twice that many rows leave room where ids don't repeat
+    confirmed = drawn_rows(rows.join(F.broadcast(toxic_ids), "doc_id", "left_semi"), "text", 2 * most_toxic, most_bytes, 3)
+    toxic = [r.text or "" for r in confirmed.collect()]
+    drawn = [r.text or "" for r in drawn_rows(rows, "text", most_unlabelled, most_bytes, 1).collect()]
     features = sorted(f for f, n in hits(toxic).items() if n >= LEAST_TEXTS)
-    return fit(toxic, [r.text or "" for r in drawn.select("text").collect()], *corpus_hits(rows, features), prior)
+    return fit(toxic, drawn, *corpus_hits(rows, features), prior)
 
 
 def unfitted(prior: float) -> dict:

@@ -174,6 +174,27 @@ def test_excess_tells_unknown_scripts_from_short_texts(spark):
     assert all(abs(got[i] - excess[i]) < 1e-6 for i in got)
 
 
+def test_samples_are_bounded_where_an_id_repeats(spark, monkeypatch):
+    """3000 rows of one id: about as many texts are learned from as were asked for, of about as many bytes."""
+    rows = [(1, f"{prose(k, 20)} vilex", "en") for k in range(3000)] + [(2, "der hund", "de")] * 500
+    docs = spark.createDataFrame(rows, DOC + ", lang string")
+    learned = []
+    monkeypatch.setattr(language, "grow", lambda texts: learned.append(texts) or [])
+    language.train(docs)
+    assert sorted(len(x) for x in learned)[0] <= 1 and 150 < max(map(len, learned)) < 350
+    learned.clear()
+    language.train(docs, bytes_per_language=10_000)
+    assert all(sum(map(len, x)) < 20_000 for x in learned)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, drawn, *rest: seen.append((toxic, drawn)))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, most_toxic=100, most_unlabelled=300)
+    toxicity.train(docs, labels, most_bytes=20_000)
+    (toxic, drawn), (few, fewer) = seen
+    assert 120 < len(toxic) < 300 and 150 < len(drawn) < 450
+    assert 0 < sum(map(len, few)) < 40_000 and 0 < sum(map(len, fewer)) < 40_000
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = registry.op2_ppm_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
