@@ -100,3 +100,17 @@ def test_mixing_keeps_every_row_in_mix_order(spark, sf):
     slot = {r.doc_id: r.due if r.slot is None else r.slot for r in cp.mixing.mixed(df).collect()}
     places = [slot[r["doc_id"]] for r in got if r["doc_id"] is not None]
     assert places == sorted(places)
+
+
+def test_unknown_languages_go_whatever_their_length(spark, sf):
+    """Known languages stay, junk and single words among them; scripts that no language has go, short and long."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    known = [r.text for r in docs.where("lang is not null and text rlike '[a-z]'").collect()]
+    strange = ["日本語", "日本語のテキスト " * 3, "日本語のテキスト " * 300, "Привет", "Привет, мир! " * 200]
+    short = [t.split()[0] for t in known if t.split()[0].isalpha()][:100]
+    rows = [(10**9 + k, t, None, "x", len(t)) for k, t in enumerate(strange + short)]
+    kept = cp.drop_unknown_language(spark, docs.unionByName(spark.createDataFrame(rows, COLS)), sf)
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert not any(10**9 + k in got for k in range(len(strange)))
+    assert all(10**9 + len(strange) + k in got for k in range(len(short)))
+    assert sorted(t for i, t in got.items() if i < 10**9 and t in set(known)) == sorted(known)
