@@ -15,8 +15,10 @@ from seasonflow.llm import byte_bpe, language, minhash, mixing, toxicity
 from seasonflow.llm.common import cut, fresh, read
 
 TOXIC_FROM = 0.5
-#: A text whose best code is longer than its plain bytes by more bits than this is in none of the languages.
-UNEXPLAINED_BITS = 512.0
+#: A text is in none of the languages where its best code is longer than its plain bytes by more than UNEXPLAINED_RATE bits
+#: a byte; UNEXPLAINED_BITS are for its first bytes, which have no context. Texts of known languages take 4 to 6 bits a
+#: byte less than plain ones, those of other scripts about 10 more.
+UNEXPLAINED_RATE, UNEXPLAINED_BITS = 1.0, 8.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents in which a language is found: those whose text is null, has no letter, or isn't explained by any language go."""
     own = fresh(docs, "found")
     named = language.identify(docs, language.train(docs), out=own)
-    return named.where((F.col(f"{own}.lang_pred") != "und") & (F.col(f"{own}.excess") <= UNEXPLAINED_BITS)).drop(own)
+    explained = F.col(f"{own}.excess") <= UNEXPLAINED_BITS + UNEXPLAINED_RATE * F.octet_length("text")
+    return named.where((F.col(f"{own}.lang_pred") != "und") & explained).drop(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
