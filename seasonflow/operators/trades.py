@@ -98,21 +98,28 @@ def trade_path(df: DataFrame, bars: DataFrame) -> DataFrame:
     close, 0 on a day without a bar of the symbol; held goes on from the last bar instead, as options and spreads are
     valued. Trades without an entry bar, or entered on the last day of all, have no path.
 
-    Trades and trading days meet by (symbol, month), so a symbol's days are dealt over many keys.
+    The days ahead of an entry are found once for all trades entered there, by (symbol, month), so a symbol's days are
+    dealt over many keys. Trades meet them by (symbol, date) and unfold in place: what follows by trade needs no shuffle
+    of paths. The number of parts is stated, as Spark would merge them by their sizes before they unfold.
     """
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bars = written(bars.select("symbol", "date", "close"), "closes")
     days = written(calendar(bars), "calendar")
     at = bars.select("symbol", "date", F.col("close").alias("entry_close"))
     begun = with_exit_date(df).join(F.broadcast(days.toDF("date", "_entry", "_next")), "date").join(at, ["symbol", "date"])
     begun = begun.where("entry_close > 0 and _next is not null").withColumn("_until", F.greatest("exit_date", "_next")).drop("_next")
     trades = written(begun, "begun")
-    open_ = trades.withColumn("_m", F.explode(F.sequence(month_number("date"), month_number("_until"))))
+    open_ = trades.groupBy("symbol", "date").agg(F.max("_until").alias("_until")).withColumn("_m", F.explode(F.sequence(month_number("date"), month_number("_until"))))
     filled = filled_bars(bars, open_.select("symbol", "_m").distinct(), days).toDF("symbol", "_m", "bar_date", "_idx", "bar_close", "_last_close")
-    p = open_.join(filled, ["symbol", "_m"]).where((F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("_until")))
+    ahead = open_.join(filled, ["symbol", "_m"]).where((F.col("bar_date") > F.col("date")) & (F.col("bar_date") <= F.col("_until")))
+    ahead = ahead.groupBy("symbol", "date").agg(F.collect_list(F.struct("bar_date", "_idx", "bar_close", "_last_close")).alias("_ahead"))
+    p = trades.repartition(parts, "symbol", "date").join(ahead.hint("merge"), ["symbol", "date"])
+    p = p.withColumn("_ahead", F.filter("_ahead", lambda d: d["bar_date"] <= F.col("_until"))).withColumn("last", F.size("_ahead"))
+    p = p.select(*[c for c in p.columns if c != "_ahead"], F.inline("_ahead"))
     sign = F.when(F.col("direction") == "l", 1).otherwise(-1)
     since = lambda c: F.coalesce(sign * (F.col(c) / F.col("entry_close") - 1), F.lit(0.0))
     p = p.withColumns({"t": F.col("_idx") - F.col("_entry"), "cum": since("bar_close"), "held": since("_last_close")})
-    return p.withColumn("last", F.count(F.lit(1)).over(Window.partitionBy(*TRADE)).cast("int")).drop("_m", "_entry", "_until", "_idx", "_last_close")
+    return p.drop("_entry", "_until", "_idx", "_last_close")
 
 
 def carried(path: DataFrame) -> DataFrame:
@@ -128,30 +135,25 @@ def upto(column: Column, func=F.max, before: bool = False) -> Column:
 Rules = list[tuple[str, Column, Column]]
 
 
-def first_triggers(path: DataFrame, sets: dict[str, Rules]) -> DataFrame:
+def first_triggers(path: DataFrame, sets: dict[str, Rules], last: dict[str, Column] | None = None) -> DataFrame:
     """One row per trade and set of rules: rule, exit_t, exit_return, reason of the first day on which one fires; earlier rules go first in a day.
 
-    sets: name -> [(reason, condition, return)]. The last day's own return is the last rule of each. All sets are
-    resolved in one pass over the path.
+    sets: name -> [(reason, condition, return)]. The last day's own return, `last` of the set or cum, is the last rule of
+    each. All sets are resolved in one pass over the path, by the least day times rules plus rule.
     """
-
-    def hit(rules: Rules) -> Column:
-        rules = [*rules, ("expiry", F.col("t") >= F.col("last"), F.col("cum"))]
-        fired = F.array(*[
-            F.when(
-                F.coalesce(cond, F.lit(False)),
-                F.struct(F.col("t").alias("t"), F.lit(i).alias("i"), ret.cast("double").alias("r"), F.lit(name).alias("name"))
-            )
-            for i, (name, cond, ret) in enumerate(rules)
-        ])
-        return F.array_min(F.filter(fired, lambda h: h.isNotNull()))
-
-    one = path.groupBy(*TRADE).agg(*[F.min(hit(rules)).alias(f"_{k}") for k, rules in enumerate(sets.values())])
-    rows = F.array(*[F.struct(
-        F.lit(name).alias("rule"), F.col(f"_{k}.t").alias("exit_t"), F.col(f"_{k}.r").alias("exit_return"),
-        F.col(f"_{k}.name").alias("reason")
-    ) for k, name in enumerate(sets)])
-    return one.select(*TRADE, F.inline(rows))
+    sets = {name: [*rules, ("expiry", F.col("t") >= F.col("last"), (last or {}).get(name, F.col("cum")))] for name, rules in sets.items()}
+    first = {f"_i{k}": F.coalesce(*[F.when(cond, F.lit(i)) for i, (_, cond, _) in enumerate(rules)]) for k, rules in enumerate(sets.values())}
+    p, aggs, rows = path.withColumns(first), [], []
+    for k, (name, rules) in enumerate(sets.items()):
+        n, chosen = len(rules), lambda at, values: F.coalesce(*[F.when(at == i, x) for i, x in enumerate(values)])
+        at = F.col("t").cast("long") * n + F.col(f"_i{k}")
+        aggs += [F.min(at).alias(f"_at{k}"), F.min_by(chosen(F.col(f"_i{k}"), [ret.cast("double") for _, _, ret in rules]), at).alias(f"_r{k}")]
+        i = F.col(f"_at{k}") % n
+        rows.append(F.struct(
+            F.lit(name).alias("rule"), ((F.col(f"_at{k}") - i) / n).cast("int").alias("exit_t"), F.col(f"_r{k}").alias("exit_return"),
+            chosen(i, [F.lit(reason) for reason, _, _ in rules]).alias("reason")
+        ))
+    return p.groupBy(*TRADE).agg(*aggs).select(*TRADE, F.inline(F.array(*rows)))
 
 
 def first_trigger(path: DataFrame, rules: Rules) -> DataFrame:
@@ -161,10 +163,10 @@ def first_trigger(path: DataFrame, rules: Rules) -> DataFrame:
 
 def with_marks(path: DataFrame, predicted: Column) -> DataFrame:
     """path with hwm, the running maximum of 0 and cum; reached and reached_before, whether it has met the predicted return; stop, half the excess."""
-    p = path.withColumn("predicted", predicted).withColumn("hwm", F.greatest(upto(F.col("cum")), F.lit(0.0)))
-    p = p.withColumn("_r", F.when(F.col("cum") >= F.col("predicted"), 1).otherwise(0))
-    p = p.withColumn("reached", upto(F.col("_r")) == 1).withColumn("reached_before", F.coalesce(upto(F.col("_r"), before=True), F.lit(0)) == 1)
-    return p.withColumn("stop", F.col("predicted") + (F.col("hwm") - F.col("predicted")) * 0.5).drop("_r")
+    p = path.withColumn("predicted", predicted).withColumns({"_top": upto(F.col("cum")), "_before": upto(F.col("cum"), before=True)})
+    met = lambda c: F.coalesce(F.col(c) >= F.col("predicted"), F.lit(False))
+    p = p.withColumns({"hwm": F.greatest("_top", F.lit(0.0)), "reached": met("_top"), "reached_before": met("_before")})
+    return p.withColumn("stop", F.col("predicted") + (F.col("hwm") - F.col("predicted")) * 0.5).drop("_top", "_before")
 
 
 def exit_hold(path: DataFrame) -> DataFrame:
@@ -210,20 +212,30 @@ def premium(strike: str, expiry: str, volatility: str = "IL") -> float:
     return PREMIUMS[strike] * EXPIRIES[expiry][2] * VOLATILITIES[volatility][0]
 
 
-def option_path(path: DataFrame, strike: str, dte: Column) -> DataFrame:
-    """path with opt, the option's gain over its premium by day, never below -1, and dte_left.
+def option_paths(path: DataFrame, options: dict[str, tuple[str, Column]]) -> DataFrame:
+    """path with opt and dte_left, each followed by the option's name, for several options: name -> (strike, days to expiry).
 
-    Each day adds the stock's move times delta and leverage less a root-of-time decay. A running sum with a floor equals
-    the plain running sum plus what its minimum falls short of the floor.
+    opt is the option's gain over its premium by day, never below -1. Each day adds the stock's move times delta and
+    leverage less a root-of-time decay. A running sum with a floor equals the plain running sum plus what its minimum
+    falls short of the floor. All options share the sort by trade and day.
     """
-    delta, leverage, value, cost = STRIKES[strike]
-    left = F.greatest(F.col("dte") - (F.col("t") - 1), F.lit(1))
-    decay = (F.sqrt(left / F.col("dte")) - F.sqrt((left - 1) / F.col("dte"))) * value
     w = Window.partitionBy(*TRADE).orderBy("t")
-    p = path.withColumn("dte", dte.cast("double")).withColumn("_move", F.col("cum") - F.coalesce(F.lag("cum").over(w), F.lit(0.0)))
-    p = p.withColumn("dte_left", left).withColumn("_d", F.col("_move") * (delta * leverage) - decay + F.when(F.col("t") == 1, -cost / 2).otherwise(0.0))
-    p = p.withColumn("_s", upto(F.col("_d"), F.sum))
-    return p.withColumn("opt", F.col("_s") + F.greatest(F.lit(0.0), -1 - upto(F.col("_s"), F.min))).drop("_move", "_d", "_s")
+    p = path.withColumn("_move", F.col("cum") - F.coalesce(F.lag("cum").over(w), F.lit(0.0))).withColumns({f"dte{n}": dte.cast("double") for n, (_, dte) in options.items()})
+    p = p.withColumns({f"dte_left{n}": F.greatest(F.col(f"dte{n}") - (F.col("t") - 1), F.lit(1)) for n in options})
+    gain = {}
+    for n, (strike, _) in options.items():
+        delta, leverage, value, cost = STRIKES[strike]
+        left, dte = F.col(f"dte_left{n}"), F.col(f"dte{n}")
+        decay = (F.sqrt(left / dte) - F.sqrt((left - 1) / dte)) * value
+        gain[f"_d{n}"] = F.col("_move") * (delta * leverage) - decay + F.when(F.col("t") == 1, -cost / 2).otherwise(0.0)
+    p = p.withColumns(gain).withColumns({f"_s{n}": upto(F.col(f"_d{n}"), F.sum) for n in options})
+    p = p.withColumns({f"opt{n}": F.col(f"_s{n}") + F.greatest(F.lit(0.0), -1 - upto(F.col(f"_s{n}"), F.min)) for n in options})
+    return p.drop("_move", *gain, *[f"_s{n}" for n in options])
+
+
+def option_path(path: DataFrame, strike: str, dte: Column) -> DataFrame:
+    """option_paths of a single option: opt, dte and dte_left."""
+    return option_paths(path, {"": (strike, dte)})
 
 
 def option_result(opt: Column, strike: str) -> Column:
@@ -231,27 +243,35 @@ def option_result(opt: Column, strike: str) -> Column:
     return F.greatest(opt - STRIKES[strike][3] / 2, F.lit(-1.0))
 
 
-def option_rules(rule: str, atr: Column | None = None) -> Rules:
+def option_rules(rule: str, atr: Column | None = None, name: str = "") -> Rules:
     """ES: premium stop at -40 %. EC: -50 %, trail on the stock, decay near expiry. EM, ET: as for stocks. EA: -50 %, ATR trail, decay."""
-    trail = ("mfe_trail", F.col("reached") & (F.col("stock") <= F.col("stop")), F.col("opt"))
-    decay = ("theta_exit", (F.col("dte_left") <= 5) & (F.col("opt") < 0), F.col("opt"))
-    stop = lambda at: ("premium_stop", F.col("opt") <= at, F.lit(at))
+    opt = F.col(f"opt{name}")
+    trail = ("mfe_trail", F.col("reached") & (F.col("cum") <= F.col("stop")), opt)
+    decay = ("theta_exit", (F.col(f"dte_left{name}") <= 5) & (opt < 0), opt)
+    stop = lambda at: ("premium_stop", opt <= at, F.lit(at))
     if rule == "ES":
         return [stop(-0.40)]
     if rule == "EC":
         return [stop(-0.50), trail, decay]
     if rule == "ET":
-        return [("time_limit", (F.col("t") >= F.floor(F.col("last") * 0.6)) & ~F.col("reached_before"), F.col("opt")), trail]
+        return [("time_limit", (F.col("t") >= F.floor(F.col("last") * 0.6)) & ~F.col("reached_before"), opt), trail]
     if rule.startswith("EA"):
         k = int(rule[2:] or 20) / 10
-        return [stop(-0.50), ("atr_trail", (F.col("stock") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2), F.col("opt")), decay]
+        return [stop(-0.50), ("atr_trail", (F.col("cum") <= F.col("hwm") - k * atr_or_default(atr)) & (F.col("t") >= 2), opt), decay]
     return [trail]
 
 
-def exit_options(path: DataFrame, rules: list[str], predicted: Column, atr: Column | None = None) -> DataFrame:
-    """Exits of an option path by several rules in one pass; a column `rule` names them."""
-    p = with_marks(path, predicted).withColumn("stock", F.col("cum")).withColumn("cum", F.col("opt"))
-    return first_triggers(p, {rule: option_rules(rule, atr) for rule in rules})
+def exit_options(path: DataFrame, rules: dict[str, list[str]] | list[str], predicted: Column, atr: Column | None = None) -> DataFrame:
+    """Exits by several rules in one pass over a path of one option or, with rules by option name, of several; `rule` names them.
+
+    With several options the name and the rule stand in `option` and `rule`.
+    """
+    several = isinstance(rules, dict)
+    sets = {f"{name} {rule}": (name, rule) for name, own in (rules if several else {"": rules}).items() for rule in own}
+    own, last = {k: option_rules(rule, atr, name) for k, (name, rule) in sets.items()}, {k: F.col(f"opt{name}") for k, (name, _) in sets.items()}
+    out = first_triggers(with_marks(path, predicted), own, last)
+    both = F.split("rule", " ")
+    return out.withColumns({"option": both[0], "rule": both[1]} if several else {"rule": both[1]})
 
 
 def exit_option(path: DataFrame, rule: str, predicted: Column, atr: Column | None = None) -> DataFrame:

@@ -79,3 +79,18 @@ def test_events_inside_by_month(spark):
     got = tr.with_event_flag(df, ev)
     assert sorted((r.symbol, r.date, r.holding_days, r.has_event) for r in got.collect()) == sorted((*t[:3], w) for t, w in zip(trades, want))
     assert tr.without_events(df, ev).count() == want.count(False)
+
+
+def test_several_options_in_one_pass(spark):
+    rnd = random.Random(5)
+    closes = {("a", day(n)): 10 + rnd.random() for n in range(60)}
+    trades = spark.createDataFrame([("a", day(n), h, w) for n in range(0, 30, 3) for h in (5, 20) for w in "ls"], "symbol string, date date, holding_days int, direction string")
+    bars = spark.createDataFrame([(s, d, c) for (s, d), c in closes.items()], "symbol string, date date, close double")
+    path = tr.carried(tr.trade_path(trades, bars))
+    options = {"one": ("D60", F.col("holding_days") * 2), "two": ("D40", F.col("holding_days") + 10)}
+    rules = {"one": ["ES", "EC", "EA20"], "two": ["EM", "ET", "EC"]}
+    rows = lambda df: {(*r[:4], r.rule): (r.exit_t, r.exit_return, r.reason) for r in df.select(*tr.TRADE, "rule", "exit_t", "exit_return", "reason").collect()}
+    both = tr.exit_options(tr.option_paths(path, options), rules, F.lit(0.02), F.lit(0.03)).persist()
+    for name, (strike, dte) in options.items():
+        alone = tr.exit_options(tr.option_path(path, strike, dte), rules[name], F.lit(0.02), F.lit(0.03))
+        assert rows(both.where(F.col("option") == name)) == rows(alone) and both.where(F.col("option") == name).count() == 120
