@@ -81,6 +81,16 @@ def test_events_inside_by_month(spark):
     assert tr.without_events(df, ev).count() == want.count(False)
 
 
+def test_paths_unfold_where_rules_need_them(spark, sf):
+    """No shuffle of unfolded paths, and one path for both options."""
+    from seasonflow.plans.trades import exit_option_rules, exit_spread_rules
+
+    for query in (exit_option_rules, exit_spread_rules):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("inline(_ahead") == 1, plan
+        assert "Exchange" not in plan[: plan.index("inline(_ahead")], plan
+
+
 def test_several_options_in_one_pass(spark):
     rnd = random.Random(5)
     closes = {("a", day(n)): 10 + rnd.random() for n in range(60)}
