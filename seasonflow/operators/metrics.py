@@ -153,16 +153,24 @@ def global_rank(df: DataFrame, c: str, parts: int = 64, by: list[str] = ()) -> D
     return df.join(r.select(*by, c, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")), [*by, c])
 
 
+def aucs(df: DataFrame, score: str, positives: dict[str, Column], by: list[str]) -> DataFrame:
+    """Areas under the ROC curve by group from rank sums of counted scores, a column for each of positives; 0.5 where a class is missing. The scores are ranked once."""
+    hits = df.groupBy(*by, score).agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(f"_p_{n}") for n, c in positives.items()])
+    g, sums = ranked_counts(df, score, by).join(hits, [*by, score]), []
+    for n in positives:
+        p = F.col(f"_p_{n}")
+        sums += [F.sum(p * (F.col("before") + (F.col("n") + 1) / 2)).alias(f"_r_{n}"), F.sum(F.col("n") - p).alias(f"_q_{n}"), F.sum(p).alias(f"_p_{n}")]
+
+    def value(n: str) -> Column:
+        r, p, q = F.col(f"_r_{n}"), F.col(f"_p_{n}"), F.col(f"_q_{n}")
+        return F.when((p > 0) & (q > 0), (r - p * (p + 1) / 2) / (p * q)).otherwise(0.5)
+
+    return g.groupBy(*by).agg(*sums).select(*by, *[value(n).alias(n) for n in positives])
+
+
 def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by group from rank sums of counted scores; 0.5 where a class is missing."""
-    hits = df.groupBy(*by, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("_p"))
-    g = ranked_counts(df, score, by).join(hits, [*by, score])
-    s = g.groupBy(*by).agg(
-        F.sum(F.col("_p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_r"), F.sum("_p").alias("_p"),
-        F.sum(F.col("n") - F.col("_p")).alias("_q")
-    )
-    value = F.when((F.col("_p") > 0) & (F.col("_q") > 0), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_q"))).otherwise(0.5)
-    return s.select(*by, value.alias("auc"))
+    """aucs of a single class."""
+    return aucs(df, score, {"auc": positive}, by)
 
 
 def above_median(df: DataFrame, c: str, by: list[str]) -> DataFrame:
@@ -172,7 +180,8 @@ def above_median(df: DataFrame, c: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
-    ra = global_rank(df.select(*by, a, b), a, by=by).withColumnRenamed("rank", "_ra")
+    """Rank correlation; the first ranks are written, as the second ones read them twice."""
+    ra = written(global_rank(df.select(*by, a, b), a, by=by).withColumnRenamed("rank", "_ra"), "ranks")
     return global_rank(ra, b, by=by).groupBy(*by).agg(F.corr("_ra", "rank").alias("spearman"))
 
 

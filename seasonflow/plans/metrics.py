@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seasonflow.functions import timeseries as ts
-from seasonflow.functions.core import q, ratio
+from seasonflow.functions.core import q, ratio, written
 from seasonflow.operators import metrics as mt
 from seasonflow.operators import selection as sl
 from seasonflow.operators import trades as tr
@@ -294,12 +294,15 @@ def eval_ensemble_by_member(spark, sf_dir):
 
 
 def by_member(df, names: list[str], year: str):
-    """Regression metrics, both AUCs and the rank correlation of each member's predictions by year."""
+    """Regression metrics, both AUCs and the rank correlation of each member's predictions by year.
+
+    All members have the same rows, so the median is taken by year before they are laid out; that table is written once.
+    """
     by = [year, "member"]
-    d = df.select(year, "actual_return", "actual_mfe", *names).unpivot([year, "actual_return", "actual_mfe"], names, "member", "p")
-    d = mt.above_median(d, "actual_mfe", by)
-    out = mt.regression(d, "p", "actual_return", by).join(mt.auc(d, "p", F.col("actual_return") > 0, by), by)
-    return out.join(mt.auc(d, "p", F.col("is_high"), by).withColumnRenamed("auc", "auc_mfe"), by).join(mt.spearman(d, "p", "actual_return", by), by)
+    d = mt.above_median(df.select(year, "actual_return", "actual_mfe", *names), "actual_mfe", [year])
+    d = written(d.unpivot([year, "actual_return", "is_high"], names, "member", "p"), "members")
+    areas = mt.aucs(d, "p", {"auc": F.col("actual_return") > 0, "auc_mfe": F.col("is_high")}, by)
+    return mt.regression(d, "p", "actual_return", by).join(areas, by).join(mt.spearman(d, "p", "actual_return", by), by)
 
 
 @query(f"""WITH w AS (SELECT y AS val_year FROM (SELECT unnest(range(1998, 2002))::INT AS y))
