@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from seasonflow.functions.core import shared_path
+from seasonflow.functions.core import shared_path, written
 from seasonflow.operators import metrics as mt
 from seasonflow.operators import ml
 from seasonflow.plans.metrics import K, by_member
@@ -17,7 +17,8 @@ TIERS = {"10_19": (10, 19), "20_30": (20, 30)}
 
 
 def data(spark, sf_dir):
-    return ml.with_features(v.candidates(spark, sf_dir))
+    """Candidates with features, written once: fits and scores read them many times, the relational tables once."""
+    return written(ml.with_features(v.candidates(spark, sf_dir)), "candidates")
 
 
 def fit_regressor(spark, sf_dir):
@@ -32,9 +33,9 @@ YEARS = [1998, 1999, 2000, 2001]
 
 def wf_train(spark, sf_dir):
     """Metrics of each member and of their mean by validation year, with the rounds that boosting took there, over expanding windows and those of one cycle phase."""
-    out = None
+    d, out = data(spark, sf_dir), None
     for kind in ("expanding", "same_phase"):
-        p = ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, kind=kind)
+        p = ml.walk_forward(d, "actual_return", YEARS, kind=kind)
         rounds = p.groupBy("val_year").agg(F.max("rounds").alias("rounds"))
         one = by_member(p.select("val_year", "actual_return", "actual_mfe", *ml.MEMBERS, "predicted"), [*ml.MEMBERS, "predicted"], "val_year")
         one = one.join(rounds, "val_year").withColumn("kind", F.lit(kind))

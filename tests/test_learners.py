@@ -84,3 +84,11 @@ def test_windows_of_one_phase_and_of_no_rows(spark, data):
     got = ml.walk_forward(data, "actual_return", [1998, 2000, 2001], kind="same_phase")
     assert {r.val_year for r in got.select("val_year").distinct().collect()} == {2000, 2001}
     assert ml.walk_forward(data.limit(0), "actual_return", [2000]).count() == 0
+
+
+def test_scores_read_the_tables_once(spark, sf):
+    """What a fitted model scores comes from the written candidates."""
+    from seasonflow.plans.learners import fit_regressor
+
+    files = fit_regressor(spark, sf).inputFiles()
+    assert files and not any("lineitem" in f or "part.parquet" in f for f in files)
