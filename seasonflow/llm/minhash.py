@@ -39,6 +39,8 @@ from seasonflow.llm.common import added_up, cut
 from seasonflow.llm.components import components
 
 WORD = re.compile(r"\w+")
+#: Bytes of ASCII texts: what \w doesn't match becomes a space.
+SPACED = bytes(c if chr(c).isalnum() or c == 95 else 32 for c in range(128)) + bytes([32]) * 128
 SHINGLE = 5
 WORD_BUCKETS = 1 << 18
 POOL_BITS = 16
@@ -47,6 +49,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
 
 
+def split_words(text: str) -> list[str]:
+    """The words (\\w+) of text in lower case; ASCII texts take a shorter way."""
+    text = text.lower()
+    return text.encode("ascii").translate(SPACED).decode("ascii").split() if text.isascii() else WORD.findall(text)
+
+
 class Words:
     """Word hashes of texts; remembers the words it has hashed."""
 
@@ -54,7 +62,7 @@ class Words:
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        found, known = WORD.findall(text.lower()), self.known
+        found, known = split_words(text), self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
         try:
@@ -110,16 +118,21 @@ class Sampler:
         self.beta = g.random(n).astype(np.float32)
 
     def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        ln_w = np.log(w).astype(np.float32)[:, None]
-        best, least = None, None
-        for at in range(0, len(h), 4096):
-            part = h[at : at + 4096]
-            i = ((part[:, None] * self.odd) >> np.uint64(64 - POOL_BITS)).astype(np.intp)
-            r, beta = self.r[i], self.beta[i]
-            t = np.floor(ln_w[at : at + 4096] / r + beta)
-            value = self.ln_c[i] - r * (t - beta + 1)
-            row = value.argmin(0)  # hashes are sorted: the first of equals is the smaller hash
-            found, sample = value[row, np.arange(len(self.odd))], part[row] ^ (t[row, np.arange(len(self.odd))].astype(np.int64).astype(np.uint64) * STEP)
+        ln_w = np.log(w).astype(np.float32)
+        best, least, functions = None, None, np.arange(len(self.odd))
+        for at in range(0, len(h), 512):
+            part = h[at : at + 512]
+            i = ((self.odd[:, None] * part) >> np.uint64(64 - POOL_BITS)).view(np.intp)
+            r, beta = self.r.take(i, mode="clip"), self.beta.take(i, mode="clip")
+            t = ln_w[at : at + 512] / r
+            t += beta
+            np.floor(t, t)
+            np.subtract(t, beta, beta)
+            beta += np.float32(1)
+            beta *= r
+            value = np.subtract(self.ln_c.take(i, mode="clip"), beta, r)
+            row = value.argmin(1)  # hashes are sorted: the first of equals is the smaller hash
+            found, sample = value[functions, row], part[row] ^ (t[functions, row].astype(np.int64).astype(np.uint64) * STEP)
             if best is None:
                 best, least = sample, found
             else:
@@ -137,7 +150,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             out[WORD_BUCKETS] += len(b)
             for t in b["text"]:
                 if isinstance(t, str):
-                    out[np.unique(bucket(words(t)))] += 1
+                    out[bucket(words(t))] += 1  # a bucket that stands several times among the indices counts once
         return out
 
     n = added_up(docs.select("text"), count, WORD_BUCKETS + 1)
