@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasonflow.functions.core import q
@@ -78,13 +78,35 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(*own, "b.*")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One candidate per (symbol, date, days_out, direction); returns are in percent."""
-    t = ticks(spark, sf_dir).withColumn("holding_days", (10 + F.col("l_orderkey") % 21).cast("int")).withColumn(
-        "direction", F.when(F.col("l_linestatus") == "F", "l").otherwise("s")
-    )
-    b = t.groupBy("symbol", "date", "holding_days", "direction").agg(F.max(F.struct(*KEY, "l_discount", "l_tax")).alias("m"))
-    b = b.select("symbol", "date", F.year("date").alias("year"), "direction", "holding_days", "m.*")
+def last_ticks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The last tick by KEY of each (symbol, date, holding_days, direction): these, KEY, l_discount, l_tax and `more` of its columns.
+
+    The greatest struct is found by sorting, so the four columns are one whole number: Spark sorts that by radix, four columns
+    by comparing rows. It holds the symbol's number, 28 bits for the day, which are enough for every timestamp, 6 for
+    the holding days and 1 for the direction; a null day or key is 0. Symbols are numbered as a calendar is, in one small task.
+    """
+    symbols = table(spark, sf_dir, "part").select(F.col("p_brand").alias("_s")).distinct()
+    symbols = symbols.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_s")).cast("long"))
+    epoch, days = F.lit("1970-01-01").cast("date"), (10 + F.col("l_orderkey") % 21).cast("int")
+    day = F.coalesce(F.datediff("date", epoch) + 2**27, F.lit(0))
+    long = F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
+    group = (((F.col("_n") * 2**28 + day) * 64) + F.coalesce(days + 11, F.lit(0))) * 2 + long
+    t = ticks(spark, sf_dir).join(F.broadcast(symbols), F.col("symbol").eqNullSafe(F.col("_s")))
+    last = t.groupBy(group.alias("_g")).agg(F.max(F.struct(*KEY, "l_discount", "l_tax", *more)).alias("m")).select("_g", "m.*")
+    last = last.withColumns({"_n": F.shiftright("_g", 35), "_day": F.shiftright("_g", 7).bitwiseAND(F.lit(2**28 - 1)).cast("int")})
+    last = last.join(F.broadcast(symbols), "_n").withColumn("date", F.when(F.col("_day") > 0, F.date_add(epoch, F.col("_day") - 2**27)))
+    direction = F.when(F.col("_g") % 2 == 1, "l").otherwise("s")
+    return last.select(F.col("_s").alias("symbol"), "date", days.alias("holding_days"), direction.alias("direction"), *KEY, "l_discount", "l_tax", *more)
+
+
+def closes(last: DataFrame) -> DataFrame:
+    """(symbol, date, close) of bars, from last_ticks with px."""
+    return last.groupBy("symbol", "date").agg(F.max_by("px", F.struct(*KEY, "l_discount", "l_tax", "px")).alias("close"))
+
+
+def candidates(spark: SparkSession, sf_dir: str, last: DataFrame | None = None) -> DataFrame:
+    """One candidate per (symbol, date, days_out, direction); returns are in percent. last: last_ticks, where they are there already."""
+    b = (last_ticks(spark, sf_dir) if last is None else last).withColumn("year", F.year("date"))
     score = (F.col("l_orderkey") * 7919 % 1001) / F.lit(10.0)
     predicted = q(100 * F.col("l_discount") - 2, 4)
     b = b.withColumn("ml_score", score).withColumn("predicted_return", predicted).withColumn(
@@ -102,8 +124,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(strategy_id, date, pnl, equity) by market segment and order date."""
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("strategy_id"))
     o = table(spark, sf_dir, "orders").join(c, "o_custkey").groupBy("strategy_id", F.to_date("o_orderdate").alias("date")).agg(F.sum((F.col("o_totalprice") - 200000) / 100).alias("pnl"))
     run = F.sum("pnl").over(Window.partitionBy("strategy_id").orderBy("date"))

@@ -104,3 +104,51 @@ def test_several_options_in_one_pass(spark):
     for name, (strike, dte) in options.items():
         alone = tr.exit_options(tr.option_path(path, strike, dte), rules[name], F.lit(0.02), F.lit(0.03))
         assert rows(both.where(F.col("option") == name)) == rows(alone) and both.where(F.col("option") == name).count() == 120
+
+
+def test_trades_and_closes_come_from_one_pass(spark, sf, monkeypatch):
+    """The ticks are read once, and sorted by one number."""
+    from seasonflow.plans import trades
+    from seasonflow.sources import views as v
+
+    read, real = [], v.ticks
+    monkeypatch.setattr(v, "ticks", lambda *a: read.append(1) or real(*a))
+    trades.path(spark, sf)
+    assert len(read) == 1
+    plan = v.candidates(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "- Sort [" in line]
+    assert sorts and all(line.count(" ASC ") == 1 for line in sorts), plan
+
+
+def test_last_ticks_of_odd_rows(spark, tmp_path):
+    """Nulls, far days and negative keys are groups of their own, as by the four columns; closes are those of bars."""
+    from seasonflow.sources import views as v
+
+    rnd = random.Random(6)
+    some = lambda *values: rnd.choice(values)
+    parts = [(k, some("a", "b", None, "")) for k in range(12)]
+    days = [None, dt.datetime(1, 1, 1), dt.datetime(9999, 12, 31), dt.datetime(1969, 12, 31, 23, 59), dt.datetime(1970, 1, 1)]
+    lines = [(
+        some(None, -41, -20, 0, 20, 21, 2**62), rnd.randrange(12), some(None, 3, 4), some(1, 2), some(1.0, 2.0), float(n), rnd.random(), 0.01, "N", some("F", "O", None), some(*days)
+    ) for n in range(1500)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    brand, want = dict(parts), {}
+    order = lambda k: tuple((x is not None, x or 0) for x in k)
+    for o, p, s, n, qty, price, discount, tax, _, status, at in lines:
+        sign = -1 if o is not None and o < 0 else 1
+        g = (brand[p], at and at.date(), None if o is None else 10 + sign * (abs(o) % 21), "l" if status == "F" else "s")
+        want.setdefault(g, []).append((o, n, p, s, discount, tax))
+    got = v.last_ticks(spark, str(tmp_path), "px").persist()
+    rows = {(r.symbol, r.date, r.holding_days, r.direction): (*[r[c] for c in v.KEY], r.l_discount, r.l_tax) for r in got.collect()}
+    assert got.count() == len(rows) and rows == {g: max(own, key=order) for g, own in want.items()}
+    prices = {}
+    for o, p, s, n, qty, price, _, _, _, _, at in lines:
+        prices.setdefault((brand[p], at and at.date()), []).append(((o, n, p, s), int(price / qty * 100 + 0.5) / 100))
+    for closes in (v.closes(got), v.bars(spark, str(tmp_path))):
+        found = {(r.symbol, r.date): r.close for r in closes.collect()}
+        assert set(found) == set(prices)
+        for k, own in prices.items():  # of ticks with one KEY any may be the last
+            top = max((key for key, _ in own), key=order)
+            assert found[k] in [px for key, px in own if key == top], k
