@@ -94,10 +94,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: it is computed once, and what follows starts from files that survive lost executors."""
+def written(df: DataFrame, name: str, by: list[str] | tuple = ()) -> DataFrame:
+    """df written to the shared folder, with a folder for each value of `by`, and read back: it is computed once, and what follows starts from files that survive lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -97,15 +97,17 @@ def fit_regressor(df: DataFrame, label: str, features: list[str] = FEATURES, val
     return Pipeline(stages=[*stages(features), g]).fit(prepared(df, features))
 
 
-def matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """df with the assembled vector `features`, written once for all fits that follow.
+def matrix(df: DataFrame, features: list[str] = FEATURES, by: list[str] | tuple = ()) -> DataFrame:
+    """df with the assembled vector `features`, written once for all fits that follow, with a folder for each value of `by`.
 
-    A missing value is 0 beside its flag, so the vector depends on no other row and serves every window alike.
+    A missing value is 0 beside its flag, so the vector depends on no other row and serves every window alike. Fits that
+    filter by columns of `by` read the folders that they need.
     """
-    d = prepared(df, features).fillna(0.0, features)
-    names = [*features, *[f"{c}_missing" for c in features]]
-    d = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(d)
-    return written(d.drop(*[f"{c}_missing" for c in features]), "matrix")
+    filled = {f"_f_{c}": F.col(c).cast("double") for c in features}
+    flags = {f"{c}_missing": F.when(F.col(c).cast("double").isNull(), 1.0).otherwise(0.0) for c in features}
+    d = df.withColumns({**filled, **flags}).fillna(0.0, list(filled))
+    d = VectorAssembler(inputCols=[*filled, *flags], outputCol="features", handleInvalid="error").transform(d)
+    return written(d.drop(*filled, *flags), "matrix", by)
 
 
 def at_once(spark: SparkSession, tasks: list, run: Callable, parallel: int) -> list:
@@ -142,31 +144,30 @@ def walk_forward(
     """Out-of-sample predictions of each year: df's rows and columns with the members, predicted (their mean), rounds and val_year.
 
     Members are fitted on all earlier years, or on those of the year's cycle phase (same_phase), optionally long and short
-    apart; boosting stops early on the year itself. The feature matrix is written once and read by all windows, which
-    are fitted `parallel` at a time. Each window writes its predictions, with all columns of df, to its own folder under `out`
-    (default: the shared folder), so the keys stay and a window that is run again replaces its rows.
+    apart; boosting stops early on the year itself. The feature matrix is written once, by year and direction, and windows,
+    `parallel` of them at a time, read those years and directions that they are fitted on. Each window writes its
+    predictions, with all columns of df, to its own folder under `out` (default: the shared folder), so the keys stay and a
+    window that is run again replaces its rows.
     Years without earlier rows, and rows without a label, give none.
     """
     spark = df.sparkSession
     out = out or shared_path(spark, "walked")
-    clash = [c for c in df.columns if c in FEATURES]
-    keep = [c for c in df.columns if c not in clash]
-    own = {c: f"_own_{c}" for c in clash}  # a feature's own type comes back
-    m = matrix(df.where(F.col(label).isNotNull()).withColumns({o: F.col(c) for c, o in own.items()}))
-    there = {(r.year, r.direction) for r in m.select("year", "direction").distinct().collect()}
+    m = matrix(df.where(F.col(label).isNotNull()).withColumns({"_year": F.col("year"), "_side": F.col("direction")}), FEATURES, ["_year", "_side"])
+    there = {(r["_year"], r["_side"]) for r in m.select("_year", "_side").distinct().collect()}
 
     def window(task: tuple) -> None:
         y, d = task
-        part = m if d is None else m.where(F.col("direction") == d)
-        before = (F.col("year") < y) if kind == "expanding" else (F.col("year") < y) & (F.pmod(F.col("year") - y, F.lit(4)) == 0)
-        train = part.where(before | (F.col("year") == y)).withColumn("is_val", F.col("year") == y)
+        part = m if d is None else m.where(F.col("_side") == d)
+        year = F.col("_year")
+        before = (year < y) if kind == "expanding" else (year < y) & (F.pmod(year - y, F.lit(4)) == 0)
+        train = part.where(before | (year == y)).withColumn("is_val", year == y)
         models, rounds = fit_members(train, label)
-        p = part.where(F.col("year") == y)
+        p = part.where(year == y)
         for x in models:
             p = x.transform(p)
         mean = sum((F.col(n) for n in MEMBERS[1:]), F.col(MEMBERS[0])) / len(MEMBERS)
-        p = p.select(*keep, *[F.col(o).alias(c) for c, o in own.items()], *MEMBERS, mean.alias("predicted"), F.lit(rounds).alias("rounds"), F.lit(y).alias("val_year"))
-        p.select(*df.columns, *MEMBERS, "predicted", "rounds", "val_year").write.mode("overwrite").parquet(f"{out}/window={y}{d or ''}")
+        p = p.select(*df.columns, *MEMBERS, mean.alias("predicted"), F.lit(rounds).alias("rounds"), F.lit(y).alias("val_year"))
+        p.write.mode("overwrite").parquet(f"{out}/window={y}{d or ''}")
 
     early = lambda y, d: any(yy < y and (kind == "expanding" or (yy - y) % 4 == 0) and d in (None, dd) for yy, dd in there)
     now = lambda y, d: any(yy == y and d in (None, dd) for yy, dd in there)

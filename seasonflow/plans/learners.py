@@ -44,8 +44,8 @@ def wf_train(spark, sf_dir):
 
 
 def wf_train_split(spark, sf_dir):
-    """Out-of-sample predictions of models for longs and for shorts."""
-    return ml.walk_forward(data(spark, sf_dir), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted", "rounds")
+    """Out-of-sample predictions of models for longs and for shorts; the candidates are read once, by the matrix, which is written."""
+    return ml.walk_forward(ml.with_features(v.candidates(spark, sf_dir)), "actual_return", YEARS, by_direction=True).select(*K, "val_year", *ml.MEMBERS, "predicted", "rounds")
 
 
 def wf_compare_split(spark, sf_dir):

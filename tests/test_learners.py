@@ -92,3 +92,22 @@ def test_scores_read_the_tables_once(spark, sf):
 
     files = fit_regressor(spark, sf).inputFiles()
     assert files and not any("lineitem" in f or "part.parquet" in f for f in files)
+
+
+def test_windows_read_their_own_years_and_directions(spark, data, monkeypatch):
+    """Fits read the matrix's folders that they need; values that lack and the columns' own types stay as they are."""
+    seen, real = [], ml.fit_members
+    monkeypatch.setattr(ml, "fit_members", lambda train, *a: seen.append(train) or real(train, *a))
+    gaps = data.withColumn("direction", F.when(F.col("holding_days") == 30, F.lit(None)).otherwise(F.col("direction")))
+    gaps = gaps.withColumn("ml_score", F.when(F.col("holding_days") == 20, F.lit(None)).when(F.col("holding_days") == 21, float("nan")).otherwise(F.col("ml_score")))
+    got = ml.walk_forward(gaps, "actual_return", [2000], by_direction=True)
+    assert len(seen) == 2 and got.select(*gaps.columns).dtypes == gaps.dtypes
+    for train in seen:
+        plan = train._jdf.queryExecution().executedPlan().toString()
+        filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+        assert "_year" in filters and "_side" in filters, plan
+    count = lambda df: sorted(map(str, df.select("symbol", "date", "holding_days", "direction", "ml_score").collect()))
+    assert count(got) == count(gaps.where("year = 2000 and direction is not null"))
+    m = ml.matrix(gaps.where("holding_days in (20, 21)"), ["holding_days", "ml_score"]).collect()
+    assert {(r.holding_days, tuple(r.features)) for r in m} == {(20, (20.0, 0.0, 0.0, 1.0)), (21, (21.0, 0.0, 0.0, 0.0))}
+    assert all(r.ml_score is None or r.ml_score != r.ml_score for r in m)
